@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import exact_dedup, langid, mixing, near_dedup, packing
-from .shared import table
+from . import exact_dedup, fingerprints, langid, line_dedup, mixing, near_dedup, packing, quality, substring_dedup, token_rollup
+from .shared import shared_dir, table
 
 
 def _on_documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -28,6 +29,16 @@ def _near(docs: DataFrame) -> DataFrame:
     return near_dedup.near_duplicates(docs, near_dedup.ForestConfig(width=3, percent=85))
 
 
+def _score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return token_rollup.token_counts(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -36,10 +47,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": _on_documents(substring_dedup.repeated_spans),
+        "op2_document_fingerprints": _on_documents(fingerprints.edited_fingerprints),
+        "op3_token_counts": _count_tokens,
+        "op4_quality_classifier": _score,
         "op5_best_fit_packing": _on_documents(_pack),
         "op6_minhash_near_dedup": _on_documents(_near),
         "op7_mix_sources": _on_documents(mixing.mix_sources),
         "op8_exact_dedup": _on_documents(exact_dedup.exact_duplicates),
+        "op9_line_dedup": _on_documents(line_dedup.line_report),
         "op10_language_id": _on_documents(langid.predict_languages),
         "pipeline": pipeline,
     }
@@ -72,5 +88,28 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(see
 """
 
 
+#: Lines of 20 code points or more are at distance 1 when they share a one-character deletion at one place (equal
+#: lengths), or when a deletion of the longer is the shorter.
+LINE_SQL = """
+WITH l AS (
+  SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
+), f AS (SELECT line, min({'d': doc_id, 'n': line_no}) AS first FROM l WHERE trim(line, ' ') <> '' GROUP BY line),
+g AS (SELECT line, first, length(line) AS n FROM f WHERE length(line) >= 20),
+v AS (SELECT line, first, i, hash(substr(line, 1, i - 1) || substr(line, i + 1)) AS h FROM (SELECT line, first, unnest(range(1, n + 1)) AS i FROM g)),
+s AS (SELECT h, i, min(first) AS best FROM v GROUP BY h, i HAVING count(*) > 1),
+near AS (
+  SELECT v.line FROM v JOIN s ON v.h = s.h AND v.i = s.i WHERE s.best < v.first
+  UNION SELECT v.line FROM v JOIN g ON v.h = hash(g.line) WHERE g.first < v.first
+  UNION SELECT g.line FROM v JOIN g ON v.h = hash(g.line) WHERE v.first < g.first
+), t AS (
+  SELECT l.doc_id, coalesce({'d': l.doc_id, 'n': l.line_no} <> f.first, false) AS eq, near.line IS NOT NULL AS nr
+  FROM l LEFT JOIN f ON l.line = f.line LEFT JOIN near ON l.line = near.line
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE eq) AS equal_dropped, count(*) FILTER (WHERE nr AND NOT eq) AS near_dropped,
+  count(*) FILTER (WHERE NOT nr AND NOT eq) AS kept_lines
+FROM t GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash_near_dedup": NEAR_SQL, "op8_exact_dedup": EXACT_SQL}
+    return {"op6_minhash_near_dedup": NEAR_SQL, "op8_exact_dedup": EXACT_SQL, "op9_line_dedup": LINE_SQL}
