@@ -1,12 +1,13 @@
 """Near-duplicate documents by an LSH forest.
 
-Each distinct shingle set gets ``trees * depth`` min-hashes. Every tree sorts all sets by its own run of min-hashes;
-neighbours in an order share the longest common prefixes, so they are the candidates. A pair counts when the common
-prefix is at least ``least_depth`` long; in a dense region the ``reach`` nearest neighbours share far deeper prefixes,
-so the depth adapts to the region and no region is ever gathered. Two rounds keep the work linear: the first follows
-the best of the ``near`` closest neighbours of each order, verifies it on full sets and joins components; the second
-takes all of ``reach`` neighbours, but only pairs that still lie in different components. Every link is confirmed on
-whole sets, and components are found by label propagation with pointer jumping in DataFrames.
+Each distinct shingle set gets a signature of min-hashes. Every tree sorts all sets by the signature, begun at another
+place; neighbours in an order share the longest common prefixes, so they are the candidates. A pair counts when the
+common prefix is at least ``least_depth`` long; in a dense region the ``reach`` nearest neighbours share far deeper
+prefixes, so the depth adapts to the region and no region is ever gathered. Two rounds keep the work linear: the first
+follows the best of the ``near`` closest neighbours of each order, verifies it on full sets and joins components; the
+second takes all of ``reach`` neighbours that still lie in different components, each pair in the tree where its common
+prefix is longest (there the two stand closest). Every link is confirmed on whole sets, and components are found by
+label propagation with pointer jumping in DataFrames.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from .textkernel import mix, shingle_sets
 
 @dataclass(frozen=True)
 class ForestConfig:
-    """``width`` words a shingle; a link needs ``100 * intersection >= percent * union``."""
+    """``width`` words a shingle; a link needs ``100 * intersection >= percent * union``. Trees begin every ``depth``
+    min-hashes of the signature. Up to ``broadcast_ids`` document ids (8 bytes each) are broadcast, more are joined by
+    shuffle."""
 
     width: int = 5
     percent: int = 80
@@ -34,8 +37,9 @@ class ForestConfig:
     depth: int = 8
     least_depth: int = 3
     near: int = 4
-    reach: int = 64
+    reach: int = 96
     seed: int = 5
+    broadcast_ids: int = 1_000_000
 
     @property
     def hashes(self) -> int:
@@ -48,8 +52,8 @@ class ForestConfig:
         return j - 3 * (j * (1 - j) / self.hashes) ** 0.5
 
 
-def signatures(sets: list[np.ndarray], config: ForestConfig) -> np.ndarray:
-    """Min-hashes folded to 16 bits, one row of ``hashes`` per non-empty set."""
+def signatures(sets: list[np.ndarray], config: ForestConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Of each non-empty set: the heads of all trees (``least_depth`` min-hashes of 16 bits) and the whole signature in bytes."""
     rng = np.random.default_rng(config.seed)
     factor = rng.integers(1, 1 << 63, config.hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shift = rng.integers(0, 1 << 63, config.hashes, dtype=np.uint64)
@@ -59,10 +63,14 @@ def signatures(sets: list[np.ndarray], config: ForestConfig) -> np.ndarray:
         for i in range(0, len(own), 512):
             low = np.minimum(low, (own[i : i + 512, None] * factor + shift).min(axis=0))
         out[k] = low
-    return (mix(out) >> np.uint64(48)).astype(">u2")
+    out = mix(out)
+    heads = (out >> np.uint64(48)).astype(">u2").reshape(len(sets), config.trees, config.depth)[:, :, : config.least_depth]
+    return np.ascontiguousarray(heads), (out >> np.uint64(8)).astype(np.uint8)
 
 
 def _features(config: ForestConfig):
+    names, types = ["n", "digest", "heads", "sig"], (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
@@ -70,14 +78,17 @@ def _features(config: ForestConfig):
             for own in shingle_sets(batch.column(1), config.width, lower=True):
                 held.append(own)
                 if len(held) == 512 or start + len(held) == len(ids):
+                    made = iter(zip(*signatures([s for s in held if len(s)], config), strict=True))
+                    rows = []
+                    for s in held:
+                        if len(s):
+                            heads, sig = next(made)
+                            rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), heads.tobytes(), sig.tobytes()))
+                        else:
+                            rows.append((0, None, None, None))
                     part = ids.slice(start, len(held))
-                    full = [s for s in held if len(s)]
-                    sig = iter(signatures(full, config))
-                    rows = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), next(sig).tobytes()) if len(s) else (0, None, None) for s in held]
-                    start += len(held)
-                    held = []
-                    columns = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([part, *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True))], ["doc_id", "n", "digest", "sig"])
+                    start, held = start + len(held), []
+                    yield pa.RecordBatch.from_arrays([part, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], ["doc_id", *names])
 
     return run
 
@@ -101,17 +112,28 @@ def _sets(config: ForestConfig):
     return run
 
 
+def _longest_prefix(equal: np.ndarray, depth: int) -> np.ndarray:
+    """For each row of equal-flags: the tree (start at a multiple of ``depth``, read round) with the longest run of equals."""
+    rows, n = equal.shape
+    run = np.zeros(rows, np.int32)
+    starts = np.empty((rows, n // depth), np.int32)
+    for i in range(2 * n - 1, -1, -1):
+        run = np.where(equal[:, i % n], run + 1, 0)
+        if i < n and i % depth == 0:
+            starts[:, i // depth] = run
+    return starts.argmax(axis=1)
+
+
 def _neighbours(config: ForestConfig, reach: int, best_only: bool):
     """Candidate pairs of one sorted partition: a window of ``reach`` predecessors slides over it."""
-    head = config.least_depth
 
-    def pairs(tree, place, n, comp, sig) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(tree, head, n, comp, sig) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         rows = len(tree)
         best = np.full(rows, -1.0)
         best_at = np.zeros(rows, np.int64)
         for lag in range(1, min(reach, rows - 1) + 1):
             a, b = np.arange(rows - lag), np.arange(lag, rows)
-            same = (tree[a] == tree[b]) & (place[a, :head] == place[b, :head]).all(axis=1)
+            same = (tree[a] == tree[b]) & (head[a] == head[b])
             if not same.any():
                 break
             if comp is not None:
@@ -120,11 +142,14 @@ def _neighbours(config: ForestConfig, reach: int, best_only: bool):
             hit = np.flatnonzero(same & (100 * low >= config.percent * high))
             if not len(hit):
                 continue
-            likeness = (sig[a[hit]] == sig[b[hit]]).mean(axis=1)
+            equal = sig[a[hit]] == sig[b[hit]]
+            likeness = equal.mean(axis=1)
             good = likeness >= config.likely
             left, right, likeness = a[hit[good]], b[hit[good]], likeness[good]
             if not best_only:
-                yield left, right
+                # rows hold the signature from their tree's place on, so this tree's run starts at flag 0
+                first = _longest_prefix(equal[good], config.depth) == 0
+                yield left[first], right[first]
                 continue
             better = likeness > best[right]
             best[right[better]], best_at[right[better]] = likeness[better], left[better]
@@ -139,21 +164,21 @@ def _neighbours(config: ForestConfig, reach: int, best_only: bool):
                 batch = whole.slice(at, 8192)
                 now = (
                     batch.column(0).to_numpy(zero_copy_only=False),
-                    np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(batch), -1),
+                    np.array([int.from_bytes(x, "big") for x in batch.column(1).to_pylist()], np.int64),
                     np.array(batch.column(2).to_pylist(), object),
                     batch.column(3).to_numpy(zero_copy_only=False),
                     batch.column(4).to_numpy(zero_copy_only=False),
-                    np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint16).reshape(len(batch), -1),
+                    np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(len(batch), -1),
                 )
                 old = 0 if tail is None else len(tail[0])
-                tree, place, digest, n, comp, sig = now if tail is None else (np.concatenate(x) for x in zip(tail, now, strict=True))
-                for left, right in pairs(tree, place, n, None if best_only else comp, sig):
+                tree, head, digest, n, comp, sig = now if tail is None else (np.concatenate(x) for x in zip(tail, now, strict=True))
+                for left, right in pairs(tree, head, n, None if best_only else comp, sig):
                     fresh = right >= old
                     if fresh.any():
                         one, two = digest[left[fresh]], digest[right[fresh]]
                         swap = one > two
                         yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, two, one), pa.binary()), pa.array(np.where(swap, one, two), pa.binary())], ["a", "b"])
-                tail = tuple(x[-reach:] for x in (tree, place, digest, n, comp, sig))
+                tail = tuple(x[-reach:] for x in (tree, head, digest, n, comp, sig))
 
     return run
 
@@ -209,21 +234,27 @@ def near_duplicates(docs: DataFrame, config: ForestConfig = ForestConfig()) -> D
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    features = cut(docs.mapInArrow(_features(config), "doc_id long, n long, digest binary, sig binary"), "features")
-    reps = features.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rank"), F.min("n").alias("n"), F.min("sig").alias("sig"))
+    features = cut(docs.mapInArrow(_features(config), "doc_id long, n long, digest binary, heads binary, sig binary"), "features")
+    reps = features.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rank"), F.min("n").alias("n"), F.min("heads").alias("heads"), F.min("sig").alias("sig"))
     reps = cut(reps, "reps")
 
-    keys = reps.select("digest", F.posexplode(F.array(*[F.substring("sig", 1 + 2 * config.depth * t, 2 * config.least_depth) for t in range(config.trees)])).alias("tree", "head"))
-    shared = keys.groupBy("tree", "head").count().where("count > 1")
-    mates = keys.join(shared, ["tree", "head"], "left_semi").select("digest").distinct()
-    active = cut(reps.join(mates, "digest", "left_semi"), "active")
+    wide = 2 * config.least_depth
+    heads = [F.substring("heads", 1 + wide * t, wide) for t in range(config.trees)]
+    keys = reps.select(F.xxhash64("digest").alias("who"), F.explode(F.array(*[F.xxhash64(F.lit(t), h) for t, h in enumerate(heads)])).alias("key"))
+    shared = keys.groupBy("key").agg(F.min("who").alias("low"), F.max("who").alias("high")).where("low <> high").select("key")
+    mates = keys.join(shared, "key", "left_semi").select("who").distinct()
+    active = cut(reps.withColumn("who", F.xxhash64("digest")).join(mates, "who", "left_semi").drop("who"), "active")
 
-    wanted = active.select(F.col("rank").alias("doc_id")).distinct()
-    sets = cut(docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets(config), "digest binary, body binary"), "sets")
+    wanted = cut(active.select(F.col("rank").alias("doc_id")).distinct(), "wanted")
+    few = wanted.count() <= config.broadcast_ids
+    chosen = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    sets = cut(chosen.select("text").mapInArrow(_sets(config), "digest binary, body binary"), "sets")
 
     def candidates(rows: DataFrame, reach: int, best_only: bool) -> DataFrame:
-        order = rows.select(F.posexplode(F.array(*[F.substring("sig", 1 + 2 * config.depth * t, 2 * config.depth) for t in range(config.trees)])).alias("tree", "place"), "digest", "n", "comp", "sig")
-        order = order.repartitionByRange(parts, "tree", "place", "digest").sortWithinPartitions("tree", "place", "digest")
+        turned = [F.concat(F.substring("sig", 1 + config.depth * t, config.hashes), F.substring("sig", 1, config.depth * t)) for t in range(config.trees)]
+        trees = F.array(*[F.struct(F.lit(t).alias("tree"), h.alias("head"), turned[t].alias("turned")) for t, h in enumerate(heads)])
+        order = rows.select(F.explode(trees).alias("t"), "digest", "n", "comp").select("t.tree", "t.head", "digest", "n", "comp", "t.turned")
+        order = order.repartitionByRange(parts, "tree", "head", "turned", "digest").sortWithinPartitions("tree", "head", "turned", "digest")
         return order.mapInArrow(_neighbours(config, reach, best_only), "a binary, b binary").distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -236,7 +267,7 @@ def near_duplicates(docs: DataFrame, config: ForestConfig = ForestConfig()) -> D
     nodes = nodes.withColumn("rank", F.coalesce("rank", F.lit((1 << 63) - 1)))
     first = cut(confirmed(candidates(active.withColumn("comp", F.lit(0).cast("long")), config.near, True)), "first")
     labels = connected_components(nodes, first)
-    grouped = active.join(labels, "digest", "left").select("digest", "n", "sig", F.coalesce("label", "rank", F.xxhash64("digest")).alias("comp"))
+    grouped = active.join(labels, "digest", "left").select("digest", "n", "heads", "sig", F.coalesce("label", "rank", F.xxhash64("digest")).alias("comp"))
     second = cut(confirmed(candidates(grouped, config.reach, False)), "second")
     if second.limit(1).count():
         labels = connected_components(nodes, first.union(second))
