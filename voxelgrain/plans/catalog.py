@@ -1,15 +1,14 @@
-"""The registered queries over the reference operators, and their DuckDB SQL."""
+"""All registered queries over the reference operators, and their DuckDB SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import field_plans, result_plans, tensor_plans, voxel_plans  # noqa: F401  they register their queries
+from .fixtures import REGISTRY, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: run for name, (run, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql is not None}

@@ -1 +1,26 @@
+"""Results that arrive step by step: measures of each step, and the running extreme of each load path."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.results import postprocess
+
+RESULTS = "microstructure string, load_case string, time_step int, quantity string, point_id long, value array<double>, at timestamp"
+
+
+def read_steps(spark: SparkSession, folder: str, per_trigger: int = 16) -> DataFrame:
+    """Parquet files of results as they arrive in a folder."""
+    return spark.readStream.schema(RESULTS).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+
+
+def streamed_measures(steps: DataFrame, quantities: list[str], measures: list[str] | None = None) -> DataFrame:
+    """Rank-2 measures of every arriving row; stateless."""
+    return postprocess(steps, quantities, measures)
+
+
+def running_maximum(measured: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
+    """Greatest first component by window, microstructure, load case and quantity; rows later than ``late`` are left out."""
+    window = F.window("at", width)
+    return measured.withWatermark("at", late).groupBy(window.alias("window"), "microstructure", "load_case", "quantity").agg(F.max(F.get("value", 0)).alias("greatest"), F.count("*").alias("rows"))
