@@ -176,7 +176,7 @@ def keep_first_copies(docs: DataFrame) -> DataFrame:
     names = docs.columns
     text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), f"{SPACE_CLASS}+", " ")
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    owners = text_owners(docs).select(F.col("text_sha256").alias("_sha"), F.coalesce(F.col("keep_id").cast("string"), F.lit("null")).alias("_id"))
-    found = docs.withColumns({"_sha": F.sha2(text.cast("binary"), 256), "_id": ident})
+    owners = text_owners(docs).select(F.col("text_sha256").alias("__vg_sha"), F.coalesce(F.col("keep_id").cast("string"), F.lit("null")).alias("__vg_id"))
+    found = docs.withColumns({"__vg_sha": F.sha2(text.cast("binary"), 256), "__vg_id": ident})
     # the join's partitioning by (_sha, _id) also serves the removal of repeated rows
-    return found.join(owners, ["_sha", "_id"], "left_semi").dropDuplicates(["_sha", "_id"]).select(*names)
+    return found.join(owners, ["__vg_sha", "__vg_id"], "left_semi").dropDuplicates(["__vg_sha", "__vg_id"]).select(*names)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import held_out
-from .textkernel import text_buffers
+from .textkernel import sliced, text_buffers
 
 UNDETERMINED = "und"
 _LETTER = np.zeros(256, np.float32)
@@ -207,14 +207,14 @@ def with_language(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
     names = docs.columns
     place = names.index("text")
     if model is None:
-        return docs.withColumns({"_lang": F.lit(UNDETERMINED), "_score": F.lit(0.0)})
+        return docs.withColumns({"__vg_lang": F.lit(UNDETERMINED), "__vg_score": F.lit(0.0)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, place):
             langs, score = score_batch(model, batch.column(place))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*names, "_lang", "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*names, "__vg_lang", "__vg_score"])
 
-    schema = StructType([*docs.schema.fields, StructField("_lang", StringType()), StructField("_score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField("__vg_lang", StringType()), StructField("__vg_score", DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
@@ -227,14 +227,14 @@ def predict_languages(docs: DataFrame, config: LanguageConfig = LanguageConfig()
     """
     model = fit_language_model(docs.select("doc_id", "text", "lang"), config)
     scored = with_language(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__vg_lang").alias("lang_pred"), F.col("__vg_score").alias("score"))
 
 
 def keep_identified(docs: DataFrame, languages: tuple[str, ...] | None = None, least: float = 0.4, config: LanguageConfig = LanguageConfig()) -> DataFrame:
     """Documents in a known language (one of ``languages``, if given) with a score of ``least`` or more; the rest go."""
     model = fit_language_model(docs.select("doc_id", "text", "lang"), config)
     scored = with_language(docs, model)
-    known = (F.col("_lang") != UNDETERMINED) & (F.col("_score") >= least)
+    known = (F.col("__vg_lang") != UNDETERMINED) & (F.col("__vg_score") >= least)
     if languages is not None:
-        known &= F.col("_lang").isin(*languages)
+        known &= F.col("__vg_lang").isin(*languages)
     return scored.where(known).select(*docs.columns)

@@ -143,6 +143,6 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int
 def take_mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, seed: int = 11) -> DataFrame:
     """The documents of the mix, each as often as it was drawn; rows that share an id share one row's draw."""
     sizes = cut(document_sizes(docs), "sizes")
-    copies = rounded_copies(sizes, weights, limit, seed).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    copies = copies.select(F.col("doc_id").alias("_drawn"), F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"))
-    return docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(F.col("_drawn"))).select(*[docs[c] for c in docs.columns])
+    copies = rounded_copies(sizes, weights, limit, seed).groupBy("doc_id").agg(F.max("copies").alias("__vg_copies")).where("__vg_copies > 0")
+    copies = copies.select(F.col("doc_id").alias("__vg_drawn"), F.explode(F.sequence(F.lit(1), F.col("__vg_copies").cast("int"))).alias("__vg_copy"))
+    return docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(F.col("__vg_drawn"))).select(*[docs[c] for c in docs.columns])

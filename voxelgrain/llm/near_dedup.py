@@ -280,5 +280,5 @@ def near_duplicates(docs: DataFrame, config: ForestConfig = ForestConfig()) -> D
 
 def keep_representatives(docs: DataFrame, config: ForestConfig = ForestConfig()) -> DataFrame:
     """One document of each group of near duplicates (the smallest id), all columns; wordless texts all stay."""
-    gone = near_duplicates(docs, config).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, config).where("not kept").select(F.col("doc_id").alias("__vg_gone"))
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__vg_gone"), "left_anti")

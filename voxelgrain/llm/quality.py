@@ -141,5 +141,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, config: QualityConfig = Qu
 
 def keep_quality(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
     """The documents whose score reaches the threshold, all columns; rows that share an id share the highest score."""
-    good = score_quality(docs, labels, config).groupBy("doc_id").agg(F.max("predicted").alias("_good")).where("_good = 1").withColumnRenamed("doc_id", "_doc")
-    return docs.join(good, docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")), "left_semi")
+    good = score_quality(docs, labels, config).groupBy("doc_id").agg(F.max("predicted").alias("__vg_good")).where("__vg_good = 1").withColumnRenamed("doc_id", "__vg_doc")
+    return docs.join(good, docs["doc_id"].cast("long").eqNullSafe(F.col("__vg_doc")), "left_semi")

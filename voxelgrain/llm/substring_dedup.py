@@ -143,15 +143,15 @@ def repeated_spans(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> Data
 
 def cut_repeats(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """``docs`` with the repeated spans cut out of ``text``; other columns and rows stay."""
-    spans = repeated_spans(docs, config).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "bytes"))).alias("_spans")).withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")), "left")
+    spans = repeated_spans(docs, config).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "bytes"))).alias("__vg_spans")).withColumnRenamed("doc_id", "__vg_doc")
+    joined = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(F.col("__vg_doc")), "left")
     whole = docs["text"].cast("binary")
     end = F.struct(F.octet_length(docs["text"]).cast("long").alias("start"), F.lit(0).cast("long").alias("bytes"))
     piece = F.aggregate(
-        F.concat(F.col("_spans"), F.array(end)),
+        F.concat(F.col("__vg_spans"), F.array(end)),
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").cast("binary").alias("kept")),
         lambda a, s: F.struct((s["start"] + s["bytes"]).alias("at"), F.concat(a["kept"], F.substring(whole, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))).alias("kept")),
         lambda a: F.decode(a["kept"], "UTF-8"),
     )
-    text = F.when(F.col("_spans").isNull(), docs["text"]).otherwise(piece)
+    text = F.when(F.col("__vg_spans").isNull(), docs["text"]).otherwise(piece)
     return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes handled at once; a longer text is handled alone.
 CHUNK = 1 << 20
@@ -61,6 +62,16 @@ def chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def sliced(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most CHUNK bytes of the text column at ``at`` (or one row), so that what is computed
+    for a slice, many times its text, stays small."""
+    for batch in batches:
+        column = batch.column(at)
+        offsets = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))])
+        for i, j in chunks(offsets):
+            yield batch.slice(i, j - i)
+
+
 def word_hashes(data: np.ndarray, offs: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word (maximal run without white space), and the number of words of each document.
 
