@@ -50,7 +50,9 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     column = column.cast(pa.large_string()).fill_null("")
     _, offsets, data = column.buffers()
     offs = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offs
+    # a slice shares its parent's bytes: only its own are looked at
+    own = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None else np.zeros(0, np.uint8)
+    return own, offs - offs[0]
 
 
 def chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
