@@ -33,7 +33,7 @@ class ChunkConfig:
     mean: int = 32
     least: int = 16
     most: int = 512
-    least_bytes: int = 200
+    least_bytes: int = 180
 
 
 def gear_hash(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
