@@ -33,8 +33,8 @@ class ForestConfig:
 
     width: int = 5
     percent: int = 80
-    trees: int = 16
-    depth: int = 8
+    trees: int = 24
+    depth: int = 10
     least_depth: int = 3
     near: int = 4
     reach: int = 96
@@ -205,7 +205,7 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
     ``nodes`` (digest, rank), ``links`` (a, b) over digests. Each step takes the least label of the neighbours, then
     the label of the node that this label names (pointer jumping), and is written out; it ends when none changed.
-    Returns (digest, label) for nodes with a link only.
+    Returns a written frame with digest and label of the nodes with a link only.
     """
     both = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct()
     touched = both.select(F.col("a").alias("digest")).distinct()
@@ -221,7 +221,7 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         labels = after
         if labels.where("moved").limit(1).count() == 0:
             drop_stage(both)
-            return labels.select("digest", "label")
+            return labels
 
 
 def near_duplicates(docs: DataFrame, config: ForestConfig = ForestConfig()) -> DataFrame:
@@ -267,12 +267,15 @@ def near_duplicates(docs: DataFrame, config: ForestConfig = ForestConfig()) -> D
     nodes = nodes.withColumn("rank", F.coalesce("rank", F.lit((1 << 63) - 1)))
     first = cut(confirmed(candidates(active.withColumn("comp", F.lit(0).cast("long")), config.near, True)), "first")
     labels = connected_components(nodes, first)
-    grouped = active.join(labels, "digest", "left").select("digest", "n", "heads", "sig", F.coalesce("label", "rank", F.xxhash64("digest")).alias("comp"))
+    grouped = active.join(labels.select("digest", "label"), "digest", "left").select("digest", "n", "heads", "sig", F.coalesce("label", "rank", F.xxhash64("digest")).alias("comp"))
     second = cut(confirmed(candidates(grouped, config.reach, False)), "second")
     if second.limit(1).count():
+        drop_stage(labels)
         labels = connected_components(nodes, first.union(second))
+    for stage in (active, wanted, sets, first, second):
+        drop_stage(stage)
     lost = F.lit((1 << 63) - 1)
-    named = reps.select("digest", "rank").join(labels, "digest", "left").select("digest", F.coalesce(F.nullif("label", lost), "rank").alias("component"))
+    named = reps.select("digest", "rank").join(labels.select("digest", "label"), "digest", "left").select("digest", F.coalesce(F.nullif("label", lost), "rank").alias("component"))
     out = features.select("doc_id", "n", "digest").join(named, "digest", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

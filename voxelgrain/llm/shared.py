@@ -24,14 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
-        return f"{found.rstrip('/')}/voxelgrain"
+        return f"{found.rstrip('/')}/voxelgrain/{spark.sparkContext.applicationId}"
     if spark.sparkContext.master.split("[")[0] == "local":
         path = os.path.join(tempfile.gettempdir(), f"voxelgrain-{spark.sparkContext.applicationId}")
         if not os.path.isdir(path):
             os.makedirs(path)
             atexit.register(shutil.rmtree, path, ignore_errors=True)
         return f"file://{path}"
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_voxelgrain_stages"
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_voxelgrain_stages/{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -46,8 +46,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def drop_stage(df: DataFrame) -> None:
     """Delete the files behind a frame that ``cut`` returned and that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._stage_path)
+    _delete(df.sparkSession, df._stage_path)
+
+
+def clean_stages(spark: SparkSession) -> None:
+    """Delete all stages of this application; results that are still to be computed from them are lost."""
+    _delete(spark, shared_dir(spark))
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
