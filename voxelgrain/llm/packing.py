@@ -21,6 +21,8 @@ from .shared import cut
 
 CAPACITY = 1024
 END_ID = 2
+#: Pieces of one length that are ranked together.
+SLICE = 8192
 #: Code points for which both libraries' pre-tokenisers are known to agree (letters, digits, punctuation of Latin scripts).
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ſ‐-‧‰-⁞]*")
 _SPECIAL = "<|endoftext|>"
@@ -176,13 +178,13 @@ def _places(plan: list[tuple[list[int], int]], capacity: int) -> dict[int, tuple
 def assign_sequences(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (with doc_id, piece, start, length) with sequence_id and offset.
 
-    The driver gets one count per length. Ranks within a length come from windows over salted slices of it and a
-    running sum of the slices' counts, so a common length is not one task's work.
+    The driver gets one count per length. Ranks within a length come from windows over salted slices of it, of about
+    ``SLICE`` pieces each, and a running sum of the slices' counts, so a common length is not one task's work.
     """
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     places = _places(plan_sequences(counts, capacity), capacity)
-    slices = max(16, sum(counts.values()) // 200_000)
-    salted = pieces.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)))
+    slices = F.array(*[F.lit(-(-counts.get(n, 0) // SLICE) or 1) for n in range(capacity + 1)])
+    salted = pieces.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece"), F.get(slices, F.col("length").cast("int"))))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = salted.groupBy("length", "_slice").agg(F.count("*").alias("_n")).select("length", "_slice", before.alias("_base"))
     nth = F.row_number().over(Window.partitionBy("length", "_slice").orderBy("doc_id", "piece", "start")) - 1
