@@ -146,23 +146,26 @@ def fit_language_model(docs: DataFrame, config: LanguageConfig = LanguageConfig(
     The driver gets language counts and, for each sampled row, two windows of its text; never whole texts.
     None when no row is labelled.
     """
-    usable = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(config.languages).collect()
+    known = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(config.languages).collect()
     if not counts:
         return None
-    classes = sorted(r["lang"] for r in counts)
-    each = max(1, config.sample // len(classes))
+    each = max(1, config.sample // len(counts))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / (1 << 30)
     rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.1 * each / r["count"] + 10 / r["count"]))])
+    turn = draw / F.element_at(rate, F.col("lang"))  # 0 to 1 within each language, so that the limit takes all alike
     at = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - config.window, F.lit(1))).cast("int")
     sample = (
-        usable.where(draw < F.element_at(rate, F.col("lang")))
-        .select(draw.alias("draw"), "doc_id", "lang", F.substring("text", 1, config.window).alias("head"), F.col("text").substr(at + 1, F.lit(config.window)).alias("inner"))
-        .orderBy("draw", "doc_id", "lang", "head")
+        known.where((F.length("text") > 0) & (turn < 1))
+        .select(turn.alias("turn"), "doc_id", "lang", F.substring("text", 1, config.window).alias("head"), F.col("text").substr(at + 1, F.lit(config.window)).alias("inner"))
+        .orderBy("turn", "doc_id", "lang", "head")
         .limit(config.sample)
         .toArrow()
     )
     langs = sample.column("lang").to_pylist()
+    if not langs:
+        return None
+    classes = sorted(set(langs))
     blocks = []
     for name in ("head", "inner"):
         raw = [x.encode()[: config.window] for x in sample.column(name).to_pylist()]
