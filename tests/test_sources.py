@@ -120,6 +120,7 @@ def test_vtk_images(spark, tmp_path, form, compressed):
     assert all(out[x, y, z] == [values[z, y, x]] for x in range(4) for y in range(3) for z in range(2))
     flipped = {(r["i"], r["j"], r["k"]): r["value"] for r in vtk.gridded(cells.where("field = 'u'")).collect()}
     assert flipped[1, 0, 0] == [5.0, 4.0, 3.0]
+    assert vtk.grid_headers(cells).first()[1:] == (24, 4, 3, 2, 2.0, 1.5, 1.0)
     assert vtk.read_vtk(spark, [str(tmp_path / "a.vti")], ["none"]).count() == 0
     with pytest.raises(Exception):  # noqa: B017
         vtk.read_vtk(spark, [str(tmp_path / "b.vti")], mode="FAILFAST").count()
@@ -145,6 +146,22 @@ def test_surface_file(spark, tmp_path):
     assert "POINTS 35 double" in text and "POLYGONS 24 120" in text
 
 
+def test_boundaries_with_header(spark, tmp_path):
+    image = spark.createDataFrame([(0, 0, 0, 2, 1), (0, 0, 1, 1, 1)], "i int, j int, k int, label long, crystal int")
+    table = spark.createDataFrame([(2, 1.0, 0.0, 0.0, 0, 1)], "gb_tag long, nx double, ny double, nz double, crystal_a long, crystal_b long")
+    parquet.write_boundaries(image, table, str(tmp_path), "gb", normals=True, header={"thickness": 0.1})
+    held = spark.read.parquet(str(tmp_path / "gb" / "header")).first()
+    assert held["header"] == '{"thickness": 0.1}' and '"crystal_a":0' in held["boundaries"]
+    assert {r["k"]: r["nx"] for r in spark.read.parquet(str(tmp_path / "gb" / "normals")).collect()} == {0: 1.0, 1: 0.0}
+
+
+@pytest.mark.parametrize("name", ["polycrystal", "surfaces", "coarse", "load_paths", "correlation"])
+def test_demos(spark, tmp_path, name):
+    from examples import demos
+
+    demos.DEMOS[name](spark, 16, str(tmp_path))
+
+
 def test_xdmf(spark, tmp_path):
     rows = [("/g/time_step2/displacement", [4, 4, 4, 3]), ("/g/time_step10/stress", [4, 4, 4, 6]), ("/g/static", [4, 4, 4]), ("/odd", [4, 4, 4, 2]), ("/flat", [4, 4])]
     catalog = spark.createDataFrame(rows, "path string, shape array<int>")

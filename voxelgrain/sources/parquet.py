@@ -68,9 +68,11 @@ def read_combo(spark: SparkSession, path: str, group: str) -> DataFrame:
     return out
 
 
-def write_boundaries(image: DataFrame, table: DataFrame, path: str, group: str, normals: bool = False) -> None:
-    """Eroded image, boundary table sorted by tag, and optionally the dense field of normals."""
-    from ..operators.erosion import boundary_normals
+def write_boundaries(image: DataFrame, table: DataFrame, path: str, group: str, normals: bool = False, header: dict | None = None) -> None:
+    """Eroded image, boundary table sorted by tag, a header with the boundaries as JSON, and optionally the field of normals."""
+    from ..operators.erosion import boundary_json, boundary_normals
+
+    boundary_json(table).withColumn("header", F.lit(json.dumps(header or {}))).write.mode("overwrite").parquet(f"{path}/{group}/header")
 
     image.write.mode("overwrite").parquet(f"{path}/{group}/eroded_image")
     table.orderBy("gb_tag").write.mode("overwrite").parquet(f"{path}/{group}/boundaries")

@@ -170,6 +170,17 @@ def is_regular(cells: DataFrame, digits: int = 9) -> DataFrame:
     return sizes.select("file", (F.col("n") == F.col("ncx") * F.col("ncy") * F.col("ncz")).alias("regular"))
 
 
+def grid_headers(cells: DataFrame, digits: int = 9) -> DataFrame:
+    """file, n_cells, nx, ny, nz, lx, ly, lz: shape and extent (spacing times cells) of each file's grid."""
+    rounded = cells.select("file", "cell_id", *[F.round(c, digits).alias(c) for c in ("cx", "cy", "cz")])
+    whole = rounded.groupBy("file").agg(
+        F.countDistinct("cell_id").alias("n_cells"),
+        *[f(c).alias(f"{n}{c[1]}") for c in ("cx", "cy", "cz") for n, f in (("n", F.countDistinct), ("_low", F.min), ("_high", F.max))],
+    )
+    length = {c: F.when(F.col(f"n{c}") > 1, (F.col(f"_high{c}") - F.col(f"_low{c}")) * F.col(f"n{c}") / (F.col(f"n{c}") - 1)).otherwise(2 * F.col(f"_low{c}")) for c in "xyz"}
+    return whole.select("file", "n_cells", "nx", "ny", "nz", *[length[c].alias(f"l{c}") for c in "xyz"])
+
+
 def _data_array(kind: str, name: str | None, lines: Iterator[str], components: int | None = None) -> Iterator[str]:
     attributes = f"type={quoteattr(kind)}" + (f" Name={quoteattr(name)}" if name else "") + (f' NumberOfComponents="{components}"' if components else "")
     yield f'<DataArray {attributes} format="ascii">\n'
