@@ -60,10 +60,12 @@ def test_trie_against_dictionary():
         trie.insert(key, ident, 1)
         low, n = want.get(key, (None, 0))
         want[key] = (ident if low is None else low if ident is None else min(low, ident), n + 1)
-    part = dict((k, (i, n)) for k, i, n in trie.spill(ord("a")))
-    assert set(part) == {k for k in want if k[:1] == b"a"}
+    before = trie.size
+    part = {k: (i, n) for k, i, n in trie.spill_subtrees(before - 1)}
+    assert set(part) == {k for k in want if k[:1] == b"a"} and 0 < trie.size < before
+    trie.insert(b"abba", 7, 2)
     rest = {k: (i, n) for k, i, n in trie.spill()}
-    assert part | rest == want and trie.size == 0
+    assert rest.pop(b"abba") == (7, 2) and part | rest == want and trie.size == 0
 
 
 def test_trie_spills_while_it_fills(monkeypatch):

@@ -60,21 +60,32 @@ class PatriciaTrie:
             if ident is not None and (held[0] is None or ident < held[0]):
                 held[0] = ident
 
-    def spill(self, byte: int | None = None) -> Iterator[tuple[bytes, int | None, int]]:
-        """Remove the subtree under a first byte (None: everything) and yield its terminals."""
-        if byte is None:
-            roots, self.root, self.size = [(b"", self.root)], [b"", {}, None], 0
-        else:
-            roots = [(b"", self.root[1].pop(byte))]
-        while roots:
-            prefix, (label, kids, held) = roots.pop()
-            key = prefix + label
-            if byte is not None:
-                self.size -= len(label)
+    def spill(self) -> Iterator[tuple[bytes, int | None, int]]:
+        """Yield all terminals and leave the trie empty."""
+        root, self.root = self.root, [b"", {}, None]
+        yield from self._drain(b"", root)
+
+    def spill_subtrees(self, most: int) -> Iterator[tuple[bytes, int | None, int]]:
+        """Remove subtrees below the first branching, one after another, until at most ``most`` label bytes are left, and
+        yield their terminals."""
+        prefix, node = b"", self.root
+        while node[2] is None and node[1] and len(node[1]) == 1:
+            node = next(iter(node[1].values()))
+            prefix += node[0]
+        for byte in sorted(node[1] or ()):
+            if self.size <= most:
+                return
+            yield from self._drain(prefix, node[1].pop(byte))
+
+    def _drain(self, prefix: bytes, top: list) -> Iterator[tuple[bytes, int | None, int]]:
+        waiting = [(prefix, top)]
+        while waiting:
+            before, (label, kids, held) = waiting.pop()
+            key = before + label
+            self.size -= len(label)
             if held is not None:
                 yield key, held[0], held[1]
-            for child in (kids or {}).values():
-                roots.append((key, child))
+            waiting += [(key, child) for child in (kids or {}).values()]
 
 
 def _common(label: bytes, key: bytes, at: int) -> int:
@@ -116,13 +127,13 @@ def _key(size: int, digest: int, body: bytes) -> bytes:
 
 
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map side: one row for each distinct text of what the trie holds together; full tries spill and go on."""
+    """Map side: one row for each distinct text that the trie holds together; a full trie spills subtrees and goes on."""
     trie = PatriciaTrie()
     for batch in batches:
         for size, digest, body, ident in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             trie.insert(_key(size, digest, body), ident, 1)
             if trie.size > SPILL_BYTES:
-                yield from _flushed(trie.spill())
+                yield from _flushed(trie.spill_subtrees(SPILL_BYTES // 2))
     yield from _flushed(trie.spill())
 
 
