@@ -11,37 +11,36 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from voxelgrain.llm import exact_dedup, langid, mixing, near_dedup, packing
-from voxelgrain.llm.shared import shared_dir, table
-from voxelgrain.session import ship_package
+from voxelgrain.llm.shared import prepare, shared_dir, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts whose language the classifier recognises stay; texts without a letter and doubtful ones go."""
-    ship_package(spark)
+    prepare(spark)
     return langid.keep_identified(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest id stays."""
-    ship_package(spark)
+    prepare(spark)
     return exact_dedup.keep_first_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates (five-word shingles, similarity 0.8 or more) the row with the smallest id stays."""
-    ship_package(spark)
+    prepare(spark)
     return near_dedup.keep_representatives(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights of their sources draw them."""
-    ship_package(spark)
+    prepare(spark)
     return mixing.take_mixture(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces placed in sequences of 1024."""
-    ship_package(spark)
+    prepare(spark)
     return packing.pack_documents(docs)
 
 

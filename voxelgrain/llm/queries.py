@@ -8,14 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
 from . import exact_dedup, fingerprints, langid, line_dedup, mixing, near_dedup, packing, quality, substring_dedup, token_rollup
-from .shared import shared_dir, table
+from .shared import prepare, shared_dir, table
 
 
 def _on_documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_package(spark)
+        prepare(spark)
         return operator(table(spark, sf_dir, "documents"))
 
     return query
@@ -30,12 +29,12 @@ def _near(docs: DataFrame) -> DataFrame:
 
 
 def _score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def _count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return token_rollup.token_counts(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
 
 
