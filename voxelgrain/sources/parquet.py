@@ -6,14 +6,13 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.grids import permute_axes
 from ..operators.results import extract
 
 SEEDS = "seed_id int, x double, y double, z double, frame array<array<double>>"
 COMBO = "bi int, bj int, bk int, elem long, coarse int, phases array<struct<material: int, fraction: double>>, normal array<double>, fine array<int>"
-HEADER = T.StructType.fromDDL("image_id string, nx int, ny int, nz int, lx double, ly double, lz double, metadata map<string, string>")
+HEADER = "image_id string, nx int, ny int, nz int, lx double, ly double, lz double, metadata map<string, string>"
 
 
 def write_image(voxels: DataFrame, path: str, image_id: str, shape, lengths=(1.0, 1.0, 1.0), metadata: dict[str, str] | None = None, order: str = "zyx") -> None:
