@@ -92,7 +92,7 @@ def _group_key(source) -> F.Column:
 
 def rounded_copies(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, seed: int = 11) -> DataFrame:
     """``sizes`` (doc_id, source, size) with source_size, target and whole ``copies`` of each row."""
-    targets = cut(source_targets(sizes, weights, limit), "targets")
+    targets = cut(source_targets(sizes, weights, limit), "targets", slim=True)
     share = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(limit)))).otherwise(F.lit(0.0))
     joined = sizes.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     ticket = F.xxhash64("doc_id", "size", F.lit(seed))
@@ -107,7 +107,7 @@ def rounded_copies(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit:
     level, done, open_rows = 0, [], units
     while True:
         grouped = open_rows.withColumn("group", _group_key(F.col("source"))).groupBy("group", "bucket")
-        settled = cut(grouped.applyInArrow(_group(seed, level), _FIELDS), f"mix{level}")
+        settled = cut(grouped.applyInArrow(_group(seed, level), _FIELDS), f"mix{level}", slim=level > 0)
         done.append(settled.where(~fraction))
         open_rows = settled.where(fraction).withColumn("bucket", F.floor(F.col("bucket") / FAN))
         if widest <= 1:

@@ -209,14 +209,14 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """
     both = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct()
     touched = both.select(F.col("a").alias("digest")).distinct()
-    labels = cut(nodes.join(touched, "digest", "left_semi").select("digest", "rank", F.col("rank").alias("label"), F.lit(True).alias("moved")), "labels")
-    both = cut(both, "links")
+    labels = cut(nodes.join(touched, "digest", "left_semi").select("digest", "rank", F.col("rank").alias("label"), F.lit(True).alias("moved")), "labels", slim=True)
+    both = cut(both, "links", slim=True)
     while True:
         from_next = both.join(labels.select(F.col("digest").alias("b"), "label"), "b").groupBy(F.col("a").alias("digest")).agg(F.min("label").alias("near"))
         lower = labels.join(from_next, "digest").select("digest", "rank", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         heads = labels.groupBy(F.col("rank").alias("label")).agg(F.min("label").alias("ahead"))
         jumped = lower.join(heads, "label", "left").select("digest", "rank", "old", F.least("label", F.coalesce("ahead", "label")).alias("label"))
-        after = cut(jumped.select("digest", "rank", "label", (F.col("label") < F.col("old")).alias("moved")), "labels")
+        after = cut(jumped.select("digest", "rank", "label", (F.col("label") < F.col("old")).alias("moved")), "labels", slim=True)
         drop_stage(labels)
         labels = after
         if labels.where("moved").limit(1).count() == 0:
@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, config: ForestConfig = ForestConfig()) -> D
     mates = keys.join(shared, "key", "left_semi").select("who").distinct()
     active = cut(reps.withColumn("who", F.xxhash64("digest")).join(mates, "who", "left_semi").drop("who"), "active")
 
-    wanted = cut(active.select(F.col("rank").alias("doc_id")).distinct(), "wanted")
+    wanted = cut(active.select(F.col("rank").alias("doc_id")).distinct(), "wanted", slim=True)
     few = wanted.count() <= config.broadcast_ids
     chosen = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
     sets = cut(chosen.select("text").mapInArrow(_sets(config), "digest binary, body binary"), "sets")

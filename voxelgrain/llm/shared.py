@@ -48,9 +48,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_voxelgrain_stages/{spark.sparkContext.applicationId}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs no rework."""
+def cut(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs no rework.
+
+    ``slim`` frames hold a few numbers per document or less, a small part of the texts: they are written in a sixteenth
+    of the shuffle partitions, so that loops don't leave swarms of tiny files.
+    """
     spark = df.sparkSession
+    if slim:
+        df = df.coalesce(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
