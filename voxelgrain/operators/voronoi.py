@@ -102,7 +102,9 @@ def tessellate(seeds: DataFrame, lengths: Lengths = UNIT) -> DataFrame:
                 names = ["seed_a", "seed_b", "ox", "oy", "oz", "nx", "ny", "nz", "distance", "area", "verts"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    dealt = seeds.select(F.col("seed_id").cast("long").alias("seed_id"), "x", "y", "z").repartition("seed_id")
+    # a few seeds are much work: a number of tasks that adaptive execution doesn't merge again
+    tasks = min(max(seeds.sparkSession.sparkContext.defaultParallelism, len(ids) // 64), max(len(ids), 1))
+    dealt = seeds.select(F.col("seed_id").cast("long").alias("seed_id"), "x", "y", "z").repartition(tasks, "seed_id")
     return dealt.mapInArrow(run, _FACES)
 
 
