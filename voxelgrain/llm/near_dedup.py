@@ -28,7 +28,7 @@ from .textkernel import mix, shingle_sets
 @dataclass(frozen=True)
 class ForestConfig:
     """``width`` words a shingle; a link needs ``100 * intersection >= percent * union``. Trees begin every ``depth``
-    min-hashes of the signature. Up to ``broadcast_ids`` document ids (8 bytes each) are broadcast, more are joined by
+    min-hashes of the signature. Up to ``broadcast_ids`` ids (8 bytes each) are broadcast to filter by, more are joined by
     shuffle."""
 
     width: int = 5
@@ -234,6 +234,11 @@ def near_duplicates(docs: DataFrame, config: ForestConfig = ForestConfig()) -> D
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+    def few(ids: DataFrame) -> DataFrame:
+        """Ids to filter by: broadcast behind a look at their number, else joined by shuffle."""
+        return F.broadcast(ids) if ids.count() <= config.broadcast_ids else ids
+
     features = cut(docs.mapInArrow(_features(config), "doc_id long, n long, digest binary, heads binary, sig binary"), "features")
     reps = features.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rank"), F.min("n").alias("n"), F.min("heads").alias("heads"), F.min("sig").alias("sig"))
     reps = cut(reps, "reps")
@@ -242,12 +247,11 @@ def near_duplicates(docs: DataFrame, config: ForestConfig = ForestConfig()) -> D
     heads = [F.substring("heads", 1 + wide * t, wide) for t in range(config.trees)]
     keys = reps.select(F.xxhash64("digest").alias("who"), F.explode(F.array(*[F.xxhash64(F.lit(t), h) for t, h in enumerate(heads)])).alias("key"))
     shared = keys.groupBy("key").agg(F.min("who").alias("low"), F.max("who").alias("high")).where("low <> high").select("key")
-    mates = keys.join(shared, "key", "left_semi").select("who").distinct()
-    active = cut(reps.withColumn("who", F.xxhash64("digest")).join(mates, "who", "left_semi").drop("who"), "active")
+    mates = keys.join(few(cut(shared, "shared", slim=True)), "key", "left_semi").select("who").distinct()
+    active = cut(reps.withColumn("who", F.xxhash64("digest")).join(few(cut(mates, "mates", slim=True)), "who", "left_semi").drop("who"), "active")
 
     wanted = cut(active.select(F.col("rank").alias("doc_id")).distinct(), "wanted", slim=True)
-    few = wanted.count() <= config.broadcast_ids
-    chosen = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    chosen = docs.join(few(wanted), "doc_id", "left_semi")
     sets = cut(chosen.select("text").mapInArrow(_sets(config), "digest binary, body binary"), "sets")
 
     def candidates(rows: DataFrame, reach: int, best_only: bool) -> DataFrame:
