@@ -247,8 +247,8 @@ def near_duplicates(docs: DataFrame, config: ForestConfig = ForestConfig()) -> D
     heads = [F.substring("heads", 1 + wide * t, wide) for t in range(config.trees)]
     keys = reps.select(F.xxhash64("digest").alias("who"), F.explode(F.array(*[F.xxhash64(F.lit(t), h) for t, h in enumerate(heads)])).alias("key"))
     shared = keys.groupBy("key").agg(F.min("who").alias("low"), F.max("who").alias("high")).where("low <> high").select("key")
-    mates = keys.join(few(cut(shared, "shared", slim=True)), "key", "left_semi").select("who").distinct()
-    active = cut(reps.withColumn("who", F.xxhash64("digest")).join(few(cut(mates, "mates", slim=True)), "who", "left_semi").drop("who"), "active")
+    mates = keys.join(few(cut(shared, "shared")), "key", "left_semi").select("who").distinct()
+    active = cut(reps.withColumn("who", F.xxhash64("digest")).join(few(cut(mates, "mates")), "who", "left_semi").drop("who"), "active")
 
     wanted = cut(active.select(F.col("rank").alias("doc_id")).distinct(), "wanted", slim=True)
     chosen = docs.join(few(wanted), "doc_id", "left_semi")
