@@ -233,7 +233,7 @@ def predict_languages(docs: DataFrame, config: LanguageConfig = LanguageConfig()
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__vg_lang").alias("lang_pred"), F.col("__vg_score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, languages: tuple[str, ...] | None = None, least: float = 0.4, config: LanguageConfig = LanguageConfig()) -> DataFrame:
+def keep_identified(docs: DataFrame, languages: tuple[str, ...] | None = None, least: float = 0.3, config: LanguageConfig = LanguageConfig()) -> DataFrame:
     """Documents in a known language (one of ``languages``, if given) with a score of ``least`` or more; the rest go."""
     model = fit_language_model(docs.select("doc_id", "text", "lang"), config)
     scored = with_language(docs, model)
