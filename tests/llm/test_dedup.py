@@ -271,3 +271,50 @@ def test_spans_find_the_planted_passage_only(docs):
     texts = {r["doc_id"]: r["text"] for r in out.collect()}
     assert texts[11].startswith("second start") and texts[11].endswith("another tail") and len(texts[11]) < 400
     assert texts[3] is None and texts[13] == ROWS[-1][1]
+
+
+def brute_passages(rows, least):
+    """Bytes of each text that lie in a window of ``least`` words seen before."""
+    seen, out = set(), {}
+    for ident, text in sorted(rows):
+        body = text.encode()
+        places = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", body)]
+        marked = set()
+        for k in range(len(places) - least + 1):
+            a, b = places[k][0], places[k + least - 1][1]
+            if body[a:b] in seen:
+                marked |= set(range(a, b))
+            seen.add(body[a:b])
+        if marked:
+            out[ident] = marked
+    return out
+
+
+def test_passages_of_51_short_words_are_all_found_to_their_ends(spark, empty):
+    rng = random.Random(51)
+    letters = "abcdefghij"
+    some = lambda n: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 8))) for _ in range(n))
+    rows = []
+    for k in range(200):
+        passage = some((51, 51, 55, 49)[k % 4])
+        rows += [(2 * k, f"{some(60)} {passage} {some(60)}"), (2 * k + 1, f"{some(rng.randrange(80))} {passage} {some(70)}")]
+    # the anchors of this passage are first seen in two shorter ones, and it repeats across later rows
+    mixed = some(60).split()
+    rows += [(900, some(20) + " " + " ".join(mixed[:40]) + " " + some(20)), (901, some(20) + " " + " ".join(mixed[20:]) + " " + some(20))]
+    rows += [(902, some(9) + " " + " ".join(mixed) + " " + some(9)), (903, some(30) + " " + " ".join(mixed))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = defaultdict(set)
+    for r in substring_dedup.repeated_passages(frame).collect():
+        assert r["words"] >= 50
+        got[r["doc_id"]] |= set(range(r["start"], r["start"] + r["bytes"]))
+    assert dict(got) == brute_passages(rows, 50)
+    assert len(got) == 151 and substring_dedup.repeated_passages(empty).count() == 0
+
+
+def test_passages_without_spaces_are_found(spark):
+    rng = random.Random(7)
+    some = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    passage = some(120)
+    frame = spark.createDataFrame([(1, some(80) + passage + some(80)), (2, some(55) + passage + some(40)), (3, some(200))], "doc_id long, text string")
+    (found,) = substring_dedup.repeated_passages(frame).collect()
+    assert found["doc_id"] == 2 and found["first_doc_id"] == 1 and found["bytes"] >= 350

@@ -46,7 +46,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_substring_dedup": _on_documents(substring_dedup.repeated_spans),
+        "op1_substring_dedup": _on_documents(substring_dedup.repeated_passages),
         "op2_document_fingerprints": _on_documents(fingerprints.edited_fingerprints),
         "op3_token_counts": _count_tokens,
         "op4_quality_classifier": _score,

@@ -1,6 +1,12 @@
-"""Repeated passages by content-defined chunking with a gear rolling hash.
+"""Repeated passages: exact ones in words, and runs of content-defined chunks by a gear rolling hash.
 
-A text is cut where the gear hash of the last bytes has its high bits clear, so cuts depend on content and return to
+``repeated_passages`` finds every passage of ``least_words`` words or more that occurred before, byte for byte. Of the
+25 stretches of 26 words in a window of 50 the one with the least hash is an anchor (winnowing), so each such passage
+holds one. Anchors that repeat and follow each other at one distance from their first copies prove what they cover; at
+the ends of these chains, and where copies differ, all windows of 50 words about the anchors are compared themselves, so
+ends are exact and it does not matter which copy of an anchor comes first.
+
+``repeated_spans`` is coarser. A text is cut where the gear hash of the last bytes has its high bits clear, so cuts depend on content and return to
 step soon after an insertion. Chunks meet by digest; each but the earliest copy (by document id, then place) is
 repeated, and repeated chunks that follow each other form spans. A span of ``least_bytes`` or more is a repeat.
 """
@@ -16,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut
-from .textkernel import chunks, mix, text_buffers
+from .textkernel import _SPACE, _power, chunks, mix, text_buffers
 
 _U = np.uint64
 #: The gear: a random 32-bit value for each byte.
@@ -36,6 +42,17 @@ class ChunkConfig:
     least_bytes: int = 180
 
 
+@dataclass(frozen=True)
+class PassageConfig:
+    """Passages of ``least_words`` words or more; anchors are stretches of a bit more than half of that."""
+
+    least_words: int = 50
+
+    @property
+    def anchor(self) -> int:
+        return self.least_words // 2 + 1
+
+
 def gear_hash(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Rolling hash at every byte: the sum of the gear values of the last 32 bytes, each shifted by its distance.
 
@@ -141,9 +158,154 @@ def repeated_spans(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> Data
     return spans.where(F.col("bytes") >= config.least_bytes).select(shown("doc_id"), "start", "bytes", "chunks", shown("first_doc_id"))
 
 
-def cut_repeats(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """``docs`` with the repeated spans cut out of ``text``; other columns and rows stay."""
-    spans = repeated_spans(docs, config).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "bytes"))).alias("__vg_spans")).withColumnRenamed("doc_id", "__vg_doc")
+def passage_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word of the texts in ``data`` (``offs`` from 0), and the number of words of each text.
+
+    Words are runs without white space. In runs over 32 bytes, as in scripts without spaces, a word also begins after every
+    code point that is not ASCII and, by content, about every four ASCII characters.
+    """
+    n = len(data)
+    word = ~_SPACE[data]
+    edge = np.zeros(n + 1, bool)
+    edge[offs[:-1]] = True
+    edge[offs[-1]] = True
+    before = np.concatenate([[False], word[:-1]])
+    starts = np.flatnonzero(word & (~before | edge[:n]))
+    after = np.concatenate([word[1:], [False]])
+    ends = np.flatnonzero(word & (~after | edge[1:])) + 1
+    long = np.flatnonzero(ends - starts > 32)
+    if len(long):
+        more = []
+        for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
+            own = data[a:b]
+            cut_here = gear_hash(own, np.arange(b - a)) >> np.uint32(30) == 0
+            cut_here |= own >= 128
+            more.append(a + 32 + np.flatnonzero(cut_here[31:-1] & ((own[32:] & 0xC0) != 0x80)))
+        at = np.sort(np.concatenate([starts, *more]))
+        stops = ends[np.searchsorted(starts, at, "right") - 1]
+        ends = np.minimum(np.append(at[1:], n), stops)
+        starts = at
+    return starts, ends, np.diff(np.searchsorted(starts, offs))
+
+
+def _extreme(values: np.ndarray, width: int, pick) -> np.ndarray:
+    """Least or greatest of each ``width`` successive values, by doubling."""
+    have, out = 1, values
+    while have * 2 <= width:
+        out = pick(out[:-have], out[have:])
+        have *= 2
+    return pick(out[: len(out) - (width - have)], out[width - have :]) if have < width else out
+
+
+def _range_hashes(data: np.ndarray):
+    """A function of starts and ends that gives two 64-bit hashes of each stretch of bytes."""
+    sums, n = [], len(data)
+    for k, (radix, values) in enumerate(zip(_RADIX, _VALUES, strict=True)):
+        one = np.zeros(n + 1, np.uint64)
+        np.cumsum(values[data] * _power(f"passage{k}", radix, n), out=one[1:])
+        sums.append((one, _power(f"passage back{k}", pow(radix, -1, 1 << 64), n), _U(radix)))
+
+    def of(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+        return [mix((one[b] - one[a]) * back[a] + (b - a).astype(np.uint64) * radix) for one, back, radix in sums]
+
+    return of
+
+
+_ROWS = "doc_id long, word int, start long, bytes int, d long, e long"
+
+
+def _passage_batches(config: PassageConfig, windows: bool):
+    """Anchors of all texts or, with the anchors' hashes wanted of each text in a third column, windows about these."""
+    k, width = config.anchor, config.least_words
+    steps = width - k + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            data, offs = text_buffers(batch.column(1))
+            for i, j in chunks(offs):
+                own, part = offs[i : j + 1] - offs[i], data[offs[i] : offs[j]]
+                starts, ends, counts = passage_words(part, own) if len(part) else (np.zeros(0, np.int64),) * 3
+                if len(starts) < width:
+                    continue
+                doc = np.repeat(np.arange(len(counts)), counts)
+                number = np.arange(len(starts)) - np.repeat(np.cumsum(counts) - counts, counts)
+                hashes = _range_hashes(part)
+                d, e = hashes(starts[: len(starts) - k + 1], ends[k - 1 :])
+                least = _extreme(d, steps, np.minimum)
+                whole = doc[: len(least)] == doc[width - 1 :]
+                if windows:
+                    at = [np.zeros(0, np.int64)]
+                    begin = np.searchsorted(doc, np.arange(len(counts) + 1))
+                    for m in np.flatnonzero(counts >= width).tolist():
+                        wanted = batch.column(2)[i + m].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                        first, last = begin[m], begin[m + 1] - width + 1
+                        at.append(first + np.flatnonzero(np.isin(least[first:last], wanted)))
+                    at = np.concatenate(at)
+                    last = at + width - 1
+                    d, e = hashes(starts[at], ends[last])
+                else:
+                    # an anchor is the least of some window that lies within its text
+                    reached = _extreme(np.concatenate([np.zeros(steps - 1, np.uint64), np.where(whole, least, 0), np.zeros(steps - 1, np.uint64)]), steps, np.maximum)
+                    at = np.flatnonzero(reached == d)
+                    last = at + k - 1
+                    d, e = d[at], e[at]
+                owner = doc[at]
+                columns = [ids[i + owner], number[at].astype(np.int32), starts[at] - own[owner], (ends[last] - starts[at]).astype(np.int32), d.view(np.int64), e.view(np.int64)]
+                for x in range(0, len(at), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[x : x + (1 << 16)]) for c in columns], ["doc_id", "word", "start", "bytes", "d", "e"])
+
+    return run
+
+
+def _later_copies(found: DataFrame) -> DataFrame:
+    """Rows of ``found`` whose hash occurred before, with the first row's document and word."""
+    first = found.groupBy("d", "e").agg(F.min(F.struct("doc_id", "word")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("d", "e", "first")
+    again = found.join(first, ["d", "e"]).where(F.struct("doc_id", "word") != F.col("first"))
+    return again.select("doc_id", "word", "start", "bytes", "d", F.col("first.doc_id").alias("first_doc_id"), F.col("first.word").alias("first_word"))
+
+
+def repeated_passages(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame:
+    """Passages of ``least_words`` words or more that occurred before, to their true ends: doc_id, start, bytes, words,
+    first_doc_id (where the first proven stretch of it is first seen).
+
+    A passage joins all overlapping stretches of at least that many words that an earlier place (by document id, then
+    place) holds byte for byte, white space included. The defined cases are those of ``repeated_spans``.
+    """
+    k, width = config.anchor, config.least_words
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text")
+    found = cut(rows.mapInArrow(_passage_batches(config, False), _ROWS), "anchors")
+    again = _later_copies(found).distinct()
+    order = Window.partitionBy("doc_id").orderBy("word", "start")
+    held = (F.lag("first_doc_id").over(order) == F.col("first_doc_id")) & (F.lag(F.col("word") - F.col("first_word")).over(order) == F.col("word") - F.col("first_word")) & (F.col("word") - F.lag("word").over(order) <= k)
+    chains = again.withColumn("_fresh", (~F.coalesce(held, F.lit(False))).cast("int"))
+    chains = chains.withColumn("run", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    one = Window.partitionBy("doc_id", "run")
+    chains = cut(chains.withColumns({"low": F.min("word").over(one), "high": F.max("word").over(one)}), "chains")
+    proven = chains.groupBy("doc_id", "run").agg(
+        F.min("start").alias("start"), F.max(F.col("start") + F.col("bytes")).alias("stop"), F.min("word").alias("word"), (F.max("word") + k).alias("last"), F.min_by("first_doc_id", "start").alias("first_doc_id")
+    )
+    proven = proven.where(F.col("last") - F.col("word") >= width).drop("run")
+    # windows that reach beyond a chain hold one of its outer anchors; other copies of these anchors give theirs as well
+    outer = chains.where((F.col("word") - F.col("low") < width - k) | (F.col("high") - F.col("word") < width - k)).select("d").distinct()
+    wanted = found.join(outer, "d", "left_semi").groupBy("doc_id").agg(F.collect_set("d").alias("wanted"))
+    about = rows.join(wanted, "doc_id").select("doc_id", "text", "wanted")
+    stretches = _later_copies(cut(about.mapInArrow(_passage_batches(config, True), _ROWS), "windows"))
+    stretches = stretches.select("doc_id", "start", (F.col("start") + F.col("bytes")).alias("stop"), "word", (F.col("word") + width).alias("last"), "first_doc_id")
+    order = Window.partitionBy("doc_id").orderBy("start", "stop")
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    joined = proven.select(stretches.columns).union(stretches).withColumn("_fresh", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
+    joined = joined.withColumn("run", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    out = joined.groupBy("doc_id", "run").agg(
+        F.min("start").alias("start"), (F.max("stop") - F.min("start")).alias("bytes"), (F.max("last") - F.min("word")).alias("words"), F.min_by("first_doc_id", F.struct("start", "stop")).alias("first_doc_id")
+    )
+    shown = lambda c: F.nullif(c, F.lit(_LAST)).alias(c)
+    return out.select(shown("doc_id"), "start", "bytes", "words", shown("first_doc_id"))
+
+
+def cut_repeats(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame:
+    """``docs`` with the repeated passages cut out of ``text``; other columns and rows stay."""
+    spans = repeated_passages(docs, config).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "bytes"))).alias("__vg_spans")).withColumnRenamed("doc_id", "__vg_doc")
     joined = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(F.col("__vg_doc")), "left")
     whole = docs["text"].cast("binary")
     end = F.struct(F.octet_length(docs["text"]).cast("long").alias("start"), F.lit(0).cast("long").alias("bytes"))
