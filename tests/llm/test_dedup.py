@@ -149,6 +149,19 @@ def test_near_keeps_one_of_a_large_group(spark):
     assert got == sorted(brute_near(rows, 3, 85))
 
 
+def test_near_links_pairs_in_a_dense_family(spark):
+    rows = []
+    for k in range(400):  # 120 words in common: 0.75 alike; each of the last 20 shares 12 more words with one other
+        own = [f"own{k}-{x}" for x in range(20)]
+        if k >= 380:
+            own[:12] = [f"pair{k // 2}-{x}" for x in range(12)]
+        rows.append((k, " ".join([f"t{x}" for x in range(120)] + own)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = near_dedup.near_duplicates(frame, near_dedup.ForestConfig(width=1, percent=85, trees=4, near=1, reach=4))
+    got = sorted(tuple(r) for r in out.select("doc_id", "n_shingles", "component_id", "kept").collect())
+    assert got == sorted(brute_near(rows, 1, 85)) and sum(not r[3] for r in got) == 10
+
+
 def test_near_keeps_columns(docs, empty):
     out = near_dedup.keep_representatives(docs)
     assert out.columns == docs.columns

@@ -6,8 +6,9 @@ common prefix is at least ``least_depth`` long; in a dense region the ``reach``
 prefixes, so the depth adapts to the region and no region is ever gathered. Two rounds keep the work linear: the first
 follows the best of the ``near`` closest neighbours of each order, verifies it on full sets and joins components; the
 second takes all of ``reach`` neighbours that still lie in different components, each pair in the tree where its common
-prefix is longest (there the two stand closest). Every link is confirmed on whole sets, and components are found by
-label propagation with pointer jumping in DataFrames.
+prefix is longest (there the two stand closest). Where more than ``reach`` sets share a head a third round joins those
+that are still apart by their rarest shingles (prefix filter), which leaves out no pair. Every link is confirmed on whole
+sets, and components are found by label propagation with pointer jumping in DataFrames.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .textkernel import mix, shingle_sets
 @dataclass(frozen=True)
 class ForestConfig:
     """``width`` words a shingle; a link needs ``100 * intersection >= percent * union``. Trees begin every ``depth``
-    min-hashes of the signature. Up to ``broadcast_ids`` ids (8 bytes each) are broadcast to filter by, more are joined by
+    min-hashes (64 trees at most) of the signature. Up to ``broadcast_ids`` ids (8 bytes each) are broadcast to filter by, more are joined by
     shuffle."""
 
     width: int = 5
@@ -200,6 +201,37 @@ def _confirm(config: ForestConfig):
     return run
 
 
+#: Counts of shingles are kept by so many low bits of their hashes: they only order shingles, roughly the rare ones first.
+_BUCKETS = 1 << 18
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(_BUCKETS, np.int64)
+    for batch in batches:
+        for body in batch.column(0).to_pylist():
+            total += np.bincount((np.frombuffer(body, np.uint64) % np.uint64(_BUCKETS)).astype(np.int64), minlength=_BUCKETS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+
+
+def _rarest(counts: np.ndarray, config: ForestConfig):
+    """The first shingles of each set in an order common to all: two sets that link have one of these in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, body in enumerate(batch.column(1).to_pylist()):
+                own = np.frombuffer(body, np.uint64)
+                n = len(own)
+                first = own[np.lexsort((own, counts[(own % np.uint64(_BUCKETS)).astype(np.int64)]))][: n + 1 + -config.percent * n // 100]
+                m = len(first)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first.view(np.int64)), pa.array(np.arange(m)), pa.array([n] * m, pa.int64()), pa.array([batch.column(0)[i].as_py()] * m, pa.binary()), pa.array([batch.column(2)[i].as_py()] * m, pa.int64())],
+                    ["token", "place", "n", "digest", "comp"],
+                )
+
+    return run
+
+
 def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Label every node with the smallest ``rank`` that it can reach.
 
@@ -245,10 +277,14 @@ def near_duplicates(docs: DataFrame, config: ForestConfig = ForestConfig()) -> D
 
     wide = 2 * config.least_depth
     heads = [F.substring("heads", 1 + wide * t, wide) for t in range(config.trees)]
-    keys = reps.select(F.xxhash64("digest").alias("who"), F.explode(F.array(*[F.xxhash64(F.lit(t), h) for t, h in enumerate(heads)])).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("who").alias("low"), F.max("who").alias("high")).where("low <> high").select("key")
-    mates = keys.join(shared, "key", "left_semi").select("who").distinct()
-    active = cut(reps.withColumn("who", F.xxhash64("digest")).join(few(cut(mates, "mates")), "who", "left_semi").drop("who"), "active")
+    # the low six bits of a key are its tree; of each set, the trees where more sets than a window holds share its head
+    tree_keys = F.array(*[F.shiftleft(F.xxhash64(F.lit(t), h), 6).bitwiseOR(F.lit(t).cast("long")) for t, h in enumerate(heads)])
+    keys = reps.select(F.xxhash64("digest").alias("who"), F.explode(tree_keys).alias("key"))
+    shared = keys.groupBy("key").agg(F.min("who").alias("low"), F.max("who").alias("high"), F.count("*").alias("sharers")).where("low <> high")
+    shared = shared.select("key", (F.col("sharers") > config.reach).alias("full"))
+    in_full = F.when(F.col("full"), F.expr("shiftleft(1L, cast(key & 63 as int))")).otherwise(F.lit(0).cast("long"))
+    mates = keys.join(shared, "key").groupBy("who").agg(F.bit_or(in_full).alias("crowded"))
+    active = cut(reps.withColumn("who", F.xxhash64("digest")).join(few(cut(mates, "mates")), "who").drop("who"), "active")
 
     wanted = cut(active.select(F.col("rank").alias("doc_id")).distinct(), "wanted", slim=True)
     chosen = docs.join(few(wanted), "doc_id", "left_semi")
@@ -256,9 +292,11 @@ def near_duplicates(docs: DataFrame, config: ForestConfig = ForestConfig()) -> D
 
     def candidates(rows: DataFrame, reach: int, best_only: bool) -> DataFrame:
         turned = [F.concat(F.substring("sig", 1 + config.depth * t, config.hashes), F.substring("sig", 1, config.depth * t)) for t in range(config.trees)]
-        trees = F.array(*[F.struct(F.lit(t).alias("tree"), h.alias("head"), turned[t].alias("turned")) for t, h in enumerate(heads)])
-        order = rows.select(F.explode(trees).alias("t"), "digest", "n", "comp").select("t.tree", "t.head", "digest", "n", "comp", "t.turned")
-        order = order.repartitionByRange(parts, "tree", "head", "turned", "digest").sortWithinPartitions("tree", "head", "turned", "digest")
+        trees = F.array(*[F.struct(F.lit(t).alias("tree"), h.alias("head"), turned[t].alias("turned"), (F.col("crowded").bitwiseAND(F.lit(1 << t)) != 0).alias("full")) for t, h in enumerate(heads)])
+        order = rows.select(F.explode(trees).alias("t"), "digest", "n", "comp").select("t.tree", "t.head", "digest", "n", "comp", "t.turned", "t.full")
+        # a head that a window holds stays in one range; the others are divided further
+        within = [F.when(F.col("full"), F.col(c)) for c in ("turned", "digest")]
+        order = order.repartitionByRange(parts, "tree", "head", *within).sortWithinPartitions("tree", "head", "turned", "digest").drop("full")
         return order.mapInArrow(_neighbours(config, reach, best_only), "a binary, b binary").distinct()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -266,17 +304,44 @@ def near_duplicates(docs: DataFrame, config: ForestConfig = ForestConfig()) -> D
         two = sets.select(F.col("digest").alias("b"), F.col("body").alias("body_b"))
         return pairs.join(one, "a").join(two, "b").select("a", "b", "body_a", "body_b").mapInArrow(_confirm(config), "a binary, b binary").distinct()
 
+    def apart(rows: DataFrame) -> DataFrame:
+        """All pairs in different components that may link, among the sets under a head that more share than a window holds."""
+        under = F.array_compact(F.array(*[F.when(F.col("crowded").bitwiseAND(F.lit(1 << t)) != 0, tree_keys[t]) for t in range(config.trees)]))
+        full = rows.select("digest", "comp", F.explode(under).alias("key"))
+        mixed = full.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+        crowd = cut(full.join(mixed, "key", "left_semi").select("digest", "comp").distinct(), "crowd", slim=True)
+        bodies = sets.join(few(crowd), "digest").select("digest", "body", "comp")
+        counts = np.zeros(_BUCKETS, np.int64)
+        found = bodies.select("body").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+        counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+        tokens = cut(bodies.mapInArrow(_rarest(counts, config), "token long, place long, n long, digest binary, comp long"), "tokens")
+        meet = tokens.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
+        tokens = tokens.join(meet, "token", "left_semi")
+        one, two = (tokens.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("place", "n", "digest", "comp")]) for x in "ab")
+        most = F.least("place_a", "place_b") + 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) - 1
+        both = F.col("n_a") + F.col("n_b")
+        pairs = one.join(two, "token").where((F.col("digest_a") < F.col("digest_b")) & (F.col("comp_a") != F.col("comp_b")) & ((100 + config.percent) * most >= config.percent * both))
+        return pairs.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct()
+
     nodes = reps.select("digest", "rank")
     # a null rank (all ids of the set are null) still needs a label of its own: below all others it would spread
     nodes = nodes.withColumn("rank", F.coalesce("rank", F.lit((1 << 63) - 1)))
     first = cut(confirmed(candidates(active.withColumn("comp", F.lit(0).cast("long")), config.near, True)), "first")
     labels = connected_components(nodes, first)
-    grouped = active.join(labels.select("digest", "label"), "digest", "left").select("digest", "n", "heads", "sig", F.coalesce("label", "rank", F.xxhash64("digest")).alias("comp"))
-    second = cut(confirmed(candidates(grouped, config.reach, False)), "second")
+    def grouped() -> DataFrame:
+        return active.join(labels.select("digest", "label"), "digest", "left").select("digest", "n", "heads", "sig", "crowded", F.coalesce("label", "rank", F.xxhash64("digest")).alias("comp"))
+
+    second = cut(confirmed(candidates(grouped(), config.reach, False)), "second")
     if second.limit(1).count():
         drop_stage(labels)
         labels = connected_components(nodes, first.union(second))
-    for stage in (active, wanted, sets, first, second):
+    links = [first, second]
+    if active.where("crowded <> 0").limit(1).count():
+        links.append(cut(confirmed(apart(grouped().where("crowded <> 0"))), "third"))
+        if links[-1].limit(1).count():
+            drop_stage(labels)
+            labels = connected_components(nodes, first.union(second).union(links[-1]))
+    for stage in (active, wanted, sets, *links):
         drop_stage(stage)
     lost = F.lit((1 << 63) - 1)
     named = reps.select("digest", "rank").join(labels.select("digest", "label"), "digest", "left").select("digest", F.coalesce(F.nullif("label", lost), "rank").alias("component"))
