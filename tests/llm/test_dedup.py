@@ -162,6 +162,18 @@ def test_near_links_pairs_in_a_dense_family(spark):
     assert got == sorted(brute_near(rows, 1, 85)) and sum(not r[3] for r in got) == 10
 
 
+def test_near_takes_a_pair_from_any_tree_that_sees_it():
+    config = near_dedup.ForestConfig()
+    one = np.random.default_rng(4).integers(0, 256, config.hashes).astype(np.uint8)
+    two = one.copy()
+    two[[8, *range(45, 240, 40)]] += 1  # the run from the first place is short, the longest one starts in another tree
+    columns = [[0, 0], [b"headhd", b"headhd"], [b"a", b"b"], [100, 100], [1, 2], [one.tobytes(), two.tobytes()]]
+    types = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["tree", "head", "digest", "n", "comp", "sig"])
+    got = [r for b in near_dedup._neighbours(config, config.reach, False)(iter([batch])) for r in b.to_pylist()]
+    assert got == [{"a": b"a", "b": b"b"}]
+
+
 def test_near_keeps_columns(docs, empty):
     out = near_dedup.keep_representatives(docs)
     assert out.columns == docs.columns

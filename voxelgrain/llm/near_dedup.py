@@ -5,8 +5,7 @@ place; neighbours in an order share the longest common prefixes, so they are the
 common prefix is at least ``least_depth`` long; in a dense region the ``reach`` nearest neighbours share far deeper
 prefixes, so the depth adapts to the region and no region is ever gathered. Two rounds keep the work linear: the first
 follows the best of the ``near`` closest neighbours of each order, verifies it on full sets and joins components; the
-second takes all of ``reach`` neighbours that still lie in different components, each pair in the tree where its common
-prefix is longest (there the two stand closest). Where more than ``reach`` sets share a head a third round joins those
+second takes all of ``reach`` neighbours that still lie in different components, from every tree that sees them. Where more than ``reach`` sets share a head a third round joins those
 that are still apart by their rarest shingles (prefix filter), which leaves out no pair. Every link is confirmed on whole
 sets, and components are found by label propagation with pointer jumping in DataFrames.
 """
@@ -113,18 +112,6 @@ def _sets(config: ForestConfig):
     return run
 
 
-def _longest_prefix(equal: np.ndarray, depth: int) -> np.ndarray:
-    """For each row of equal-flags: the tree (start at a multiple of ``depth``, read round) with the longest run of equals."""
-    rows, n = equal.shape
-    run = np.zeros(rows, np.int32)
-    starts = np.empty((rows, n // depth), np.int32)
-    for i in range(2 * n - 1, -1, -1):
-        run = np.where(equal[:, i % n], run + 1, 0)
-        if i < n and i % depth == 0:
-            starts[:, i // depth] = run
-    return starts.argmax(axis=1)
-
-
 def _neighbours(config: ForestConfig, reach: int, best_only: bool):
     """Candidate pairs of one sorted partition: a window of ``reach`` predecessors slides over it."""
 
@@ -143,14 +130,11 @@ def _neighbours(config: ForestConfig, reach: int, best_only: bool):
             hit = np.flatnonzero(same & (100 * low >= config.percent * high))
             if not len(hit):
                 continue
-            equal = sig[a[hit]] == sig[b[hit]]
-            likeness = equal.mean(axis=1)
+            likeness = (sig[a[hit]] == sig[b[hit]]).mean(axis=1)
             good = likeness >= config.likely
             left, right, likeness = a[hit[good]], b[hit[good]], likeness[good]
             if not best_only:
-                # rows hold the signature from their tree's place on, so this tree's run starts at flag 0
-                first = _longest_prefix(equal[good], config.depth) == 0
-                yield left[first], right[first]
+                yield left, right
                 continue
             better = likeness > best[right]
             best[right[better]], best_at[right[better]] = likeness[better], left[better]
