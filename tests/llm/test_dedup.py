@@ -1,6 +1,7 @@
 """Exact and near duplicates, repeated lines and passages, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -162,6 +163,13 @@ def test_near_links_pairs_in_a_dense_family(spark):
     assert got == sorted(brute_near(rows, 1, 85)) and sum(not r[3] for r in got) == 10
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_verifies_nearly_all_pairs_at_the_bound(percent):
+    config, p = near_dedup.ForestConfig(percent=percent), percent / 100
+    missed = sum(math.comb(config.hashes, x) * p**x * (1 - p) ** (config.hashes - x) for x in range(config.hashes + 1) if x / config.hashes < config.likely)
+    assert missed < 1e-7
+
+
 def test_near_takes_a_pair_from_any_tree_that_sees_it():
     config = near_dedup.ForestConfig()
     one = np.random.default_rng(4).integers(0, 256, config.hashes).astype(np.uint8)

@@ -47,9 +47,9 @@ class ForestConfig:
 
     @property
     def likely(self) -> float:
-        """Estimates below this are not verified: three standard errors under the bound."""
+        """Estimates below this are not verified: six standard errors under the bound."""
         j = self.percent / 100
-        return j - 3 * (j * (1 - j) / self.hashes) ** 0.5
+        return j - 6 * (j * (1 - j) / self.hashes) ** 0.5
 
 
 def signatures(sets: list[np.ndarray], config: ForestConfig) -> tuple[np.ndarray, np.ndarray]:
