@@ -182,6 +182,20 @@ def test_near_takes_a_pair_from_any_tree_that_sees_it():
     assert got == [{"a": b"a", "b": b"b"}]
 
 
+def test_near_links_rows_without_ids(spark):
+    base = [[f"{c}{k}" for k in range(120)] for c in "pqrs"]
+    edit = lambda words, *at: " ".join(f"edit{k}" if k in at else w for k, w in enumerate(words))
+    rows = [(1, edit(base[0])), (None, edit(base[0], 5, 6, 7)), (2, edit(base[0], 5, 6, 7, 60, 61, 62, 63)), (None, edit(base[0])), (-3, edit(base[3]))]
+    rows += [(None, edit(base[1])), (None, edit(base[1], 9)), (None, edit(base[2])), (None, edit(base[2], 50)), (None, "alone"), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    config = near_dedup.ForestConfig(width=3, percent=85)
+    out = near_dedup.near_duplicates(frame, config).select("doc_id", "n_shingles", "component_id", "kept")
+    want = brute_near(rows, 3, 85)
+    assert sorted((tuple(r) for r in out.collect()), key=str) == want and (2, 118, 1, False) in want
+    kept = [tuple(r) for r in near_dedup.keep_representatives(frame, config).collect()]
+    assert sorted(kept, key=str) == sorted([r for k, r in enumerate(rows) if k not in (1, 2, 3)], key=str)
+
+
 def test_near_keeps_columns(docs, empty):
     out = near_dedup.keep_representatives(docs)
     assert out.columns == docs.columns

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .shared import cut, drop_stage
 from .textkernel import mix, shingle_sets
@@ -240,12 +241,13 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, config: ForestConfig = ForestConfig()) -> DataFrame:
+def near_duplicates(docs: DataFrame, config: ForestConfig = ForestConfig(), digests: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Words are maximal runs without white space, A-Z lower-cased; a text of fewer than ``width`` words is one shingle.
     Defined cases: a null or wordless text has no shingle and is its own component; rows with equal sets share one;
-    a null id never names a component unless it is alone; an empty table gives no rows; other columns are not read.
+    a null id never names a component unless all its ids are null; an empty table gives no rows; other columns are not read.
+    ``digests`` puts the digest of the shingle set before these columns.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -272,7 +274,13 @@ def near_duplicates(docs: DataFrame, config: ForestConfig = ForestConfig()) -> D
 
     wanted = cut(active.select(F.col("rank").alias("doc_id")).distinct(), "wanted", slim=True)
     chosen = docs.join(few(wanted), "doc_id", "left_semi")
-    sets = cut(chosen.select("text").mapInArrow(_sets(config), "digest binary, body binary"), "sets")
+    bodies = chosen.select("text").mapInArrow(_sets(config), "digest binary, body binary")
+    nameless = active.where("rank is null").select("digest")
+    if nameless.limit(1).count():
+        # sets whose rows all lack an id are fetched by their digests
+        unnamed = docs.where("doc_id is null").select("text").mapInArrow(_sets(config), "digest binary, body binary")
+        bodies = bodies.union(unnamed.join(few(nameless), "digest", "left_semi").dropDuplicates(["digest"]))
+    sets = cut(bodies, "sets")
 
     def candidates(rows: DataFrame, reach: int, best_only: bool) -> DataFrame:
         turned = [F.concat(F.substring("sig", 1 + config.depth * t, config.hashes), F.substring("sig", 1, config.depth * t)) for t in range(config.trees)]
@@ -307,13 +315,13 @@ def near_duplicates(docs: DataFrame, config: ForestConfig = ForestConfig()) -> D
         pairs = one.join(two, "token").where((F.col("digest_a") < F.col("digest_b")) & (F.col("comp_a") != F.col("comp_b")) & ((100 + config.percent) * most >= config.percent * both))
         return pairs.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct()
 
-    nodes = reps.select("digest", "rank")
-    # a null rank (all ids of the set are null) still needs a label of its own: below all others it would spread
-    nodes = nodes.withColumn("rank", F.coalesce("rank", F.lit((1 << 63) - 1)))
+    # a set whose ids are all null has a label of its own, above all ids, so that it never spreads over a known one
+    rank = F.struct(F.col("rank").isNull().alias("nameless"), F.coalesce("rank", F.xxhash64("digest")).alias("id"))
+    nodes = reps.select("digest", rank.alias("rank"))
     first = cut(confirmed(candidates(active.withColumn("comp", F.lit(0).cast("long")), config.near, True)), "first")
     labels = connected_components(nodes, first)
     def grouped() -> DataFrame:
-        return active.join(labels.select("digest", "label"), "digest", "left").select("digest", "n", "heads", "sig", "crowded", F.coalesce("label", "rank", F.xxhash64("digest")).alias("comp"))
+        return active.join(labels.select("digest", "label"), "digest", "left").select("digest", "n", "heads", "sig", "crowded", F.coalesce("label.id", "rank", F.xxhash64("digest")).alias("comp"))
 
     second = cut(confirmed(candidates(grouped(), config.reach, False)), "second")
     if second.limit(1).count():
@@ -327,14 +335,30 @@ def near_duplicates(docs: DataFrame, config: ForestConfig = ForestConfig()) -> D
             labels = connected_components(nodes, first.union(second).union(links[-1]))
     for stage in (active, wanted, sets, *links):
         drop_stage(stage)
-    lost = F.lit((1 << 63) - 1)
-    named = reps.select("digest", "rank").join(labels.select("digest", "label"), "digest", "left").select("digest", F.coalesce(F.nullif("label", lost), "rank").alias("component"))
+    component = F.when(F.col("label").isNull(), F.col("rank")).when(~F.col("label.nameless"), F.col("label.id"))
+    named = reps.select("digest", "rank").join(labels.select("digest", "label"), "digest", "left").select("digest", component.alias("component"))
     out = features.select("doc_id", "n", "digest").join(named, "digest", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select(*["digest"] * digests, "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_representatives(docs: DataFrame, config: ForestConfig = ForestConfig()) -> DataFrame:
-    """One document of each group of near duplicates (the smallest id), all columns; wordless texts all stay."""
-    gone = near_duplicates(docs, config).where("not kept").select(F.col("doc_id").alias("__vg_gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__vg_gone"), "left_anti")
+    """One document of each group of near duplicates (the smallest id), all columns; wordless texts all stay, and so do
+    the rows of groups without any id."""
+    dropped = near_duplicates(docs, config, digests=True).where("not kept")
+    ident = docs["doc_id"].cast("long")
+    gone = dropped.select(F.col("doc_id").alias("__vg_gone"))
+    if not docs.where(ident.isNull()).limit(1).count():
+        return docs.join(gone, ident == F.col("__vg_gone"), "left_anti")
+    # rows without an id are known by their shingle sets
+    names, place = docs.columns, docs.columns.index("text")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in shingle_sets(batch.column(place), config.width, lower=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.binary())], [*names, "__vg_digest"])
+
+    schema = StructType([*docs.schema.fields, StructField("__vg_digest", BinaryType())])
+    sets = dropped.where("doc_id is null").select(F.col("digest").alias("__vg_gone")).distinct()
+    rest = docs.where(ident.isNull()).mapInArrow(digest, schema).join(sets, F.col("__vg_digest") == F.col("__vg_gone"), "left_anti").select(*names)
+    return docs.where(ident.isNotNull()).join(gone, ident == F.col("__vg_gone"), "left_anti").union(rest)
