@@ -1,13 +1,15 @@
 """Near-duplicate documents by an LSH forest.
 
-Each distinct shingle set gets a signature of min-hashes. Every tree sorts all sets by the signature, begun at another
+Each distinct shingle set gets a signature of min-hashes. Every tree sorts the sets by the signature, begun at another
 place; neighbours in an order share the longest common prefixes, so they are the candidates. A pair counts when the
-common prefix is at least ``least_depth`` long; in a dense region the ``reach`` nearest neighbours share far deeper
-prefixes, so the depth adapts to the region and no region is ever gathered. Two rounds keep the work linear: the first
-follows the best of the ``near`` closest neighbours of each order, verifies it on full sets and joins components; the
-second takes all of ``reach`` neighbours that still lie in different components, from every tree that sees them. Where more than ``reach`` sets share a head a third round joins those
-that are still apart by their rarest shingles (prefix filter), which leaves out no pair. Every link is confirmed on whole
-sets, and components are found by label propagation with pointer jumping in DataFrames.
+common prefix is at least ``least_depth`` long; in a dense region the nearest neighbours share far deeper prefixes, so the
+depth adapts to the region and no region is ever gathered.
+
+The forest is walked in rounds. In each, a set proposes one link, to the likeliest of its neighbours that lies in another
+component; links are verified on full sets and components are contracted. Only heads that still hold several components
+are sorted again, until a round finds no link. What neighbours can't see, pairs in regions with more sets than a window
+holds, then has an exact way: among the sets that still share a head with another component, a prefix filter on their
+rarest shingles leaves out no pair that may link. So the components don't depend on windows or partitions.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .shared import cut, drop_stage
 from .textkernel import mix, shingle_sets
@@ -29,8 +30,9 @@ from .textkernel import mix, shingle_sets
 @dataclass(frozen=True)
 class ForestConfig:
     """``width`` words a shingle; a link needs ``100 * intersection >= percent * union``. Trees begin every ``depth``
-    min-hashes (64 trees at most) of the signature. Up to ``broadcast_ids`` ids (8 bytes each) are broadcast to filter by, more are joined by
-    shuffle."""
+    min-hashes of the signature (64 trees at most). A set looks at ``near`` predecessors in each order, from the second
+    round on at ``reach``. Up to ``broadcast_ids`` ids are broadcast to filter by, more are joined by shuffle. Shingles in
+    fewer than ``rare`` sets count as equally rare; the limit doubles until at most ``common`` shingles are above it."""
 
     width: int = 5
     percent: int = 80
@@ -41,6 +43,8 @@ class ForestConfig:
     reach: int = 96
     seed: int = 5
     broadcast_ids: int = 1_000_000
+    rare: int = 8
+    common: int = 1_000_000
 
     @property
     def hashes(self) -> int:
@@ -48,7 +52,7 @@ class ForestConfig:
 
     @property
     def likely(self) -> float:
-        """Estimates below this are not verified: six standard errors under the bound."""
+        """Neighbours with a lower estimate are not proposed: six standard errors under the bound."""
         j = self.percent / 100
         return j - 6 * (j * (1 - j) / self.hashes) ** 0.5
 
@@ -74,74 +78,80 @@ def _features(config: ForestConfig):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
             held, start = [], 0
-            for own in shingle_sets(batch.column(1), config.width, lower=True):
+            for own in shingle_sets(batch.column(2), config.width, lower=True):
                 held.append(own)
-                if len(held) == 512 or start + len(held) == len(ids):
+                if len(held) == 512 or start + len(held) == batch.num_rows:
                     made = iter(zip(*signatures([s for s in held if len(s)], config), strict=True))
                     rows = []
                     for s in held:
                         if len(s):
                             heads, sig = next(made)
-                            rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), heads.tobytes(), sig.tobytes()))
+                            rows.append((len(s), _digest(s), heads.tobytes(), sig.tobytes()))
                         else:
                             rows.append((0, None, None, None))
-                    part = ids.slice(start, len(held))
+                    part = batch.slice(start, len(held))
                     start, held = start + len(held), []
-                    yield pa.RecordBatch.from_arrays([part, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], ["doc_id", *names])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], ["doc_id", "th", *names])
 
     return run
 
 
+def _digest(own: np.ndarray) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+
+
 def _sets(config: ForestConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(held: list[np.ndarray]) -> pa.RecordBatch:
+            ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
+            shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held).view(np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in held], pa.binary()), shingles], ["digest", "shingles"])
+
+        held, size = [], 0
         for batch in batches:
-            rows, held = [], 0
             for own in shingle_sets(batch.column(0), config.width, lower=True):
-                if not len(own):
-                    continue
-                body = own.tobytes()
-                rows.append((hashlib.blake2b(body, digest_size=16).digest(), body))
-                held += len(body)
-                if held > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["digest", "body"])
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["digest", "body"])
+                if len(own):
+                    held.append(own)
+                    size += len(own)
+                if size > 1 << 19:
+                    yield batch_of(held)
+                    held, size = [], 0
+        if held:
+            yield batch_of(held)
 
     return run
 
 
-def _neighbours(config: ForestConfig, reach: int, best_only: bool):
-    """Candidate pairs of one sorted partition: a window of ``reach`` predecessors slides over it."""
+def _lists(column: pa.Array) -> Iterator[np.ndarray]:
+    """The elements of each list of 64-bit numbers, unsigned."""
+    values = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    offsets = column.offsets.to_numpy()
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield values[a:b]
 
-    def pairs(tree, head, n, comp, sig) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+
+def _neighbours(config: ForestConfig, reach: int):
+    """Of each set in a sorted partition its likeliest neighbour in another component, among ``reach`` predecessors that
+    share its head: a window slides over the order."""
+
+    def best_of(tree, head, n, comp, sig) -> tuple[np.ndarray, np.ndarray]:
         rows = len(tree)
-        best = np.full(rows, -1.0)
+        best = np.full(rows, -1.0, np.float32)
         best_at = np.zeros(rows, np.int64)
         for lag in range(1, min(reach, rows - 1) + 1):
             a, b = np.arange(rows - lag), np.arange(lag, rows)
             same = (tree[a] == tree[b]) & (head[a] == head[b])
             if not same.any():
                 break
-            if comp is not None:
-                same &= comp[a] != comp[b]
             low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-            hit = np.flatnonzero(same & (100 * low >= config.percent * high))
+            hit = np.flatnonzero(same & (comp[a] != comp[b]) & (100 * low >= config.percent * high))
             if not len(hit):
                 continue
-            likeness = (sig[a[hit]] == sig[b[hit]]).mean(axis=1)
-            good = likeness >= config.likely
-            left, right, likeness = a[hit[good]], b[hit[good]], likeness[good]
-            if not best_only:
-                yield left, right
-                continue
-            better = likeness > best[right]
-            best[right[better]], best_at[right[better]] = likeness[better], left[better]
-        if best_only:
-            right = np.flatnonzero(best >= 0)
-            yield best_at[right], right
+            likeness = (sig[a[hit]] == sig[b[hit]]).mean(axis=1, dtype=np.float32)
+            better = (likeness >= config.likely) & (likeness > best[b[hit]])
+            best[b[hit[better]]], best_at[b[hit[better]]] = likeness[better], a[hit[better]]
+        return best, best_at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
@@ -158,12 +168,10 @@ def _neighbours(config: ForestConfig, reach: int, best_only: bool):
                 )
                 old = 0 if tail is None else len(tail[0])
                 tree, head, digest, n, comp, sig = now if tail is None else (np.concatenate(x) for x in zip(tail, now, strict=True))
-                for left, right in pairs(tree, head, n, None if best_only else comp, sig):
-                    fresh = right >= old
-                    if fresh.any():
-                        one, two = digest[left[fresh]], digest[right[fresh]]
-                        swap = one > two
-                        yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, two, one), pa.binary()), pa.array(np.where(swap, one, two), pa.binary())], ["a", "b"])
+                best, best_at = best_of(tree, head, n, comp, sig)
+                row = old + np.flatnonzero(best[old:] >= 0)
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([pa.array(digest[row], pa.binary()), pa.array(digest[best_at[row]], pa.binary()), pa.array(best[row])], ["digest", "other", "likeness"])
                 tail = tuple(x[-reach:] for x in (tree, head, digest, n, comp, sig))
 
     return run
@@ -173,8 +181,7 @@ def _confirm(config: ForestConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+            for x, y in zip(_lists(batch.column(2)), _lists(batch.column(3)), strict=True):
                 if 100 * min(len(x), len(y)) < config.percent * max(len(x), len(y)):
                     keep.append(False)
                     continue
@@ -186,33 +193,21 @@ def _confirm(config: ForestConfig):
     return run
 
 
-#: Counts of shingles are kept by so many low bits of their hashes: they only order shingles, roughly the rare ones first.
-_BUCKETS = 1 << 18
-
-
-def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(_BUCKETS, np.int64)
-    for batch in batches:
-        for body in batch.column(0).to_pylist():
-            total += np.bincount((np.frombuffer(body, np.uint64) % np.uint64(_BUCKETS)).astype(np.int64), minlength=_BUCKETS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
-
-
-def _rarest(counts: np.ndarray, config: ForestConfig):
-    """The first shingles of each set in an order common to all: two sets that link have one of these in common."""
+def _rarest(common: np.ndarray, times: np.ndarray, config: ForestConfig):
+    """The first shingles of each set in an order common to all, rare ones first: two sets that link share one of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, body in enumerate(batch.column(1).to_pylist()):
-                own = np.frombuffer(body, np.uint64)
+            for i, own in enumerate(_lists(batch.column(2))):
                 n = len(own)
-                first = own[np.lexsort((own, counts[(own % np.uint64(_BUCKETS)).astype(np.int64)]))][: n + 1 + -config.percent * n // 100]
+                sets = np.zeros(n, np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                    sets = np.where(common[at] == own, times[at], 0)
+                first = own[np.lexsort((own, sets))][: n + 1 + -config.percent * n // 100]
                 m = len(first)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(first.view(np.int64)), pa.array(np.arange(m)), pa.array([n] * m, pa.int64()), pa.array([batch.column(0)[i].as_py()] * m, pa.binary()), pa.array([batch.column(2)[i].as_py()] * m, pa.int64())],
-                    ["token", "place", "n", "digest", "comp"],
-                )
+                columns = [first.view(np.int64), np.arange(m), np.full(m, n), *(np.full(m, batch.column(k)[i].as_py()) for k in (0, 1))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "place", "n", "who", "comp"])
 
     return run
 
@@ -241,14 +236,13 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, config: ForestConfig = ForestConfig(), digests: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+def _row_hash() -> F.Column:
+    return F.xxhash64("text")
 
-    Words are maximal runs without white space, A-Z lower-cased; a text of fewer than ``width`` words is one shingle.
-    Defined cases: a null or wordless text has no shingle and is its own component; rows with equal sets share one;
-    a null id never names a component unless all its ids are null; an empty table gives no rows; other columns are not read.
-    ``digests`` puts the digest of the shingle set before these columns.
-    """
+
+def _labelled(docs: DataFrame, config: ForestConfig) -> DataFrame:
+    """doc_id, th (hash of the text), n, digest and label of every row. A label names the first row of a component: whether
+    it lacks an id, its id, the digest of its set, its text's hash. Rows without words have no digest and no label."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -257,108 +251,143 @@ def near_duplicates(docs: DataFrame, config: ForestConfig = ForestConfig(), dige
         """Ids to filter by: broadcast behind a look at their number, else joined by shuffle."""
         return F.broadcast(ids) if ids.count() <= config.broadcast_ids else ids
 
-    features = cut(docs.mapInArrow(_features(config), "doc_id long, n long, digest binary, heads binary, sig binary"), "features")
-    reps = features.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rank"), F.min("n").alias("n"), F.min("heads").alias("heads"), F.min("sig").alias("sig"))
-    reps = cut(reps, "reps")
+    features = cut(docs.select("doc_id", _row_hash().alias("th"), "text").mapInArrow(_features(config), "doc_id long, th long, n long, digest binary, heads binary, sig binary"), "features")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), "th")).alias("first")
+    reps = features.where("digest is not null").groupBy("digest").agg(first, F.min("n").alias("n"), F.min("heads").alias("heads"), F.min("sig").alias("sig"))
+    rank = F.struct("first.nameless", "first.id", "digest", "first.th").alias("rank")
+    reps = cut(reps.select("digest", rank, "n", "heads", "sig"), "reps")
 
     wide = 2 * config.least_depth
     heads = [F.substring("heads", 1 + wide * t, wide) for t in range(config.trees)]
-    # the low six bits of a key are its tree; of each set, the trees where more sets than a window holds share its head
+    # the low six bits of a key are its tree
     tree_keys = F.array(*[F.shiftleft(F.xxhash64(F.lit(t), h), 6).bitwiseOR(F.lit(t).cast("long")) for t, h in enumerate(heads)])
-    keys = reps.select(F.xxhash64("digest").alias("who"), F.explode(tree_keys).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("who").alias("low"), F.max("who").alias("high"), F.count("*").alias("sharers")).where("low <> high")
-    shared = shared.select("key", (F.col("sharers") > config.reach).alias("full"))
-    in_full = F.when(F.col("full"), F.expr("shiftleft(1L, cast(key & 63 as int))")).otherwise(F.lit(0).cast("long"))
-    mates = keys.join(shared, "key").groupBy("who").agg(F.bit_or(in_full).alias("crowded"))
-    active = cut(reps.withColumn("who", F.xxhash64("digest")).join(few(cut(mates, "mates")), "who").drop("who"), "active")
-
-    wanted = cut(active.select(F.col("rank").alias("doc_id")).distinct(), "wanted", slim=True)
-    chosen = docs.join(few(wanted), "doc_id", "left_semi")
-    bodies = chosen.select("text").mapInArrow(_sets(config), "digest binary, body binary")
-    nameless = active.where("rank is null").select("digest")
-    if nameless.limit(1).count():
-        # sets whose rows all lack an id are fetched by their digests
-        unnamed = docs.where("doc_id is null").select("text").mapInArrow(_sets(config), "digest binary, body binary")
-        bodies = bodies.union(unnamed.join(few(nameless), "digest", "left_semi").dropDuplicates(["digest"]))
+
+    def mixed(rows: DataFrame, keys: F.Column) -> DataFrame:
+        """who and the trees, as bits, in which a set of ``rows`` (who, comp) shares its head with another component."""
+        keyed = rows.select("who", "comp", F.explode(keys).alias("key"))
+        several = keyed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+        return keyed.join(several, "key").groupBy("who").agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("mask"))
+
+    own = reps.withColumn("who", F.xxhash64("digest"))
+    masks = cut(mixed(own.withColumn("comp", F.col("who")), tree_keys), "masks", slim=True)
+    active = cut(own.join(few(masks), "who"), "active")
+
+    wanted = cut(active.select(F.col("rank.id").alias("_id"), F.col("rank.th").alias("_th")), "wanted", slim=True)
+    is_wanted = lambda x, at: x["doc_id"].eqNullSafe(F.col("_id")) & (at == F.col("_th"))
+    chosen = docs.join(few(wanted), is_wanted(docs, _row_hash()), "left_semi")
+    bodies = chosen.select("text").mapInArrow(_sets(config), "digest binary, shingles array<bigint>")
+    twins = features.join(few(wanted), is_wanted(features, features["th"]), "left_semi").groupBy("doc_id", "th").count().where("count > 1")
+    if twins.limit(1).count():
+        bodies = bodies.dropDuplicates(["digest"])
     sets = cut(bodies, "sets")
 
-    def candidates(rows: DataFrame, reach: int, best_only: bool) -> DataFrame:
+    def proposed(rows: DataFrame, reach: int) -> DataFrame:
+        """One pair for each set of ``rows`` with a likely neighbour in another component."""
         turned = [F.concat(F.substring("sig", 1 + config.depth * t, config.hashes), F.substring("sig", 1, config.depth * t)) for t in range(config.trees)]
-        trees = F.array(*[F.struct(F.lit(t).alias("tree"), h.alias("head"), turned[t].alias("turned"), (F.col("crowded").bitwiseAND(F.lit(1 << t)) != 0).alias("full")) for t, h in enumerate(heads)])
-        order = rows.select(F.explode(trees).alias("t"), "digest", "n", "comp").select("t.tree", "t.head", "digest", "n", "comp", "t.turned", "t.full")
-        # a head that a window holds stays in one range; the others are divided further
-        within = [F.when(F.col("full"), F.col(c)) for c in ("turned", "digest")]
-        order = order.repartitionByRange(parts, "tree", "head", *within).sortWithinPartitions("tree", "head", "turned", "digest").drop("full")
-        return order.mapInArrow(_neighbours(config, reach, best_only), "a binary, b binary").distinct()
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        one = sets.select(F.col("digest").alias("a"), F.col("body").alias("body_a"))
-        two = sets.select(F.col("digest").alias("b"), F.col("body").alias("body_b"))
-        return pairs.join(one, "a").join(two, "b").select("a", "b", "body_a", "body_b").mapInArrow(_confirm(config), "a binary, b binary").distinct()
-
-    def apart(rows: DataFrame) -> DataFrame:
-        """All pairs in different components that may link, among the sets under a head that more share than a window holds."""
-        under = F.array_compact(F.array(*[F.when(F.col("crowded").bitwiseAND(F.lit(1 << t)) != 0, tree_keys[t]) for t in range(config.trees)]))
-        full = rows.select("digest", "comp", F.explode(under).alias("key"))
-        mixed = full.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-        crowd = cut(full.join(mixed, "key", "left_semi").select("digest", "comp").distinct(), "crowd", slim=True)
-        bodies = sets.join(few(crowd), "digest").select("digest", "body", "comp")
-        counts = np.zeros(_BUCKETS, np.int64)
-        found = bodies.select("body").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-        counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-        tokens = cut(bodies.mapInArrow(_rarest(counts, config), "token long, place long, n long, digest binary, comp long"), "tokens")
-        meet = tokens.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-        tokens = tokens.join(meet, "token", "left_semi")
-        one, two = (tokens.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("place", "n", "digest", "comp")]) for x in "ab")
-        most = F.least("place_a", "place_b") + 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) - 1
-        both = F.col("n_a") + F.col("n_b")
-        pairs = one.join(two, "token").where((F.col("digest_a") < F.col("digest_b")) & (F.col("comp_a") != F.col("comp_b")) & ((100 + config.percent) * most >= config.percent * both))
-        return pairs.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct()
-
-    # a set whose ids are all null has a label of its own, above all ids, so that it never spreads over a known one
-    rank = F.struct(F.col("rank").isNull().alias("nameless"), F.coalesce("rank", F.xxhash64("digest")).alias("id"))
-    nodes = reps.select("digest", rank.alias("rank"))
-    first = cut(confirmed(candidates(active.withColumn("comp", F.lit(0).cast("long")), config.near, True)), "first")
-    labels = connected_components(nodes, first)
-    def grouped() -> DataFrame:
-        return active.join(labels.select("digest", "label"), "digest", "left").select("digest", "n", "heads", "sig", "crowded", F.coalesce("label.id", "rank", F.xxhash64("digest")).alias("comp"))
-
-    second = cut(confirmed(candidates(grouped(), config.reach, False)), "second")
-    if second.limit(1).count():
-        drop_stage(labels)
-        labels = connected_components(nodes, first.union(second))
-    links = [first, second]
-    if active.where("crowded <> 0").limit(1).count():
-        links.append(cut(confirmed(apart(grouped().where("crowded <> 0"))), "third"))
-        if links[-1].limit(1).count():
-            drop_stage(labels)
-            labels = connected_components(nodes, first.union(second).union(links[-1]))
-    for stage in (active, wanted, sets, *links):
+        trees = F.array_compact(F.array(*[F.when(F.col("mask").bitwiseAND(F.lit(1 << t)) != 0, F.struct(F.lit(t).alias("tree"), h.alias("head"), turned[t].alias("turned"))) for t, h in enumerate(heads)]))
+        order = rows.select(F.explode(trees).alias("t"), "digest", "n", "comp").select("t.tree", "t.head", "digest", "n", "comp", "t.turned")
+        order = order.repartitionByRange(parts, "tree", "head", "turned", "digest").sortWithinPartitions("tree", "head", "turned", "digest")
+        found = order.mapInArrow(_neighbours(config, reach), "digest binary, other binary, likeness float")
+        best = found.groupBy("digest").agg(F.max(F.struct("likeness", "other")).alias("best"))
+        return best.select(F.least("digest", "best.other").alias("a"), F.greatest("digest", "best.other").alias("b")).distinct()
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = cut(pairs, "pairs", slim=True)
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+        held = sets.join(few(cut(ends, "ends", slim=True)), "digest", "left_semi")
+        one = held.select(F.col("digest").alias("a"), F.col("shingles").alias("shingles_a"))
+        two = held.select(F.col("digest").alias("b"), F.col("shingles").alias("shingles_b"))
+        return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirm(config), "a binary, b binary"), name, slim=True)
+
+    def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
+        one, two = (labels.select(F.col("digest").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
+        edges = cut(links.join(one, "a").join(two, "b").select("label_a", "label_b").distinct(), "edges", slim=True)
+        nodes = edges.select(F.explode(F.array("label_a", "label_b")).alias("rank")).distinct().select("rank.digest", "rank")
+        found = connected_components(nodes, edges.select(F.col("label_a.digest").alias("a"), F.col("label_b.digest").alias("b")))
+        found = found.select(F.col("digest").alias("_head"), F.col("label").alias("_better"))
+        return cut(labels.join(found, F.col("label.digest") == F.col("_head"), "left").select("digest", F.coalesce("_better", "label").alias("label")), "labels", slim=True)
+
+    def unseen(rows: DataFrame) -> DataFrame:
+        """All pairs of ``rows`` in different components that may link.
+
+        A set with n shingles that links with one of m has at least ``need = percent * (n + m) / (100 + percent)`` of them in
+        common; so the first common shingle, in any order, stands at a place that leaves ``need`` in both. Shingles meet by
+        value, and pairs within the component that holds most sets with a shingle are never formed.
+        """
+        rows = rows.select("digest", "who", "comp")
+        held = sets.join(few(rows), "digest").select("who", "comp", "shingles")
+        counts = cut(held.select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count("*").alias("times")).where(F.col("times") >= config.rare), "counts", slim=True)
+        sizes = {r["bits"]: r["count"] for r in counts.groupBy(F.length(F.bin("times")).alias("bits")).count().collect()}
+        bits = 0
+        while sum(n for b, n in sizes.items() if b >= bits) > config.common:
+            bits += 1
+        common = counts.where(F.length(F.bin("times")) >= bits).toArrow()
+        values, times = (common.column(c).to_numpy() for c in ("token", "times"))
+        at = np.argsort(values.view(np.uint64))
+        tokens = cut(held.mapInArrow(_rarest(values.view(np.uint64)[at], times[at], config), "token long, place long, n long, who long, comp long"), "tokens")
+        several = tokens.groupBy("token", "comp").count().groupBy("token").agg(F.max(F.struct("count", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
+        met = cut(tokens.join(several.select("token", F.col("most.comp").alias("main")), "token"), "met")
+        one = met.where("comp <> main").select("token", *[F.col(c).alias(f"{c}_a") for c in ("place", "n", "who", "comp")])
+        two = met.select("token", "main", *[F.col(c).alias(f"{c}_b") for c in ("place", "n", "who", "comp")])
+        need = config.percent * (F.col("n_a") + F.col("n_b"))
+        leaves = [(100 + config.percent) * (F.col(f"n_{x}") - F.col(f"place_{x}")) >= need for x in "ab"]
+        once = (F.col("comp_b") == F.col("main")) | (F.col("who_a") < F.col("who_b"))
+        found = one.join(two, "token").where((F.col("comp_a") != F.col("comp_b")) & once & leaves[0] & leaves[1]).select("who_a", "who_b").distinct()
+        names = few(rows.select("who", "digest"))
+        for x in "ab":
+            found = found.join(names.select(F.col("who").alias(f"who_{x}"), F.col("digest").alias(x)), f"who_{x}")
+        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    labels = cut(active.select("digest", F.col("rank").alias("label")), "labels", slim=True)
+    rows = active.withColumn("comp", F.col("who"))
+    reach = config.near
+    while True:
+        links = confirmed(proposed(rows, reach), "links")
+        if not links.limit(1).count():
+            break
+        labels = contracted(labels, links)
+        grouped = active.drop("mask", "rank").join(labels, "digest").withColumn("comp", F.xxhash64("label.digest")).drop("label")
+        masks = cut(mixed(grouped, tree_keys), "masks", slim=True)
+        rows = grouped.join(few(masks), "who")
+        reach = config.reach
+    rest = cut(rows.select("digest", "who", "comp"), "rest", slim=True)
+    if rest.limit(1).count():
+        links = confirmed(unseen(rest), "links")
+        if links.limit(1).count():
+            labels = contracted(labels, links)
+    for stage in (active, sets):
         drop_stage(stage)
-    component = F.when(F.col("label").isNull(), F.col("rank")).when(~F.col("label.nameless"), F.col("label.id"))
-    named = reps.select("digest", "rank").join(labels.select("digest", "label"), "digest", "left").select("digest", component.alias("component"))
-    out = features.select("doc_id", "n", "digest").join(named, "digest", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select(*["digest"] * digests, "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = reps.select("digest", "rank").join(labels, "digest", "left").select("digest", F.coalesce("label", "rank").alias("label"))
+    return features.select("doc_id", "th", "n", "digest").join(named, "digest", "left")
 
 
-def keep_representatives(docs: DataFrame, config: ForestConfig = ForestConfig()) -> DataFrame:
-    """One document of each group of near duplicates (the smallest id), all columns; wordless texts all stay, and so do
-    the rows of groups without any id."""
-    dropped = near_duplicates(docs, config, digests=True).where("not kept")
-    ident = docs["doc_id"].cast("long")
-    gone = dropped.select(F.col("doc_id").alias("__vg_gone"))
-    if not docs.where(ident.isNull()).limit(1).count():
-        return docs.join(gone, ident == F.col("__vg_gone"), "left_anti")
-    # rows without an id are known by their shingle sets
-    names, place = docs.columns, docs.columns.index("text")
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in shingle_sets(batch.column(place), config.width, lower=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.binary())], [*names, "__vg_digest"])
+def near_duplicates(docs: DataFrame, config: ForestConfig = ForestConfig()) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.
 
-    schema = StructType([*docs.schema.fields, StructField("__vg_digest", BinaryType())])
-    sets = dropped.where("doc_id is null").select(F.col("digest").alias("__vg_gone")).distinct()
-    rest = docs.where(ident.isNull()).mapInArrow(digest, schema).join(sets, F.col("__vg_digest") == F.col("__vg_gone"), "left_anti").select(*names)
-    return docs.where(ident.isNotNull()).join(gone, ident == F.col("__vg_gone"), "left_anti").union(rest)
+    Words are maximal runs without white space, A-Z lower-cased; a text of fewer than ``width`` words is one shingle.
+    Defined cases: a null or wordless text has no shingle and is its own component; rows with equal sets share one;
+    a null id never names a component unless all its ids are null; a set is known by its digest, so an id that stands on
+    several texts does not join them; an empty table gives no rows; other columns are not read.
+    """
+    component = F.coalesce(F.when(~F.col("label.nameless"), F.col("label.id")), "doc_id")
+    out = _labelled(docs, config)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_representatives(docs: DataFrame, config: ForestConfig = ForestConfig()) -> DataFrame:
+    """One row of each group of near duplicates, all columns: the smallest id; a null id only where no row has one; of rows
+    that repeat id and text, one. Rows without words all stay. An id that stands on several texts is judged by each text."""
+    names = docs.columns
+    rows = _labelled(docs, config).where("digest is not null")
+    first = F.col("doc_id").eqNullSafe(F.col("label.id")) & (F.col("digest") == F.col("label.digest")) & (F.col("th") == F.col("label.th"))
+    decided = cut(rows.select(F.col("doc_id").alias("__vg_id"), F.col("th").alias("__vg_th"), first.alias("__vg_first")), "decided", slim=True)
+    gone = cut(decided.where("not __vg_first").select("__vg_id", "__vg_th").distinct(), "gone", slim=True)
+    here = docs["doc_id"].cast("long").eqNullSafe(F.col("__vg_id")) & (F.xxhash64(docs["text"]) == F.col("__vg_th"))
+    left = docs.join(F.broadcast(gone) if gone.count() <= config.broadcast_ids else gone, here, "left_anti")
+    again = decided.where("__vg_first").groupBy("__vg_id", "__vg_th").count().where("count > 1").select("__vg_id", "__vg_th")
+    again = cut(again, "again", slim=True)
+    if not again.limit(1).count():
+        return left
+    here = left["doc_id"].cast("long").eqNullSafe(F.col("__vg_id")) & (F.xxhash64(left["text"]) == F.col("__vg_th"))
+    repeated = left.join(again, here, "left_semi").withColumns({"__vg_id": F.col("doc_id").cast("long"), "__vg_th": _row_hash()})
+    return left.join(again, here, "left_anti").union(repeated.dropDuplicates(["__vg_id", "__vg_th"]).select(*names))
