@@ -262,14 +262,16 @@ def _labelled(docs: DataFrame, config: ForestConfig) -> DataFrame:
     # the low six bits of a key are its tree
     tree_keys = F.array(*[F.shiftleft(F.xxhash64(F.lit(t), h), 6).bitwiseOR(F.lit(t).cast("long")) for t, h in enumerate(heads)])
 
-    def mixed(rows: DataFrame, keys: F.Column) -> DataFrame:
-        """who and the trees, as bits, in which a set of ``rows`` (who, comp) shares its head with another component."""
-        keyed = rows.select("who", "comp", F.explode(keys).alias("key"))
+    def in_trees(mask: str) -> F.Column:
+        return F.array_compact(F.transform(tree_keys, lambda x: F.when(F.getbit(mask, x.bitwiseAND(F.lit(63)).cast("int")) != 0, x)))
+
+    def mixed(keyed: DataFrame) -> DataFrame:
+        """who and the trees, as bits, in which a set of ``keyed`` (who, comp, key) shares its head with another component."""
         several = keyed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
         return keyed.join(several, "key").groupBy("who").agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("mask"))
 
     own = reps.withColumn("who", F.xxhash64("digest"))
-    masks = cut(mixed(own.withColumn("comp", F.col("who")), tree_keys), "masks", slim=True)
+    masks = cut(mixed(own.select("who", F.col("who").alias("comp"), F.explode(tree_keys).alias("key"))), "masks", slim=True)
     active = cut(own.join(few(masks), "who"), "active")
 
     wanted = cut(active.select(F.col("rank.id").alias("_id"), F.col("rank.th").alias("_th")), "wanted", slim=True)
@@ -291,21 +293,23 @@ def _labelled(docs: DataFrame, config: ForestConfig) -> DataFrame:
         best = found.groupBy("digest").agg(F.max(F.struct("likeness", "other")).alias("best"))
         return best.select(F.least("digest", "best.other").alias("a"), F.greatest("digest", "best.other").alias("b")).distinct()
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The pairs that link. Sets meet their pairs where they lie, if these are few, and move once to meet each other."""
         pairs = cut(pairs, "pairs", slim=True)
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-        held = sets.join(few(cut(ends, "ends", slim=True)), "digest", "left_semi")
-        one = held.select(F.col("digest").alias("a"), F.col("shingles").alias("shingles_a"))
-        two = held.select(F.col("digest").alias("b"), F.col("shingles").alias("shingles_b"))
-        return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirm(config), "a binary, b binary"), name, slim=True)
+        one = sets.join(few(pairs.withColumnRenamed("a", "digest")), "digest").select(F.col("digest").alias("a"), "b", F.col("shingles").alias("shingles_a"))
+        ends = cut(pairs.select(F.col("b").alias("digest")).distinct(), "ends", slim=True)
+        two = sets.join(few(ends), "digest", "left_semi").select(F.col("digest").alias("b"), F.col("shingles").alias("shingles_b"))
+        return cut(one.join(two, "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirm(config), "a binary, b binary"), "links")
 
     def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
+        labels = labels.select("digest", "label")
         one, two = (labels.select(F.col("digest").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
         edges = cut(links.join(one, "a").join(two, "b").select("label_a", "label_b").distinct(), "edges", slim=True)
         nodes = edges.select(F.explode(F.array("label_a", "label_b")).alias("rank")).distinct().select("rank.digest", "rank")
         found = connected_components(nodes, edges.select(F.col("label_a.digest").alias("a"), F.col("label_b.digest").alias("b")))
         found = found.select(F.col("digest").alias("_head"), F.col("label").alias("_better"))
-        return cut(labels.join(found, F.col("label.digest") == F.col("_head"), "left").select("digest", F.coalesce("_better", "label").alias("label")), "labels", slim=True)
+        met = F.col("_better").isNotNull().alias("met")
+        return cut(labels.join(found, F.col("label.digest") == F.col("_head"), "left").select("digest", F.coalesce("_better", "label").alias("label"), met), "labels", slim=True)
 
     def unseen(rows: DataFrame) -> DataFrame:
         """All pairs of ``rows`` in different components that may link.
@@ -316,7 +320,7 @@ def _labelled(docs: DataFrame, config: ForestConfig) -> DataFrame:
         """
         rows = rows.select("digest", "who", "comp")
         held = sets.join(few(rows), "digest").select("who", "comp", "shingles")
-        counts = cut(held.select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count("*").alias("times")).where(F.col("times") >= config.rare), "counts", slim=True)
+        counts = cut(held.select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count("*").alias("times")).where(F.col("times") >= config.rare), "counts")
         sizes = {r["bits"]: r["count"] for r in counts.groupBy(F.length(F.bin("times")).alias("bits")).count().collect()}
         bits = 0
         while sum(n for b, n in sizes.items() if b >= bits) > config.common:
@@ -339,25 +343,26 @@ def _labelled(docs: DataFrame, config: ForestConfig) -> DataFrame:
         return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     labels = cut(active.select("digest", F.col("rank").alias("label")), "labels", slim=True)
-    rows = active.withColumn("comp", F.col("who"))
-    reach = config.near
-    while True:
-        links = confirmed(proposed(rows, reach), "links")
-        if not links.limit(1).count():
-            break
+    bare = active.drop("rank")
+    rows = bare.withColumn("comp", F.col("who"))
+    links = confirmed(proposed(rows, config.near))
+    while links.limit(1).count():
         labels = contracted(labels, links)
-        grouped = active.drop("mask", "rank").join(labels, "digest").withColumn("comp", F.xxhash64("label.digest")).drop("label")
-        masks = cut(mixed(grouped, tree_keys), "masks", slim=True)
-        rows = grouped.join(few(masks), "who")
-        reach = config.reach
-    rest = cut(rows.select("digest", "who", "comp"), "rest", slim=True)
+        rows = bare.join(labels, "digest").withColumn("comp", F.xxhash64("label.digest")).drop("label")
+        # proposals change only for members of components that met; heads without them need no second look
+        keyed = rows.select("who", "comp", "met", F.explode(in_trees("mask")).alias("key"))
+        again = cut(keyed.where("met").select("key").distinct(), "again", slim=True)
+        masks = cut(mixed(keyed.join(few(again), "key", "left_semi")), "masks", slim=True)
+        links = confirmed(proposed(rows.drop("mask").join(few(masks), "who"), config.reach))
+    left = rows.select("digest", "who", "comp", F.explode(in_trees("mask")).alias("key"))
+    rest = cut(rows.select("digest", "who", "comp").join(few(cut(mixed(left), "masks", slim=True)), "who").drop("mask"), "rest", slim=True)
     if rest.limit(1).count():
-        links = confirmed(unseen(rest), "links")
+        links = confirmed(unseen(rest))
         if links.limit(1).count():
             labels = contracted(labels, links)
     for stage in (active, sets):
         drop_stage(stage)
-    named = reps.select("digest", "rank").join(labels, "digest", "left").select("digest", F.coalesce("label", "rank").alias("label"))
+    named = reps.select("digest", "rank").join(labels.select("digest", "label"), "digest", "left").select("digest", F.coalesce("label", "rank").alias("label"))
     return features.select("doc_id", "th", "n", "digest").join(named, "digest", "left")
 
 
