@@ -1,6 +1,7 @@
 """Classifiers by held-out accuracy, fingerprints by true similarity, rollups by recounting."""
 
 import hashlib
+import random
 import uuid
 
 import numpy as np
@@ -86,6 +87,31 @@ def test_quality_defined_cases(docs, labels, empty, spark):
     assert quality.keep_quality(docs, own).columns == docs.columns
 
 
+def test_quality_votes_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    config = quality.QualityConfig(neighbours=5)
+    model = quality.fit_quality(docs, labels, config)
+    rows = [tuple(r) for r in docs.select("doc_id", "text").limit(40).collect()] + [(-1, ""), (-2, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs.select("doc_id", "text").union(frame.where("doc_id < 0")), labels, config).collect()}
+    slots, vectors = quality._slots(config), model.vectors.astype(float)
+    for ident, text in rows:
+        counts = np.zeros(config.features)
+        codes = [int(quality._CLASSES[b]) for b in (text or "").encode()]
+        for x, y, z in zip(codes, codes[1:], codes[2:]):
+            counts[slots[(x * quality._N + y) * quality._N + z]] += 1
+        if not counts.any():
+            assert abs(got[ident] - model.labels.mean()) < 1e-6
+            continue
+        v = (np.sqrt(counts / counts.sum()) * model.weights) @ model.directions
+        cosines = [float(v @ w / np.linalg.norm(v) / np.linalg.norm(w)) for w in vectors]
+        least = sorted(cosines)[-5]
+        chosen = [k for k, c in enumerate(cosines) if c >= least - 1e-6]
+        votes = [max(cosines[k], 0) ** 4 + 1e-9 for k in chosen]
+        assert abs(got[ident] - sum(w * model.labels[k] for w, k in zip(votes, chosen)) / sum(votes)) < 1e-3
+
+
 def test_trigram_counts_do_not_cross_documents():
     import pyarrow as pa
 
@@ -168,5 +194,64 @@ def test_rollup_follows_inserts_deletes_and_revisions(spark, docs):
     assert rollup.apply("three", changes.limit(0)) and totals(rollup) == expect()
 
 
+CHANGE = "op string, doc_id long, source string, lang string, text string, seq long"
+
+
+def test_rollup_equals_a_recount_after_random_changes(spark):
+    rng = random.Random(12)
+    rollup = token_rollup.TokenRollup(spark, f"{shared_dir(spark)}/roll-{uuid.uuid4().hex}", ("byte_bpe_50k",))
+    held = []  # (id, text, lang, source)
+    for batch in range(6):
+        changes = []
+        for seq in range(rng.randrange(1, 12)):
+            op, ident = rng.choice(["insert", "insert", "delete", "revise"]), rng.choice([1, 2, 3, 4, None])
+            row = (ident, " ".join(["word"] * rng.randrange(4)) or None, rng.choice(["en", None]), rng.choice("ab"))
+            changes.append((op, ident, row[3], row[2], row[1], seq))
+            if op != "insert" and ident is not None:
+                held = [r for r in held if r[0] != ident]
+            if op == "insert" or op == "revise":
+                held.append(row)
+        frame = spark.createDataFrame(rng.sample(changes, len(changes)), CHANGE)
+        assert rollup.apply(f"batch {batch}", frame) and not rollup.apply(f"batch {batch}", frame)
+        assert totals(rollup) == recount(held, "byte_bpe_50k")
+        if batch % 2:
+            assert rollup.compact() and totals(rollup) == recount(held, "byte_bpe_50k")
+    assert sum(r["documents"] for r in rollup.ledger().collect()) == len(held)
+
+
+def test_rollup_orders_changes_without_a_sequence(spark):
+    rollup = token_rollup.TokenRollup(spark, f"{shared_dir(spark)}/roll-{uuid.uuid4().hex}", ("byte_bpe_50k",))
+    insert, delete = ("insert", 1, "a", "en", "one two", None), ("delete", 1, None, None, None, None)
+    assert rollup.apply("a", spark.createDataFrame([insert, insert], CHANGE)) and rollup.apply("b", spark.createDataFrame([insert], CHANGE))
+    assert totals(rollup) == {("a", "en", "byte_bpe_50k"): (3, 6)}
+    assert rollup.apply("c", spark.createDataFrame([delete, insert], CHANGE)) and totals(rollup) == {}
+    revise = ("revise", 1, "a", "en", "one", None)
+    assert rollup.apply("d", spark.createDataFrame([revise, revise, insert], CHANGE)) and totals(rollup) == {("a", "en", "byte_bpe_50k"): (1, 1)}
+
+
+def test_rollup_commits_one_of_two_writers(spark):
+    path = f"{shared_dir(spark)}/roll-{uuid.uuid4().hex}"
+    one, two = (token_rollup.TokenRollup(spark, path, ("byte_bpe_50k",)) for _ in range(2))
+    commit, rivals = one._commit, [("insert", 5, "a", "en", "three words here", None)]
+
+    def late(number, batch, folder):
+        if rivals:  # another writer is faster, with the same batch
+            assert two.apply("same", spark.createDataFrame([rivals.pop()], CHANGE))
+        return commit(number, batch, folder)
+
+    one._commit = late
+    assert not one.apply("same", spark.createDataFrame([("insert", 6, "a", "en", "two words", None)], CHANGE))
+    assert totals(one) == {("a", "en", "byte_bpe_50k"): (1, 3)} and one.apply("next", spark.createDataFrame([("delete", 5, None, None, None, None)], CHANGE))
+    assert totals(two) == {}
+
+
+def test_rollup_query_equals_a_recount(spark, docs, empty):
+    found = token_rollup.token_counts(docs, f"{shared_dir(spark)}/roll-{uuid.uuid4().hex}")
+    rows = list({(r if r[0] is not None else (r, k)): r for k, r in enumerate(ROWS)}.values())
+    want = recount(rows, "byte_bpe_50k") | recount(rows, "byte_bpe_multi_50k")
+    assert {(r["source"], r["lang"], r["version"]): (r["documents"], r["tokens"]) for r in found.collect()} == want
+    assert token_rollup.token_counts(empty, f"{shared_dir(spark)}/roll-{uuid.uuid4().hex}").count() == 0
+
+
 def test_words_are_counted_as_defined():
     assert words_of("A b\tC\n") == ["a", "b", "c"]

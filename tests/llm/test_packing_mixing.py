@@ -1,7 +1,9 @@
 """Packing and mixing, by exact checks of what they promise."""
 
+import random
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
@@ -11,25 +13,41 @@ from voxelgrain.llm import mixing, packing
 from .conftest import ROWS
 
 
-def reference_ids(text):
+@cache
+def tokenizer_file():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def reference_ids(text):
+    return tokenizer_file().encode(text, add_special_tokens=False).ids
+
+
+def own_ids(text):
+    return np.frombuffer(packing.encoder(packing.default_vocabulary())(text), "<u4").tolist()
 
 
-@pytest.mark.parametrize("text", ["", " ", "plain words, 12 of them", "naïve café — “quoted”…", "tabs\tand\r\n\n  runs   ", "it's we'll 'S", "日本 🙂   x", "<|endoftext|> inside", "ab​ć Ａ"])
-def test_fast_ids_are_the_file_s(text):
-    path, ranks = packing.default_vocabulary()
-    assert packing.encode(text, path, ranks) == reference_ids(text)
+TEXTS = ["", " ", "  ", "plain words, 12 of them", "naïve café — “quoted”…", "tabs\tand\r\n\n  runs   ", " it's we'll 'S", "日本 🙂   x", "a <|endoftext|> b", "<|endoftext|><|endoftext|> inside", "ab\u200bć Ａ", "a\u00a0 b \u00a0c \u2003d\u3000 e \x85 f", "x \u180e y\u180e z", "\x1c \x1d a \x1e", "word " * 3000]
 
 
-def test_fast_ids_on_corpus(corpus):
-    path, ranks = packing.default_vocabulary()
+@pytest.mark.parametrize("text", TEXTS)
+def test_ids_are_the_file_s(text):
+    assert own_ids(text) == reference_ids(text) and own_ids(text) == reference_ids(text)
+
+
+def test_ids_of_random_texts():
+    rng = random.Random(2)
+    parts = ["a", "Bc", "'s", "'ll", "9", "12", " ", "  ", "\n", "\t", "\r\n", ".", "!?", "é", "日", "\u00a0", "\u2009", "\u180e", "\x85", "\x1f", "<|endoftext|>", "🙂", "\u0301", "٣", "\ufeff"]
+    for _ in range(600):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 30)))
+        assert own_ids(text) == reference_ids(text), repr(text)
+
+
+def test_ids_on_corpus(corpus):
     for row in corpus.select("text").collect():
-        assert packing.encode(row["text"], path, ranks) == reference_ids(row["text"])
+        assert own_ids(row["text"]) == reference_ids(row["text"])
 
 
 def check_packed(rows, sources, capacity):
@@ -43,11 +61,17 @@ def check_packed(rows, sources, capacity):
             assert offset == at
             at += length
         assert at <= capacity
+    want = defaultdict(list)
     for ident, text in sources:
-        ids = [*reference_ids(text or ""), 2]
-        own = sorted(by_doc[ident], key=lambda r: r["piece"])
-        if sum(1 for i, _ in sources if i == ident) > 1:
-            continue
+        want[ident].append([*reference_ids(text or ""), 2])
+    assert set(want) == set(by_doc)
+    for ident, copies in want.items():
+        ids, times = copies[0], len(copies)
+        assert copies == [ids] * times  # rows of this id are all alike here, and so are their pieces
+        every = sorted(by_doc[ident], key=lambda r: r["piece"])
+        assert len(every) % times == 0
+        own = every[::times]
+        assert sorted((r["piece"], r["ids_crc32"]) for r in every) == sorted((r["piece"], r["ids_crc32"]) for r in own for _ in range(times))
         assert sum(r["length"] for r in own) == len(ids)
         for k, r in enumerate(own):
             piece = ids[r["start"] : r["start"] + r["length"]]
@@ -145,6 +169,21 @@ def test_mix_defined_cases(docs, empty):
     assert mixing.mix_sources(empty).count() == 0 and mixing.take_mixture(empty).count() == 0
 
 
+def test_mix_draws_rows_without_ids_apart(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAF", 50)
+    rows = [(None, f"text number {k}", "a") for k in range(300)] + [(None, "the same words", "a")] * 200 + [(k, "b words " * 9, "b") for k in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    sizes = mixing.mix_sources(frame)
+    target = {r["source_size"]: r["target"] for r in sizes.collect()}
+    out = [tuple(r) for r in mixing.take_mixture(frame).collect()]
+    for source in "ab":
+        taken, size = (sum(len(r[1].split()) for r in x if r[2] == source) for x in (out, rows))
+        assert abs(taken - target[size]) <= 20
+    same = sum(r[1] == "the same words" for r in out)
+    share = target[300 * 3 + 200 * 3] / 1500
+    assert abs(same - 200 * share) < 40 and len({r[1] for r in out if r[0] is None}) > 200
+
+
 def test_settling_keeps_the_weighted_sum():
     rows = [[1 + k % 17, 0.37] for k in range(500)]
     before = sum(s * p for s, p in rows)

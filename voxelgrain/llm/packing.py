@@ -3,17 +3,20 @@
 What must be planned is only how many pieces there are of each length, a table of at most ``capacity`` counts. The plan
 opens sequences with the longest pieces, and fills a gap exactly by one, two or three lengths found through their sums;
 each combination is consumed as often as its counts allow. Gaps without an exact complement take the longest piece that
-fits and are looked up again. The plan maps ranks within a length to places, so pieces are placed by rank, in parallel.
+fits and are looked up again. The plan maps ranks within a length to places. Ranks need no shuffle: the task that cuts
+pieces numbers them by length as it goes, and a running sum over the tasks' counts gives what comes before.
 """
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,80 +24,95 @@ from .shared import cut
 
 CAPACITY = 1024
 END_ID = 2
-#: Pieces of one length that are ranked together.
-SLICE = 8192
-#: Code points for which both libraries' pre-tokenisers are known to agree (letters, digits, punctuation of Latin scripts).
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ſ‐-‧‰-⁞]*")
-_SPECIAL = "<|endoftext|>"
+#: Blocks (tasks that cut pieces) whose first ranks are broadcast, ``capacity`` numbers each; more are joined by shuffle.
+BLOCKS = 4096
+#: A single space between two visible characters: the byte-level pre-tokeniser always begins anew there.
+_JOINT = re.compile(r"(?<=[^\s\u180e])(?= [^\s\u180e])")
+#: Stretches whose ids are remembered, of at most so many characters.
+_KNOWN, _LONGEST = 100_000, 48
 
 
-@cache
-def _exact_encoder(path: str):
-    from tokenizers import Tokenizer
-
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+class Encoder:
+    """Token ids of whole texts, as little-endian unsigned 32-bit numbers, by an encoder with the byte-level pre-tokeniser.
 
+    A text is encoded in stretches that begin at single spaces, where its ids are those of the stretches joined; ids of
+    short stretches are remembered, so that a word is merged once and not at each place.
+    """
 
-@cache
-def _fast_encoder(ranks_path: str):
-    import base64
+    def __init__(self, encode: Callable[[str], list[int]]) -> None:
+        self._whole = encode
+        self._ids: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self._whole(text), "<u4").tobytes()
+
+    def __call__(self, text: str) -> bytes:
+        stretches = _JOINT.split(text)
+        known = self._ids
+        found = list(map(known.get, stretches))
+        if None in found:
+            if len(known) > _KNOWN:
+                known.clear()
+            for k, ids in enumerate(found):
+                if ids is None:
+                    one = stretches[k]
+                    found[k] = known.get(one) or self._encode(one)
+                    if len(one) <= _LONGEST:
+                        known[one] = found[k]
+        return b"".join(found)
 
-    import public_tokenizers
-    import tiktoken
 
-    with open(ranks_path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+@cache
+def encoder(path: str) -> Encoder:
+    """By the file of the ``tokenizers`` library at ``path``."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
+    file = Tokenizer.from_file(path)
+    return Encoder(lambda text: file.encode(text, add_special_tokens=False).ids)
 
-def encode(text: str, path: str, ranks_path: str | None) -> list[int]:
-    """Token ids of a text; strings of special tokens are ordinary text.
 
-    Ids are those of the tokenizer file at ``path``. ``ranks_path`` may name the same vocabulary as byte-pair ranks,
-    which encode texts of plain Latin characters several times faster with equal ids; all other texts take the file.
-    """
-    if ranks_path is not None and _PLAIN.fullmatch(text) and _SPECIAL not in text:
-        return _fast_encoder(ranks_path).encode_ordinary(text)
-    return _exact_encoder(path).encode(text, add_special_tokens=False).ids
+def default_vocabulary() -> str:
+    import public_tokenizers
 
+    return public_tokenizers.path("byte_bpe_50k.json")
 
-def default_vocabulary() -> tuple[str, str]:
-    import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+_PIECES = "doc_id long, piece int, start long, length long, ids binary, block int, nth long"
 
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: tuple[str, str | None] | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids (little-endian unsigned 32-bit, binary) of every piece of every document.
+def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids (little-endian unsigned 32-bit, binary), block and nth of every piece.
 
     A document is its ids and ``end_id``; one longer than ``capacity`` is cut so that only its first piece may be
-    shorter. Null text is empty: one piece that holds ``end_id``.
+    shorter. Null text is empty: one piece that holds ``end_id``. ``block`` is the task, ``nth`` numbers its pieces of one
+    length: both hold only once the frame has been written.
     """
-    path, ranks_path = vocabulary or default_vocabulary()
+    path = vocabulary or default_vocabulary()
+    names = [x.split()[0] for x in _PIECES.split(", ")]
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
+    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = ("doc_id", "piece", "start", "length", "ids")
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        encode, block = encoder(path), TaskContext.get().partitionId()
+        seen = [0] * (capacity + 1)
+        rows, held = [], 0
         for batch in batches:
-            rows, held = [], 0
-            for at in range(batch.num_rows):
-                ident, text = batch.column(0)[at].as_py(), batch.column(1)[at].as_py() or ""
-                ids = np.array([*encode(text, path, ranks_path), end_id], "<u4")
-                size = len(ids)
+            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = encode(text.as_py() or "") + end
+                size = len(ids) // 4
                 edges = [0, *range((size - 1) % capacity + 1, size + 1, capacity)]
-                for k in range(len(edges) - 1):
-                    body = ids[edges[k] : edges[k + 1]].tobytes()
-                    rows.append((ident, k, edges[k], edges[k + 1] - edges[k], body))
+                for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                    rows.append((ident, k, a, b - a, ids[4 * a : 4 * b], block, seen[b - a]))
+                    seen[b - a] += 1
                 held += size
-                if held > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], columns)
+                if held > 250_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                     rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], columns)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECES)
 
 
 class ComplementIndex:
@@ -176,20 +194,22 @@ def _places(plan: list[tuple[list[int], int]], capacity: int) -> dict[int, tuple
 
 
 def assign_sequences(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (with doc_id, piece, start, length) with sequence_id and offset.
+    """Written ``pieces`` with sequence_id and offset instead of block and nth.
 
-    The driver gets one count per length. Ranks within a length come from windows over salted slices of it, of about
-    ``SLICE`` pieces each, and a running sum of the slices' counts, so a common length is not one task's work.
+    The driver gets one count per length. What earlier blocks hold of each length comes from windows over one row per block
+    and length; each piece finds its rank by its block alone, so pieces are neither sorted nor moved.
     """
-    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    sizes = cut(pieces.groupBy("block", "length").agg((F.max("nth") + 1).alias("n")), "sizes", slim=True)
+    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = _places(plan_sequences(counts, capacity), capacity)
-    slices = F.array(*[F.lit(-(-counts.get(n, 0) // SLICE) or 1) for n in range(capacity + 1)])
-    salted = pieces.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece"), F.get(slices, F.col("length").cast("int"))))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = salted.groupBy("length", "_slice").agg(F.count("*").alias("_n")).select("length", "_slice", before.alias("_base"))
-    nth = F.row_number().over(Window.partitionBy("length", "_slice").orderBy("doc_id", "piece", "start")) - 1
-    ranked = salted.withColumn("_nth", nth).join(bases, ["length", "_slice"]).withColumn("_rank", F.col("_nth") + F.col("_base"))
-    names = pieces.columns
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = sizes.select("block", "length", before.alias("base")).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("length", "base"))).alias("first"))
+    bases = F.transform(F.sequence(F.lit(0), F.lit(capacity)), lambda i: F.coalesce(F.try_element_at("first", i.cast("long")), F.lit(0).cast("long")))
+    bases = cut(first.select("block", bases.alias("bases")), "bases", slim=True)
+    names = [c for c in pieces.columns if c not in ("block", "nth")]
+    if bases.count() <= BLOCKS:
+        bases = F.broadcast(bases)
+    ranked = pieces.join(bases, "block").select(*names, (F.col("nth") + F.get("bases", F.col("length").cast("int"))).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,15 +223,17 @@ def assign_sequences(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 sequence[here], offset[here] = start[k] + rank[here] - first[k], at[k]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    fields = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes)
-    return ranked.select(*names, F.col("_rank").cast("long").alias("_rank")).mapInArrow(run, f"{fields}, sequence_id long, offset long")
+    kinds = dict(pieces.dtypes)
+    fields = ", ".join(f"`{n}` {kinds[n]}" for n in names)
+    return ranked.mapInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: tuple[str, str | None] | None = None, keep_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, keep_ids: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids (unless ``keep_ids`` is off), ids_crc32, sequence_id, offset of every piece.
 
-    Defined cases: null and empty texts give the piece that holds ``end_id``; null ids and repeated rows are packed like
-    any others; an empty table gives no rows; other columns are not read.
+    Ids are those of the tokenizer file; the string of a special token in a text is that token. Defined cases: null and empty
+    texts give the piece that holds ``end_id``; null ids and repeated rows are packed like any others; ties between pieces
+    of one length go by where they are read; an empty table gives no rows; other columns are not read.
     """
     pieces = token_pieces(docs, capacity, end_id, vocabulary).withColumn("ids_crc32", F.crc32("ids"))
     return assign_sequences(cut(pieces if keep_ids else pieces.drop("ids"), "pieces"), capacity)

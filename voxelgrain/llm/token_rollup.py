@@ -1,13 +1,16 @@
 """Token counts as delta-maintained rollups.
 
-A batch of changes (insert, delete, revise) becomes signed rows of a per-document ledger: +1 and the new count for what
-comes, -1 and the old count for what goes. Their sums by source, language and tokenizer version are the batch's delta,
-and totals are the sum of all deltas. Ledger rows and delta of a batch are written aside and appear together by one
-rename to the batch's folder; a batch whose folder exists is not applied again, so a replay changes nothing.
+A batch of changes (insert, delete, revise) becomes signed rows of a per-document ledger: what comes with its count, what
+goes as the negative of all that the ledger holds of it. Sums by source, language and tokenizer version are the batch's
+delta, and totals are the sum of all deltas. Ledger rows and delta of a batch are written aside and become part of the
+rollup by one entry of a log. Entries are numbered, and an entry is made by a rename that fails where the number is taken:
+of two writers one commits and the other begins anew from what is there then. A batch that the log names is not applied
+again, so a replay changes nothing. ``compact`` folds the entries so far into one.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from functools import cache
@@ -16,14 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .packing import default_vocabulary, encode
+from .packing import Encoder, default_vocabulary, encoder
+from .shared import cut
 
-_LEDGER = "doc_id long, source string, lang string, version string, sign int, tokens long"
+_LEDGER = "doc_id long, source string, lang string, version string, documents long, tokens long"
 _DELTA = "source string, lang string, version string, documents long, tokens long"
+_COUNTED = "doc_id long, source string, lang string, seq long, place int, which long, version string, documents long, tokens long"
+_ENTRY = "number long, batch string, folder string, base boolean"
 
 
 @cache
-def _multi(path: str):
+def _ranked(path: str) -> Encoder:
     import base64
 
     import public_tokenizers
@@ -31,16 +37,15 @@ def _multi(path: str):
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("multi", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return Encoder(tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary)
 
 
 def count_tokens(text: str, version: str) -> int:
-    """Tokens of a text under a tokenizer version: a name of /opt's public vocabularies without its suffix."""
+    """Tokens of a text under a tokenizer version: a name of the public byte-level vocabularies without its suffix."""
     import public_tokenizers
 
-    if version == "byte_bpe_50k":
-        return len(encode(text, *default_vocabulary()))
-    return len(_multi(public_tokenizers.path(f"{version}.tiktoken")).encode_ordinary(text))
+    found = encoder(default_vocabulary()) if version == "byte_bpe_50k" else _ranked(public_tokenizers.path(f"{version}.tiktoken"))
+    return len(found(text)) // 4
 
 
 #: Vocabularies counted by default.
@@ -52,80 +57,147 @@ class TokenRollup:
 
     def __init__(self, spark: SparkSession, path: str, versions: tuple[str, ...] = VERSIONS) -> None:
         self.spark, self.path, self.versions = spark, path.rstrip("/"), versions
-        jvm = spark._jvm
-        self._hadoop_path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._hadoop_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _batches(self) -> list[str]:
-        top = self._hadoop_path(f"{self.path}/batches")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(top)) if self._fs.exists(top) else []
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        where = self._hadoop.Path(self.path)
+        self._fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._context = self._hadoop.FileContext.getFileContext(where.toUri(), spark._jsc.hadoopConfiguration())
+
+    def _log(self) -> list:
+        """All entries by number; the driver holds one small row for each batch."""
+        top = f"{self.path}/log"
+        if not self._fs.exists(self._hadoop.Path(top)):
+            return []
+        return sorted(self.spark.read.schema(_ENTRY).json(top).collect(), key=lambda r: r["number"])
 
     def applied(self, batch_id: str) -> bool:
-        return self._fs.exists(self._hadoop_path(f"{self.path}/batches/{batch_id}"))
+        return any(r["batch"] == batch_id for r in self._log())
+
+    def _commit(self, number: int, batch: str | None, folder: str) -> bool:
+        """Make the entry, unless its number is taken."""
+        aside = self._hadoop.Path(f"{self.path}/data/{folder}/entry")
+        out = self._fs.create(aside, True)
+        out.write(bytearray(json.dumps({"number": number, "batch": batch, "folder": folder, "base": batch is None}).encode()))
+        out.close()
+        self._fs.mkdirs(self._hadoop.Path(f"{self.path}/log"))
+        try:
+            self._context.rename(aside, self._hadoop.Path(f"{self.path}/log/{number:012d}.json"), self.spark._sc._gateway.new_array(self._hadoop.Options.Rename, 0))
+        except Exception as error:  # noqa: BLE001 - a taken number shows as a Java exception
+            if "FileAlreadyExistsException" not in str(error):
+                raise
+            return False
+        return True
 
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        folders = [f"{self.path}/batches/{b}/{kind}" for b in self._batches()]
+    def _read(self, log: list, kind: str, schema: str) -> DataFrame:
+        """Rows of the last base and of what came after it."""
+        since = max((k for k, r in enumerate(log) if r["base"]), default=0)
+        folders = [f"{self.path}/data/{r['folder']}/{kind}" for r in log[since:]]
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
-    def ledger(self) -> DataFrame:
-        """Current rows of the ledger, one per document and version (more for documents inserted more than once)."""
-        whole = self._read("ledger", _LEDGER)
-        return whole.groupBy("doc_id", "source", "lang", "version").agg(F.sum("sign").alias("documents"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens")).where("documents <> 0 or tokens <> 0")
+    @staticmethod
+    def _summed(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.groupBy(*by).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).where("documents <> 0 or tokens <> 0")
+
+    def ledger(self, log: list | None = None) -> DataFrame:
+        """doc_id, source, lang, version, documents (how often it is in) and tokens (of all of these)."""
+        return self._summed(self._read(self._log() if log is None else log, "ledger", _LEDGER), "doc_id", "source", "lang", "version")
 
     def totals(self) -> DataFrame:
         """source, lang, version, documents, tokens over all applied batches; groups that became empty are left out."""
-        whole = self._read("delta", _DELTA)
-        return whole.groupBy("source", "lang", "version").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).where("documents <> 0 or tokens <> 0")
+        return self._summed(self._read(self._log(), "delta", _DELTA), "source", "lang", "version")
 
     def _counted(self, docs: DataFrame) -> DataFrame:
         versions = self.versions
+        names = [x.split()[0] for x in _COUNTED.split(", ")]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column(3)
+                n, texts = batch.num_rows, batch.column(6)
                 for version in versions:
                     tokens = [count_tokens(t.as_py() or "", version) for t in texts]
-                    n = len(tokens)
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([version] * n), pa.array([1] * n, pa.int32()), pa.array(tokens, pa.int64())], ["doc_id", "source", "lang", "version", "sign", "tokens"])
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array([version] * n, pa.string()), pa.array([1] * n, pa.int64()), pa.array(tokens, pa.int64())], names)
 
-        wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "text")
-        return wanted.mapInArrow(run, _LEDGER)
+        return docs.mapInArrow(run, _COUNTED)
 
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
-        """Apply a batch once. ``changes``: op ('insert', 'delete' or 'revise'), doc_id, source, lang, text.
-
-        A delete needs only the id; a revision of an unknown id inserts it, a delete of one changes nothing. Null text
-        counts 0 tokens; null sources and languages are groups of their own; repeated inserts count each; an empty batch
-        is remembered. False if the batch was there already.
+        """Apply a batch once. ``changes``: op ('insert', 'delete' or 'revise'), doc_id, source, lang, text and, if they are to
+        be ordered, seq.
+
+        Changes of one id take effect by seq (null first); at one seq inserts come first, then revisions, then deletes, and
+        of several revisions one stands. An insert adds a document, also to an id that is there; a delete removes all
+        documents of its id, a revision replaces them by one, and either may name an unknown id. Null text counts 0
+        tokens; null sources and languages are groups of their own; documents without an id can be inserted only, so
+        their revisions insert and their deletes do nothing; an empty batch is remembered. False if the batch was there.
         """
         if self.applied(batch_id):
             return False
         kinds = {r["op"] for r in changes.select("op").distinct().limit(5).collect()}
         if unknown := kinds - {"insert", "delete", "revise"}:
             raise ValueError(f"unknown change: {sorted(map(str, unknown))}")
-        rows = self._counted(changes.where("op <> 'delete'"))
+        seq = F.col("seq").cast("long") if "seq" in changes.columns else F.lit(None).cast("long")
+        place = F.when(F.col("op") == "insert", 0).when(F.col("op") == "revise", 1).otherwise(2)
+        ident, at = F.col("doc_id").cast("long").alias("doc_id"), F.struct("seq", "place", "which")
+        source, lang = (F.col(c).cast("string").alias(c) for c in ("source", "lang"))
+        folder = uuid.uuid4().hex
+        staged = f"{self.path}/data/{folder}"
+        coming = changes.where("op <> 'delete'").select(ident, source, lang, seq.alias("seq"), place.alias("place"), F.xxhash64("source", "lang", "text").alias("which"), "text")
+        self._counted(coming).write.parquet(f"{staged}/new")
+        counted = self.spark.read.schema(_COUNTED).parquet(f"{staged}/new")
+        resets = None
         if kinds - {"insert"}:
-            gone = changes.where("op <> 'insert'").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-            old = self.ledger().join(gone, "doc_id", "left_semi")
-            # a count that was inserted more than once leaves as often; the sum of its tokens leaves with the first row
-            rows = rows.unionByName(old.select("doc_id", "source", "lang", "version", F.lit(-1).alias("sign"), "tokens").where("tokens is not null"))
-        staged = f"{self.path}/staged/{batch_id}-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{staged}/ledger")
-        written = self.spark.read.schema(_LEDGER).parquet(f"{staged}/ledger")
-        delta = written.groupBy("source", "lang", "version").agg(F.sum(F.col("sign").cast("long")).alias("documents"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
-        delta.coalesce(1).write.parquet(f"{staged}/delta")
-        self._fs.mkdirs(self._hadoop_path(f"{self.path}/batches"))
-        if self.applied(batch_id) or not self._fs.rename(self._hadoop_path(staged), self._hadoop_path(f"{self.path}/batches/{batch_id}")):
-            self._fs.delete(self._hadoop_path(staged), True)
+            # what an id's last delete or revision leaves behind it, and that revision itself, once
+            deletes = changes.where("op = 'delete'").select(ident, seq.alias("seq"), place.alias("place"), F.lit(0).cast("long").alias("which"))
+            ends = counted.where((F.col("place") == 1) & (F.col("version") == self.versions[0])).select("doc_id", "seq", "place", "which").unionByName(deletes)
+            resets = cut(ends.where("doc_id is not null").groupBy("doc_id").agg(F.max(at).alias("last")), "resets")
+            known = resets.select(F.col("doc_id").alias("_id"), "last")
+            found = counted.join(known, F.col("doc_id") == F.col("_id"), "left")
+            stays = found.where(F.col("last").isNull() | (at > F.col("last")))
+            counted = stays.unionByName(found.where(at == F.col("last")).dropDuplicates(["doc_id", "version"]))
+        counted = counted.select([x.split()[0] for x in _LEDGER.split(", ")])
+        while True:
+            log = self._log()
+            if any(r["batch"] == batch_id for r in log):
+                self._fs.delete(self._hadoop.Path(staged), True)
+                return False
+            rows = counted
+            if resets is not None:
+                gone = self.ledger(log).join(resets.select("doc_id"), "doc_id", "left_semi")
+                rows = rows.unionByName(gone.select("doc_id", "source", "lang", "version", (-F.col("documents")).alias("documents"), (-F.col("tokens")).alias("tokens")))
+            rows.write.mode("overwrite").parquet(f"{staged}/ledger")
+            written = self.spark.read.schema(_LEDGER).parquet(f"{staged}/ledger")
+            self._summed(written, "source", "lang", "version").coalesce(1).write.mode("overwrite").parquet(f"{staged}/delta")
+            if self._commit(len(log) + 1, batch_id, folder):
+                self._fs.delete(self._hadoop.Path(f"{staged}/new"), True)
+                return True
+
+    def compact(self) -> bool:
+        """Fold all entries so far into one, so that later reads take that and what follows. False if another writer was
+        first; nothing is lost then."""
+        log = self._log()
+        folder = uuid.uuid4().hex
+        self.ledger(log).write.parquet(f"{self.path}/data/{folder}/ledger")
+        self._summed(self._read(log, "delta", _DELTA), "source", "lang", "version").coalesce(1).write.parquet(f"{self.path}/data/{folder}/delta")
+        if not self._commit(len(log) + 1, None, folder):
+            self._fs.delete(self._hadoop.Path(f"{self.path}/data/{folder}"), True)
             return False
         return True
 
 
 def token_counts(docs: DataFrame, path: str, versions: tuple[str, ...] = VERSIONS) -> DataFrame:
-    """Insert all ``docs`` as one batch of a fresh rollup in ``path``, replay it, and return the totals."""
+    """Totals of ``docs`` in a fresh rollup in ``path`` that sees every kind of change for every document.
+
+    One batch inserts all rows, and its replay changes nothing; a second one deletes each id, inserts it without a text and
+    revises it to its whole text. An id that stands on several rows so counts once, with one of them; rows without an
+    id count each.
+    """
     spark = docs.sparkSession
     rollup = TokenRollup(spark, path, versions)
-    inserts = docs.select(F.lit("insert").alias("op"), "doc_id", "source", "lang", "text")
+    rows = docs.select("doc_id", "source", "lang", "text")
+    inserts = rows.withColumn("op", F.lit("insert"))
     rollup.apply("load", inserts)
     rollup.apply("load", inserts)
+    named = rows.where("doc_id is not null")
+    steps = [("delete", 1, F.lit(None).cast("string")), ("insert", 2, F.lit(None).cast("string")), ("revise", 3, F.col("text"))]
+    parts = [named.withColumns({"op": F.lit(op), "seq": F.lit(k), "text": text}) for op, k, text in steps]
+    rollup.apply("second", parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    rollup.compact()
     return rollup.totals()
