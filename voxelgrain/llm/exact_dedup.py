@@ -1,11 +1,12 @@
 """Exact duplicates by Patricia-trie owners.
 
 Texts are equal when identical after each run of white space (``[\\x20\\x09-\\x0D]``) became one space; null is the
-empty text. Rows go to partitions by length and content hash; there, whole byte strings enter a compressed radix
-trie whose terminal nodes hold the smallest id and the number of rows. A trie runs twice: in each input partition
-(so that copies meet before the shuffle and a hot text arrives once per task), then over the partial owners.
-A finished or oversized subtree is spilled: its terminals leave for the next exchange or the result, and memory is
-freed, so a task holds at most ``SPILL_BYTES`` of labels plus one text.
+empty text. Rows go to partitions by length and content hash; there, whole byte strings enter one compressed radix
+trie, in which texts share their prefixes; terminal nodes hold the smallest id and the number of rows. A trie runs twice:
+in each input partition (so that copies meet before the shuffle and a hot text arrives once per task), then over the
+partial owners, in order of their bytes. A full trie spills by subtree: at the map side those below its first branching, as
+partial owners; after the shuffle all that lie before the text just inserted, which are final. So a task holds at most
+``SPILL_BYTES`` of labels plus one text.
 """
 
 from __future__ import annotations
@@ -77,6 +78,18 @@ class PatriciaTrie:
                 return
             yield from self._drain(prefix, node[1].pop(byte))
 
+    def spill_before(self, key: bytes) -> Iterator[tuple[bytes, int | None, int]]:
+        """Remove all subtrees and terminals that sort before ``key``, which the trie holds, and yield the terminals."""
+        node, at = self.root, 0
+        while at < len(key):
+            if node[2] is not None:
+                yield key[:at], *node[2]
+                node[2] = None
+            for byte in sorted(b for b in node[1] if b < key[at]):
+                yield from self._drain(key[:at], node[1].pop(byte))
+            node = node[1][key[at]]
+            at += len(node[0])
+
     def _drain(self, prefix: bytes, top: list) -> Iterator[tuple[bytes, int | None, int]]:
         waiting = [(prefix, top)]
         while waiting:
@@ -100,21 +113,16 @@ def _common(label: bytes, key: bytes, at: int) -> int:
     return low
 
 
-_COLUMNS = ("size", "hash", "body", "ident", "copies")
-_SCHEMA = "size long, hash long, body binary, ident long, copies long"
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], _COLUMNS)
+_COLUMNS = ("body", "ident", "copies")
+_SCHEMA = "body binary, ident long, copies long"
 
 
-def _flushed(items: Iterator[tuple[bytes, int | None, int]]) -> Iterator[pa.RecordBatch]:
-    """Terminals as rows; a key is 8 bytes of length, 8 of hash, then the text."""
+def _batches(items: Iterator[tuple[bytes, int | None, int]]) -> Iterator[pa.RecordBatch]:
+    """Terminals as rows, in batches of some megabytes."""
     rows, held = [], 0
-    for key, ident, count in items:
-        rows.append((int.from_bytes(key[:8], "big"), int.from_bytes(key[8:16], "big", signed=True), key[16:], ident, count))
-        held += len(key)
+    for row in items:
+        rows.append(row)
+        held += len(row[0])
         if held > 4 << 20:
             yield _batch(rows)
             rows, held = [], 0
@@ -122,38 +130,40 @@ def _flushed(items: Iterator[tuple[bytes, int | None, int]]) -> Iterator[pa.Reco
         yield _batch(rows)
 
 
-def _key(size: int, digest: int, body: bytes) -> bytes:
-    return size.to_bytes(8, "big") + digest.to_bytes(8, "big", signed=True) + body
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.binary(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], _COLUMNS)
 
 
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Map side: one row for each distinct text that the trie holds together; a full trie spills subtrees and goes on."""
-    trie = PatriciaTrie()
-    for batch in batches:
-        for size, digest, body, ident in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            trie.insert(_key(size, digest, body), ident, 1)
-            if trie.size > SPILL_BYTES:
-                yield from _flushed(trie.spill_subtrees(SPILL_BYTES // 2))
-    yield from _flushed(trie.spill())
+
+    def owners() -> Iterator[tuple[bytes, int | None, int]]:
+        trie = PatriciaTrie()
+        for batch in batches:
+            for body, ident in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                trie.insert(body.as_py(), ident, 1)
+                if trie.size > SPILL_BYTES:
+                    yield from trie.spill_subtrees(SPILL_BYTES // 2)
+        yield from trie.spill()
+
+    yield from _batches(owners())
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce side: rows come sorted by length and hash, so the subtree of a past (length, hash) is final and leaves."""
-    trie, last, done, held = PatriciaTrie(), None, [], 0
-    for batch in batches:
-        for size, digest, body, ident, count in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            if (size, digest) != last:
-                for key, owner, copies in trie.spill():
-                    done.append((size if last is None else last[0], last[1], key[16:], owner, copies))
-                    held += len(key)
-                last = (size, digest)
-                if held > 4 << 20:
-                    yield _batch(done)
-                    done, held = [], 0
-            trie.insert(_key(size, digest, body), ident, count)
-    done += [(last[0], last[1], key[16:], owner, copies) for key, owner, copies in trie.spill()]
-    if done:
-        yield _batch(done)
+    """Reduce side: texts come in order of their bytes, so what a full trie holds before the last one is final and leaves."""
+
+    def owners() -> Iterator[tuple[bytes, int | None, int]]:
+        trie = PatriciaTrie()
+        for batch in batches:
+            for body, ident, count in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                body = body.as_py()
+                trie.insert(body, ident, count)
+                if trie.size > SPILL_BYTES:
+                    yield from trie.spill_before(body)
+        yield from trie.spill()
+
+    yield from _batches(owners())
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
@@ -163,9 +173,9 @@ def _prepared(docs: DataFrame) -> DataFrame:
 
 def text_owners(docs: DataFrame) -> DataFrame:
     """One row per distinct normalised text: ``text_sha256``, ``keep_id`` (smallest id), ``group_size``."""
-    keyed = _prepared(docs).select(F.octet_length("norm").cast("long").alias("size"), F.xxhash64("norm").alias("hash"), F.col("norm").cast("binary").alias("body"), "ident")
-    partial = keyed.mapInArrow(_collapse, _SCHEMA)
-    owned = partial.repartition("size", "hash").sortWithinPartitions("size", "hash").mapInArrow(_own, _SCHEMA)
+    partial = _prepared(docs).select(F.col("norm").cast("binary").alias("body"), "ident").mapInArrow(_collapse, _SCHEMA)
+    dealt = partial.repartition(F.octet_length("body"), F.xxhash64("body")).sortWithinPartitions("body")
+    owned = dealt.mapInArrow(_own, _SCHEMA)
     return owned.select(F.sha2("body", 256).alias("text_sha256"), F.col("ident").alias("keep_id"), F.col("copies").alias("group_size"))
 
 
