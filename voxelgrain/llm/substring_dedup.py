@@ -104,8 +104,8 @@ def _chunk_batches(config: ChunkConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         power = {}
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offs = text_buffers(batch.column(1))
+            ids, parts = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            data, offs = text_buffers(batch.column(2))
             for i, j in chunks(offs):
                 own = offs[i : j + 1] - offs[i]
                 part = data[offs[i] : offs[j]]
@@ -125,35 +125,56 @@ def _chunk_batches(config: ChunkConfig):
                     sums = np.add.reduceat(values[part] * power[radix][inside], starts)
                     digest.append(mix(sums + lengths.astype(np.uint64) * _U(radix)).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i + owner]), pa.array((starts - own[owner]).astype(np.int64)), pa.array(lengths.astype(np.int32)), pa.array(digest[0]), pa.array(digest[1])],
-                    ["doc_id", "start", "bytes", "d", "e"],
+                    [pa.array(ids[i + owner]), pa.array(parts[i + owner]), pa.array((starts - own[owner]).astype(np.int64)), pa.array(lengths.astype(np.int32)), pa.array(digest[0]), pa.array(digest[1])],
+                    ["doc_id", "part", "start", "bytes", "d", "e"],
                 )
 
     return run
 
 
-def content_chunks(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """doc_id, start, bytes and the digest (d, e) of every chunk; places count UTF-8 bytes; a null id sorts last."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text")
-    return rows.mapInArrow(_chunk_batches(config), "doc_id long, start long, bytes int, d long, e long")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__vg_doc`` and ``__vg_part``, which name a document.
+
+    Rows with one id and one text are one document; where an id stands on several texts, or is null (then it sorts last),
+    the part is a hash of the text that keeps them apart; elsewhere it is 0.
+    """
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.withColumn("__vg_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
+    several = rows.groupBy("__vg_doc").agg(F.min(text_hash).alias("low"), F.max(text_hash).alias("high")).where("low <> high").select(F.col("__vg_doc").alias("__vg_several"))
+    several = cut(several, "several", slim=True)
+    if not several.limit(1).count():
+        return rows.withColumn("__vg_part", F.lit(0).cast("long"))
+    rows = rows.join(several, F.col("__vg_doc") == F.col("__vg_several"), "left")
+    return rows.withColumn("__vg_part", F.when(F.col("__vg_several").isNull(), 0).otherwise(text_hash)).drop("__vg_several")
+
+
+def documents_by_row(docs: DataFrame) -> DataFrame:
+    """doc_id, part and text of every row, documents told apart by the first two."""
+    return _keyed(docs.select("doc_id", "text")).select(F.col("__vg_doc").alias("doc_id"), F.col("__vg_part").alias("part"), "text")
+
+
+def content_chunks(rows: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
+    """doc_id, part, start, bytes and the digest (d, e) of every chunk of ``documents_by_row``; places count UTF-8 bytes."""
+    return rows.mapInArrow(_chunk_batches(config), "doc_id long, part long, start long, bytes int, d long, e long")
 
 
 def repeated_spans(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Spans that occurred before: doc_id, start, bytes, chunks, first_doc_id (where its first chunk is first seen).
 
-    Defined cases: null and empty texts have no chunk; rows that repeat an id are one document, seen once; a null id sorts
-    last and is shown as null; a text that repeats a passage of its own has it as a span too, with itself as first
-    document; an empty table gives no rows; other columns are not read.
+    Defined cases: null and empty texts have no chunk; rows that repeat an id and its text are one document, seen once;
+    rows that share an id, or have none, are kept apart by their texts; a null id sorts last and is shown as null; a text
+    that repeats a passage of its own has it as a span too, with itself as first document; an empty table gives no rows;
+    other columns are not read.
     """
-    found = cut(content_chunks(docs, config), "chunks")
-    first = found.groupBy("d", "e").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("d", "e", "first")
-    again = found.join(first, ["d", "e"]).where(F.struct("doc_id", "start") != F.col("first"))
-    again = again.select("doc_id", "start", "bytes", F.col("first.doc_id").alias("first_doc_id")).distinct()
-    order = Window.partitionBy("doc_id").orderBy("start")
+    found = cut(content_chunks(documents_by_row(docs), config), "chunks")
+    first = found.groupBy("d", "e").agg(F.min(F.struct("doc_id", "part", "start")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("d", "e", "first")
+    again = found.join(first, ["d", "e"]).where(F.struct("doc_id", "part", "start") != F.col("first"))
+    again = again.select("doc_id", "part", "start", "bytes", F.col("first.doc_id").alias("first_doc_id")).distinct()
+    order = Window.partitionBy("doc_id", "part").orderBy("start")
     fresh = F.coalesce(F.lag(F.col("start") + F.col("bytes")).over(order) != F.col("start"), F.lit(True))
     runs = again.withColumn("_fresh", fresh)
     runs = runs.withColumn("run", F.sum(F.col("_fresh").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    spans = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.sum("bytes").alias("bytes"), F.count("*").alias("chunks"), F.min_by("first_doc_id", "start").alias("first_doc_id"))
+    spans = runs.groupBy("doc_id", "part", "run").agg(F.min("start").alias("start"), F.sum("bytes").alias("bytes"), F.count("*").alias("chunks"), F.min_by("first_doc_id", "start").alias("first_doc_id"))
     shown = lambda c: F.nullif(c, F.lit(_LAST)).alias(c)
     return spans.where(F.col("bytes") >= config.least_bytes).select(shown("doc_id"), "start", "bytes", "chunks", shown("first_doc_id"))
 
@@ -211,18 +232,18 @@ def _range_hashes(data: np.ndarray):
     return of
 
 
-_ROWS = "doc_id long, word int, start long, bytes int, d long, e long"
+_ROWS = "doc_id long, part long, word int, start long, bytes int, d long, e long"
 
 
 def _passage_batches(config: PassageConfig, windows: bool):
-    """Anchors of all texts or, with the anchors' hashes wanted of each text in a third column, windows about these."""
+    """Anchors of all texts or, with the anchors' hashes wanted of each text in a fourth column, windows about these."""
     k, width = config.anchor, config.least_words
     steps = width - k + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offs = text_buffers(batch.column(1))
+            ids, parts = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            data, offs = text_buffers(batch.column(2))
             for i, j in chunks(offs):
                 own, part = offs[i : j + 1] - offs[i], data[offs[i] : offs[j]]
                 starts, ends, counts = passage_words(part, own) if len(part) else (np.zeros(0, np.int64),) * 3
@@ -238,7 +259,7 @@ def _passage_batches(config: PassageConfig, windows: bool):
                     at = [np.zeros(0, np.int64)]
                     begin = np.searchsorted(doc, np.arange(len(counts) + 1))
                     for m in np.flatnonzero(counts >= width).tolist():
-                        wanted = batch.column(2)[i + m].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                        wanted = batch.column(3)[i + m].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                         first, last = begin[m], begin[m + 1] - width + 1
                         at.append(first + np.flatnonzero(np.isin(least[first:last], wanted)))
                     at = np.concatenate(at)
@@ -251,69 +272,77 @@ def _passage_batches(config: PassageConfig, windows: bool):
                     last = at + k - 1
                     d, e = d[at], e[at]
                 owner = doc[at]
-                columns = [ids[i + owner], number[at].astype(np.int32), starts[at] - own[owner], (ends[last] - starts[at]).astype(np.int32), d.view(np.int64), e.view(np.int64)]
+                columns = [ids[i + owner], parts[i + owner], number[at].astype(np.int32), starts[at] - own[owner], (ends[last] - starts[at]).astype(np.int32), d.view(np.int64), e.view(np.int64)]
                 for x in range(0, len(at), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[x : x + (1 << 16)]) for c in columns], ["doc_id", "word", "start", "bytes", "d", "e"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[x : x + (1 << 16)]) for c in columns], ["doc_id", "part", "word", "start", "bytes", "d", "e"])
 
     return run
 
 
 def _later_copies(found: DataFrame) -> DataFrame:
     """Rows of ``found`` whose hash occurred before, with the first row's document and word."""
-    first = found.groupBy("d", "e").agg(F.min(F.struct("doc_id", "word")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("d", "e", "first")
-    again = found.join(first, ["d", "e"]).where(F.struct("doc_id", "word") != F.col("first"))
-    return again.select("doc_id", "word", "start", "bytes", "d", F.col("first.doc_id").alias("first_doc_id"), F.col("first.word").alias("first_word"))
+    first = found.groupBy("d", "e").agg(F.min(F.struct("doc_id", "part", "word")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("d", "e", "first")
+    again = found.join(first, ["d", "e"]).where(F.struct("doc_id", "part", "word") != F.col("first"))
+    return again.select("doc_id", "part", "word", "start", "bytes", "d", F.struct("first.doc_id", "first.part").alias("first_doc"), F.col("first.word").alias("first_word"))
 
 
-def repeated_passages(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame:
-    """Passages of ``least_words`` words or more that occurred before, to their true ends: doc_id, start, bytes, words,
-    first_doc_id (where the first proven stretch of it is first seen).
-
-    A passage joins all overlapping stretches of at least that many words that an earlier place (by document id, then
-    place) holds byte for byte, white space included. The defined cases are those of ``repeated_spans``.
-    """
+def _passages(docs: DataFrame, config: PassageConfig) -> DataFrame:
+    """doc_id, part, start, bytes, words and first_doc_id of every passage, by documents of ``documents_by_row``."""
     k, width = config.anchor, config.least_words
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text")
+    rows = documents_by_row(docs)
     found = cut(rows.mapInArrow(_passage_batches(config, False), _ROWS), "anchors")
     again = _later_copies(found).distinct()
-    order = Window.partitionBy("doc_id").orderBy("word", "start")
-    held = (F.lag("first_doc_id").over(order) == F.col("first_doc_id")) & (F.lag(F.col("word") - F.col("first_word")).over(order) == F.col("word") - F.col("first_word")) & (F.col("word") - F.lag("word").over(order) <= k)
+    order = Window.partitionBy("doc_id", "part").orderBy("word", "start")
+    held = (F.lag("first_doc").over(order) == F.col("first_doc")) & (F.lag(F.col("word") - F.col("first_word")).over(order) == F.col("word") - F.col("first_word")) & (F.col("word") - F.lag("word").over(order) <= k)
     chains = again.withColumn("_fresh", (~F.coalesce(held, F.lit(False))).cast("int"))
     chains = chains.withColumn("run", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    one = Window.partitionBy("doc_id", "run")
+    one = Window.partitionBy("doc_id", "part", "run")
     chains = cut(chains.withColumns({"low": F.min("word").over(one), "high": F.max("word").over(one)}), "chains")
-    proven = chains.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max(F.col("start") + F.col("bytes")).alias("stop"), F.min("word").alias("word"), (F.max("word") + k).alias("last"), F.min_by("first_doc_id", "start").alias("first_doc_id")
+    proven = chains.groupBy("doc_id", "part", "run").agg(
+        F.min("start").alias("start"), F.max(F.col("start") + F.col("bytes")).alias("stop"), F.min("word").alias("word"), (F.max("word") + k).alias("last"), F.min_by("first_doc", "start").alias("first_doc")
     )
     proven = proven.where(F.col("last") - F.col("word") >= width).drop("run")
     # windows that reach beyond a chain hold one of its outer anchors; other copies of these anchors give theirs as well
     outer = chains.where((F.col("word") - F.col("low") < width - k) | (F.col("high") - F.col("word") < width - k)).select("d").distinct()
-    wanted = found.join(outer, "d", "left_semi").groupBy("doc_id").agg(F.collect_set("d").alias("wanted"))
-    about = rows.join(wanted, "doc_id").select("doc_id", "text", "wanted")
+    wanted = found.join(outer, "d", "left_semi").groupBy("doc_id", "part").agg(F.collect_set("d").alias("wanted"))
+    about = rows.join(wanted, ["doc_id", "part"]).select("doc_id", "part", "text", "wanted")
     stretches = _later_copies(cut(about.mapInArrow(_passage_batches(config, True), _ROWS), "windows"))
-    stretches = stretches.select("doc_id", "start", (F.col("start") + F.col("bytes")).alias("stop"), "word", (F.col("word") + width).alias("last"), "first_doc_id")
-    order = Window.partitionBy("doc_id").orderBy("start", "stop")
+    stretches = stretches.select("doc_id", "part", "start", (F.col("start") + F.col("bytes")).alias("stop"), "word", (F.col("word") + width).alias("last"), "first_doc")
+    order = Window.partitionBy("doc_id", "part").orderBy("start", "stop")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     joined = proven.select(stretches.columns).union(stretches).withColumn("_fresh", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
     joined = joined.withColumn("run", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    out = joined.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), (F.max("stop") - F.min("start")).alias("bytes"), (F.max("last") - F.min("word")).alias("words"), F.min_by("first_doc_id", F.struct("start", "stop")).alias("first_doc_id")
+    return joined.groupBy("doc_id", "part", "run").agg(
+        F.min("start").alias("start"), (F.max("stop") - F.min("start")).alias("bytes"), (F.max("last") - F.min("word")).alias("words"), F.min_by("first_doc", F.struct("start", "stop"))["doc_id"].alias("first_doc_id")
     )
+
+
+def repeated_passages(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame:
+    """Passages of ``least_words`` words or more that occurred before, to their true ends: doc_id, start, bytes, words,
+    first_doc_id (where the first proven stretch of it is first seen).
+
+    A passage joins all overlapping stretches of at least that many words that an earlier place (by document id, then
+    text and place) holds byte for byte, white space included. The defined cases are those of ``repeated_spans``.
+    """
     shown = lambda c: F.nullif(c, F.lit(_LAST)).alias(c)
-    return out.select(shown("doc_id"), "start", "bytes", "words", shown("first_doc_id"))
+    return _passages(docs, config).select(shown("doc_id"), "start", "bytes", "words", shown("first_doc_id"))
 
 
 def cut_repeats(docs: DataFrame, config: PassageConfig = PassageConfig()) -> DataFrame:
-    """``docs`` with the repeated passages cut out of ``text``; other columns and rows stay."""
-    spans = repeated_passages(docs, config).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "bytes"))).alias("__vg_spans")).withColumnRenamed("doc_id", "__vg_doc")
-    joined = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(F.col("__vg_doc")), "left")
-    whole = docs["text"].cast("binary")
-    end = F.struct(F.octet_length(docs["text"]).cast("long").alias("start"), F.lit(0).cast("long").alias("bytes"))
+    """``docs`` with the repeated passages cut out of ``text``; other columns and rows stay.
+
+    Each text loses its own passages only: rows that share an id, or have none, are told apart by their texts, and rows that
+    repeat an id and its text are treated alike.
+    """
+    spans = _passages(docs, config).groupBy("doc_id", "part").agg(F.array_sort(F.collect_list(F.struct("start", "bytes"))).alias("__vg_spans"))
+    joined = _keyed(docs).join(spans.withColumnsRenamed({"doc_id": "__vg_doc", "part": "__vg_part"}), ["__vg_doc", "__vg_part"], "left")
+    whole = F.col("text").cast("binary")
+    end = F.struct(F.octet_length("text").cast("long").alias("start"), F.lit(0).cast("long").alias("bytes"))
     piece = F.aggregate(
         F.concat(F.col("__vg_spans"), F.array(end)),
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").cast("binary").alias("kept")),
         lambda a, s: F.struct((s["start"] + s["bytes"]).alias("at"), F.concat(a["kept"], F.substring(whole, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))).alias("kept")),
         lambda a: F.decode(a["kept"], "UTF-8"),
     )
-    text = F.when(F.col("__vg_spans").isNull(), docs["text"]).otherwise(piece)
-    return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    text = F.when(F.col("__vg_spans").isNull(), F.col("text")).otherwise(piece)
+    return joined.withColumn("text", text).select(*docs.columns)
