@@ -29,14 +29,13 @@ _BLOCK = 96
 
 @dataclass(frozen=True)
 class LanguageConfig:
-    """``sample`` bounds the labelled texts learnt from, ``languages`` the classes (the most frequent ones)."""
+    """``sample`` bounds the labelled texts learnt from, and so the classes: at least one text of each is learnt."""
 
     window: int = 256
     widths: tuple[int, ...] = (2, 3, 4)
     filters: int = 16
     embedding: int = 8
     sample: int = 4000
-    languages: int = 256
     epochs: int = 8
     batch: int = 64
     rate: float = 4e-3
@@ -147,7 +146,7 @@ def fit_language_model(docs: DataFrame, config: LanguageConfig = LanguageConfig(
     None when no row is labelled.
     """
     known = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(config.languages).collect()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(config.sample).collect()
     if not counts:
         return None
     each = max(1, config.sample // len(counts))
@@ -204,7 +203,7 @@ def score_batch(model: ByteCNN, column: pa.Array) -> tuple[list[str], np.ndarray
 
 
 def with_language(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
-    """``docs`` with ``_lang`` and ``_score`` appended."""
+    """``docs`` with ``__vg_lang`` and ``__vg_score`` appended."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     names = docs.columns
@@ -233,11 +232,17 @@ def predict_languages(docs: DataFrame, config: LanguageConfig = LanguageConfig()
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__vg_lang").alias("lang_pred"), F.col("__vg_score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, languages: tuple[str, ...] | None = None, least: float = 0.3, config: LanguageConfig = LanguageConfig()) -> DataFrame:
-    """Documents in a known language (one of ``languages``, if given) with a score of ``least`` or more; the rest go."""
+def keep_identified(docs: DataFrame, languages: tuple[str, ...] | None = None, least: float = 0.07, config: LanguageConfig = LanguageConfig()) -> DataFrame:
+    """Documents in a known language (one of ``languages``, if given), all columns; the rest go.
+
+    A score must be ``least`` of the way from chance (one over the number of learnt languages) to certainty, so that the
+    bound keeps its meaning with any number of languages. Null texts, and texts without a letter, go; rows with a null id or
+    language are judged like others; with nothing to learn from every row goes; an empty table gives no rows.
+    """
     model = fit_language_model(docs.select("doc_id", "text", "lang"), config)
     scored = with_language(docs, model)
-    known = (F.col("__vg_lang") != UNDETERMINED) & (F.col("__vg_score") >= least)
+    chance = 1 / len(model.classes) if model else 1.0
+    known = (F.col("__vg_lang") != UNDETERMINED) & (F.col("__vg_score") >= chance + least * (1 - chance) - 1e-6)
     if languages is not None:
         known &= F.col("__vg_lang").isin(*languages)
     return scored.where(known).select(*docs.columns)

@@ -24,7 +24,7 @@ WEIGHTS = (5, 2, 1)
 #: A source, and so a document, is repeated at most so often.
 LIMIT = 3
 _EPS = 1e-9
-_FIELDS = "doc_id long, source string, size long, whole long, part double, bucket long, ticket long"
+_FIELDS = "doc_id long, source string, size long, th long, whole long, part double, bucket long, ticket long"
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
@@ -91,16 +91,25 @@ def _group_key(source) -> F.Column:
 
 
 def rounded_copies(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, seed: int = 11) -> DataFrame:
-    """``sizes`` (doc_id, source, size) with source_size, target and whole ``copies`` of each row."""
+    """``sizes`` (doc_id, source, size, th) with source_size, target and whole ``copies`` of each row.
+
+    Rows go to leaves by a hash of what they are; where more than a leaf's rows are alike, their places deal them out.
+    """
     targets = cut(source_targets(sizes, weights, limit), "targets", slim=True)
     share = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(limit)))).otherwise(F.lit(0.0))
     joined = sizes.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    ticket = F.xxhash64("doc_id", "size", F.lit(seed))
+    ticket = F.xxhash64("doc_id", "size", "th", F.lit(seed))
+    alike = sizes.groupBy(F.xxhash64("doc_id", "source", "size", "th").alias("_alike")).count().where(F.col("count") > LEAF).select("_alike")
+    alike = cut(alike, "alike", slim=True)
+    if alike.limit(1).count():
+        joined = joined.withColumn("_row", F.monotonically_increasing_id()).withColumn("_this", F.xxhash64("doc_id", "source", "size", "th"))
+        joined = joined.join(alike, F.col("_this") == F.col("_alike"), "left")
+        ticket = F.when(F.col("_alike").isNotNull(), F.xxhash64(ticket, "_row")).otherwise(ticket)
     joined = joined.withColumns({"share": share, "ticket": ticket})
     part = F.col("share") - F.floor("share")
     part = F.when(F.col("size") > 0, part).otherwise((F.pmod(F.xxhash64("ticket"), F.lit(1 << 20)) / (1 << 20) < part).cast("double"))
     leaf = F.pmod(F.col("ticket"), F.ceil(F.col("rows") / LEAF))
-    units = joined.select("doc_id", "source", "size", F.floor("share").alias("whole"), part.alias("part"), leaf.alias("bucket"), "ticket")
+    units = joined.select("doc_id", "source", "size", "th", F.floor("share").alias("whole"), part.alias("part"), leaf.alias("bucket"), "ticket")
     widest = targets.agg(F.max(F.ceil(F.col("rows") / LEAF)).alias("n")).first()["n"] or 1
 
     fraction = (F.col("part") > _EPS) & (F.col("part") < 1 - _EPS)
@@ -118,22 +127,23 @@ def rounded_copies(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit:
     decided = done[0]
     for more in done[1:]:
         decided = decided.unionByName(more)
-    decided = decided.select("doc_id", "source", "size", (F.col("whole") + F.col("part").cast("long")).alias("copies"))
+    decided = decided.select("doc_id", "source", "size", "th", (F.col("whole") + F.col("part").cast("long")).alias("copies"))
     return decided.join(targets.select(F.col("source").alias("_s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the number of words (runs without white space; null text: 0)."""
+    """doc_id, source, the number of words (runs without white space; null text: 0) and th, a hash of the text."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_CLASS)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("th"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, seed: int = 11) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken (words taken, repeats counted).
 
     Defined cases: null sources form one source, last in order; a null or empty text has size 0 and takes nothing; a
-    source without words has target 0; repeated rows are rounded separately; draws depend on ids, sizes and the seed
-    only, so reruns agree; an empty table gives no rows.
+    source without words has target 0; repeated rows are rounded separately; draws depend on ids, sizes, texts and the
+    seed only, so reruns agree (beyond ``LEAF`` rows that are alike in all of these, also on their places, which no one can
+    tell apart); an empty table gives no rows.
     """
     sizes = cut(document_sizes(docs), "sizes")
     rounded = rounded_copies(sizes, weights, limit, seed)
@@ -141,8 +151,20 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int
 
 
 def take_mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, seed: int = 11) -> DataFrame:
-    """The documents of the mix, each as often as it was drawn; rows that share an id share one row's draw."""
+    """The documents of the mix, each as often as it was drawn, all columns.
+
+    A row is known by id, source and text. Rows alike in these share out what they drew together, the first ones one more
+    where it doesn't divide. Wordless rows are drawn at their source's rate. An empty table gives no rows.
+    """
     sizes = cut(document_sizes(docs), "sizes")
-    copies = rounded_copies(sizes, weights, limit, seed).groupBy("doc_id").agg(F.max("copies").alias("__vg_copies")).where("__vg_copies > 0")
-    copies = copies.select(F.col("doc_id").alias("__vg_drawn"), F.explode(F.sequence(F.lit(1), F.col("__vg_copies").cast("int"))).alias("__vg_copy"))
-    return docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(F.col("__vg_drawn"))).select(*[docs[c] for c in docs.columns])
+    drawn = rounded_copies(sizes, weights, limit, seed).groupBy("doc_id", "source", "th").agg(F.sum("copies").alias("__vg_copies"), F.count("*").alias("__vg_rows")).where("__vg_copies > 0")
+    drawn = cut(drawn.select(F.col("doc_id").alias("__vg_id"), F.col("source").alias("__vg_source"), F.col("th").alias("__vg_th"), "__vg_copies", "__vg_rows"), "drawn")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__vg_id")) & docs["source"].cast("string").eqNullSafe(F.col("__vg_source")) & (F.xxhash64(docs["text"]) == F.col("__vg_th"))
+    found = docs.join(drawn, same)
+    each = F.floor(F.col("__vg_copies") / F.col("__vg_rows"))
+    if drawn.where("__vg_rows > 1 and __vg_copies % __vg_rows <> 0").limit(1).count():
+        nth = F.row_number().over(Window.partitionBy("__vg_id", "__vg_source", "__vg_th").orderBy("__vg_rows"))
+        found = found.withColumn("__vg_nth", F.when(F.col("__vg_rows") > 1, nth).otherwise(1))
+        each = each + (F.col("__vg_nth") <= F.col("__vg_copies") % F.col("__vg_rows")).cast("long")
+    times = F.when(each > 0, F.sequence(F.lit(1), each.cast("int"))).otherwise(F.array().cast("array<int>"))
+    return found.withColumn("__vg_time", F.explode(times)).select(*[docs[c] for c in docs.columns])

@@ -83,11 +83,14 @@ class QualityModel:
         return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
     def vote(self, counts: np.ndarray) -> np.ndarray:
+        """The share of label 1 among the nearest, by similarity; all that are as near as the last one vote, too."""
         similar = self.embed(counts) @ self.vectors.T
-        k = min(self.config.neighbours, similar.shape[1])
-        near = np.argpartition(-similar, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(similar, near, axis=1), 0).astype(np.float64) ** 4 + 1e-9
-        return np.clip((weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1), 0, 1)
+        last = max(similar.shape[1] - self.config.neighbours, 0)
+        least = np.partition(similar, last, axis=1)[:, last, None]
+        weight = np.where(similar >= least, np.square(np.square(np.maximum(similar, 0))) + np.float32(1e-9), np.float32(0))
+        score = (weight @ self.labels.astype(np.float32)) / weight.sum(axis=1)
+        alike = counts.sum(axis=1) == 0  # nothing to compare: every labelled document is as near
+        return np.clip(np.where(alike, self.labels.mean(), score).astype(np.float64), 0, 1)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> QualityModel | None:
@@ -123,8 +126,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, config: QualityConfig = Qual
 def score_quality(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted (1 at ``config.threshold`` or more).
 
-    Defined cases: a null or empty text votes like an empty vector (all neighbours alike); without any label every score
-    is 0.5; labels with a null id or quality are not used, of several for one id the highest; an empty table gives no
+    Defined cases: a null text, or one of fewer than three bytes, gets the share of label 1 among all learnt from; ties at
+    the last place of the nearest all vote; without any label every score is 0.5; labels with a null id or quality are not used, of several for one id the highest; an empty table gives no
     rows; language, source and ids never enter a score.
     """
     model = fit_quality(docs, labels, config)
