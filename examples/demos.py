@@ -67,7 +67,7 @@ def coarse(spark: SparkSession, n: int, out: str) -> None:
     """Blocks of four voxels, materials and normals."""
     shape, _, voxels = _labels(spark, n, 8)
     blocks = (n // 4,) * 3
-    whole = combo.composite_voxels(voxels, shape, blocks).join(combo.interface_normals(voxels, shape, blocks), ["bi", "bj", "bk"], "left")
+    whole = combo.coarse_grained(voxels, shape, blocks, pad=(2, 2, 2))
     parquet.write_combo(whole, out, "coarse")
     combo.composite_fractions(whole).show()
 

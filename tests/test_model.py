@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from voxelgrain import model
 from voxelgrain.functions import sql as names
-from voxelgrain.operators import grids, lattices, raster, spectral, views, voronoi
+from voxelgrain.operators import grids, lattices, raster, spectral, tpms, views, voronoi
 from voxelgrain.operators import seeds as sd
 from voxelgrain.plans import catalog
 
+BOX = (1.0, 1.0, 1.0)
+
 
 def test_image_of_an_array(spark, tmp_path):
     array = np.random.default_rng(1).integers(0, 4, (3, 4, 5))
@@ -50,7 +52,13 @@ def test_faces_within_and_boxes(spark):
 
 def test_sql_names(spark):
     assert set(names.register(spark)) >= {"gyroid", "von_mises", "voxel_grid"}
-    assert spark.sql("SELECT count(*) FROM voxel_grid(2, 3, 4)").first()[0] == 24
+    assert spark.sql("SELECT count(*), count(DISTINCT i, j, k), max(i), max(j), max(k) FROM voxel_grid(2, 3, 4)").first()[:] == (24, 24, 1, 2, 3)
+    raw = tpms.raw_field(spark, "lidinoid", (3, 4, 5)).select("i", "j", "k", F.round("f", 9).alias("f"))
+    assert spark.sql("SELECT i, j, k, round(f, 9) AS f FROM tpms_grid('lidinoid', 3, 4, 5)").exceptAll(raw).count() == 0
+    for method in ("rubiks-cube", "honeycomb", "halton", "sobol", "diamond"):
+        own = sd.sobol_seeds(spark, 12, BOX) if method == "sobol" else sd.voronoi_seeds(spark, 12, BOX, method)
+        a, b = (sorted((r["seed_id"], *(round(r[c], 9) % 1.0 for c in "xyz")) for r in rows.collect()) for rows in (own, spark.sql(f"SELECT * FROM voronoi_seeds(12, '{method}')")))
+        assert a == b
     assert spark.sql("SELECT max(x) FROM lattice_seeds(8)").first()[0] == 0.5
     assert spark.sql("SELECT von_mises(array(1D, 1D, 1D, 0D, 0D, 0D))").first()[0] == 0.0
 

@@ -1,7 +1,10 @@
 """Files in and out, result tables, streaming, and the entry module."""
 
 import base64
+import importlib.util
+import os
 import struct
+import sys
 import zlib
 from xml.etree import ElementTree
 
@@ -9,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxelgrain.operators import elastic, grids, results as rs, voronoi
+from voxelgrain.operators import combo, elastic, grids, results as rs, voronoi
 from voxelgrain.operators import seeds as sd
 from voxelgrain.sources import hdf5, parquet, vtk, xdmf
 from voxelgrain.streaming import RESULTS, read_steps, running_maximum, streamed_measures
@@ -180,6 +183,89 @@ def test_hdf5_says_what_is_missing(spark):
         hdf5.catalog(spark, ["x.h5"])
 
 
+STUB = os.path.join(os.path.dirname(__file__), "stubs", "h5py.py")
+
+
+@pytest.fixture
+def h5py_stub(spark, monkeypatch):
+    """The HDF5 sources against a stand-in library, on the driver and in the workers."""
+    found = importlib.util.spec_from_file_location("h5py", STUB)
+    module = importlib.util.module_from_spec(found)
+    monkeypatch.setitem(sys.modules, "h5py", module)
+    found.loader.exec_module(module)
+    monkeypatch.setattr(hdf5, "h5py", module)
+    spark.sparkContext.addPyFile(STUB)
+    return module
+
+
+@pytest.mark.skipif(hdf5.h5py is not None, reason="h5py is installed")
+@pytest.mark.parametrize(("kind", "stored"), [("int", "i4"), ("double", "f8"), ("float", "f4")])
+def test_hdf5_images(spark, tmp_path, h5py_stub, kind, stored):
+    voxels = grids.voxel_grid(spark, (3, 4, 5)).withColumn("label", (F.col("i") * 100 + F.col("k") + (0.25 if kind != "int" else 0)).cast(kind))
+    file = str(tmp_path / "one.h5")
+    hdf5.write_image(voxels, file, "/img", (3, 4, 5), (1.0, 2.0, 3.0), metadata={"who": "me"})
+    hdf5.write_image(voxels, file, "/img", (3, 4, 5), (1.0, 2.0, 3.0), metadata={"who": "me"})
+    with h5py_stub.File(file) as held:
+        assert held["/img"].dtype == stored and held["/img"].shape == (5, 4, 3) and held["/img"].options["compression"] == "gzip"
+    back, header = hdf5.read_image(spark, file, "/img")
+    assert sorted(map(tuple, back.select("i", "j", "k", "label").collect())) == sorted(map(tuple, voxels.collect()))
+    assert header["shape"] == (3, 4, 5) and header["lengths"] == [1.0, 2.0, 3.0] and header["attrs"]["who"] == "me"
+    with pytest.raises(ValueError):
+        hdf5.read_image(spark, file, "/none")
+    with pytest.raises(ValueError):
+        hdf5.write_image(voxels, file, "/img", (3, 4, 5), compression=11)
+
+
+@pytest.mark.skipif(hdf5.h5py is not None, reason="h5py is installed")
+def test_hdf5_catalog_merge_and_description(spark, tmp_path, h5py_stub, monkeypatch):
+    files = [str(tmp_path / f"{n}.h5") for n in "abc"]
+    for n, file in enumerate(files[:2]):
+        with h5py_stub.File(file, "w") as held:
+            held.create_dataset("/same", data=np.full((2, 2, 2), n)).attrs["n"] = np.int64(n)
+            held.create_dataset(f"/g/time_step{n + 1}/own{n}", data=np.full((2, 2, 2, 3), n))
+    rows = {(r["file"], r["path"]): r for r in hdf5.catalog(spark, files[:2]).collect()}
+    assert len(rows) == 4 and rows[files[1], "/same"]["attrs"] == {"n": "1"} and rows[files[0], "/g/time_step1/own0"]["shape"] == [2, 2, 2, 3]
+    assert hdf5.merge_files(spark, files[2], files[:2]) == 3
+    with h5py_stub.File(files[2]) as held:
+        assert held["/same"][0, 0, 0] == 1 and "/g/time_step1/own0" in held
+    assert hdf5.merge_files(spark, files[2], files[:1], overwrite=False) == 0
+    monkeypatch.setattr("voxelgrain.session.local_session", lambda *a, **k: spark)
+    hdf5.main(["-o", files[2], "-i", files[0]])
+    with h5py_stub.File(files[2]) as held:
+        assert held["/same"][0, 0, 0] == 0
+    xdmf.main([files[2], "-x", str(tmp_path / "c.xdmf"), "-t", "-c", "1", "2", "4"])
+    series = ElementTree.parse(tmp_path / "c.xdmf").getroot()
+    assert [t.get("Value") for t in series.iter("Time")] == ["1.0", "2.0"]
+    with h5py_stub.File(files[0], "a") as held:
+        held.create_dataset("/same/inner", data=np.zeros(2))
+    with pytest.raises(ValueError, match="one name"):
+        hdf5.merge_files(spark, files[2], files[:2])
+
+
+def test_padded_records_round_trip(spark):
+    array = np.zeros((4, 4, 4), int)
+    array[1:] = 2
+    array[1, 0, 0] = 3
+    rows = [(*map(int, p), int(v)) for p, v in np.ndenumerate(array) for p in [p]]
+    whole = combo.coarse_grained(spark.createDataFrame(rows, "i int, j int, k int, label int"), (4, 4, 4), (2, 2, 2)).cache()
+    records = parquet.padded_records(whole).cache()
+    one = records.where("coords = array(0, 0, 0)").first()
+    two = records.where("coords = array(0, 1, 1)").first()
+    assert one["materials"] == [0, 2, 3] and two["materials"] == [0, 2, -1] and two["fractions"] == [0.5, 0.5, -1.0]
+    assert one["normal"] == [0.0, 0.0, 0.0] and two["num_materials"] == 2 and len(one["fine_scale_block"]) == 8
+    back = {tuple(r)[:3]: r for r in parquet.from_padded_records(records).collect()}
+    for r in whole.where("size(phases) > 1").collect():
+        assert back[r["bi"], r["bj"], r["bk"]]["phases"] == r["phases"] and back[r["bi"], r["bj"], r["bk"]]["fine"] == r["fine"]
+    assert parquet.padded_records(whole.limit(0)).count() == 0
+
+
+def test_combo_writes_its_fine_image(spark, tmp_path):
+    fine = grids.voxel_grid(spark, (2, 2, 2)).withColumn("label", F.col("i"))
+    parquet.write_combo(combo.coarse_grained(fine, (2, 2, 2), (1, 1, 1)), str(tmp_path), "g", fine)
+    assert parquet.read_combo(spark, str(tmp_path), "g").first()["coarse"] == -2
+    assert spark.read.parquet(str(tmp_path / "g_fine")).count() == 8
+
+
 def test_streamed_steps(spark, tmp_path, results):
     folder = str(tmp_path / "steps")
     stamped = results.withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("time_step")))

@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxelgrain.operators import combo, erosion, grids, raster, spectral, stencils, voronoi
+from voxelgrain.operators import combo, erosion, grids, order, raster, spectral, stencils, voronoi
 from voxelgrain.operators import seeds as sd
-from voxelgrain.operators.fractions import volume_fractions
+from voxelgrain.operators.fractions import quantile, volume_fractions
 
 BOX = (1.0, 1.0, 1.0)
 
@@ -142,6 +142,76 @@ def test_laminate_normals(spark):
     assert len(normals) == 4 and all(np.allclose(r["normal"], [-1, 0, 0]) for r in normals)
 
 
+def block_normals(array, blocks, lengths, pad, min_fraction=0.0):
+    """Normals block by block from the Laplacian of the whole image, in NumPy; wrapped windows."""
+    shape = np.array(array.shape)
+    h = np.array(lengths, float) / shape
+    raw = np.array([h[1] * h[2] / h[0], h[0] * h[2] / h[1], h[0] * h[1] / h[2]])
+    f = 3 / raw.sum()
+    lap = 2 * f * raw.sum() * array.astype(float)
+    for axis in range(3):
+        lap -= f * raw[axis] * (np.roll(array, 1, axis) + np.roll(array, -1, axis))
+    lap, size, found = np.abs(lap), shape // np.array(blocks), {}
+    for b in itertools.product(*map(range, blocks)):
+        own = np.ix_(*[np.arange(k * s, (k + 1) * s) for k, s in zip(b, size)])
+        wide = np.ix_(*[np.arange(k * s - p, (k + 1) * s + p) % n for k, s, p, n in zip(b, size, pad, shape)])
+        labels, counts = np.unique(array[own], return_counts=True)
+        labels = labels[counts / counts.sum() >= min_fraction]
+        if len(labels) != 2:
+            continue
+        window = wide if np.array_equal(np.unique(array[own]), np.unique(array[wide])) else own
+        w, phase = lap[window], array[window] != labels[0]
+        at = np.argwhere(w > 1e-5) * h
+        weight = w[w > 1e-5] / w[w > 1e-5].sum()
+        if not len(at):
+            continue
+        off = at - (at * weight[:, None]).sum(axis=0)
+        values, vectors = np.linalg.eigh((off * weight[:, None]).T @ off)
+        centre = ((np.argwhere(phase) + 0.5 - np.array(phase.shape) / 2) * h).mean(axis=0)
+        normal = vectors[:, 0]
+        found[b] = (-normal if normal @ centre > 0 else normal), values[1] - values[0], abs(normal @ centre)
+    return found
+
+
+@pytest.mark.parametrize(("pad", "min_fraction"), [((0, 0, 0), 0.0), ((2, 1, 0), 0.0), ((1, 1, 1), 0.1)])
+def test_normals_against_numpy(spark, pad, min_fraction):
+    shape, blocks, lengths = (16, 12, 8), (4, 3, 2), (1.0, 2.0, 0.5)
+    x = np.stack(np.indices(shape), axis=-1) @ np.array([0.8, 0.5, 0.3])
+    array = np.where(x < 9, 2, np.where(x < 14, 5, 9))
+    want = block_normals(array, blocks, lengths, pad, min_fraction)
+    out = combo.interface_normals(image(spark, array), shape, blocks, lengths, pad, min_fraction)
+    got = {(r["bi"], r["bj"], r["bk"]): np.array(r["normal"]) for r in out.collect()}
+    assert set(got) == set(want) and len(got) > 8
+    for b, (normal, gap, side) in want.items():
+        if gap > 1e-9:  # else any direction of a plane is one of least spread
+            assert abs(abs(got[b] @ normal) - 1) < 1e-6
+            if side > 1e-9:
+                assert got[b] @ normal > 0
+
+
+def test_normals_of_a_tilted_plane(spark):
+    shape, direction = (32, 32, 32), np.array([0.6, 0.64, 0.48])
+    array = ((np.stack(np.indices(shape), axis=-1) @ direction) > 27).astype(int)
+    inner = [b for b in itertools.product(range(1, 3), repeat=3)]  # away from the image's own wrap
+    out = combo.interface_normals(image(spark, array), shape, (4, 4, 4), pad=(2, 2, 2)).collect()
+    angles = [np.degrees(np.arccos(min(abs(np.array(r["normal"]) @ direction), 1))) for r in out if (r["bi"], r["bj"], r["bk"]) in inner]
+    assert len(angles) >= 4 and max(angles) < 7
+    assert all(np.array(r["normal"]) @ direction < 0 for r in out if (r["bi"], r["bj"], r["bk"]) in inner)
+
+
+def test_coarse_graining_is_one_operator(spark):
+    array = np.zeros((8, 8, 8), int)
+    array[2:] = 3
+    array[2, 0, 0] = 7
+    rows = {(r["bi"], r["bj"], r["bk"]): r for r in combo.coarse_grained(image(spark, array), (8, 8, 8), (2, 2, 2), pad=(1, 1, 1)).collect()}
+    assert rows[1, 0, 0]["coarse"] == 3 and rows[1, 0, 0]["fine"] is None and rows[1, 0, 0]["normal"] is None
+    assert rows[0, 0, 0]["coarse"] == -3 and rows[0, 0, 0]["normal"] is None
+    assert rows[0, 0, 0]["fine"] == array[:4, :4, :4].ravel().tolist() and rows[0, 1, 1]["fine"] == array[:4, 4:, 4:].ravel().tolist()
+    assert np.allclose(rows[0, 1, 1]["normal"], [-1, 0, 0])
+    with pytest.raises(ValueError):
+        combo.interface_normals(image(spark, array), (8, 8, 8), (2, 2, 2), pad=(3, 0, 0))
+
+
 def test_laplacian_is_the_fft_one(spark, random_image):
     shape, lengths = random_image.shape, (1.0, 2.0, 0.5)
     got = dense(stencils.laplacian(image(spark, random_image), shape, "label", lengths), shape, "lap")
@@ -220,7 +290,7 @@ def test_spinodal_meets_its_fraction(spark):
 
 
 def test_hashed_noise_is_normal(spark):
-    mean, std = spectral.noise(spark, (20, 20, 20), small=0).agg(F.avg("re"), F.stddev_pop("re")).first()
+    mean, std = spectral.noise(spark, (20, 20, 20)).agg(F.avg("re"), F.stddev_pop("re")).first()
     assert abs(mean) < 0.05 and abs(std - 1) < 0.05
 
 
@@ -229,3 +299,55 @@ def test_first_match_and_renumbering(spark):
     assert {r["v"]: r["tag"] for r in erosion.first_match(df, ["v"], ["ord"]).collect()} == {1: 7, 2: 9, 3: None}
     got = {(r["v"], r["tag"]): r["new"] for r in erosion.renumbered(df, "tag", 10, "new").collect()}
     assert got == {(1, 9): 11, (1, 7): 10, (2, 9): 11, (3, None): None}
+
+
+def test_numbers_follow_the_order_without_a_window_over_all(spark):
+    rng = np.random.default_rng(3)
+    values = [(int(a), float(b)) for a, b in zip(rng.integers(0, 50, 3000), rng.random(3000))] + [(None, 0.5)]
+    frame = spark.createDataFrame(values, "a int, b double").repartition(5)
+    got = order.numbered(frame, ["a", "b"], "n", 7)
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    want = sorted(values, key=lambda v: (v[0] is not None, v[0] or 0, v[1]))
+    assert [(r["a"], r["b"]) for r in got.orderBy("n").collect()] == want and got.agg(F.min("n"), F.max("n")).first()[:] == (7, 3007)
+    total = order.running_total(frame.where("a is not null"), ["a", "b"], F.col("a"), "s").orderBy("a", "b").collect()
+    assert [r["s"] for r in total] == np.cumsum([v[0] for v in want[1:]]).tolist()
+
+
+def test_order_statistics_against_sorting(spark):
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.normal(0, 1, 2000), rng.normal(1e6, 1e-3, 500), np.full(400, 2.5)])
+    frame = spark.createDataFrame([(float(v),) for v in values], "v double")
+    places = [0, 1, 1000, 1999, 2200, 2899]
+    assert order.order_statistics(frame, "v", places) == np.sort(values)[places].tolist()
+    assert quantile(frame, "v", 0.37).first()[0] == pytest.approx(float(np.quantile(values, 0.37)), abs=1e-12)
+    assert quantile(frame.limit(0), "v", 0.5).first()[0] is None
+
+
+@pytest.mark.parametrize("lengths", [(1.0, 1.0, 1.0), (1.0, 2.0, 0.7), (1.0, 0.5)])
+def test_tessellation_by_blocks_is_the_same(spark, lengths):
+    seeds = sd.voronoi_seeds(spark, 60, lengths, "random", 8).cache()
+    keys = ["seed_a", "seed_b", "ox", "oy", "oz"]
+    rows = lambda faces: {tuple(r[k] for k in keys): (r["area"], r["distance"]) for r in faces.collect()}
+    one, two = rows(voronoi.tessellate(seeds, lengths)), rows(voronoi.tessellate_blocks(seeds, lengths, 8))
+    assert set(one) == set(two) and all(np.allclose(one[k], two[k]) for k in one)
+
+
+def test_plane_tessellation(spark, tmp_path):
+    from voxelgrain.sources import vtk
+
+    lengths = (2.0, 1.0)
+    faces = voronoi.tessellate(sd.voronoi_seeds(spark, 30, lengths, "random", 5), lengths).cache()
+    areas = voronoi.cell_volumes(faces, 2)
+    assert abs(areas.agg(F.sum("volume")).first()[0] - 2.0) < 1e-9 and areas.count() == 30
+    for r in voronoi.cell_polygons(faces).join(areas, "seed_id").collect():
+        x, y = np.array([(p["x"], p["y"]) for p in r["verts"]]).T
+        assert abs(0.5 * np.sum(x * np.roll(y, -1) - y * np.roll(x, -1)) - r["volume"]) < 1e-7
+    tensor = {(r["a"], r["b"]): r["value"] for r in voronoi.structure_tensor(voronoi.unique_faces(faces)).collect()}
+    total = voronoi.interface_measures(faces).first()[0]
+    assert abs(tensor[0, 0] + tensor[1, 1] - total) < 1e-9 and abs(tensor[2, 2]) < 1e-12
+    path = str(tmp_path / "plane.vtu")
+    vtk.write_tessellation(faces, path)
+    text = open(path).read()
+    assert "faceoffsets" not in text and text.count("\n7\n") >= 15
+    lattice = voronoi.tessellate(sd.lattice_seeds(spark, 12, (1.0, 1.0, 1.0), False).where("z = 0"), (1.0, 1.0))
+    assert abs(voronoi.cell_volumes(lattice, 2).agg(F.sum("volume")).first()[0] - 1) < 1e-9

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Where Mandel order takes its components from in Voigt order.
 VOIGT_TO_MANDEL = (0, 1, 2, 5, 4, 3)
 ROOT2, ROOT_HALF = math.sqrt(2.0), math.sqrt(0.5)
-MEASURES = ("von_mises", "hydrostatic", "deviatoric", "I_invariants", "J_invariants", "principal", "eigenvalues", "max_shear", "lode_angle")
+MEASURES = ("von_mises", "hydrostatic", "deviatoric", "I_invariants", "J_invariants", "principal", "eigenvalues", "eigenvectors", "max_shear", "lode_angle")
 
 
 def parts(t: Column, n: int = 6) -> list[Column]:
@@ -205,6 +205,68 @@ def principal(t: Column) -> Column:
     return F.array(p + 2.0 * r * F.cos(phi + third), p + 2.0 * r * F.cos(phi - third), p + 2.0 * r * F.cos(phi))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return sum((F.get(a, k) * F.get(b, k) for k in (1, 2)), F.get(a, 0) * F.get(b, 0))
+
+
+def _cross(a: Column, b: Column) -> Column:
+    at = lambda x, k: F.get(x, k % 3)
+    return F.array(*[at(a, k + 1) * at(b, k + 2) - at(a, k + 2) * at(b, k + 1) for k in range(3)])
+
+
+def _signed_unit(v: Column) -> Column:
+    """The vector at unit length, its first component that isn't near zero positive."""
+    size = F.sqrt(_dot(v, v))
+    lead = F.coalesce(*[F.when(F.abs(F.get(v, k)) > 1e-9 * size, F.signum(F.get(v, k))) for k in range(3)], F.lit(1.0))
+    return F.transform(v, lambda x: x * lead / size)
+
+
+def eigenvectors(t: Column) -> Column:
+    """Array of three rows whose columns are the unit eigenvectors, in the order of ``principal``.
+
+    The vector of the eigenvalue that stands most apart is orthogonal to the rows of the shifted matrix; the other two turn
+    the remaining plane. The first component of each that isn't near zero is positive; a multiple eigenvalue has any basis.
+    """
+    m = full_components(t)
+    rows = F.array(*[F.array(*r) for r in m])
+
+    def apart(own: Column) -> Column:
+        a, l = own["a"], own["l"]
+        alone = F.when(F.get(l, 2) - F.get(l, 1) >= F.get(l, 1) - F.get(l, 0), F.get(l, 2)).otherwise(F.get(l, 0))
+        shifted = F.transform(a, lambda r, i: F.transform(r, lambda x, j: F.when(i == j, x - alone).otherwise(x)))
+        return _let(shifted, lambda s: F.array_max(F.transform(F.array(*[F.array(F.lit(p), F.lit(q)) for p, q in ((0, 1), (0, 2), (1, 2))]), lambda pq: _let(_cross(F.get(s, F.get(pq, 0)), F.get(s, F.get(pq, 1))), lambda c: F.struct(_dot(c, c).alias("n"), c.alias("c"))))))
+
+    def plane(own: Column, first: Column) -> Column:
+        """The two others, the smaller eigenvalue's first, from a basis u, w of the plane across ``first``."""
+        least = F.abs(F.get(first, 0)) < 0.6
+        u = _signed_unit(_cross(first, F.array(F.when(least, 1.0).otherwise(0.0), F.when(least, 0.0).otherwise(1.0), F.lit(0.0))))
+
+        def turn(uw: Column) -> Column:
+            u, w = uw["u"], uw["w"]
+            form = lambda p, q: _dot(p, F.transform(own["a"], lambda r: _dot(r, q)))
+            angle = 0.5 * F.atan2(2.0 * form(u, w), form(u, u) - form(w, w))
+            mixed = lambda a, b: F.zip_with(u, w, lambda x, y: x * a + y * b)
+            return _let(angle, lambda f: F.array(mixed(-F.sin(f), F.cos(f)), mixed(F.cos(f), F.sin(f))))
+
+        return _let(u, lambda v: _let(F.struct(v.alias("u"), _cross(first, v).alias("w")), turn))
+
+    def vectors(own: Column) -> Column:
+        top = F.get(own["l"], 2) - F.get(own["l"], 1) >= F.get(own["l"], 1) - F.get(own["l"], 0)
+        isotropic = F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0))
+        scale = _dot(own["l"], own["l"])
+        first = _let(apart(own), lambda best: F.when(best["n"] > 1e-24 * scale * scale, _signed_unit(best["c"])).otherwise(isotropic))
+        return _let(first, lambda e: _let(plane(own, e), lambda o: F.when(top, F.array(F.get(o, 0), F.get(o, 1), e)).otherwise(F.array(e, F.get(o, 0), F.get(o, 1)))))
+
+    own = F.struct(rows.alias("a"), principal(t).alias("l"))
+    found = _let(own, lambda o: _let(vectors(o), lambda v: F.transform(v, _signed_unit)))
+    return _let(found, lambda v: F.array(*[F.array(*[F.get(F.get(v, j), i) for j in range(3)]) for i in range(3)]))
+
+
 def max_shear(t: Column) -> Column:
     values = principal(t)
     return (F.get(values, 2) - F.get(values, 0)) / 2.0
@@ -222,7 +284,7 @@ def rank2_measures(t: Column, measures: tuple[str, ...] | None = None, conventio
     make = {
         "von_mises": lambda: von_mises(t, convention), "hydrostatic": lambda: hydrostatic(t), "deviatoric": lambda: deviatoric(t),
         "I_invariants": lambda: i_invariants(t, convention), "J_invariants": lambda: j_invariants(t, convention), "principal": lambda: principal(t),
-        "eigenvalues": lambda: principal(t), "max_shear": lambda: max_shear(t), "lode_angle": lambda: lode_angle(t, convention),
+        "eigenvalues": lambda: principal(t), "eigenvectors": lambda: eigenvectors(t), "max_shear": lambda: max_shear(t), "lode_angle": lambda: lode_angle(t, convention),
     }
     wanted = measures or ("von_mises", "hydrostatic", "deviatoric")
     if unknown := [m for m in wanted if m not in make]:

@@ -6,21 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.periodic import canonical_sign
+from ..stages import cut
 from .grids import UNIT, Lengths, Shape, cell_centre
+from .order import numbered
 from .voronoi import shifted
 
 
 def canonical_faces(faces: DataFrame, digits: int = 6) -> DataFrame:
     """``faces`` with ``gb`` (from 0): one number for all faces of the same two crystals with the same normal up to sign.
 
-    Normals count to ``digits`` places, their sign by the first component that isn't near zero; the first face by
-    (smaller crystal, larger crystal, offset) gives the order.
+    Normals count to ``digits`` places, their sign by the first component that isn't near zero; numbers follow (smaller
+    crystal, larger crystal, normal). Distinct keys are numbered by ranges and joined back.
     """
     n = [F.col(c) for c in ("nx", "ny", "nz")]
     sign = canonical_sign(n)
     keyed = faces.withColumns({"_lo": F.least("seed_a", "seed_b"), "_hi": F.greatest("seed_a", "seed_b"), **{f"_{c}": F.round(F.col(c) * sign, digits) + 0.0 for c in ("nx", "ny", "nz")}})
     keys = ["_lo", "_hi", "_nx", "_ny", "_nz"]
-    return keyed.withColumn("gb", F.dense_rank().over(Window.orderBy(*keys)) - 1).drop(*keys)
+    named = numbered(keyed.select(*keys).distinct(), keys, "gb").withColumn("gb", F.col("gb").cast("int"))
+    return keyed.join(named, keys).drop(*keys)
 
 
 def plane_band(point: list[Column], on_plane: list[Column], normal: list[Column], thickness: float) -> Column:
@@ -64,10 +67,9 @@ def first_match(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def renumbered(df: DataFrame, column: str, start: int, out: str) -> DataFrame:
-    """``out``: contiguous numbers from ``start`` for the sorted distinct values of ``column`` (ranked on the distinct values)."""
+    """``out``: contiguous numbers from ``start`` for the sorted distinct values of ``column`` (numbered by ranges)."""
     distinct = df.select(column).where(F.col(column).isNotNull()).distinct()
-    ranks = distinct.withColumn(out, (F.row_number().over(Window.orderBy(column)) - 1 + start).cast("long"))
-    return df.join(F.broadcast(ranks) if distinct.count() <= 1_000_000 else ranks, column, "left")
+    return df.join(numbered(distinct, [column], out, start), column, "left")
 
 
 def erode_boundaries(voxels: DataFrame, faces: DataFrame, seeds: DataFrame, shape: Shape, lengths: Lengths = UNIT, thickness: float = 0.05) -> tuple[DataFrame, DataFrame]:
@@ -79,7 +81,8 @@ def erode_boundaries(voxels: DataFrame, faces: DataFrame, seeds: DataFrame, shap
     the box are dropped, and the few that remain are broadcast when they are few (checked), else shuffled.
     """
     crystals = seeds.count()
-    own = canonical_faces(faces).join(seeds.select(F.col("seed_id").cast("long").alias("seed_a"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz")), "seed_a")
+    faces = cut(canonical_faces(cut(faces, "faces")), "faces")
+    own = faces.join(seeds.select(F.col("seed_id").cast("long").alias("seed_a"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz")), "seed_a")
     placed = shifted(own, ["px", "py", "pz"], lengths)
     moved = F.transform("verts", lambda p: F.struct(*[(p[c] + F.col(f"s{c}")).alias(c) for c in "xyz"]))
     placed = placed.withColumn("verts", moved)
@@ -87,7 +90,7 @@ def erode_boundaries(voxels: DataFrame, faces: DataFrame, seeds: DataFrame, shap
         at = F.col(f"verts.{c}")
         placed = placed.withColumns({f"lo{c}": F.least(F.array_min(at), f"p{c}") - thickness / 2, f"hi{c}": F.greatest(F.array_max(at), f"p{c}") + thickness / 2})
         placed = placed.where((F.col(f"hi{c}") >= 0) & (F.col(f"lo{c}") <= length))
-    placed = placed.drop("sx", "sy", "sz", "seed_b", "ox", "oy", "oz").withColumnRenamed("seed_a", "_crystal")
+    placed = cut(placed.drop("sx", "sy", "sz", "seed_b", "ox", "oy", "oz").withColumnRenamed("seed_a", "_crystal"), "placed")
     side = F.broadcast(placed) if placed.count() <= 200_000 else placed
     points = {c: cell_centre(F.col(i), n, length) for c, i, n, length in zip("xyz", "ijk", shape, lengths, strict=True)}
     here = voxels.select("i", "j", "k", F.col("label").alias("crystal"), *[p.alias(f"v{c}") for c, p in points.items()])
@@ -100,20 +103,24 @@ def erode_boundaries(voxels: DataFrame, faces: DataFrame, seeds: DataFrame, shap
     inside = in_cone(v, [F.col(f"p{c}") for c in "xyz"], F.col("verts"))
     near = near.withColumns({"_kill": plane_band(v, [corner[c] for c in "xyz"], n, thickness) & in_polygon(v, F.col("verts"), n), "_in": inside})
     tagged = near.groupBy("i", "j", "k", "crystal").agg(F.max("_kill").alias("_killed"), F.min(F.when(F.col("_in"), F.col("gb"))).alias("gb"))
-    tagged = tagged.where("_killed").drop("_killed")
-    numbered = renumbered(tagged, "gb", crystals, "gb_tag")
-    image = voxels.select("i", "j", "k", F.col("label").alias("crystal")).join(numbered.select("i", "j", "k", F.coalesce("gb_tag", F.lit(-1)).alias("_tag")), ["i", "j", "k"], "left")
+    tagged = cut(tagged.where("_killed").drop("_killed"), "tagged")
+    tags = renumbered(tagged, "gb", crystals, "gb_tag")
+    image = voxels.select("i", "j", "k", F.col("label").alias("crystal")).join(tags.select("i", "j", "k", F.coalesce("gb_tag", F.lit(-1)).alias("_tag")), ["i", "j", "k"], "left")
     image = image.select("i", "j", "k", F.coalesce("_tag", "crystal").cast("long").alias("label"), "crystal")
-    used = numbered.where("gb_tag is not null").select("gb", "gb_tag").distinct()
-    lower = canonical_faces(faces).where("seed_a <= seed_b").groupBy("gb").agg(F.min_by(F.struct("nx", "ny", "nz", F.col("seed_a").alias("crystal_a"), F.col("seed_b").alias("crystal_b")), F.struct("ox", "oy", "oz")).alias("m"))
+    used = tags.where("gb_tag is not null").select("gb", "gb_tag").distinct()
+    lower = faces.where("seed_a <= seed_b").groupBy("gb").agg(F.min_by(F.struct("nx", "ny", "nz", F.col("seed_a").alias("crystal_a"), F.col("seed_b").alias("crystal_b")), F.struct("ox", "oy", "oz")).alias("m"))
     table = used.join(lower, "gb").select("gb_tag", "m.nx", "m.ny", "m.nz", "m.crystal_a", "m.crystal_b")
     return image, table
 
 
 def boundary_normals(image: DataFrame, table: DataFrame) -> DataFrame:
-    """Dense field of normals: that of the voxel's grain boundary, zero inside crystals."""
+    """Dense field of normals: that of the voxel's grain boundary, zero inside crystals.
+
+    Up to 200,000 boundaries (checked) are broadcast; more meet their voxels by a shuffle on the label.
+    """
     zero = F.lit(0.0)
-    found = image.join(F.broadcast(table), F.col("label") == F.col("gb_tag"), "left")
+    small = table.limit(200_001).count() <= 200_000
+    found = image.join(F.broadcast(table) if small else table, F.col("label") == F.col("gb_tag"), "left")
     return found.select("i", "j", "k", "label", *[F.coalesce(c, zero).alias(c) for c in ("nx", "ny", "nz")])
 
 

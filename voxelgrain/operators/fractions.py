@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import order_statistics
+
 
 def volume_fractions(voxels: DataFrame, label: str = "label") -> DataFrame:
     """label, voxels, fraction; one partial and one final hash aggregate, the total from the few labels."""
@@ -31,8 +35,12 @@ def standardised(df: DataFrame, column: str) -> DataFrame:
 
 
 def quantile(df: DataFrame, column: str, q: float) -> DataFrame:
-    """One row ``threshold``: the exact quantile, linear between neighbours."""
-    return df.agg(F.percentile(column, F.lit(q)).alias("threshold"))
+    """One row ``threshold``: the exact quantile, linear between neighbours (null without values)."""
+    n = df.where(F.col(column).isNotNull()).count()
+    at = q * max(n - 1, 0)
+    low, high = order_statistics(df, column, [math.floor(at), math.ceil(at)]) if n else (None, None)
+    value = None if low is None else low + (high - low) * (at - math.floor(at))
+    return df.sparkSession.createDataFrame([(value,)], "threshold double")
 
 
 def histogram(df: DataFrame, column: str, bins: int, low: float | None = None, high: float | None = None) -> DataFrame:

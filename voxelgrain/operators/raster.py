@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.periodic import inside_cell, nearest_node, wrapped_distance2
+from ..stages import cut
 from .grids import UNIT, Lengths, Shape, cell_centre, voxel_grid
 
 #: Seeds that are sent to every executor (24 bytes each); more are joined by cells.
@@ -89,7 +90,8 @@ def label_nearest_seed(voxels: DataFrame, seeds: DataFrame, shape: Shape, length
 def nearest_by_cells(voxels: DataFrame, seeds: DataFrame, shape: Shape, lengths: Lengths = UNIT) -> DataFrame:
     """The same labels by equi-joins on cells of about eight seeds, in rounds of growing reach.
 
-    A round settles the voxels whose best seed is no further than the cells looked at; the rest go to the next round.
+    A round settles the voxels whose best seed is no further than the cells looked at; the rest go to the next round, until
+    none is left. Rounds are written, so no round repeats the work of those before.
     """
     n = max(1, seeds.count())
     cells = max(1, int((n / 8) ** (1 / 3)))
@@ -109,11 +111,13 @@ def nearest_by_cells(voxels: DataFrame, seeds: DataFrame, shape: Shape, lengths:
         d2 = F.round(wrapped_distance2([at[c] for c in "xyz"], [F.col(f"s.s{c}") for c in "xyz"], lengths), 9)
         best = spread.join(binned, ["cx", "cy", "cz"]).groupBy(*voxels.columns).agg(F.min(F.struct(d2.alias("d2"), F.col("s.seed_id").alias("id"))).alias("_best"))
         sure = best if whole else best.where(F.col("_best.d2") <= (reach * size) ** 2)
-        sure = sure.select(*voxels.columns, F.col("_best.id").cast("int").alias("label"))
+        sure = cut(sure.select(*voxels.columns, F.col("_best.id").cast("int").alias("label")), "nearest")
         found = sure if found is None else found.unionByName(sure)
         if whole:
             return found
-        left = left.join(sure.select("i", "j", "k"), ["i", "j", "k"], "left_anti")
+        left = cut(left.join(sure.select("i", "j", "k"), ["i", "j", "k"], "left_anti"), "left")
+        if not left.limit(1).count():
+            return found
         reach *= 2
 
 

@@ -6,9 +6,11 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 METHODS = ("random", "lhs-lloyd", "halton", "sobol", "honeycomb", "rubiks-cube", "diamond")
 
 
@@ -63,9 +65,11 @@ def halton_seeds(spark: SparkSession, n: int, lengths: Sequence[float]) -> DataF
 
 #: Primitive polynomials and first direction numbers of the second and third Sobol dimension.
 _SOBOL = {"y": (1, 0, (1,)), "z": (2, 1, (1, 3))}
+SOBOL_BITS = 30
 
 
-def _directions(axis: str, bits: int) -> list[int]:
+def sobol_directions(axis: str, bits: int = SOBOL_BITS) -> list[int]:
+    """Direction numbers of an axis, for the lowest bit of the index first."""
     if axis == "x":
         return [1 << (bits - 1 - i) for i in range(bits)]
     degree, middle, first = _SOBOL[axis]
@@ -79,16 +83,21 @@ def _directions(axis: str, bits: int) -> list[int]:
     return [m[i] << (bits - 1 - i) for i in range(bits)]
 
 
+def sobol_shift(seed: int | None, bits: int = SOBOL_BITS) -> list[int]:
+    """Digital shift of each axis; none without a seed."""
+    return np.random.default_rng(seed).integers(0, 1 << bits, 3).tolist() if seed is not None else [0, 0, 0]
+
+
 def sobol_seeds(spark: SparkSession, n: int, lengths: Sequence[float], seed: int | None = None) -> DataFrame:
     """The first ``n`` Sobol points in Gray-code order; a seed adds a digital shift."""
-    bits = 30
+    bits = SOBOL_BITS
     used = max(1, (max(n, 2) - 1).bit_length())
-    shift = np.random.default_rng(seed).integers(0, 1 << bits, 3).tolist() if seed is not None else [0, 0, 0]
+    shift = sobol_shift(seed)
     gray = F.col("seed_id").bitwiseXOR(F.shiftright("seed_id", 1))
     columns = []
     for c, length, moved in zip("xyz", lengths, shift, strict=True):
         value = F.lit(moved)
-        for b, v in enumerate(_directions(c, bits)[:used]):
+        for b, v in enumerate(sobol_directions(c)[:used]):
             value = value.bitwiseXOR(F.when(F.shiftright(gray, b).bitwiseAND(F.lit(1)) == 1, F.lit(v)).otherwise(F.lit(0)))
         columns.append((value / float(1 << bits) * length).alias(c))
     return _numbered(spark, n).select("seed_id", *columns)
@@ -97,22 +106,23 @@ def sobol_seeds(spark: SparkSession, n: int, lengths: Sequence[float], seed: int
 def lhs_seeds(spark: SparkSession, n: int, lengths: Sequence[float], seed: int = 0, sweeps: int = 8) -> DataFrame:
     """Latin hypercube (each axis a permutation of strata, jittered), relaxed by periodic Lloyd sweeps on samples.
 
-    Seeds are few; the relaxation runs in NumPy on the driver.
+    The relaxation runs in NumPy on the driver, which holds the seeds (``n`` times 24 bytes); samples, 64 a seed, meet them by
+    cells.
     """
+    from .raster import nearest_seed_kernel
+
     rng = np.random.default_rng(seed)
     points = (np.stack([rng.permutation(n) for _ in range(3)], axis=1) + rng.random((n, 3))) / n
     for _ in range(sweeps):
-        samples = rng.random((min(64 * n, 65_536), 3))
-        owner = np.empty(len(samples), np.int64)
-        moved = np.empty_like(samples)
-        for i in range(0, len(samples), 1024):
-            d = samples[i : i + 1024, None] - points[None]
+        counts, moved = np.zeros(n), np.zeros((n, 3))
+        for i in range(0, 64 * n, 65_536):
+            samples = rng.random((min(64 * n - i, 65_536), 3))
+            owner = nearest_seed_kernel(samples, points, np.arange(n), np.ones(3))
+            d = samples - points[owner]
             d -= np.rint(d)
-            owner[i : i + 1024] = (d * d).sum(axis=2).argmin(axis=1)
-            moved[i : i + 1024] = d[np.arange(len(d)), owner[i : i + 1024]]
-        counts = np.bincount(owner, minlength=n)
-        shift = np.stack([np.bincount(owner, moved[:, a], n) for a in range(3)], axis=1) / np.maximum(counts, 1)[:, None]
-        points = (points + shift) % 1.0
+            counts += np.bincount(owner, minlength=n)
+            moved += np.stack([np.bincount(owner, d[:, a], n) for a in range(3)], axis=1)
+        points = (points + moved / np.maximum(counts, 1)[:, None]) % 1.0
     rows = [(i, *(float(p * length) for p, length in zip(points[i], lengths, strict=True))) for i in range(n)]
     return spark.createDataFrame(rows, "seed_id int, x double, y double, z double")
 
@@ -188,5 +198,5 @@ def ghost_seeds(seeds: DataFrame, lengths: Sequence[float] = (1.0, 1.0, 1.0)) ->
 
 def running_index(df: DataFrame, keys: list[str], start: int = 0, out: str = "index") -> DataFrame:
     """Contiguous numbers from ``start`` for the distinct values of ``keys``, in their order (on the distinct values)."""
-    distinct = df.select(*keys).distinct().withColumn(out, F.row_number().over(Window.orderBy(*keys)) + (start - 1))
+    distinct = numbered(df.select(*keys).distinct(), keys, out, start).withColumn(out, F.col(out).cast("int"))
     return df.join(distinct, keys)

@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fractions import standardised
+from ..stages import cut
+from .fractions import quantile, standardised
 from .grids import UNIT, Lengths, Shape, voxel_grid
 
 _COMPLEX = "i int, j int, k int, re double, im double"
@@ -137,10 +138,15 @@ def band_pass(shape: Shape, wavenumber: Sequence[float], sigma: float, lengths:
     return F.exp(-0.5 * (off / sigma) * (off / sigma))
 
 
-def noise(spark: SparkSession, shape: Shape, seed: int = 42, small: int = 1 << 21) -> DataFrame:
-    """(i, j, k, re, im): standard normal noise. Up to ``small`` voxels it is NumPy's legacy stream for the seed; beyond, a
-    Box-Muller transform of hashes of the voxel, which is the same for any partitioning."""
-    if math.prod(shape) <= small:
+def noise(spark: SparkSession, shape: Shape, seed: int = 42, stream: str = "hash") -> DataFrame:
+    """(i, j, k, re, im): standard normal noise.
+
+    ``hash`` is a Box-Muller transform of hashes of the voxel, the same for any size and partitioning; ``numpy`` is NumPy's
+    legacy stream for the seed, made on the driver.
+    """
+    if stream not in ("hash", "numpy"):
+        raise ValueError(f"unknown stream {stream!r}")
+    if stream == "numpy":
         values = np.random.RandomState(seed).randn(*shape).astype(np.float32).astype(float)
         i, j, k = np.indices(shape)
         return spark.createDataFrame(_table(i, j, k, values.astype(complex)))
@@ -149,24 +155,20 @@ def noise(spark: SparkSession, shape: Shape, seed: int = 42, small: int = 1 << 2
     return voxel_grid(spark, shape).select("i", "j", "k", value.alias("re"), F.lit(0.0).alias("im"))
 
 
-def spinodal_field(spark: SparkSession, shape: Shape, wavenumber: Sequence[float] = (6.0, 6.0, 6.0), sigma: float = 0.5, seed: int = 42, lengths: Lengths = UNIT, rotation=None) -> DataFrame:
+def spinodal_field(spark: SparkSession, shape: Shape, wavenumber: Sequence[float] = (6.0, 6.0, 6.0), sigma: float = 0.5, seed: int = 42, lengths: Lengths = UNIT, rotation=None, stream: str = "hash") -> DataFrame:
     """(i, j, k, f): band-passed noise, standardised."""
     weight = band_pass(shape, wavenumber, sigma, lengths, rotation)
-    filtered = fft3(noise(spark, shape, seed), shape).select("i", "j", "k", (F.col("re") * weight).alias("re"), (F.col("im") * weight).alias("im"))
+    filtered = fft3(noise(spark, shape, seed, stream), shape).select("i", "j", "k", (F.col("re") * weight).alias("re"), (F.col("im") * weight).alias("im"))
     return standardised(fft3(filtered, shape, inverse=True).select("i", "j", "k", F.col("re").alias("f")), "f")
 
 
 def at_least_quantile(field: DataFrame, column: str, volume_fraction: float) -> DataFrame:
     """(i, j, k, label): 1 where the field reaches its (1 - volume fraction) quantile."""
-    bound = field.agg(F.percentile(column, F.lit(1.0 - volume_fraction)).alias("_t"))
-    return field.crossJoin(F.broadcast(bound)).select("i", "j", "k", (F.col(column) >= F.col("_t")).cast("int").alias("label"))
+    bound = quantile(field, column, 1.0 - volume_fraction).first()["threshold"]
+    return field.select("i", "j", "k", (F.col(column) >= F.lit(bound)).cast("int").alias("label"))
 
 
 def spinodal_image(spark: SparkSession, shape: Shape, volume_fraction: float = 0.5, **options) -> DataFrame:
     """(i, j, k, label): two-phase spinodal structure with the given share of phase 1."""
-    return at_least_quantile(spinodal_field(spark, shape, **options).transform(_written), "f", volume_fraction)
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """Both the quantile and the image read the field: it is kept rather than transformed twice."""
-    return df.persist()
+    # the quantile and the image read the field: it is written rather than transformed again
+    return at_least_quantile(cut(spinodal_field(spark, shape, **options), "field"), "f", volume_fraction)

@@ -39,10 +39,13 @@ def laplacian_weights(shape: Shape, lengths: Lengths = UNIT) -> tuple[list[Offse
     return offsets, weights
 
 
-def laplacian(voxels: DataFrame, shape: Shape, value: str = "label", lengths: Lengths = UNIT) -> DataFrame:
-    """(i, j, k, lap): magnitude of the periodic Laplacian."""
+def laplacian(voxels: DataFrame, shape: Shape, value: str = "label", lengths: Lengths = UNIT, keep: bool = False) -> DataFrame:
+    """(i, j, k, lap): magnitude of the periodic Laplacian; ``keep`` carries the voxel's own value along."""
     offsets, weights = laplacian_weights(shape, lengths)
-    return spread(voxels.select("i", "j", "k", F.col(value).cast("double").alias("_v")), shape, offsets, weights).groupBy("i", "j", "k").agg(F.abs(F.sum(F.col("_v") * F.col("_w"))).alias("lap"))
+    rows = voxels.select("i", "j", "k", F.col(value).cast("double").alias("_v"), *([F.col(value)] if keep else []))
+    out = spread(rows, shape, offsets, weights)
+    own = [F.max(F.when(F.col("_w") > 0, F.col(value))).alias(value)] if keep else []
+    return out.groupBy("i", "j", "k").agg(F.abs(F.sum(F.col("_v") * F.col("_w"))).alias("lap"), *own)
 
 
 def box_offsets(size: int) -> list[Offset]:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tpms import SURFACES, Angle3
+from ..stages import cut, drop_stage
 from .grids import UNIT, Lengths, Shape, periodic_node, voxel_grid
+from .order import order_statistics
 
 
 def raw_field(spark: SparkSession, surface: str | Angle3, shape: Shape, lengths: Lengths = UNIT, frequency: int | tuple[int, int, int] = 1) -> DataFrame:
@@ -43,18 +45,8 @@ def phase(f: Column, threshold: float = 0.5, mode: str = "solid", shell_thicknes
 
 
 def kth_value(df: DataFrame, column: str, k: int) -> DataFrame:
-    """The k-th smallest value (from 0) as one row ``value``, without sorting the rows.
-
-    Values are counted; running sums go over ranges of the distinct values first, so no task sees all of them.
-    """
-    counts = df.groupBy(F.col(column).alias("value")).count()
-    counts = counts.withColumn("_cell", F.floor(F.col("value") * 256))
-    cells = counts.groupBy("_cell").agg(F.sum("count").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.select("_cell", below.alias("_before"), "_n").where((F.col("_before") <= k) & (F.col("_before") + F.col("_n") > k))
-    inside = counts.join(F.broadcast(cells), "_cell")
-    upto = F.sum("count").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
-    return inside.withColumn("_upto", upto).where(F.col("_upto") > k).agg(F.min("value").alias("value"))
+    """The k-th smallest value (from 0) as one row ``value``, without sorting the rows."""
+    return df.sparkSession.createDataFrame([(order_statistics(df, column, [k])[0],)], "value double")
 
 
 def threshold_for_fraction(field: DataFrame, n: int, target: float) -> DataFrame:
@@ -65,7 +57,8 @@ def threshold_for_fraction(field: DataFrame, n: int, target: float) -> DataFrame
 
 def shell_thickness_for_fraction(field: DataFrame, threshold: float, target: float, tol: float = 1e-3, max_iter: int = 30) -> float:
     """Half-thickness whose shell holds ``target`` of the voxels, by bisection over one aggregate a step."""
-    distance = field.select(F.abs(F.col("f") - threshold).alias("d")).cache()
+    distance = field.select(F.abs(F.col("f") - threshold).alias("d"))
+    distance = cut(distance, "distance")
     try:
         low, high, middle = 0.0, distance.agg(F.max("d")).first()[0], 0.0
         for _ in range(max_iter):
@@ -76,7 +69,7 @@ def shell_thickness_for_fraction(field: DataFrame, threshold: float, target: flo
             low, high = (middle, high) if got < target else (low, middle)
         return middle
     finally:
-        distance.unpersist()
+        drop_stage(distance)
 
 
 def exact_shell_thickness(field: DataFrame, n: int, threshold: float, target: float) -> DataFrame:

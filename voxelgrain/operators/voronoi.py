@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..stages import cut
 from .grids import UNIT, Lengths
+from .order import numbered, running_total
 
 _EPS, _AREA = 1e-10, 1e-12
 _FACES = "seed_a long, seed_b long, ox int, oy int, oz int, nx double, ny double, nz double, distance double, area double, verts array<struct<x: double, y: double, z: double>>"
@@ -69,38 +71,123 @@ def polygon_area(loop: np.ndarray) -> float:
     return 0.5 * float(np.sqrt(total @ total))
 
 
-def tessellate(seeds: DataFrame, lengths: Lengths = UNIT) -> DataFrame:
+def clipped_polygon(ghosts: np.ndarray, half: float) -> list[tuple[int, np.ndarray]]:
+    """Edges of one plane cell about the origin: (ghost number, two ends). ``ghosts`` are relative, nearest first."""
+    loop = np.array([[-half, -half], [half, -half], [half, half], [-half, half]])
+    owners = [-1] * 4
+    radius = np.sqrt((loop**2).sum(axis=1)).max()
+    for number, ghost in enumerate(ghosts):
+        d = np.sqrt(ghost @ ghost)
+        if d > 2 * radius + _EPS:
+            break
+        height = loop @ (ghost / d) - d / 2
+        height[np.abs(height) < _EPS] = 0
+        if height.max() <= 0:
+            continue
+        points, own = [], []
+        for i in range(len(loop)):
+            j = (i + 1) % len(loop)
+            cross = loop[i] + (loop[j] - loop[i]) * (height[i] / (height[i] - height[j])) if height[i] * height[j] < 0 else None
+            if height[i] <= 0:
+                points.append(loop[i])
+                # an edge that leaves the half plane here gives way to the new one
+                own.append(number if height[i] == 0 and height[j] > 0 else owners[i])
+                if cross is not None:
+                    points.append(cross)
+                    own.append(number)
+            elif cross is not None:
+                points.append(cross)
+                own.append(owners[i])
+        loop, owners = np.array(points), own
+        radius = np.sqrt((loop**2).sum(axis=1)).max()
+    return [(owner, np.array([loop[i], loop[(i + 1) % len(loop)]])) for i, owner in enumerate(owners)]
+
+
+_NAMES = ["seed_a", "seed_b", "ox", "oy", "oz", "nx", "ny", "nz", "distance", "area", "verts"]
+_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.float64()] * 5, pa.list_(pa.struct([(c, pa.float64()) for c in "xyz"])))
+#: Seeds that are sent to every executor (32 bytes each); more are met by blocks.
+BROADCAST_SEEDS = 200_000
+#: Seeds of a block, about; a block also holds the seeds of the blocks around it.
+BLOCK_SEEDS = 2048
+
+
+def _cell_rows(seed: int, at: np.ndarray, ghosts: np.ndarray, ids: np.ndarray, offsets: np.ndarray, half: float, height: float) -> tuple[list[tuple], float]:
+    """Rows of one cell's faces, and twice its radius: further ghosts don't matter. ``ghosts`` are relative to ``at``."""
+    flat = ghosts.shape[1] == 2
+    d2 = (ghosts**2).sum(axis=1)
+    order = np.argsort(d2, kind="stable")
+    order = order[d2[order] > _EPS**2]
+    found = clipped_polygon(ghosts[order], half) if flat else clipped_cell(at, ghosts[order], half)
+    rows = []
+    for number, loop in found:
+        area = float(np.sqrt(((loop[1] - loop[0]) ** 2).sum())) if flat else polygon_area(loop)
+        if number < 0 or area < _AREA:
+            continue
+        ghost = order[number]
+        d = np.sqrt(d2[ghost])
+        normal, where, corners = ghosts[ghost] / d, offsets[ghost].tolist(), (loop + at).tolist()
+        if flat:
+            normal, where, corners = [*normal, 0.0], [*where, 0], [[*p, height] for p in corners]
+        rows.append((seed, int(ids[ghost]), *where, *map(float, normal), float(d), area, [dict(zip("xyz", p, strict=True)) for p in corners]))
+    return rows, 2 * max(np.sqrt((loop**2).sum(axis=1)).max() for _, loop in found)
+
+
+class _Binned:
+    """Seeds in cells of about one; ghosts of a place come from the cells around it, over the box's faces."""
+
+    def __init__(self, points: np.ndarray, ids: np.ndarray, box: np.ndarray) -> None:
+        self.box = box
+        self.per_axis = np.maximum(1, np.floor(len(points) ** (1 / len(box)) * box / box.max()).astype(int))
+        self.size = box / self.per_axis
+        cell = np.minimum((points % box / self.size).astype(int), self.per_axis - 1)
+        flat = np.ravel_multi_index(tuple(cell.T), self.per_axis)
+        by_cell = np.argsort(flat, kind="stable")
+        self.points, self.ids = points[by_cell], ids[by_cell]
+        self.bounds = np.searchsorted(flat[by_cell], np.arange(self.per_axis.prod() + 1))
+
+    def around(self, at: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+        """Ghosts relative to ``at``, their ids and box offsets, and whether these are all of the 27 (9) places."""
+        own = np.minimum((at % self.box / self.size).astype(int), self.per_axis - 1)
+        axes = [np.arange(max(c - reach, -n), min(c + reach, 2 * n - 1) + 1) for c, n in zip(own, self.per_axis, strict=True)]
+        cells = np.stack(np.meshgrid(*axes, indexing="ij"), axis=-1).reshape(-1, len(axes))
+        wrapped, shift = cells % self.per_axis, cells // self.per_axis
+        flat = np.ravel_multi_index(tuple(wrapped.T), self.per_axis)
+        counts = self.bounds[flat + 1] - self.bounds[flat]
+        pick = np.repeat(self.bounds[flat] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+        offsets = np.repeat(shift, counts, axis=0)
+        whole = all(len(a) == 3 * n for a, n in zip(axes, self.per_axis, strict=True))
+        return self.points[pick] + offsets * self.box - at, self.ids[pick], offsets, whole
+
+
+def tessellate(seeds: DataFrame, lengths: Sequence[float] = UNIT) -> DataFrame:
     """Faces of every cell, each from both its sides: seed_a, seed_b, box offset of b, outward normal, distance of the two
     seeds, area and vertices (in the frame of the box, where seed_a lies in it).
 
-    Cells are independent: seeds are dealt out, and each task clips its own against all seeds, which it holds
-    (a tessellation has at most some hundred thousand).
+    Two lengths make a plane tessellation: cells are polygons, ``area`` is an edge's length, ``verts`` are its ends. Cells
+    are independent. Up to ``BROADCAST_SEEDS`` seeds (checked) go to the executors in bins, and each cell looks at bins
+    around it until no further seed can reach it; more are met block by block (``tessellate_blocks``).
     """
+    if seeds.limit(BROADCAST_SEEDS + 1).count() > BROADCAST_SEEDS:
+        return tessellate_blocks(seeds, lengths)
     held = seeds.select("seed_id", "x", "y", "z").orderBy("seed_id").toPandas()
-    ids, points, box = held["seed_id"].to_numpy(np.int64), held[["x", "y", "z"]].to_numpy(float), np.array(lengths, float)
-    offsets = np.array([[a, b, c] for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
+    dim, box = len(lengths), np.array(lengths, float)
+    ids, points = held["seed_id"].to_numpy(np.int64), held[["x", "y", "z"]].to_numpy(float)[:, :dim]
 
     def run(batches):
+        binned = _Binned(points, ids, box)
         for batch in batches:
             rows = []
             for seed, *xyz in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                at = np.array(xyz)
-                ghosts = (points[None] + offsets[:, None] * box - at).reshape(-1, 3)
-                d2 = (ghosts**2).sum(axis=1)
-                order = np.argsort(d2, kind="stable")
-                order = order[d2[order] > _EPS**2]
-                for number, loop in clipped_cell(at, ghosts[order], float(box.max())):
-                    area = polygon_area(loop)
-                    if number < 0 or area < _AREA:
-                        continue
-                    ghost = order[number]
-                    d = np.sqrt(d2[ghost])
-                    normal = ghosts[ghost] / d
-                    rows.append((seed, int(ids[ghost % len(ids)]), *map(int, offsets[ghost // len(ids)]), *map(float, normal), float(d), area, [dict(zip("xyz", map(float, p + at), strict=True)) for p in loop]))
+                at, reach = np.array(xyz[:dim]), 3
+                while True:
+                    ghosts, names, offsets, whole = binned.around(at, reach)
+                    own, needed = _cell_rows(seed, at, ghosts, names, offsets, float(box.max()), xyz[2])
+                    if whole or needed <= reach * binned.size.min():
+                        break
+                    reach += 2
+                rows += own
             if rows:
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.float64()] * 5, pa.list_(pa.struct([(c, pa.float64()) for c in "xyz"])))
-                names = ["seed_a", "seed_b", "ox", "oy", "oz", "nx", "ny", "nz", "distance", "area", "verts"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
 
     # a few seeds are much work: a number of tasks that adaptive execution doesn't merge again
     tasks = min(max(seeds.sparkSession.sparkContext.defaultParallelism, len(ids) // 64), max(len(ids), 1))
@@ -108,9 +195,71 @@ def tessellate(seeds: DataFrame, lengths: Lengths = UNIT) -> DataFrame:
     return dealt.mapInArrow(run, _FACES)
 
 
-def cell_volumes(faces: DataFrame) -> DataFrame:
-    """seed_id, volume: cones from the seed over all faces of its cell."""
-    return faces.groupBy(F.col("seed_a").alias("seed_id")).agg(F.sum(F.col("area") * F.col("distance") / 6.0).alias("volume"))
+def _block_kernel(lengths: Sequence[float], reach: float, last: bool):
+    axes = "xyz"[: len(lengths)]
+
+    def run(rows: pa.Table) -> pa.Table:
+        """Faces of the block's own cells; a row without a face for each cell that reaches further than the block's width."""
+        points = np.stack([rows[c].to_numpy() for c in axes], axis=1)
+        ids, mine = rows["seed_id"].to_numpy(), rows["_mine"].to_numpy()
+        offsets, out, further = np.stack([rows[f"o{c}"].to_numpy() for c in axes], axis=1), [], []
+        for k in np.flatnonzero(mine):
+            own, needed = _cell_rows(int(ids[k]), points[k], points - points[k], ids, offsets, float(max(lengths)), rows["z"][int(k)].as_py())
+            if last or needed <= reach:
+                out += own
+            else:
+                further.append((int(ids[k]), *[None] * 10))
+        out += further
+        columns = zip(*out, strict=True) if out else [()] * 11
+        return pa.table([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
+
+    return run
+
+
+def tessellate_blocks(seeds: DataFrame, lengths: Sequence[float] = UNIT, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
+    """The same faces without a machine that holds all seeds.
+
+    The box is divided into blocks of about ``block_seeds`` seeds; a task clips the cells of one block against the seeds of it
+    and of the blocks around it. A cell that reaches further goes to the next round, with blocks of twice the width. The
+    rounds are written, so the result is finished work.
+    """
+    dim, axes = len(lengths), "xyz"[: len(lengths)]
+    per_axis = max(1, int((max(1, seeds.count()) / block_seeds) ** (1 / dim)))
+    todo, found = seeds.select("seed_id"), None
+    every = cut(seeds.select(F.col("seed_id").cast("long").alias("seed_id"), "x", "y", "z"), "seeds")
+    while True:
+        size = [length / per_axis for length in lengths]
+
+        near = every.join(todo.withColumn("_todo", F.lit(True)), "seed_id", "left")
+        steps = F.array(*[F.lit(o) for o in (-1, 0, 1)])
+        near = near.withColumn("_mine", F.lit(True))
+        for c, length, width in zip(axes, lengths, size, strict=True):
+            own = F.least(F.floor(F.col(c) / width), F.lit(per_axis - 1))
+            near = near.withColumn("_s", F.explode(steps)).withColumn("_b", own + F.col("_s"))
+            near = near.withColumns({f"b{c}": F.pmod("_b", F.lit(per_axis)), f"o{c}": -F.floor(F.col("_b") / per_axis).cast("int"), "_mine": F.col("_mine") & (F.col("_s") == 0)})
+            near = near.withColumn(c, F.col(c) + F.col(f"o{c}") * float(length)).drop("_s", "_b")
+        near = near.withColumn("_mine", F.col("_mine") & F.coalesce("_todo", F.lit(False))).drop("_todo")
+        done = cut(near.groupBy(*[f"b{c}" for c in axes]).applyInArrow(_block_kernel(lengths, min(size), per_axis == 1), _FACES), "cells")
+        faces = done.where("seed_b is not null")
+        found = faces if found is None else found.unionByName(faces)
+        todo = done.where("seed_b is null").select(F.col("seed_a").alias("seed_id"))
+        if per_axis == 1 or not todo.limit(1).count():
+            return found
+        per_axis //= 2
+
+
+def cell_volumes(faces: DataFrame, dimensions: int = 3) -> DataFrame:
+    """seed_id, volume: cones from the seed over all faces of its cell (triangles over its edges, in the plane)."""
+    return faces.groupBy(F.col("seed_a").alias("seed_id")).agg(F.sum(F.col("area") * F.col("distance") / (2.0 * dimensions)).alias("volume"))
+
+
+def cell_polygons(faces: DataFrame) -> DataFrame:
+    """seed_id and the corners of each cell of a plane tessellation, anticlockwise."""
+    ends = faces.select(F.col("seed_a").alias("seed_id"), F.explode("verts").alias("p"), "nx", "ny")
+    corner = ends.select("seed_id", *[F.round(F.col(f"p.{c}"), 9).alias(c) for c in "xyz"]).distinct()
+    middle = corner.groupBy("seed_id").agg(F.avg("x").alias("_x"), F.avg("y").alias("_y"), F.collect_list(F.struct("x", "y", "z")).alias("_p"))
+    turned = F.array_sort(F.transform("_p", lambda p: F.struct(F.atan2(p["y"] - F.col("_y"), p["x"] - F.col("_x")).alias("angle"), p.alias("p"))))
+    return middle.select("seed_id", F.transform(turned, lambda t: t["p"]).alias("verts"))
 
 
 def unique_faces(faces: DataFrame) -> DataFrame:
@@ -180,7 +329,7 @@ def shifted(df: DataFrame, columns: Sequence[str], lengths: Lengths = UNIT) -> D
 
 
 def distinct_edges(struts: DataFrame, lengths: Lengths = UNIT) -> DataFrame:
-    """Edges once: same middle and direction up to sign, to six digits."""
+    """Edges once: same middle and direction up to the signs of its components, to six digits; of several the least stays."""
     d = {c: F.col(f"b{c}") - F.col(f"a{c}") for c in "xyz"}
     length = F.sqrt(d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"]) + 1e-15
     keys = {}
@@ -188,7 +337,7 @@ def distinct_edges(struts: DataFrame, lengths: Lengths = UNIT) -> DataFrame:
         unit = F.round(d[c] / length, 6)
         keys[f"_m{c}"] = F.round((F.col(f"a{c}") + F.col(f"b{c}")) * 0.5 / max(box, 1.0), 6) + 0.0
         keys[f"_d{c}"] = -F.abs(unit) + 0.0
-    return struts.withColumns(keys).dropDuplicates(list(keys)).drop(*keys)
+    return struts.withColumns(keys).groupBy(*keys).agg(F.min(F.struct(*struts.columns)).alias("_one")).select("_one.*")
 
 
 def foam(spark, faces: DataFrame, shape, lengths: Lengths = UNIT, radius: float = 0.05, exact: bool = False) -> DataFrame:
@@ -208,10 +357,11 @@ def foam(spark, faces: DataFrame, shape, lengths: Lengths = UNIT, radius: float
 def vertex_table(faces: DataFrame) -> DataFrame:
     """Distinct vertices (to nine digits) with contiguous ids: vertex, x, y, z."""
     points = faces.select(F.explode("verts").alias("p")).select(*[F.round(F.col(f"p.{c}"), 9).alias(c) for c in "xyz"]).distinct()
-    return points.withColumn("vertex", F.row_number().over(Window.orderBy("x", "y", "z")) - 1)
+    return numbered(points, ["x", "y", "z"], "vertex").withColumn("vertex", F.col("vertex").cast("int"))
 
 
 def running_offsets(df: DataFrame, order: Sequence[str], size: str, out: str = "offset", group: Sequence[str] = ()) -> DataFrame:
-    """Running sum of ``size`` in order (within groups, if given)."""
-    w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    return df.withColumn(out, F.sum(size).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    """Running sum of ``size`` in order: within groups, if given, else over ranges of the first column in order."""
+    if not group:
+        return running_total(df, order, F.col(size), out)
+    return df.withColumn(out, F.sum(size).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))

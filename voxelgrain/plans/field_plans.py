@@ -145,9 +145,20 @@ def _halton(spark, sf_dir):
     return fx.rounded(sd.voronoi_seeds(spark, 1000, (1.0, 1.0, 1.0), "halton"))
 
 
-@query("sobol_seeds")
+def _sobol_sql(n: int, seed: int) -> str:
+    """Bits of the Gray code pick direction numbers; all are added without carry, to the digital shift of the seed."""
+    columns = []
+    for axis, shift in zip("xyz", sd.sobol_shift(seed), strict=True):
+        value = f"{shift}::BIGINT"
+        for bit, v in enumerate(sd.sobol_directions(axis)[: (n - 1).bit_length()]):
+            value = f"xor({value}, CASE WHEN (gray >> {bit}) & 1 = 1 THEN {v}::BIGINT ELSE 0 END)"
+        columns.append(f"round({value} / {1 << sd.SOBOL_BITS}::DOUBLE, 9) AS {axis}")
+    return f"WITH g AS (SELECT id, xor(id, id >> 1) AS gray FROM range({n}) t(id)) SELECT CAST(id AS INTEGER) AS seed_id, {', '.join(columns)} FROM g"
+
+
+@query("sobol_seeds", _sobol_sql(1024, 1))
 def _sobol(spark, sf_dir):
-    return sd.voronoi_seeds(spark, 1024, (1.0, 1.0, 1.0), "sobol", 1)
+    return fx.rounded(sd.voronoi_seeds(spark, 1024, (1.0, 1.0, 1.0), "sobol", 1), 9)
 
 
 @query("lhs_seeds")
@@ -219,7 +230,23 @@ def _rigidity(spark, sf_dir):
     return lattices.lattice_rigidity(spark)
 
 
-@query("lattice_exact_struts")
+def _exact_sql(name: str, radius: float) -> str:
+    """All nodes near a strut at any of its 27 places, by the distance to the segment."""
+    rows = ", ".join("(" + ", ".join(f"{v!r}::DOUBLE" for p in pair for v in p) + ")" for pair in lattices.UNIT_CELLS[name]())
+    n, h = FIELD, 1.0 / (FIELD - 1)
+    d = {c: f"(b_{c} - a_{c})" for c in "xyz"}
+    dd = " + ".join(f"{d[c]} * {d[c]}" for c in "xyz")
+    near = " AND ".join(f"g.{i} * {h!r}::DOUBLE BETWEEN least(a_{c}, b_{c}) - {radius} AND greatest(a_{c}, b_{c}) + {radius}" for c, i in zip("xyz", "ijk", strict=True))
+    t = "least(greatest((" + " + ".join(f"(g.{i} * {h!r}::DOUBLE - a_{c}) * {d[c]}" for c, i in zip("xyz", "ijk", strict=True)) + f") / ({dd}), 0), 1)"
+    off = " + ".join(f"power(g.{i} * {h!r}::DOUBLE - a_{c} - t * {d[c]}, 2)" for c, i in zip("xyz", "ijk", strict=True))
+    return f"""WITH {fx.grid_sql(n)}, s AS (SELECT * FROM (VALUES {rows}) t(a_x, a_y, a_z, b_x, b_y, b_z)),
+o AS (SELECT CAST(v - 1 AS DOUBLE) AS v FROM range(3) t(v)),
+c AS (SELECT a_x + ox.v AS a_x, a_y + oy.v AS a_y, a_z + oz.v AS a_z, b_x + ox.v AS b_x, b_y + oy.v AS b_y, b_z + oz.v AS b_z FROM s, o ox, o oy, o oz),
+p AS (SELECT g.*, c.*, {t} AS t FROM g JOIN c ON {near})
+SELECT DISTINCT i, j, k FROM p g WHERE {off} <= {radius * radius!r}::DOUBLE"""
+
+
+@query("lattice_exact_struts", _exact_sql("octet", 0.05))
 def _exact(spark, sf_dir):
     vertices, edges = lattices.unit_cell(spark, "octet")
     return raster.exact_struts(raster.struts_of(vertices, edges), _SHAPE, radius=0.05)
@@ -239,9 +266,12 @@ def _paths(spark, sf_dir):
     return fx.rounded(paths.select("path_id", "step", *[F.get("e", c).alias(f"e{c + 1}") for c in range(6)]), 9)
 
 
-@query("load_path_json")
+@query("load_path_json", _PATHS)
 def _path_json(spark, sf_dir):
-    return loadpaths.path_json(loadpaths.linear_paths(fx.tensors(spark, sf_dir).select(F.col("id").alias("path_id"), F.col("t").alias("v"))))
+    """Paths as JSON texts, parsed again: what a reader of the file gets."""
+    texts = loadpaths.path_json(loadpaths.linear_paths(fx.tensors(spark, sf_dir).select(F.col("id").alias("path_id"), F.col("t").alias("v"))))
+    steps = texts.select("path_id", F.posexplode(F.from_json("json", "array<array<double>>")).alias("p", "e"))
+    return fx.rounded(steps.select("path_id", (F.col("p") + 1).alias("step"), *[F.get("e", c).alias(f"e{c + 1}") for c in range(6)]), 9)
 
 
 @query("equal_area_directions")

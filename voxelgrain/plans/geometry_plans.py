@@ -83,14 +83,36 @@ def _sql(spark, sf_dir):
     return fx.rounded(spark.sql("SELECT seed_id, gyroid(x, y, z) AS g, min_image(x - 0.9D, 1.0D) AS d FROM voxelgrain_seeds"))
 
 
-@query("tpms_shell_bisection")
+def _bisection_sql(steps: int = 30) -> str:
+    from .field_plans import _field_sql
+
+    share = "len(list_filter(d, lambda x: x < (low + high) / 2)) / len(d)::DOUBLE"
+    return (
+        f"WITH RECURSIVE {_field_sql('iwp')}, d AS (SELECT list(abs(f - 0.5::DOUBLE)) AS d FROM f), "
+        "b AS (SELECT 0 AS n, 0.0::DOUBLE AS low, list_max(d) AS high, NULL::DOUBLE AS thickness, false AS done, d FROM d UNION ALL "
+        "SELECT n + 1, CASE WHEN got < 0.3::DOUBLE THEN middle ELSE low END, CASE WHEN got < 0.3::DOUBLE THEN high ELSE middle END, middle, abs(got - 0.3::DOUBLE) < 1e-3::DOUBLE, d "
+        f"FROM (SELECT *, (low + high) / 2 AS middle, {share} AS got FROM b WHERE NOT done AND n < {steps})) SELECT round(thickness, 9) AS thickness FROM b ORDER BY n DESC LIMIT 1"
+    )
+
+
+@query("tpms_shell_bisection", _bisection_sql())
 def _bisection(spark, sf_dir):
     n = fx.FIELD
     t = tpms.shell_thickness_for_fraction(tpms.tpms_field(spark, "iwp", (n, n, n)), 0.5, 0.3)
-    return spark.createDataFrame([(float(t),)], "thickness double")
+    return spark.createDataFrame([(round(float(t), 9),)], "thickness double")
+
+
+def _dedup_sql() -> str:
+    ends = ["ax", "ay", "az", "bx", '"by"', "bz"]
+    rows = [[v for p in pair for v in p] for one in lattices.UNIT_CELLS["octet"]() for pair in (one, one[::-1])]
+    values = ", ".join("(" + ", ".join(f"{v!r}::DOUBLE" for v in row) + ")" for row in rows)
+    length = "(sqrt((bx - ax) * (bx - ax) + (\"by\" - ay) * (\"by\" - ay) + (bz - az) * (bz - az)) + 1e-15)"
+    keys = [f"round((a{c} + {b}) * 0.5::DOUBLE, 6)" for c, b in zip("xyz", ends[3:], strict=True)] + [f"abs(round(({b} - a{c}) / {length}, 6))" for c, b in zip("xyz", ends[3:], strict=True)]
+    one = ", ".join(f"'v{k}': {e}" for k, e in enumerate(ends))
+    return f"WITH s AS (SELECT * FROM (VALUES {values}) t({', '.join(ends)})), m AS (SELECT min({{{one}}}) AS m FROM s GROUP BY {', '.join(keys)}) SELECT " + ", ".join(f"m.v{k} AS {e}" for k, e in enumerate(ends)) + " FROM m"
 
 
-@query("edge_dedup")
+@query("edge_dedup", _dedup_sql())
 def _dedup(spark, sf_dir):
     """Edges of a cube's cells given in both directions count once."""
     from ..operators.voronoi import distinct_edges

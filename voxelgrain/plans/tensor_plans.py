@@ -159,6 +159,19 @@ def _principal(spark, sf_dir):
     return fx.rounded(out.select("id", *[F.get("l", c).alias(f"l{c + 1}") for c in range(3)], "max_shear"))
 
 
+@query("eigenvectors", _EIG + f"SELECT id, {_r('l1', 'l1')}, {_r('l2', 'l2')}, {_r('l3', 'l3')}, 0.0::DOUBLE AS residual, 0.0::DOUBLE AS skew FROM v")
+def _eigenvectors(spark, sf_dir):
+    """Each tensor's quadratic form along its eigenvectors, and how far these are from solving it and from a basis."""
+    full = tn.full_components(F.col("t"))
+    out = fx.tensors(spark, sf_dir).select("id", F.array(*[F.array(*r) for r in full]).alias("a"), tn.principal(F.col("t")).alias("l"), tn.eigenvectors(F.col("t")).alias("v"))
+    at = lambda m, i, j: F.get(F.get(m, i), j)
+    image = [[sum(at("a", i, k) * at("v", k, j) for k in range(3)) for j in range(3)] for i in range(3)]
+    form = [sum(at("v", i, j) * image[i][j] for i in range(3)) for j in range(3)]
+    residual = F.greatest(*[F.abs(image[i][j] - F.get("l", j) * at("v", i, j)) for i in range(3) for j in range(3)])
+    skew = F.greatest(*[F.abs(sum(at("v", k, i) * at("v", k, j) for k in range(3)) - float(i == j)) for i in range(3) for j in range(i, 3)])
+    return fx.rounded(out.select("id", *[f.alias(f"l{j + 1}") for j, f in enumerate(form)], residual.alias("residual"), skew.alias("skew")))
+
+
 @query(
     "lode_angle",
     f"WITH {fx.TENSORS}, j AS (SELECT id, greatest({_J2}, 1e-12) AS j2, {_J3} AS j3 FROM tensors) SELECT id, "
@@ -170,9 +183,8 @@ def _lode(spark, sf_dir):
 
 def _weighted(spark, sf_dir):
     """All stiffnesses with equal volume fractions."""
-    from pyspark.sql import Window
-
-    return fx.stiffness(spark, sf_dir).withColumn("fraction", 1.0 / F.count("*").over(Window.partitionBy(F.lit(1))))
+    every = fx.stiffness(spark, sf_dir)
+    return every.withColumn("fraction", F.lit(1.0 / max(every.count(), 1)))
 
 
 @query(
@@ -183,16 +195,67 @@ def _voigt(spark, sf_dir):
     return fx.rounded(elastic.voigt_bound(_weighted(spark, sf_dir)).select(F.posexplode("c").alias("p", "v")))
 
 
-@query("reuss_bound")
+def _inverted(source: str, name: str = "x") -> str:
+    """CTEs that invert the 6 x 6 matrices (id, c) of ``source`` in place, one pivot after another; the last is ``name``6.
+
+    Without exchange of rows, which positive definite matrices don't need; ``p0`` to ``p5`` are the pivots.
+    """
+    at = lambda i, j: f"m{6 * i + j}"
+    ctes = [f"{name}0 AS MATERIALIZED (SELECT id, " + ", ".join(f"c[{n + 1}] AS m{n}" for n in range(36)) + f" FROM {source})"]
+    for p in range(6):
+        entries = []
+        for i in range(6):
+            for j in range(6):
+                if i == p and j == p:
+                    e = f"1.0::DOUBLE / {at(p, p)}"
+                elif i == p:
+                    e = f"{at(p, j)} / {at(p, p)}"
+                elif j == p:
+                    e = f"-{at(i, p)} / {at(p, p)}"
+                else:
+                    e = f"{at(i, j)} - {at(i, p)} * {at(p, j)} / {at(p, p)}"
+                entries.append(f"{e} AS {at(i, j)}")
+        pivots = [f"p{q}" for q in range(p)] + [f"{at(p, p)} AS p{p}"]
+        ctes.append(f"{name}{p + 1} AS MATERIALIZED (SELECT id, {', '.join(entries)}, {', '.join(pivots)} FROM {name}{p})")
+    return ", ".join(ctes)
+
+
+_MEAN = "mean AS (SELECT 0 AS id, [" + ", ".join(f"avg(m{n})" for n in range(36)) + "] AS c FROM x6)"
+
+
+@query("reuss_bound", f"WITH {fx.STIFFNESS}, {_inverted('stiffness')}, {_MEAN}, {_inverted('mean', 'y')} SELECT CAST(p AS INTEGER) AS p, round(v, 6) + 0.0::DOUBLE AS v FROM (SELECT unnest(range(36)) AS p, unnest([" + ", ".join(f"m{n}" for n in range(36)) + "]) AS v FROM y6)")
 def _reuss(spark, sf_dir):
     return fx.rounded(elastic.reuss_bound(_weighted(spark, sf_dir)).select(F.posexplode("c").alias("p", "v")))
 
 
-@query("is_spd")
-def _spd(spark, sf_dir):
-    return fx.rounded(elastic.definiteness(fx.stiffness(spark, sf_dir)).drop("c"))
+_SHIFTED = "shifted AS (SELECT id, [" + ", ".join(f"c[{n + 1}]" + (" - 1.5::DOUBLE" if n % 7 == 0 else "") for n in range(36)) + "] AS c FROM stiffness)"
 
 
-@query("youngs_modulus")
+@query(
+    "is_spd",
+    f"WITH {fx.STIFFNESS}, {_SHIFTED}, {_inverted('shifted')} SELECT x6.id, " + " AND ".join(f"p{q} > 0" for q in range(6)) + " AS spd, round(" + " + ".join(f"shifted.c[{7 * q + 1}]" for q in range(6)) + ", 6) + 0.0::DOUBLE AS eigenvalue_sum, "
+    "round(" + " * ".join(f"p{q}" for q in range(6)) + ", 4) + 0.0::DOUBLE AS eigenvalue_product FROM x6 JOIN shifted ON shifted.id = x6.id",
+)
+def _spd(spark, sf_dir):
+    """Stiffnesses less 1.5 on the diagonal, so that some are indefinite, with sum and product of their eigenvalues."""
+    lowered = F.transform("c", lambda v, n: F.when(n % 7 == 0, v - 1.5).otherwise(v))
+    out = elastic.definiteness(fx.stiffness(spark, sf_dir).select("id", lowered.alias("c")))
+    fold = lambda start, f: F.aggregate("eigenvalues", F.lit(start), f)
+    total, product = fold(0.0, lambda a, x: a + x), fold(1.0, lambda a, x: a * x)
+    return out.select("id", "spd", (F.round(total, 6) + 0.0).alias("eigenvalue_sum"), (F.round(product, 4) + 0.0).alias("eigenvalue_product"))
+
+
+def _young_sql() -> str:
+    r = math.sqrt(2.0)
+    n = ["x * x", "y * y", "z * z", *(f"{r!r}::DOUBLE * {a} * {b}" for a, b in ("xy", "xz", "yz"))]
+    form = " + ".join(f"({n[i]}) * m{6 * i + j} * ({n[j]})" for i in range(6) for j in range(6))
+    grid = (
+        f"d AS (SELECT t, p, sin(theta) * cos(phi) AS x, sin(theta) * sin(phi) AS y, cos(theta) AS z FROM (SELECT CAST(id // 25 AS INTEGER) AS t, CAST(id % 25 AS INTEGER) AS p, (id // 25) * {math.pi / 12!r}::DOUBLE AS theta, (id % 25) * {2 * math.pi / 24!r}::DOUBLE AS phi FROM range(325) r(id)))"
+    )
+    show = ", ".join(f"round({c}, 6) + 0.0::DOUBLE AS {c}" for c in "xyz") + ", round(e, 6) AS \"E\", " + ", ".join(f"round({c} * e, 6) + 0.0::DOUBLE AS s{c}" for c in "xyz")
+    return f"WITH {fx.STIFFNESS}, {_inverted('stiffness')}, {grid}, f AS (SELECT id, t, p, x, y, z, 1.0::DOUBLE / ({form}) AS e FROM x6, d) SELECT id, t, p, {show} FROM f"
+
+
+@query("youngs_modulus", _young_sql())
 def _young(spark, sf_dir):
     return fx.rounded(elastic.youngs_modulus(fx.stiffness(spark, sf_dir), elastic.direction_grid(spark, 13, 25).select("t", "p", "x", "y", "z")))

@@ -100,18 +100,16 @@ def _laplacian(spark, sf_dir):
 
 
 def _moments_sql() -> str:
-    size = _B
-    shifts = [(0, 0, 0, 6.0), (1, 0, 0, -1.0), (-1, 0, 0, -1.0), (0, 1, 0, -1.0), (0, -1, 0, -1.0), (0, 0, 1, -1.0), (0, 0, -1, -1.0)]
-    moved = " UNION ALL ".join(f"SELECT bi, bj, bk, (i + {a} + {size}) % {size} AS i, (j + {b} + {size}) % {size} AS j, (k + {c} + {size}) % {size} AS k, one * {w}::DOUBLE AS v FROM loc" for a, b, c, w in shifts)
-    h = 1.0 / LABELS
+    """The Laplacian of the whole image, cut into blocks."""
+    size, h = _B, 1.0 / LABELS
     sums = ", ".join(f"sum(w * {a} * {b}) AS s{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
     out = ", ".join(f"round(s{a}{b} / w - (s{a} / w) * (s{b} / w), 6) + 0.0::DOUBLE AS m{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
     means = ", ".join(f"round(s{c} / w, 6) + 0.0::DOUBLE AS c{c}" for c in "xyz")
-    return f"""WITH {fx.labels_sql()}, par AS (SELECT i // {size} AS bi, j // {size} AS bj, k // {size} AS bk, i % {size} AS i, j % {size} AS j, k % {size} AS k, label % 2 AS label FROM lab),
-two AS (SELECT bi, bj, bk, max(label) AS high FROM par GROUP BY bi, bj, bk HAVING count(DISTINCT label) = 2),
-loc AS (SELECT bi, bj, bk, i, j, k, CAST(label = high AS INTEGER) AS one FROM par JOIN two USING (bi, bj, bk)),
-wt AS (SELECT bi, bj, bk, i * {h}::DOUBLE AS x, j * {h}::DOUBLE AS y, k * {h}::DOUBLE AS z, abs(sum(v)) AS w FROM ({moved}) GROUP BY bi, bj, bk, i, j, k),
-su AS (SELECT bi, bj, bk, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * z) AS sz, {sums}, sum(w) AS w FROM wt WHERE w > 1e-5 GROUP BY bi, bj, bk)
+    return f"""WITH {fx.labels_sql()}, par AS (SELECT i, j, k, label % 2 AS label FROM lab), near AS ({_NEAR.replace('FROM lab', 'FROM par')}),
+lap AS (SELECT i, j, k, abs(sum(v)) AS w FROM near GROUP BY i, j, k),
+two AS (SELECT i // {size} AS bi, j // {size} AS bj, k // {size} AS bk FROM par GROUP BY ALL HAVING count(DISTINCT label) = 2),
+wt AS (SELECT i // {size} AS bi, j // {size} AS bj, k // {size} AS bk, (i % {size}) * {h}::DOUBLE AS x, (j % {size}) * {h}::DOUBLE AS y, (k % {size}) * {h}::DOUBLE AS z, w FROM lap WHERE w > 1e-5),
+su AS (SELECT bi, bj, bk, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * z) AS sz, {sums}, sum(w) AS w FROM wt JOIN two USING (bi, bj, bk) GROUP BY bi, bj, bk)
 SELECT CAST(bi AS INTEGER) AS bi, CAST(bj AS INTEGER) AS bj, CAST(bk AS INTEGER) AS bk, round(w, 6) AS w, {means}, {out} FROM su"""
 
 
@@ -205,7 +203,14 @@ def _auto(spark, sf_dir):
     return fx.rounded(spectral.axis_autocorrelation(_binary(spark, sf_dir), _SHAPE))
 
 
-@query("autocorrelation_3d")
+_AUTO3 = (
+    f"WITH {fx.labels_sql()}, par AS (SELECT i, j, k FROM lab WHERE label % 2 = 1), m AS (SELECT count(*) / {LABELS**3}::DOUBLE AS c FROM par), {fx.grid_sql(LABELS).replace('g AS', 'h AS')}, "
+    f"p AS (SELECT (b.i - a.i + {LABELS}) % {LABELS} AS i, (b.j - a.j + {LABELS}) % {LABELS} AS j, (b.k - a.k + {LABELS}) % {LABELS} AS k, count(*) / {LABELS**3}::DOUBLE AS p FROM par a, par b GROUP BY ALL) "
+    "SELECT h.i, h.j, h.k, round((coalesce(p, 0) - c * c) / (c - c * c), 6) + 0.0::DOUBLE AS r FROM h CROSS JOIN m LEFT JOIN p ON p.i = h.i AND p.j = h.j AND p.k = h.k"
+)
+
+
+@query("autocorrelation_3d", _AUTO3)
 def _auto3(spark, sf_dir):
     return fx.rounded(spectral.autocorrelation3(_binary(spark, sf_dir), _SHAPE))
 
@@ -292,13 +297,57 @@ def _interface(spark, sf_dir):
     return fx.rounded(voronoi.interface_measures(voronoi.tessellate(fx.seeds(spark, sf_dir))))
 
 
+_BRICKS = (5, 4, 3)
+_CELLS = "c AS (SELECT id, id // 12 AS a, (id // 3) % 4 AS b, id % 3 AS c FROM range(60) t(id))"
+
+
+def _bricks(spark):
+    return voronoi.tessellate(sd.voronoi_seeds(spark, 60, (1.0, 1.0, 1.0), "rubiks-cube"))
+
+
+@query("voronoi_lattice_volumes", f"WITH {_CELLS} SELECT id AS seed_id, round(1.0::DOUBLE / 60, 9) AS volume FROM c")
+def _lattice_volumes(spark, sf_dir):
+    """Cells of a 5 x 4 x 3 lattice are bricks."""
+    return fx.rounded(voronoi.cell_volumes(_bricks(spark)), 9)
+
+
+@query(
+    "voronoi_lattice_neighbors",
+    f"WITH {_CELLS}, s AS (SELECT * FROM (VALUES (1, 0, 0), (4, 0, 0), (0, 1, 0), (0, 3, 0), (0, 0, 1), (0, 0, 2)) v(x, y, z)) "
+    "SELECT c.id AS seed_id, ((c.a + x) % 5) * 12 + ((c.b + y) % 4) * 3 + (c.c + z) % 3 AS neighbour FROM c, s",
+)
+def _lattice_neighbours(spark, sf_dir):
+    return voronoi.neighbours(_bricks(spark)).select("seed_id", F.explode("neighbours").alias("neighbour"))
+
+
+@query("voronoi_lattice_interface", "SELECT 'unique' AS count, 12.0::DOUBLE AS interface_area UNION ALL SELECT 'reference', 15.0::DOUBLE")
+def _lattice_interface(spark, sf_dir):
+    """Five, four and three planes of area 1; one of each lies on the boundary and counts at both its places there."""
+    faces = _bricks(spark)
+    one, two = (voronoi.interface_measures(faces, c).select(F.lit(c).alias("count"), "interface_area") for c in ("unique", "reference"))
+    return fx.rounded(one.unionByName(two))
+
+
+@query("voronoi_lattice_tensor", "SELECT CAST(v AS INTEGER) AS a, CAST(w AS INTEGER) AS b, CASE WHEN v <> w THEN 0.0::DOUBLE ELSE 5.0::DOUBLE - v END AS value FROM range(3) x(v), range(3) y(w)")
+def _lattice_tensor(spark, sf_dir):
+    return fx.rounded(voronoi.structure_tensor(voronoi.unique_faces(_bricks(spark))))
+
+
+@query("voronoi_vertices", "SELECT CAST(id AS INTEGER) AS vertex, round((id // 12 + 0.5::DOUBLE) / 5, 6) AS x, round(((id // 3) % 4 + 0.5::DOUBLE) / 4, 6) AS y, round((id % 3 + 0.5::DOUBLE) / 3, 6) AS z FROM range(60) t(id)")
+def _vertices(spark, sf_dir):
+    """Vertices of the bricks that lie in the box, numbered in order."""
+    faces = _bricks(spark)
+    inside = F.filter("verts", lambda p: (p["x"] > 0) & (p["x"] < 1) & (p["y"] > 0) & (p["y"] < 1) & (p["z"] > 0) & (p["z"] < 1))
+    return fx.rounded(voronoi.vertex_table(faces.withColumn("verts", inside)))
+
+
 @query("voronoi_volume_histogram")
 def _volume_histogram(spark, sf_dir):
-    """Volumes of the cells of several samplers, in 128 bins each."""
+    """Volumes of 1,000 cells of each of six samplers, in 128 bins each."""
     out = None
-    for method in ("random", "sobol", "halton", "honeycomb"):
-        v = voronoi.cell_volumes(voronoi.tessellate(sd.voronoi_seeds(spark, 64, (1.0, 1.0, 1.0), method, 3)))
-        own = histogram(v, "volume", 128, 0.0, 0.05).withColumn("method", F.lit(method))
+    for method in ("random", "lhs-lloyd", "halton", "sobol", "honeycomb", "rubiks-cube"):
+        v = voronoi.cell_volumes(voronoi.tessellate(sd.voronoi_seeds(spark, 1000, (1.0, 1.0, 1.0), method, 42)))
+        own = histogram(v, "volume", 128, 0.0, 0.005).withColumn("method", F.lit(method))
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -315,9 +364,50 @@ def _gb(spark, sf_dir):
     return image
 
 
-@query("gb_fraction")
+def _cube_boundaries(spark):
+    """Eight cubes: faces at a quarter and three quarters of each axis."""
+    seeds, shape = sd.voronoi_seeds(spark, 8, (1.0, 1.0, 1.0), "rubiks-cube"), (16, 16, 16)
+    voxels = raster.label_nearest_seed(grids.voxel_grid(spark, shape), seeds, shape)
+    return erosion.erode_boundaries(voxels, voronoi.tessellate(seeds), seeds, shape, thickness=0.1)
+
+
+_NEARBY = " OR ".join(f"abs(abs(({i} + 0.5::DOUBLE) / 16 - 0.5::DOUBLE) - 0.25::DOUBLE) <= 0.05::DOUBLE" for i in "ijk")
+
+
+@query("gb_lattice_mask", f"WITH {fx.grid_sql(16)} SELECT i, j, k, {_NEARBY} AS eroded FROM g")
+def _lattice_mask(spark, sf_dir):
+    image, _ = _cube_boundaries(spark)
+    return image.select("i", "j", "k", ((F.col("label") >= 8) | (F.col("label") < 0)).alias("eroded"))
+
+
+@query(
+    "gb_lattice_table",
+    "WITH p AS (SELECT a.id AS lo, b.id AS hi, xor(a.id, b.id) AS d FROM range(8) a(id), range(8) b(id) WHERE a.id < b.id) "
+    "SELECT 7 + row_number() OVER (ORDER BY lo, hi) AS gb_tag, lo AS crystal_a, hi AS crystal_b, CAST(d = 4 AS INTEGER)::DOUBLE AS ax, CAST(d = 2 AS INTEGER)::DOUBLE AS ay, CAST(d = 1 AS INTEGER)::DOUBLE AS az FROM p WHERE d IN (1, 2, 4)",
+)
+def _lattice_table(spark, sf_dir):
+    """Both faces of two cubes are one boundary; normals without their sign."""
+    _, table = _cube_boundaries(spark)
+    return fx.rounded(table.select("gb_tag", "crystal_a", "crystal_b", *[F.abs(f"n{c}").alias(f"a{c}") for c in "xyz"]))
+
+
+def _foam_sql(n: int, radius: float) -> str:
+    d = {c: f"least(abs({i} / {n - 1}.0::DOUBLE - 0.25::DOUBLE), abs({i} / {n - 1}.0::DOUBLE - 0.75::DOUBLE))" for c, i in zip("xyz", "ijk", strict=True)}
+    near = ", ".join(f"{a} * {a} + {b} * {b}" for a, b in (("x", "y"), ("y", "z"), ("x", "z")))
+    return f"WITH {fx.grid_sql(n)}, d AS (SELECT i, j, k, {d['x']} AS x, {d['y']} AS y, {d['z']} AS z FROM g) SELECT i, j, k, CAST(least({near}) <= {radius * radius!r}::DOUBLE AS INTEGER) AS label FROM d"
+
+
+@query("voronoi_lattice_foam", _foam_sql(24, 0.07))
+def _lattice_foam(spark, sf_dir):
+    """Edges of eight cubes: lines along the axes."""
+    faces = voronoi.tessellate(sd.voronoi_seeds(spark, 8, (1.0, 1.0, 1.0), "rubiks-cube"))
+    return voronoi.foam(spark, faces, (24, 24, 24), radius=0.07, exact=True)
+
+
+@query("gb_fraction", f"WITH {fx.labels_sql()} SELECT round(avg(CASE WHEN label >= 100 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS fraction FROM lab")
 def _gb_fraction(spark, sf_dir):
-    return boundary_fraction(_gb(spark, sf_dir), _FEW)
+    """Labels from 100 on stand for grain boundaries."""
+    return boundary_fraction(fx.labels(spark, sf_dir), 100)
 
 
 @query("voronoi_foam")

@@ -86,13 +86,15 @@ def write_image(voxels: DataFrame, file: str, dataset: str, shape, lengths=(1.0,
     if not 0 <= compression <= 9:
         raise ValueError("compression levels go from 0 to 9")
     out = permute_axes(voxels, order)
+    # labels as 32-bit integers, fields as they are
+    kind = {"double": np.float64, "float": np.float32}.get(dict(out.dtypes)["label"], np.int32)
     dims = tuple(shape)[::-1] if order == "zyx" else tuple(shape)
     with h5py.File(file, "a") as held:
         if dataset in held:
             del held[dataset]
-        made = held.create_dataset(dataset, dims, dtype="i4", compression="gzip", compression_opts=compression, chunks=(1, *dims[1:]))
+        made = held.create_dataset(dataset, dims, dtype=np.dtype(kind).str, compression="gzip", compression_opts=compression, chunks=(1, *dims[1:]))
         for row in out.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "k", "label"))).alias("plane")).orderBy("i").toLocalIterator():
-            made[row["i"]] = np.array([p["label"] for p in row["plane"]], np.int32).reshape(dims[1:])
+            made[row["i"]] = np.array([p["label"] for p in row["plane"]], kind).reshape(dims[1:])
         for k, v in (metadata or {}).items():
             made.attrs[k] = v
         made.attrs["permute_order"], made.attrs["L"] = order, list(map(float, lengths))

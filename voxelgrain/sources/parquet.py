@@ -54,9 +54,35 @@ def read_seeds(spark: SparkSession, path: str, group: str) -> DataFrame:
         raise ValueError(f"no seeds {group!r} in {path}") from error
 
 
-def write_combo(combo: DataFrame, path: str, group: str) -> None:
-    """Composite voxels with arrays and nulls as they are; the group is replaced."""
+def write_combo(combo: DataFrame, path: str, group: str, fine: DataFrame | None = None) -> None:
+    """Composite voxels with arrays and nulls as they are, and the fine image (i, j, k, label), if given; the group is
+    replaced."""
     combo.write.mode("overwrite").parquet(f"{path}/{group}")
+    if fine is not None:
+        fine.select("i", "j", "k", "label").repartitionByRange("i").sortWithinPartitions("i", "j", "k").write.mode("overwrite").parquet(f"{path}/{group}_fine")
+
+
+def padded_records(combo: DataFrame) -> DataFrame:
+    """One record of fixed width for each block of several materials, as files of fixed-size records hold them: coords,
+    elem_xyz, num_materials, materials and fractions padded with -1 to the largest number of materials, the normal (zero if
+    there is none) and the fine block."""
+    several = combo.where(F.size("phases") > 1)
+    most = several.agg(F.max(F.size("phases"))).first()[0] or 0
+    pad = lambda values, with_: F.slice(F.concat(values, F.array_repeat(with_, most)), 1, max(most, 1))
+    normal = F.coalesce("normal", F.array(*[F.lit(0.0)] * 3)) if "normal" in combo.columns else F.array(*[F.lit(0.0)] * 3)
+    fine = [F.col("fine").alias("fine_scale_block")] if "fine" in combo.columns else []
+    return several.select(
+        F.array("bi", "bj", "bk").alias("coords"), F.col("elem").alias("elem_xyz"), F.size("phases").alias("num_materials"),
+        pad(F.transform("phases", lambda p: p["material"].cast("int")), F.lit(-1)).alias("materials"), pad(F.transform("phases", lambda p: p["fraction"]), F.lit(-1.0)).alias("fractions"), normal.alias("normal"), *fine,
+    )
+
+
+def from_padded_records(records: DataFrame) -> DataFrame:
+    """The composite blocks of ``padded_records`` again."""
+    phases = F.zip_with(F.slice("materials", F.lit(1), F.col("num_materials")), F.slice("fractions", F.lit(1), F.col("num_materials")), lambda m, f: F.struct(m.alias("material"), f.alias("fraction")))
+    at = [F.get("coords", k).alias(c) for k, c in enumerate(("bi", "bj", "bk"))]
+    fine = [F.col("fine_scale_block").alias("fine")] if "fine_scale_block" in records.columns else []
+    return records.select(*at, F.col("elem_xyz").alias("elem"), (-F.col("num_materials")).alias("coarse"), phases.alias("phases"), "normal", *fine)
 
 
 def read_combo(spark: SparkSession, path: str, group: str) -> DataFrame:

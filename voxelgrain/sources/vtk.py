@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import logging
 import os
 import struct
 import zlib
@@ -11,12 +12,17 @@ from xml.etree import ElementTree
 from xml.sax.saxutils import quoteattr
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..stages import cut
+
+log = logging.getLogger(__name__)
 _TYPES = {"Float32": "f4", "Float64": "f8", "Int8": "i1", "UInt8": "u1", "Int16": "i2", "UInt16": "u2", "Int32": "i4", "UInt32": "u4", "Int64": "i8", "UInt64": "u8"}
 SCHEMA = "file string, cell_id long, cx double, cy double, cz double, field string, value array<double>"
+ARROW = pa.schema([("file", pa.string()), ("cell_id", pa.int64()), *[(c, pa.float64()) for c in ("cx", "cy", "cz")], ("field", pa.string()), ("value", pa.list_(pa.float64()))])
 
 
 class _Arrays:
@@ -66,6 +72,8 @@ def parse_cells(raw: bytes) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Cell centres (n, 3) and cell data (n, components) of an image or an unstructured grid."""
     arrays = _Arrays(raw)
     piece = arrays.root.find(".//Piece")
+    if piece is None or (arrays.root.find("ImageData") is None and piece.find("Points/DataArray") is None):
+        raise ValueError("no piece with points or an extent")
     image = arrays.root.find("ImageData")
     if image is not None:
         extent = list(map(int, piece.get("Extent", image.get("WholeExtent")).split()))
@@ -108,22 +116,24 @@ class VtkReader(DataSourceReader):
                 found.append(path)
         return [_File(p) for p in found]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        """Rows of one file. Files that can't be read, or have no cell data or none of the fields, are skipped, or raise
-        with mode FAILFAST."""
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        """Rows of one file, a batch a field. Files that can't be opened or parsed, or have no cell data or none of the
+        fields, are logged and skipped, or raise with mode FAILFAST."""
         try:
             with open(partition.value, "rb") as file:
                 centres, fields = parse_cells(file.read())
             wanted = {k: v for k, v in fields.items() if not self.fields or k in self.fields}
             if not wanted:
                 raise ValueError(f"{partition.value} has none of the fields")
-        except Exception:
+        except (OSError, ValueError, KeyError, struct.error, zlib.error, ElementTree.ParseError) as error:
             if self.mode == "FAILFAST":
                 raise
+            log.warning("skipped %s: %s", partition.value, error)
             return
         for name, values in wanted.items():
-            for cell, (centre, value) in enumerate(zip(centres.tolist(), values.tolist(), strict=True)):
-                yield (partition.value, cell, *centre, name, value)
+            n = len(centres)
+            columns = [pa.array([partition.value] * n), pa.array(np.arange(n)), *(pa.array(centres[:, a]) for a in range(3)), pa.array([name] * n), pa.array(values.tolist())]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
 
 
 class VtkDataSource(DataSource):
@@ -190,43 +200,45 @@ def _data_array(kind: str, name: str | None, lines: Iterator[str], components: i
 
 
 def write_tessellation(faces: DataFrame, path: str) -> None:
-    """A tessellation as polyhedra (.vtu): vertices, cells, their faces, and ``crystal_id``.
+    """A tessellation as polyhedra, a plane one as polygons (.vtu): vertices, cells, their faces, and ``crystal_id``.
 
     Vertices are numbered and cells described in Spark; the sorted texts stream to the file.
     """
-    from ..operators.voronoi import vertex_table
+    from ..operators.voronoi import cell_polygons, vertex_table
 
+    plane = faces.where(F.size("verts") > 2).limit(1).count() == 0
+    if plane:
+        faces = cell_polygons(faces).select(F.col("seed_id").alias("seed_a"), F.col("seed_id").alias("seed_b"), *[F.lit(0).alias(f"o{c}") for c in "xyz"], "verts")
+    faces = cut(faces, "faces")
     vertices = vertex_table(faces)
     at = [F.round(F.col(f"p.{c}"), 9).alias(c) for c in "xyz"]
     placed = faces.select("seed_a", "seed_b", "ox", "oy", "oz", F.posexplode("verts").alias("n", "p")).select("seed_a", "seed_b", "ox", "oy", "oz", "n", *at).join(vertices, ["x", "y", "z"])
     loops = placed.groupBy("seed_a", "seed_b", "ox", "oy", "oz").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "vertex"))), lambda v: v["vertex"]).alias("loop"))
-    cells = loops.groupBy("seed_a").agg(F.array_sort(F.collect_list("loop")).alias("loops")).select("seed_a", "loops", F.array_sort(F.array_distinct(F.flatten("loops"))).alias("own")).orderBy("seed_a")
-    held = cells.persist()
-    try:
-        n_points, n_cells = vertices.count(), held.count()
-        rows = lambda: held.toLocalIterator()
-
-        def running(step) -> Iterator[str]:
-            total = 0
-            for r in rows():
-                total += step(r)
-                yield str(total)
-
-        with open(path, "w", encoding="ascii") as out:
-            out.write('<VTKFile type="UnstructuredGrid" version="0.1" byte_order="LittleEndian">\n<UnstructuredGrid>\n')
-            out.write(f'<Piece NumberOfPoints="{n_points}" NumberOfCells="{n_cells}">\n<Points>\n')
-            out.writelines(_data_array("Float32", None, (f"{r['x']} {r['y']} {r['z']}" for r in vertices.orderBy("vertex").toLocalIterator()), 3))
-            out.write("</Points>\n<Cells>\n")
-            out.writelines(_data_array("Int32", "connectivity", (" ".join(map(str, r["own"])) for r in rows())))
-            out.writelines(_data_array("Int32", "offsets", running(lambda r: len(r["own"]))))
-            out.writelines(_data_array("UInt8", "types", ("42" for _ in range(n_cells))))
+    cells = loops.groupBy("seed_a").agg(F.array_sort(F.collect_list("loop")).alias("loops")).select("seed_a", "loops", (F.get("loops", 0) if plane else F.array_sort(F.array_distinct(F.flatten("loops")))).alias("own"))
+    held = cut(cells, "cells").orderBy("seed_a")
+    n_points, n_cells = vertices.count(), held.count()
+    rows = lambda: held.toLocalIterator()
+
+    def running(step) -> Iterator[str]:
+        total = 0
+        for r in rows():
+            total += step(r)
+            yield str(total)
+
+    with open(path, "w", encoding="ascii") as out:
+        out.write('<VTKFile type="UnstructuredGrid" version="0.1" byte_order="LittleEndian">\n<UnstructuredGrid>\n')
+        out.write(f'<Piece NumberOfPoints="{n_points}" NumberOfCells="{n_cells}">\n<Points>\n')
+        out.writelines(_data_array("Float32", None, (f"{r['x']} {r['y']} {r['z']}" for r in vertices.orderBy("vertex").toLocalIterator()), 3))
+        out.write("</Points>\n<Cells>\n")
+        out.writelines(_data_array("Int32", "connectivity", (" ".join(map(str, r["own"])) for r in rows())))
+        out.writelines(_data_array("Int32", "offsets", running(lambda r: len(r["own"]))))
+        out.writelines(_data_array("UInt8", "types", ("7" if plane else "42" for _ in range(n_cells))))
+        if not plane:
             out.writelines(_data_array("Int32", "faces", (" ".join([str(len(r["loops"])), *[f"{len(p)} {' '.join(map(str, p))}" for p in r["loops"]]]) for r in rows())))
             out.writelines(_data_array("Int32", "faceoffsets", running(lambda r: 1 + sum(1 + len(p) for p in r["loops"]))))
-            out.write('</Cells>\n<CellData Scalars="crystal_id">\n')
-            out.writelines(_data_array("Int32", "crystal_id", (str(r["seed_a"]) for r in rows())))
-            out.write("</CellData>\n</Piece>\n</UnstructuredGrid>\n</VTKFile>\n")
-    finally:
-        held.unpersist()
+        out.write('</Cells>\n<CellData Scalars="crystal_id">\n')
+        out.writelines(_data_array("Int32", "crystal_id", (str(r["seed_a"]) for r in rows())))
+        out.write("</CellData>\n</Piece>\n</UnstructuredGrid>\n</VTKFile>\n")
 
 
 def write_surface(points: DataFrame, path: str, thetas: int, phis: int, value: str = "E") -> None:
