@@ -28,38 +28,90 @@ END_ID = 2
 BLOCKS = 4096
 #: A single space between two visible characters: the byte-level pre-tokeniser always begins anew there.
 _JOINT = re.compile(r"(?<=[^\s\u180e])(?= [^\s\u180e])")
-#: Stretches whose ids are remembered, of at most so many characters.
-_KNOWN, _LONGEST = 100_000, 48
+#: Ids of so many stretches of text are remembered at least, of at most so many characters each.
+_KNOWN, _LONGEST = 250_000, 48
+#: Bytes of texts that are encoded together.
+_TOGETHER = 1 << 19
+
+
+def _stretches(text: str) -> list[str]:
+    """A text in stretches that the byte-level pre-tokeniser never looks across: each but the first begins at a single space,
+    which is left out, or a single line feed, between two visible characters."""
+    words = text.split()
+    gaps = len(words) - 1
+    if gaps >= 0 and len(text) - len("".join(words)) == gaps == text.count(" ") + text.count("\n") and "\u180e" not in text:
+        return text.replace("\n", " \n").split(" ")  # no other white space than single separators
+    first, *rest = _JOINT.split(text)
+    return [first, *[x[1:] for x in rest]]
 
 
 class Encoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit numbers, by an encoder with the byte-level pre-tokeniser.
 
-    A text is encoded in stretches that begin at single spaces, where its ids are those of the stretches joined; ids of
-    short stretches are remembered, so that a word is merged once and not at each place.
+    The ids of a text are those of its stretches joined. Ids of short stretches are remembered, so that a word is merged
+    once and not at each place; what isn't known of a block of texts is encoded at once and told apart by ``lengths``, the
+    bytes of each token.
     """
 
-    def __init__(self, encode: Callable[[str], list[int]]) -> None:
-        self._whole = encode
-        self._ids: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self._whole(text), "<u4").tobytes()
+    def __init__(self, encode: Callable[[str], list[int]], lengths: np.ndarray) -> None:
+        self._encode, self._lengths = encode, lengths
+        self._new: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._marks = {c: self._bytes(c) for c in ".,;:!?"}
+
+    def _bytes(self, text: str) -> bytes:
+        return np.array(self._encode(text), "<u4").tobytes()
+
+    def _learn(self, stretches: list[str]) -> None:
+        texts = [x if x[0] == "\n" else " " + x for x in stretches]
+        ids = np.array(self._encode("".join(texts)), "<u4")
+        stops = np.cumsum([len(x.encode()) for x in texts])
+        edges = [0, *(4 * np.searchsorted(np.cumsum(self._lengths[ids]), stops) + 4).tolist()]
+        body = ids.tobytes()
+        self._new.update(zip(stretches, (body[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)), strict=True))
+
+    def _meet(self, wanted: set[str]) -> None:
+        """Make ids known that were so lately, or that can be encoded."""
+        wanted.difference_update(self._new)
+        again = wanted & self._old.keys()
+        self._new.update((x, self._old[x]) for x in again)
+        wanted -= again
+        if wanted:
+            self._learn(list(wanted))
+
+    def block(self, texts: list[str]) -> list[bytes]:
+        """Ids of each of some texts."""
+        if len(self._new) > _KNOWN:
+            self._old, self._new = self._new, {}
+        parts = [_stretches(t) for t in texts]
+        wanted: set[str] = set()
+        for first, *rest in parts:
+            wanted.update(rest)
+        wanted.difference_update(self._new)
+        # a mark at the end of a stretch, behind a letter, is a pre-token of its own
+        marked = {x for x in wanted if x[-1] in self._marks and len(x) > 1 and x[-2] < "\u0250" and x[-2].isalpha()}
+        self._meet((wanted - marked) | {x[:-1] for x in marked})
+        self._new.update((x, self._new[x[:-1]] + self._marks[x[-1]]) for x in marked)
+        known = self._new.__getitem__
+        out = [(self._bytes(first) if first else b"") + b"".join(map(known, rest)) for first, *rest in parts]
+        for x in wanted:
+            if len(x) > _LONGEST:
+                self._new.pop(x, None)
+        return out
 
     def __call__(self, text: str) -> bytes:
-        stretches = _JOINT.split(text)
-        known = self._ids
-        found = list(map(known.get, stretches))
-        if None in found:
-            if len(known) > _KNOWN:
-                known.clear()
-            for k, ids in enumerate(found):
-                if ids is None:
-                    one = stretches[k]
-                    found[k] = known.get(one) or self._encode(one)
-                    if len(one) <= _LONGEST:
-                        known[one] = found[k]
-        return b"".join(found)
+        return self.block([text])[0]
+
+    def column(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text of a column, null texts as empty ones, some texts at a time."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text.as_py() or "")
+            size += len(held[-1])
+            if size > _TOGETHER:
+                yield from self.block(held)
+                held, size = [], 0
+        yield from self.block(held)
 
 
 @cache
@@ -69,7 +121,11 @@ def encoder(path: str) -> Encoder:
     from tokenizers import Tokenizer
 
     file = Tokenizer.from_file(path)
-    return Encoder(lambda text: file.encode(text, add_special_tokens=False).ids)
+    vocabulary = file.get_vocab(with_added_tokens=True)
+    lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    for token, ident in vocabulary.items():
+        lengths[ident] = len(token)  # a character stands for a byte
+    return Encoder(lambda text: file.encode_batch_fast([text], add_special_tokens=False)[0].ids, lengths)
 
 
 def default_vocabulary() -> str:
@@ -94,12 +150,12 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, block = encoder(path), TaskContext.get().partitionId()
+        found, block = encoder(path), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         rows, held = [], 0
         for batch in batches:
-            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end
+            for ident, ids in zip(batch.column(0).to_pylist(), found.column(batch.column(1)), strict=True):
+                ids += end
                 size = len(ids) // 4
                 edges = [0, *range((size - 1) % capacity + 1, size + 1, capacity)]
                 for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):

@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,15 +38,22 @@ def _ranked(path: str) -> Encoder:
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return Encoder(tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary)
+    lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+    for token, rank in ranks.items():
+        lengths[rank] = len(token)
+    return Encoder(tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, lengths)
 
 
-def count_tokens(text: str, version: str) -> int:
-    """Tokens of a text under a tokenizer version: a name of the public byte-level vocabularies without its suffix."""
+def version_encoder(version: str) -> Encoder:
+    """Of a tokenizer version: a name of the public byte-level vocabularies without its suffix."""
     import public_tokenizers
 
-    found = encoder(default_vocabulary()) if version == "byte_bpe_50k" else _ranked(public_tokenizers.path(f"{version}.tiktoken"))
-    return len(found(text)) // 4
+    return encoder(default_vocabulary()) if version == "byte_bpe_50k" else _ranked(public_tokenizers.path(f"{version}.tiktoken"))
+
+
+def count_tokens(text: str, version: str) -> int:
+    """Tokens of a text under a tokenizer version."""
+    return len(version_encoder(version)(text)) // 4
 
 
 #: Vocabularies counted by default.
@@ -113,7 +121,7 @@ class TokenRollup:
             for batch in batches:
                 n, texts = batch.num_rows, batch.column(6)
                 for version in versions:
-                    tokens = [count_tokens(t.as_py() or "", version) for t in texts]
+                    tokens = [len(ids) // 4 for ids in version_encoder(version).column(texts)]
                     yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array([version] * n, pa.string()), pa.array([1] * n, pa.int64()), pa.array(tokens, pa.int64())], names)
 
         return docs.mapInArrow(run, _COUNTED)
