@@ -275,14 +275,17 @@ def distance(a, b):
     return row[-1]
 
 
-def test_lines_match_brute_force(spark):
-    rng = random.Random(3)
-    letters = "abcdéfgh ij"
-    lines = ["".join(rng.choice(letters) for _ in range(rng.randrange(16, 40))) for _ in range(25)]
+@pytest.mark.parametrize("bound", [0, 1, 2])
+def test_lines_match_brute_force(spark, bound):
+    rng = random.Random(3 + bound)
+    letters = "abcdéfgh ij🙂"
+    lines = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 30 if bound < 2 else 9))) for _ in range(30)]
     for line in list(lines):
-        at = rng.randrange(len(line))
-        lines.append(rng.choice([line[:at] + line[at + 1 :], line[:at] + "Z" + line[at:], line[:at] + "Q" + line[at + 1 :], line[:-1], "x" + line, line]))
-    lines += ["", "  ", "short", "short", "shorty"]
+        for _ in range(rng.randrange(1, 1 + max(bound, 1))):
+            at = rng.randrange(len(line) + 1)
+            line = rng.choice([line[:at] + line[at + 1 :], line[:at] + "Z" + line[at:], line[:at] + "Q" + line[at + 1 :], line[:-1], "x" + line, line])
+        lines.append(line)
+    lines += ["", "  ", "short", "short", "shorty", "a", "b", "aa", "abab", "baba", "aaaa", "aaa", "ab" * 40, "ab" * 40 + "a", "ba" * 40]
     rng.shuffle(lines)
     rows = [(n, "\n".join(lines[3 * n : 3 * n + 3])) for n in range(-(-len(lines) // 3))]
     flat = [(n, k, line) for n, text in rows for k, line in enumerate(text.split("\n"))]
@@ -291,12 +294,27 @@ def test_lines_match_brute_force(spark):
         before = {x[2] for x in flat[:at]}
         first = min(x[:2] for x in flat if x[2] == line)
         blank = not line.strip(" ")
-        near = len(line) >= 20 and any(len(x) >= 20 and x != line and distance(x, line) == 1 for x in {y[2] for y in flat if (y[0], y[1]) < first})
+        near = any(x.strip(" ") and x != line and distance(x, line) <= bound for x in {y[2] for y in flat if (y[0], y[1]) < first})
         want.append((n, k, not blank and line in before, near and not blank))
-    out = line_dedup.line_decisions(spark.createDataFrame(rows, "doc_id long, text string"))
+    out = line_dedup.line_decisions(spark.createDataFrame(rows, "doc_id long, text string"), line_dedup.LineConfig(distance=bound))
     assert sorted(tuple(r) for r in out.select("doc_id", "line_no", "equal", "near").collect()) == sorted(want)
 
 
+def test_one_very_long_line(spark):
+    body = "".join(random.Random(1).choice("abcdefgh") for _ in range(120_000))
+    rows = [(1, body), (2, body[:60_000] + body[60_001:]), (3, body[:40_000] + "Z" + body[40_001:] + "\nother words"), (4, body[::-1])]
+    out = line_dedup.line_decisions(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["line_no"]) for r in out.where("near").collect()) == [(2, 0), (3, 0)]
+
+
+def test_line_cleaning_keeps_texts_without_or_with_repeated_ids(spark):
+    copy = "a line that two of these texts have"
+    rows = [(1, copy), (None, f"unique first line\n{copy}"), (None, f"{copy}\nunique second line"), (5, "five has two texts, this one"), (5, f"and that one\n{copy}"), (5, "five has two texts, this one")]
+    out = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [rows[0], (None, "unique first line"), (None, "unique second line"), rows[3], (5, "and that one"), rows[3]]
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
 def test_line_report_and_cleaning(docs, empty):
     got = {r["doc_id"]: r.asDict() for r in line_dedup.line_report(docs).collect()}
     assert got[8]["equal_dropped"] == 1 and got[7]["kept_lines"] == 1 and got[3]["n_lines"] == 1 and got[None]["kept_lines"] == 1

@@ -1,11 +1,18 @@
 """The corpus pipeline stage by stage, and the registered queries."""
 
+from collections import Counter, defaultdict
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from voxelgrain.llm import langid
 from voxelgrain.llm import queries as registered
 
+from .test_dedup import brute_exact, brute_near
+from .test_packing_mixing import reference_ids, water_level
+
 
 def test_stages_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "minhash_near_dedup", "mix_sources", "best_fit_packing"]
@@ -40,6 +47,50 @@ def test_run_packs_what_is_left(spark):
     assert out.agg(F.max("length")).first()[0] <= 1024 and out.count() > 0
 
 
+def test_stages_match_brute_force(spark, corpus):
+    run = {name: stage for name, stage in corpus_pipeline.STAGES}
+    rows = lambda df: [tuple(r) for r in df.select("doc_id", "text", "source").collect()]
+    given = rows(corpus)
+    # language: what the classifier's own scores say
+    known = run["language_id"](spark, corpus, "").cache()
+    scores = {r["doc_id"]: r for r in langid.predict_languages(corpus).collect()}
+    classes = len({r["lang_pred"] for r in scores.values()} - {"und"})
+    bound = 1 / classes + 0.07 * (1 - 1 / classes) - 1e-6
+    kept = rows(known)
+    assert sorted(kept) == sorted(r for r in given if scores[r[0]]["lang_pred"] != "und" and scores[r[0]]["score"] >= bound)
+    # exact and near copies
+    exact = run["exact_dedup"](spark, known, "").cache()
+    owners = {r[0] for r in brute_exact([r[:2] for r in kept]) if r[3]}
+    assert sorted(rows(exact)) == sorted(r for r in kept if r[0] in owners)
+    near = run["minhash_near_dedup"](spark, exact, "").cache()
+    firsts = {r[0] for r in brute_near([r[:2] for r in rows(exact)], 5, 80) if r[3]}
+    assert sorted(rows(near)) == sorted(r for r in rows(exact) if r[0] in firsts)
+    # the mix: whole copies, three at most, words of each source at its target but for one document's
+    mixed = run["mix_sources"](spark, near, "").cache()
+    copies, source, size = Counter(r[0] for r in rows(mixed)), {r[0]: r[2] for r in rows(near)}, {r[0]: len(r[1].split()) for r in rows(near)}
+    assert set(copies) <= set(source) and max(copies.values()) <= 3
+    names = sorted(set(source.values()))
+    held = {s: sum(size[i] for i in source if source[i] == s) for s in names}
+    targets = dict(zip(names, water_level([held[s] for s in names], [(5, 2, 1)[k % 3] for k in range(len(names))])))
+    for s in names:
+        taken = sum(size[i] * n for i, n in copies.items() if source[i] == s)
+        assert abs(taken - targets[s]) <= max(size[i] for i in source if source[i] == s)
+    # packing: sequences without gaps, and of each document's tokens as many copies as were drawn
+    packed = run["best_fit_packing"](spark, mixed, "").collect()
+    pieces, places = defaultdict(Counter), defaultdict(list)
+    for r in packed:
+        pieces[r["doc_id"]][r["start"], bytes(r["ids"])] += 1
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for one in places.values():
+        one.sort()
+        assert [o for o, _ in one] == [sum(n for _, n in one[:k]) for k in range(len(one))] and sum(n for _, n in one) <= 1024
+    texts = {r[0]: r[1] for r in rows(near)}
+    assert set(pieces) == set(copies)
+    for ident, n in copies.items():
+        whole = b"".join(ids for _, ids in sorted(pieces[ident]))
+        assert np.frombuffer(whole, "<u4").tolist() == [*reference_ids(texts[ident]), 2] and set(pieces[ident].values()) == {n}
+
+
 @pytest.mark.parametrize("n", range(1, 11))
 def test_every_operator_has_one_query(n):
     assert sum(name.startswith(f"op{n}_") for name in registered.queries()) == 1

@@ -87,13 +87,13 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(see
 """
 
 
-#: Lines of 20 code points or more are at distance 1 when they share a one-character deletion at one place (equal
+#: Lines are at distance 1 when they share a one-character deletion at one place (equal
 #: lengths), or when a deletion of the longer is the shorter.
 LINE_SQL = """
 WITH l AS (
   SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
 ), f AS (SELECT line, min({'d': doc_id, 'n': line_no}) AS first FROM l WHERE trim(line, ' ') <> '' GROUP BY line),
-g AS (SELECT line, first, length(line) AS n FROM f WHERE length(line) >= 20),
+g AS (SELECT line, first, length(line) AS n FROM f),
 v AS (SELECT line, first, i, hash(substr(line, 1, i - 1) || substr(line, i + 1)) AS h FROM (SELECT line, first, unnest(range(1, n + 1)) AS i FROM g)),
 s AS (SELECT h, i, min(first) AS best FROM v GROUP BY h, i HAVING count(*) > 1),
 near AS (

@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from ..stages import clean_stages, cut, drop_stage, shared_dir  # noqa: F401  the operators take them from here
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 
+#: Stands for a null id, which sorts last.
+LAST_ID = (1 << 63) - 1
+
 #: Rows of an Arrow batch where the session has Spark's default of 10,000: whole texts are long, and an executor holds
 #: a batch several times for each of its Python workers.
 BATCH_ROWS = 2000
@@ -30,55 +28,6 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see.
-
-    The session's ``spark.checkpoint.dir``; where that is unset, a local master gets a temporary folder of its own
-    (the only machine is this one) and a cluster the SQL warehouse, which is shared too.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return f"{found.rstrip('/')}/voxelgrain/{spark.sparkContext.applicationId}"
-    if spark.sparkContext.master.split("[")[0] == "local":
-        path = os.path.join(tempfile.gettempdir(), f"voxelgrain-{spark.sparkContext.applicationId}")
-        if not os.path.isdir(path):
-            os.makedirs(path)
-            atexit.register(shutil.rmtree, path, ignore_errors=True)
-        return f"file://{path}"
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_voxelgrain_stages/{spark.sparkContext.applicationId}"
-
-
-def cut(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs no rework.
-
-    ``slim`` frames hold a few numbers per document or less, a small part of the texts: they are written in a sixteenth
-    of the shuffle partitions, so that loops don't leave swarms of tiny files.
-    """
-    spark = df.sparkSession
-    if slim:
-        df = df.coalesce(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stage_path = path
-    return out
-
-
-def drop_stage(df: DataFrame) -> None:
-    """Delete the files behind a frame that ``cut`` returned and that nothing reads any more."""
-    _delete(df.sparkSession, df._stage_path)
-
-
-def clean_stages(spark: SparkSession) -> None:
-    """Delete all stages of this application; results that are still to be computed from them are lost."""
-    _delete(spark, shared_dir(spark))
-
-
-def _delete(spark: SparkSession, where: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -86,3 +35,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(doc_id) -> F.Column:
     """True for the fifth of all ids that is never learnt from; null ids are neither held out nor learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
+
+
+def keyed_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__vg_doc`` and ``__vg_part``, which name a document.
+
+    Rows with one id and one text are one document; where an id stands on several texts, or is null (then it sorts last),
+    the part is a hash of the text that keeps them apart; elsewhere it is 0.
+    """
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.withColumn("__vg_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)))
+    several = rows.groupBy("__vg_doc").agg(F.min(text_hash).alias("low"), F.max(text_hash).alias("high")).where("low <> high").select(F.col("__vg_doc").alias("__vg_several"))
+    several = cut(several, "several", slim=True)
+    if not several.limit(1).count():
+        return rows.withColumn("__vg_part", F.lit(0).cast("long"))
+    rows = rows.join(several, F.col("__vg_doc") == F.col("__vg_several"), "left")
+    return rows.withColumn("__vg_part", F.when(F.col("__vg_several").isNull(), 0).otherwise(text_hash)).drop("__vg_several")
+
+
+def documents_by_row(docs: DataFrame) -> DataFrame:
+    """doc_id, part and text of every row, documents told apart by the first two."""
+    return keyed_documents(docs.select("doc_id", "text")).select(F.col("__vg_doc").alias("doc_id"), F.col("__vg_part").alias("part"), "text")

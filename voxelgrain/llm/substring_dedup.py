@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import LAST_ID as _LAST
+from .shared import cut, documents_by_row, keyed_documents
 from .textkernel import _SPACE, _power, chunks, mix, text_buffers
 
 _U = np.uint64
@@ -29,7 +30,6 @@ _U = np.uint64
 _GEAR = np.random.default_rng(4711).integers(0, 1 << 32, 256, dtype=np.uint32)
 _VALUES = np.random.default_rng(4712).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * _U(2) + _U(1)
 _RADIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_LAST = (1 << 63) - 1
 
 
 @dataclass(frozen=True)
@@ -132,27 +132,6 @@ def _chunk_batches(config: ChunkConfig):
     return run
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__vg_doc`` and ``__vg_part``, which name a document.
-
-    Rows with one id and one text are one document; where an id stands on several texts, or is null (then it sorts last),
-    the part is a hash of the text that keeps them apart; elsewhere it is 0.
-    """
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.withColumn("__vg_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
-    several = rows.groupBy("__vg_doc").agg(F.min(text_hash).alias("low"), F.max(text_hash).alias("high")).where("low <> high").select(F.col("__vg_doc").alias("__vg_several"))
-    several = cut(several, "several", slim=True)
-    if not several.limit(1).count():
-        return rows.withColumn("__vg_part", F.lit(0).cast("long"))
-    rows = rows.join(several, F.col("__vg_doc") == F.col("__vg_several"), "left")
-    return rows.withColumn("__vg_part", F.when(F.col("__vg_several").isNull(), 0).otherwise(text_hash)).drop("__vg_several")
-
-
-def documents_by_row(docs: DataFrame) -> DataFrame:
-    """doc_id, part and text of every row, documents told apart by the first two."""
-    return _keyed(docs.select("doc_id", "text")).select(F.col("__vg_doc").alias("doc_id"), F.col("__vg_part").alias("part"), "text")
-
-
 def content_chunks(rows: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """doc_id, part, start, bytes and the digest (d, e) of every chunk of ``documents_by_row``; places count UTF-8 bytes."""
     return rows.mapInArrow(_chunk_batches(config), "doc_id long, part long, start long, bytes int, d long, e long")
@@ -335,7 +314,7 @@ def cut_repeats(docs: DataFrame, config: PassageConfig = PassageConfig()) -> Dat
     repeat an id and its text are treated alike.
     """
     spans = _passages(docs, config).groupBy("doc_id", "part").agg(F.array_sort(F.collect_list(F.struct("start", "bytes"))).alias("__vg_spans"))
-    joined = _keyed(docs).join(spans.withColumnsRenamed({"doc_id": "__vg_doc", "part": "__vg_part"}), ["__vg_doc", "__vg_part"], "left")
+    joined = keyed_documents(docs).join(spans.withColumnsRenamed({"doc_id": "__vg_doc", "part": "__vg_part"}), ["__vg_doc", "__vg_part"], "left")
     whole = F.col("text").cast("binary")
     end = F.struct(F.octet_length("text").cast("long").alias("start"), F.lit(0).cast("long").alias("bytes"))
     piece = F.aggregate(
