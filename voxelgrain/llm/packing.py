@@ -16,6 +16,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,92 +27,115 @@ CAPACITY = 1024
 END_ID = 2
 #: Blocks (tasks that cut pieces) whose first ranks are broadcast, ``capacity`` numbers each; more are joined by shuffle.
 BLOCKS = 4096
+#: White space, wherever one of Unicode's versions or a library sees it.
+_WHITE = "\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+#: White space that is not one space or line feed between two visible characters.
+_UNEVEN = f"^[{_WHITE}]|[{_WHITE}]{{2}}|[{_WHITE}]$|[{_WHITE.replace('x09-', 'x09').replace('x0d', 'x0b-' + chr(92) + 'x0d').replace('x20', 'x1f')}]"
 #: A single space between two visible characters: the byte-level pre-tokeniser always begins anew there.
 _JOINT = re.compile(r"(?<=[^\s\u180e])(?= [^\s\u180e])")
-#: Ids of so many stretches of text are remembered at least, of at most so many characters each.
-_KNOWN, _LONGEST = 250_000, 48
+#: Ids of so many stretches of text are remembered, of at most so many bytes each.
+_KNOWN, _LONGEST = 600_000, 48
 #: Bytes of texts that are encoded together.
-_TOGETHER = 1 << 19
-
-
-def _stretches(text: str) -> list[str]:
-    """A text in stretches that the byte-level pre-tokeniser never looks across: each but the first begins at a single space,
-    which is left out, or a single line feed, between two visible characters."""
-    words = text.split()
-    gaps = len(words) - 1
-    if gaps >= 0 and len(text) - len("".join(words)) == gaps == text.count(" ") + text.count("\n") and "\u180e" not in text:
-        return text.replace("\n", " \n").split(" ")  # no other white space than single separators
-    first, *rest = _JOINT.split(text)
-    return [first, *[x[1:] for x in rest]]
+_TOGETHER = 1 << 22
 
 
 class Encoder:
-    """Token ids of whole texts, as little-endian unsigned 32-bit numbers, by an encoder with the byte-level pre-tokeniser.
+    """Token ids of whole texts, as unsigned 32-bit numbers, by an encoder with the byte-level pre-tokeniser.
 
-    The ids of a text are those of its stretches joined. Ids of short stretches are remembered, so that a word is merged
-    once and not at each place; what isn't known of a block of texts is encoded at once and told apart by ``lengths``, the
-    bytes of each token.
+    Texts are encoded in stretches that the pre-tokeniser never looks across: each but the first begins at a single space, or a
+    single line feed, between two visible characters. Ids of short stretches are remembered, so that a word is merged once
+    and not at each place; what isn't known of a block of texts is encoded at once and told apart by ``lengths``, the bytes
+    of each token. Splitting, looking up and joining are Arrow's and NumPy's work.
     """
 
     def __init__(self, encode: Callable[[str], list[int]], lengths: np.ndarray) -> None:
         self._encode, self._lengths = encode, lengths
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-        self._marks = {c: self._bytes(c) for c in ".,;:!?"}
-
-    def _bytes(self, text: str) -> bytes:
-        return np.array(self._encode(text), "<u4").tobytes()
-
-    def _learn(self, stretches: list[str]) -> None:
-        texts = [x if x[0] == "\n" else " " + x for x in stretches]
-        ids = np.array(self._encode("".join(texts)), "<u4")
-        stops = np.cumsum([len(x.encode()) for x in texts])
-        edges = [0, *(4 * np.searchsorted(np.cumsum(self._lengths[ids]), stops) + 4).tolist()]
-        body = ids.tobytes()
-        self._new.update(zip(stretches, (body[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)), strict=True))
-
-    def _meet(self, wanted: set[str]) -> None:
-        """Make ids known that were so lately, or that can be encoded."""
-        wanted.difference_update(self._new)
-        again = wanted & self._old.keys()
-        self._new.update((x, self._old[x]) for x in again)
-        wanted -= again
-        if wanted:
-            self._learn(list(wanted))
-
-    def block(self, texts: list[str]) -> list[bytes]:
-        """Ids of each of some texts."""
-        if len(self._new) > _KNOWN:
-            self._old, self._new = self._new, {}
-        parts = [_stretches(t) for t in texts]
-        wanted: set[str] = set()
-        for first, *rest in parts:
-            wanted.update(rest)
-        wanted.difference_update(self._new)
-        # a mark at the end of a stretch, behind a letter, is a pre-token of its own
-        marked = {x for x in wanted if x[-1] in self._marks and len(x) > 1 and x[-2] < "\u0250" and x[-2].isalpha()}
-        self._meet((wanted - marked) | {x[:-1] for x in marked})
-        self._new.update((x, self._new[x[:-1]] + self._marks[x[-1]]) for x in marked)
-        known = self._new.__getitem__
-        out = [(self._bytes(first) if first else b"") + b"".join(map(known, rest)) for first, *rest in parts]
-        for x in wanted:
-            if len(x) > _LONGEST:
-                self._new.pop(x, None)
+        # names of known stretches, their ids one after another, and where each one's begin and how many they are
+        self._names = pa.array([], pa.large_string())
+        self._ids, self._starts, self._sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _one(self, text: str) -> np.ndarray:
+        return np.array(self._encode(text), "<u4")
+
+    def _found(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct stretches, one after another, with the start and the number of each one's. A name lacks the space
+        before its stretch; a line feed belongs to the name."""
+        at = pc.index_in(names, value_set=self._names)
+        new = names.filter(pc.is_null(at))
+        known = len(self._names)
+        if len(new):
+            feeds = np.asarray(pc.starts_with(new, "\n"))
+            ids = self._one("".join([x if x[0] == "\n" else " " + x for x in new.to_pylist()]))
+            stops = np.cumsum(np.asarray(pc.binary_length(new), np.int64) + ~feeds)
+            edges = np.concatenate([[0], np.searchsorted(np.cumsum(self._lengths[ids]), stops) + 1])
+            self._starts = np.concatenate([self._starts, edges[:-1] + len(self._ids)])
+            self._sizes = np.concatenate([self._sizes, np.diff(edges)])
+            self._ids = np.concatenate([self._ids, ids])
+            self._names = pa.concat_arrays([self._names, new])
+        place = np.asarray(at.fill_null(0), np.int64)
+        place[np.asarray(pc.is_null(at))] = known + np.arange(len(new))
+        found = self._ids, self._starts[place], self._sizes[place]
+        if len(self._names) > _KNOWN:  # go on with what this block has
+            short = np.asarray(pc.less_equal(pc.binary_length(names), _LONGEST))
+            self._names, self._starts, self._sizes = names.filter(pa.array(short)), found[1][short], found[2][short]
+            total = np.cumsum(self._sizes)
+            self._ids = found[0][_ranges(self._starts, self._sizes, total)]
+            self._starts = total - self._sizes
+        return found
+
+    def _uneven(self, text: str) -> np.ndarray:
+        """Ids of one text with other white space."""
+        first, *rest = _JOINT.split(text)
+        coded = pa.array([x[1:] for x in rest], pa.large_string()).dictionary_encode()
+        return np.concatenate([self._one(first), self._joined(coded.indices.to_numpy().astype(np.int64), *self._found(coded.dictionary))[0]])
+
+    @staticmethod
+    def _joined(place: np.ndarray, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stretches by their places among the distinct ones, and how many there are up to each."""
+        total = np.cumsum(sizes[place])
+        return ids[_ranges(starts[place], sizes[place], total)], total
+
+    def block(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each of some texts (none of them null)."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        uneven = np.asarray(pc.match_substring_regex(texts, _UNEVEN))
+        for k in np.flatnonzero(uneven).tolist():
+            out[k] = self._uneven(texts[k].as_py())
+        rest = np.flatnonzero(~uneven)
+        if not len(rest):
+            return out
+        parts = pc.split_pattern(pc.replace_substring(texts.take(pa.array(rest)), "\n", " \n"), " ")
+        offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        words = parts.flatten()
+        # the first stretch of a text has no space before it
+        firsts = [self._one(x) for x in words.take(pa.array(offsets[:-1])).to_pylist()]
+        others = np.ones(len(words), bool)
+        others[offsets[:-1]] = False
+        coded = words.filter(pa.array(others)).dictionary_encode()
+        ids, total = self._joined(coded.indices.to_numpy().astype(np.int64), *self._found(coded.dictionary))
+        edges = np.concatenate([[0], total])[offsets - np.arange(len(offsets))]
+        for n, k in enumerate(rest.tolist()):
+            out[k] = np.concatenate([firsts[n], ids[edges[n] : edges[n + 1]]])
         return out
 
-    def __call__(self, text: str) -> bytes:
-        return self.block([text])[0]
+    def __call__(self, text: str) -> np.ndarray:
+        return self.block(pa.array([text], pa.large_string()))[0]
 
-    def column(self, texts: pa.Array) -> Iterator[bytes]:
+    def column(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text of a column, null texts as empty ones, some texts at a time."""
-        held, size = [], 0
-        for text in texts:
-            held.append(text.as_py() or "")
-            size += len(held[-1])
-            if size > _TOGETHER:
-                yield from self.block(held)
-                held, size = [], 0
-        yield from self.block(held)
+        texts = texts.cast(pa.large_string()).fill_null("")
+        ends = np.cumsum(np.asarray(pc.binary_length(texts), np.int64))
+        at = 0
+        while at < len(texts):
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + _TOGETHER, "right")))
+            yield from self.block(texts.slice(at, stop - at))
+            at = stop
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another; ``total`` are the running sums of ``sizes``."""
+    return np.repeat(starts - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)
 
 
 @cache
@@ -147,7 +171,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
     path = vocabulary or default_vocabulary()
     names = [x.split()[0] for x in _PIECES.split(", ")]
     types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.uint32(end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, block = encoder(path), TaskContext.get().partitionId()
@@ -155,11 +179,11 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
         rows, held = [], 0
         for batch in batches:
             for ident, ids in zip(batch.column(0).to_pylist(), found.column(batch.column(1)), strict=True):
-                ids += end
-                size = len(ids) // 4
+                ids = np.append(ids, end).astype("<u4")
+                size = len(ids)
                 edges = [0, *range((size - 1) % capacity + 1, size + 1, capacity)]
                 for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                    rows.append((ident, k, a, b - a, ids[4 * a : 4 * b], block, seen[b - a]))
+                    rows.append((ident, k, a, b - a, ids[a:b].tobytes(), block, seen[b - a]))
                     seen[b - a] += 1
                 held += size
                 if held > 250_000:

@@ -53,7 +53,7 @@ def version_encoder(version: str) -> Encoder:
 
 def count_tokens(text: str, version: str) -> int:
     """Tokens of a text under a tokenizer version."""
-    return len(version_encoder(version)(text)) // 4
+    return len(version_encoder(version)(text))
 
 
 #: Vocabularies counted by default.
@@ -121,7 +121,7 @@ class TokenRollup:
             for batch in batches:
                 n, texts = batch.num_rows, batch.column(6)
                 for version in versions:
-                    tokens = [len(ids) // 4 for ids in version_encoder(version).column(texts)]
+                    tokens = [len(ids) for ids in version_encoder(version).column(texts)]
                     yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array([version] * n, pa.string()), pa.array([1] * n, pa.int64()), pa.array(tokens, pa.int64())], names)
 
         return docs.mapInArrow(run, _COUNTED)
