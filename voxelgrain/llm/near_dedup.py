@@ -6,9 +6,9 @@ common prefix is at least ``least_depth`` long; in a dense region the nearest ne
 depth adapts to the region and no region is ever gathered.
 
 The forest is walked in rounds. In each, a set proposes one link, to the likeliest of its neighbours that lies in another
-component; links are verified on full sets and components are contracted. Only heads that still hold several components
-are sorted again, until a round finds no link. What neighbours can't see, pairs in regions with more sets than a window
-holds, then has an exact way: among the sets that still share a head with another component, a prefix filter on their
+component; links are verified on full sets and components are contracted. Only heads where components met and that still
+hold several are sorted again, until a round links next to nothing. What neighbours can't see, such as pairs in regions with
+more sets than a window holds, then has an exact way: among the sets that still share a head with another component, a prefix filter on their
 rarest shingles leaves out no pair that may link. So the components don't depend on windows or partitions.
 """
 
@@ -266,8 +266,10 @@ def _labelled(docs: DataFrame, config: ForestConfig) -> DataFrame:
         return F.array_compact(F.transform(tree_keys, lambda x: F.when(F.getbit(mask, x.bitwiseAND(F.lit(63)).cast("int")) != 0, x)))
 
     def mixed(keyed: DataFrame) -> DataFrame:
-        """who and the trees, as bits, in which a set of ``keyed`` (who, comp, key) shares its head with another component."""
-        several = keyed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+        """who and the trees, as bits, in which a set of ``keyed`` (who, comp, key) shares its head with another component;
+        with a column ``met``, heads where it is never true are left out."""
+        met = F.max("met") if "met" in keyed.columns else F.lit(True)
+        several = keyed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), met.alias("met")).where("low <> high and met").select("key")
         return keyed.join(several, "key").groupBy("who").agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("mask"))
 
     own = reps.withColumn("who", F.xxhash64("digest"))
@@ -296,9 +298,9 @@ def _labelled(docs: DataFrame, config: ForestConfig) -> DataFrame:
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs that link. Sets meet their pairs where they lie, if these are few, and move once to meet each other."""
         pairs = cut(pairs, "pairs", slim=True)
-        one = sets.join(few(pairs.withColumnRenamed("a", "digest")), "digest").select(F.col("digest").alias("a"), "b", F.col("shingles").alias("shingles_a"))
-        ends = cut(pairs.select(F.col("b").alias("digest")).distinct(), "ends", slim=True)
-        two = sets.join(few(ends), "digest", "left_semi").select(F.col("digest").alias("b"), F.col("shingles").alias("shingles_b"))
+        near = F.broadcast if pairs.count() <= config.broadcast_ids else (lambda ids: ids)
+        one = sets.join(near(pairs.withColumnRenamed("a", "digest")), "digest").select(F.col("digest").alias("a"), "b", F.col("shingles").alias("shingles_a"))
+        two = sets.join(near(pairs.select(F.col("b").alias("digest")).distinct()), "digest", "left_semi").select(F.col("digest").alias("b"), F.col("shingles").alias("shingles_b"))
         return cut(one.join(two, "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirm(config), "a binary, b binary"), "links")
 
     def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -345,14 +347,16 @@ def _labelled(docs: DataFrame, config: ForestConfig) -> DataFrame:
     labels = cut(active.select("digest", F.col("rank").alias("label")), "labels", slim=True)
     bare = active.drop("rank")
     rows = bare.withColumn("comp", F.col("who"))
-    links = confirmed(proposed(rows, config.near))
-    while links.limit(1).count():
+    links, total = confirmed(proposed(rows, config.near)), active.count()
+    # rounds go on while they link as many as one set in a hundred; fewer are left to the exact end
+    while n := links.count():
         labels = contracted(labels, links)
         rows = bare.join(labels, "digest").withColumn("comp", F.xxhash64("label.digest")).drop("label")
+        if 100 * n < total:
+            break
         # proposals change only for members of components that met; heads without them need no second look
         keyed = rows.select("who", "comp", "met", F.explode(in_trees("mask")).alias("key"))
-        again = cut(keyed.where("met").select("key").distinct(), "again", slim=True)
-        masks = cut(mixed(keyed.join(few(again), "key", "left_semi")), "masks", slim=True)
+        masks = cut(mixed(keyed), "masks", slim=True)
         links = confirmed(proposed(rows.drop("mask").join(few(masks), "who"), config.reach))
     left = rows.select("digest", "who", "comp", F.explode(in_trees("mask")).alias("key"))
     rest = cut(rows.select("digest", "who", "comp").join(few(cut(mixed(left), "masks", slim=True)), "who").drop("mask"), "rest", slim=True)
