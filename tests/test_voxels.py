@@ -313,6 +313,15 @@ def test_numbers_follow_the_order_without_a_window_over_all(spark):
     assert [r["s"] for r in total] == np.cumsum([v[0] for v in want[1:]]).tolist()
 
 
+def test_distinct_keys_are_numbered_by_ranges(spark):
+    """No plan over rows that grow sends them all to one task."""
+    rows = spark.range(500).select(F.col("id").alias("seed_a"), (F.col("id") + 1).alias("seed_b"), *[F.rand(k).alias(f"n{c}") for k, c in enumerate("xyz")])
+    verts = F.array(F.struct(*[F.col(f"n{c}").alias(c) for c in "xyz"]))
+    plans = [erosion.canonical_faces(rows), erosion.renumbered(rows, "seed_b", 3, "tag"), sd.running_index(rows, ["seed_a"]), voronoi.vertex_table(rows.select(verts.alias("verts"))), voronoi.running_offsets(rows, ["seed_a"], "seed_b")]
+    for plan in plans:
+        assert "SinglePartition" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_order_statistics_against_sorting(spark):
     rng = np.random.default_rng(4)
     values = np.concatenate([rng.normal(0, 1, 2000), rng.normal(1e6, 1e-3, 500), np.full(400, 2.5)])

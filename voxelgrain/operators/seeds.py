@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .order import numbered
 
-METHODS = ("random", "lhs-lloyd", "halton", "sobol", "honeycomb", "rubiks-cube", "diamond")
+METHODS = ("random", "lhs-lloyd", "halton", "halton-scrambled", "sobol", "honeycomb", "rubiks-cube", "diamond")
 
 
 def factorise(n: int, dim: int) -> list[int]:
@@ -54,9 +54,23 @@ def radical_inverse(index: Column, base: int, digits: int) -> Column:
     return value
 
 
-def halton_seeds(spark: SparkSession, n: int, lengths: Sequence[float]) -> DataFrame:
-    """Unscrambled Halton points in bases 2, 3 and 5, from index 0."""
+def halton_permutations(seed: int) -> list[list[list[int]]]:
+    """For each axis, what each digit of an index becomes, lowest digit first; as many digits as a double holds."""
+    rng = np.random.default_rng(seed)
+    return [[rng.permutation(base).tolist() for _ in range(math.ceil(54 / math.log2(base)) - 1)] for base in (2, 3, 5)]
+
+
+def halton_seeds(spark: SparkSession, n: int, lengths: Sequence[float], seed: int | None = None) -> DataFrame:
+    """Halton points in bases 2, 3 and 5, from index 0; a seed permutes the digits, leading zeros as well."""
     columns = []
+    if seed is not None:
+        for c, base, length, axis in zip("xyz", (2, 3, 5), lengths, halton_permutations(seed), strict=True):
+            value = F.lit(0.0)
+            for d, turned in enumerate(axis):
+                digit = F.pmod(F.floor(F.col("seed_id") / base**d), F.lit(base)) if base**d < max(n, 2) else F.lit(0)
+                value = value + F.get(F.array(*[F.lit(t) for t in turned]), digit.cast("int")) * base ** -(d + 1.0)
+            columns.append((value * length).alias(c))
+        return _numbered(spark, n).select("seed_id", *columns)
     for c, base, length in zip("xyz", (2, 3, 5), lengths, strict=True):
         digits = max(1, math.ceil(math.log(max(n, 2)) / math.log(base)) + 1)
         columns.append((radical_inverse(F.col("seed_id"), base, digits) * length).alias(c))
@@ -157,6 +171,7 @@ def voronoi_seeds(spark: SparkSession, n: int, lengths: Sequence[float], method:
         "random": lambda: random_seeds(spark, n, box, seed),
         "lhs-lloyd": lambda: lhs_seeds(spark, n, box, seed),
         "halton": lambda: halton_seeds(spark, n, box),
+        "halton-scrambled": lambda: halton_seeds(spark, n, box, seed),
         "sobol": lambda: sobol_seeds(spark, n, box, seed),
         "honeycomb": lambda: lattice_seeds(spark, n, box, True),
         "rubiks-cube": lambda: lattice_seeds(spark, n, box, False),

@@ -145,6 +145,19 @@ def _halton(spark, sf_dir):
     return fx.rounded(sd.voronoi_seeds(spark, 1000, (1.0, 1.0, 1.0), "halton"))
 
 
+def _scrambled_sql(n: int, seed: int) -> str:
+    columns = []
+    for name, base, axis in zip("xyz", (2, 3, 5), sd.halton_permutations(seed), strict=True):
+        terms = " + ".join(f"{turned}[1 + (id // {base**d}) % {base}] * {base ** -(d + 1.0)!r}::DOUBLE" for d, turned in enumerate(axis))
+        columns.append(f"round({terms}, 6) AS {name}")
+    return f"SELECT CAST(id AS INTEGER) AS seed_id, {', '.join(columns)} FROM range({n}) t(id)"
+
+
+@query("seeds_halton_scrambled", _scrambled_sql(1000, 42))
+def _scrambled(spark, sf_dir):
+    return fx.rounded(sd.voronoi_seeds(spark, 1000, (1.0, 1.0, 1.0), "halton-scrambled", 42))
+
+
 def _sobol_sql(n: int, seed: int) -> str:
     """Bits of the Gray code pick direction numbers; all are added without carry, to the digital shift of the seed."""
     columns = []
