@@ -325,23 +325,39 @@ def test_line_report_and_cleaning(docs, empty):
     assert line_dedup.line_report(empty).count() == 0
 
 
-def test_chunks_cover_texts_and_survive_insertions():
-    config = substring_dedup.ChunkConfig()
+def own_chunks(text, config):
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, counts = substring_dedup.passage_words(data, np.array([0, len(data)]))
+    at, stop, _ = substring_dedup.chunk_places(data, starts, ends, counts, config)
+    return [(int(a), int(b), data[starts[a] : starts[b]].tobytes()) for a, b in zip(at, stop)]
+
+
+@pytest.mark.parametrize("least_words", [20, 50, 51])
+def test_every_passage_holds_a_chunk_of_its_own(least_words):
+    config = substring_dedup.PassageConfig(least_words)
+    rng = random.Random(least_words)
+    some = lambda n, letters: [rng.choice(letters) for _ in range(n)]
+    for trial in range(300):
+        letters = ["alpha", "bräu", "日本", "x", "the", "of"] if trial % 3 else [f"w{k}" for k in range(400)]
+        passage = some(least_words, letters)
+        held = []
+        for _ in range(3):
+            left, right = rng.randrange(40), rng.randrange(40)
+            text = " ".join([*some(left, letters), *passage, *some(right, letters)])
+            held.append({body for a, b, body in own_chunks(text, config) if a >= left and b < left + least_words})
+        assert held[0] & held[1] & held[2]
+
+
+def test_chunks_are_variable_and_survive_insertions():
+    config = substring_dedup.PassageConfig()
     rng = random.Random(8)
-    body = " ".join(rng.choice(["alpha", "bräu", "日本", "gamma", "delta"]) + str(rng.randrange(99)) for _ in range(600))
-    texts = [body.encode(), ("inserted words here " + body[:900] + "X" + body[900:]).encode(), b"", b"z" * 5000]
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    ends = substring_dedup.cut_places(data, offs, config).tolist()
-    whole = b"".join(texts)
-    assert set(offs[1:].tolist()) <= set(ends)
-    pieces = [whole[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-    assert all(len(p) <= config.most for p in pieces) and b"".join(pieces) == whole
-    for p in pieces:
-        p.decode()
-    one = pieces[: ends.index(offs[1]) + 1]
-    two = set(pieces[ends.index(offs[1]) + 1 : ends.index(offs[2]) + 1])
-    assert sum(len(p) for p in one if p in two) > 0.9 * len(texts[0])
+    words = [rng.choice(["alpha", "bräu", "日本", "gamma", "delta"]) + str(rng.randrange(99)) for _ in range(900)]
+    one = own_chunks(" ".join(words), config)
+    two = {body for _, _, body in own_chunks(" ".join([*words[:300], "some", "words", *words[300:600], *words[601:]]), config)}
+    sizes = [b - a for a, b, _ in one]
+    assert min(sizes) >= config.least and max(sizes) < config.least + 3 * config.reach and len(set(sizes)) > 5
+    assert sum(body in two for _, _, body in one) > 0.85 * len(one)
+    assert own_chunks("few words", config) == [] and own_chunks("", config) == []
 
 
 def test_gear_hash_is_the_rolling_one():
@@ -354,35 +370,8 @@ def test_gear_hash_is_the_rolling_one():
     assert substring_dedup.gear_hash(data, begin).tolist() == want
 
 
-def brute_spans(rows, config):
-    """Spans from chunks met as byte strings."""
-    seen, flagged = {}, []
-    for ident, text in sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is None, r[0] or 0)):
-        body = text.encode()
-        ends = substring_dedup.cut_places(np.frombuffer(body, np.uint8), np.array([0, len(body)]), config).tolist() if body else []
-        for a, b in zip([0, *ends][:-1], ends, strict=True):
-            first = seen.setdefault(body[a:b], (ident, a))
-            if first != (ident, a):
-                flagged.append((ident, a, b - a, first[0]))
-    spans = []
-    for ident, a, n, first in flagged:
-        if spans and spans[-1][0] == ident and spans[-1][1] + spans[-1][2] == a:
-            spans[-1][2] += n
-        else:
-            spans.append([ident, a, n, first])
-    return sorted(map(tuple, (s for s in spans if s[2] >= config.least_bytes)), key=str)
-
-
-def test_spans_match_brute_force(docs, corpus, empty):
-    config = substring_dedup.ChunkConfig()
-    for frame, rows in ((docs, {r[:2] for r in ROWS}), (corpus, [tuple(r) for r in corpus.select("doc_id", "text").collect()])):
-        got = [tuple(r) for r in substring_dedup.repeated_spans(frame).select("doc_id", "start", "bytes", "first_doc_id").collect()]
-        assert sorted(got, key=str) == brute_spans(rows, config)
-    assert substring_dedup.repeated_spans(empty).count() == 0
-
-
-def test_spans_find_the_planted_passage_only(docs):
-    got = {r["doc_id"] for r in substring_dedup.repeated_spans(docs).collect()}
+def test_passages_find_the_planted_one_only(docs):
+    got = {r["doc_id"] for r in substring_dedup.repeated_passages(docs).collect()}
     assert 11 in got and 8 in got and not got & {1, 2, 3, 4, 5, 6, 9, 10, 12, 13, None}
     out = substring_dedup.cut_repeats(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -391,6 +380,15 @@ def test_spans_find_the_planted_passage_only(docs):
     assert texts[3] is None and texts[13] == ROWS[-1][1]
 
 
+def test_passages_on_corpus(corpus):
+    rows = [tuple(r) for r in corpus.select("doc_id", "text").collect()]
+    got = defaultdict(set)
+    for r in substring_dedup.repeated_passages(corpus).collect():
+        got[r["doc_id"]] |= set(range(r["start"], r["start"] + r["bytes"]))
+    want = brute_passages([(i, t or "") for i, t in rows], 50)
+    assert want and dict(got) == want
+
+
 def brute_passages(rows, least):
     """Bytes of each text that lie in a window of ``least`` words seen before."""
     seen, out = set(), {}

@@ -1,14 +1,12 @@
-"""Repeated passages: exact ones in words, and runs of content-defined chunks by a gear rolling hash.
-
-``repeated_passages`` finds every passage of ``least_words`` words or more that occurred before, byte for byte. Of the
-25 stretches of 26 words in a window of 50 the one with the least hash is an anchor (winnowing), so each such passage
-holds one. Anchors that repeat and follow each other at one distance from their first copies prove what they cover; at
-the ends of these chains, and where copies differ, all windows of 50 words about the anchors are compared themselves, so
-ends are exact and it does not matter which copy of an anchor comes first.
-
-``repeated_spans`` is coarser. A text is cut where the gear hash of the last bytes has its high bits clear, so cuts depend on content and return to
-step soon after an insertion. Chunks meet by digest; each but the earliest copy (by document id, then place) is
-repeated, and repeated chunks that follow each other form spans. A span of ``least_bytes`` or more is a repeat.
+"""Repeated passages by content-defined chunks.
+
+A gear rolling hash runs over the words of a text. A word is a cut where its hash is the least of some window of ``reach``
+words, so cuts depend on content and insertions shift none behind them. A chunk runs from a cut to the first cut at least
+``least`` words on: it is variable, and whatever surrounds a passage of ``least_words`` words, all its copies hold one and the
+same chunk. Chunks are met by digest; all but the earliest copy (by document id, then place) are repeated. Repeated chunks
+that touch, at one distance from their first copies, form chains and prove what they cover, byte for byte. At the ends of
+chains, and where first copies differ, the windows of ``least_words`` words about a chunk are met by digest themselves, so
+passages are found to their true ends and it doesn't matter which copy of a chunk comes first.
 """
 
 from __future__ import annotations
@@ -30,27 +28,29 @@ _U = np.uint64
 _GEAR = np.random.default_rng(4711).integers(0, 1 << 32, 256, dtype=np.uint32)
 _VALUES = np.random.default_rng(4712).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * _U(2) + _U(1)
 _RADIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-
-
-@dataclass(frozen=True)
-class ChunkConfig:
-    """A cut about every ``mean`` bytes (a power of two) after the first ``least``, at ``most`` bytes at the latest."""
-
-    mean: int = 32
-    least: int = 16
-    most: int = 512
-    least_bytes: int = 180
+#: Words that the rolling hash covers, and by how many bits it moves on for each.
+_SPAN, _SHIFT = 3, 22
 
 
 @dataclass(frozen=True)
 class PassageConfig:
-    """Passages of ``least_words`` words or more; anchors are stretches of a bit more than half of that."""
+    """Passages of ``least_words`` words (20 at least) or more."""
 
     least_words: int = 50
 
     @property
-    def anchor(self) -> int:
-        return self.least_words // 2 + 1
+    def least(self) -> int:
+        """Words of a chunk, at least."""
+        return self.least_words // 4 + 1
+
+    @property
+    def reach(self) -> int:
+        """Words of a window whose least hash is a cut.
+
+        The first such cut of a passage lies in its first ``reach`` words, the end of its chunk at most ``least + reach - 1``
+        words on; both lie within the passage, with the words their hashes cover.
+        """
+        return (self.least_words - _SPAN + 2 - self.least) // 2
 
 
 def gear_hash(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -69,95 +69,6 @@ def gear_hash(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return h
 
 
-def cut_places(data: np.ndarray, offs: np.ndarray, config: ChunkConfig) -> np.ndarray:
-    """Ends of all chunks of the texts in ``data`` (``offs`` from 0), in order; a text's end is always one.
-
-    A cut never splits a code point.
-    """
-    n = len(data)
-    begin = np.arange(n) - np.repeat(offs[:-1], np.diff(offs))
-    bits = config.mean.bit_length() - 1
-    allowed = (gear_hash(data, begin) >> np.uint32(32 - bits)) == 0
-    lead = np.ones(n, bool)
-    lead[:-1] = (data[1:] & 0xC0) != 0x80
-    marks = np.flatnonzero(allowed & lead) + 1
-    out: list[int] = []
-    for start, stop in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-        if start == stop:
-            continue
-        own = marks[np.searchsorted(marks, start, "right") : np.searchsorted(marks, stop, "left")].tolist()
-        last = start
-        for mark in [*own, stop]:
-            while mark - last > config.most:  # no cut in reach: a forced one, moved to the start of a code point
-                place = last + config.most
-                while not lead[place - 1]:
-                    place -= 1
-                out.append(place)
-                last = place
-            if mark == stop or mark - last >= config.least:
-                out.append(mark)
-                last = mark
-    return np.array(out, np.int64)
-
-
-def _chunk_batches(config: ChunkConfig):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        power = {}
-        for batch in batches:
-            ids, parts = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            data, offs = text_buffers(batch.column(2))
-            for i, j in chunks(offs):
-                own = offs[i : j + 1] - offs[i]
-                part = data[offs[i] : offs[j]]
-                if not len(part):
-                    continue
-                ends = cut_places(part, own, config)
-                starts = np.concatenate([[0], ends[:-1]])
-                lengths = ends - starts
-                owner = np.searchsorted(own, starts, "right") - 1
-                digest = []
-                for radix, values in zip(_RADIX, _VALUES, strict=True):
-                    if len(power.get(radix, ())) < config.most + 8:
-                        base = np.full(config.most + 8, radix, np.uint64)
-                        base[0] = 1
-                        power[radix] = np.cumprod(base, dtype=np.uint64)
-                    inside = np.arange(len(part)) - np.repeat(starts, lengths)
-                    sums = np.add.reduceat(values[part] * power[radix][inside], starts)
-                    digest.append(mix(sums + lengths.astype(np.uint64) * _U(radix)).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i + owner]), pa.array(parts[i + owner]), pa.array((starts - own[owner]).astype(np.int64)), pa.array(lengths.astype(np.int32)), pa.array(digest[0]), pa.array(digest[1])],
-                    ["doc_id", "part", "start", "bytes", "d", "e"],
-                )
-
-    return run
-
-
-def content_chunks(rows: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """doc_id, part, start, bytes and the digest (d, e) of every chunk of ``documents_by_row``; places count UTF-8 bytes."""
-    return rows.mapInArrow(_chunk_batches(config), "doc_id long, part long, start long, bytes int, d long, e long")
-
-
-def repeated_spans(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """Spans that occurred before: doc_id, start, bytes, chunks, first_doc_id (where its first chunk is first seen).
-
-    Defined cases: null and empty texts have no chunk; rows that repeat an id and its text are one document, seen once;
-    rows that share an id, or have none, are kept apart by their texts; a null id sorts last and is shown as null; a text
-    that repeats a passage of its own has it as a span too, with itself as first document; an empty table gives no rows;
-    other columns are not read.
-    """
-    found = cut(content_chunks(documents_by_row(docs), config), "chunks")
-    first = found.groupBy("d", "e").agg(F.min(F.struct("doc_id", "part", "start")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("d", "e", "first")
-    again = found.join(first, ["d", "e"]).where(F.struct("doc_id", "part", "start") != F.col("first"))
-    again = again.select("doc_id", "part", "start", "bytes", F.col("first.doc_id").alias("first_doc_id")).distinct()
-    order = Window.partitionBy("doc_id", "part").orderBy("start")
-    fresh = F.coalesce(F.lag(F.col("start") + F.col("bytes")).over(order) != F.col("start"), F.lit(True))
-    runs = again.withColumn("_fresh", fresh)
-    runs = runs.withColumn("run", F.sum(F.col("_fresh").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    spans = runs.groupBy("doc_id", "part", "run").agg(F.min("start").alias("start"), F.sum("bytes").alias("bytes"), F.count("*").alias("chunks"), F.min_by("first_doc_id", "start").alias("first_doc_id"))
-    shown = lambda c: F.nullif(c, F.lit(_LAST)).alias(c)
-    return spans.where(F.col("bytes") >= config.least_bytes).select(shown("doc_id"), "start", "bytes", "chunks", shown("first_doc_id"))
-
-
 def passage_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word of the texts in ``data`` (``offs`` from 0), and the number of words of each text.
 
@@ -188,13 +99,15 @@ def passage_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.diff(np.searchsorted(starts, offs))
 
 
-def _extreme(values: np.ndarray, width: int, pick) -> np.ndarray:
-    """Least or greatest of each ``width`` successive values, by doubling."""
-    have, out = 1, values
-    while have * 2 <= width:
-        out = pick(out[:-have], out[have:])
-        have *= 2
-    return pick(out[: len(out) - (width - have)], out[width - have :]) if have < width else out
+def _least_at(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the first least of each ``width`` successive values, by doubling."""
+    have, at, low = 1, np.arange(len(values)), values
+    while have < width:
+        step = min(have, width - have)
+        later = low[step:] < low[:-step]
+        at, low = np.where(later, at[step:], at[:-step]), np.where(later, low[step:], low[:-step])
+        have += step
+    return at
 
 
 def _range_hashes(data: np.ndarray):
@@ -211,13 +124,50 @@ def _range_hashes(data: np.ndarray):
     return of
 
 
-_ROWS = "doc_id long, part long, word int, start long, bytes int, d long, e long"
+def chunk_places(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray, config: PassageConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words of all chunks and the words they stop before, and for each word the cut that is the first least of the
+    window begun there (-1 where a text ends within the window)."""
+    n = len(starts)
+    inside = np.zeros(len(data), np.int64)
+    inside[starts] = starts
+    inside = np.arange(len(data)) - np.maximum.accumulate(inside)
+    word = gear_hash(data, inside)[ends - 1].astype(np.uint64)
+    doc = np.repeat(np.arange(len(counts)), counts)
+    rolled = word[: n - _SPAN + 1]
+    for k in range(1, _SPAN):
+        rolled = (rolled << _U(_SHIFT)) + word[k : n - _SPAN + 1 + k]
+    value = mix(rolled)
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.full(n, -1)
+    if len(value) < config.reach:
+        return none
+    first = _least_at(value, config.reach)
+    whole = doc[: len(first)] == doc[config.reach + _SPAN - 2 :]
+    designated = np.full(n, -1)
+    designated[: len(first)] = np.where(whole, first, -1)
+    # all places that equal the least of a window in their text are cuts
+    chosen = np.zeros(n, bool)
+    chosen[first[whole]] = True
+    low = value[first]
+    for lag in range(1, config.reach):  # further places of the same value in the window, which words that repeat give
+        again = np.flatnonzero(whole & (first + lag < np.arange(len(first)) + config.reach))
+        again = again[value[first[again] + lag] == low[again]]
+        chosen[first[again] + lag] = True
+    cuts = np.flatnonzero(chosen)
+    after = np.searchsorted(cuts, cuts + config.least)
+    has = after < len(cuts)
+    stop = cuts[np.minimum(after, len(cuts) - 1)] if len(cuts) else cuts
+    has &= doc[stop] == doc[cuts]
+    return cuts[has], stop[has], designated
+
+
+_ROWS = "doc_id long, part long, word int, words int, start long, bytes int, d long"
 
 
 def _passage_batches(config: PassageConfig, windows: bool):
-    """Anchors of all texts or, with the anchors' hashes wanted of each text in a fourth column, windows about these."""
-    k, width = config.anchor, config.least_words
-    steps = width - k + 1
+    """Chunks of all texts or, with the chunks' digests wanted of each text in a fourth column, windows about these, whose
+    second digest ``e`` stands in the place of ``words``."""
+    width = config.least_words
+    names = ["doc_id", "part", "word", "e" if windows else "words", "start", "bytes", "d"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,64 +178,63 @@ def _passage_batches(config: PassageConfig, windows: bool):
                 starts, ends, counts = passage_words(part, own) if len(part) else (np.zeros(0, np.int64),) * 3
                 if len(starts) < width:
                     continue
+                at, stop, designated = chunk_places(part, starts, ends, counts, config)
                 doc = np.repeat(np.arange(len(counts)), counts)
-                number = np.arange(len(starts)) - np.repeat(np.cumsum(counts) - counts, counts)
+                before = np.cumsum(counts) - counts
                 hashes = _range_hashes(part)
-                d, e = hashes(starts[: len(starts) - k + 1], ends[k - 1 :])
-                least = _extreme(d, steps, np.minimum)
-                whole = doc[: len(least)] == doc[width - 1 :]
+                # a chunk's digest covers the white space behind it, too, so that chunks that touch leave no gap
+                d, _ = hashes(starts[at], starts[stop])
                 if windows:
-                    at = [np.zeros(0, np.int64)]
-                    begin = np.searchsorted(doc, np.arange(len(counts) + 1))
+                    marked = np.zeros(len(starts), bool)
+                    edges = np.searchsorted(at, np.concatenate([before, [len(starts)]]))
                     for m in np.flatnonzero(counts >= width).tolist():
                         wanted = batch.column(3)[i + m].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                        first, last = begin[m], begin[m + 1] - width + 1
-                        at.append(first + np.flatnonzero(np.isin(least[first:last], wanted)))
-                    at = np.concatenate(at)
+                        mine = slice(edges[m], edges[m + 1])
+                        marked[at[mine][np.isin(d[mine], wanted)]] = True
+                    at = np.arange(len(starts) - width + 1)
+                    at = at[(designated[at] >= 0) & marked[designated[at]] & (doc[at] == doc[at + width - 1])]
                     last = at + width - 1
-                    d, e = hashes(starts[at], ends[last])
+                    d, extra = hashes(starts[at], ends[last])
+                    extra = extra.view(np.int64)
                 else:
-                    # an anchor is the least of some window that lies within its text
-                    reached = _extreme(np.concatenate([np.zeros(steps - 1, np.uint64), np.where(whole, least, 0), np.zeros(steps - 1, np.uint64)]), steps, np.maximum)
-                    at = np.flatnonzero(reached == d)
-                    last = at + k - 1
-                    d, e = d[at], e[at]
+                    last, extra = stop - 1, (stop - at).astype(np.int32)
                 owner = doc[at]
-                columns = [ids[i + owner], parts[i + owner], number[at].astype(np.int32), starts[at] - own[owner], (ends[last] - starts[at]).astype(np.int32), d.view(np.int64), e.view(np.int64)]
+                columns = [ids[i + owner], parts[i + owner], (at - before[owner]).astype(np.int32), extra, starts[at] - own[owner], (ends[last] - starts[at]).astype(np.int32), d.view(np.int64)]
                 for x in range(0, len(at), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[x : x + (1 << 16)]) for c in columns], ["doc_id", "part", "word", "start", "bytes", "d", "e"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[x : x + (1 << 16)]) for c in columns], names)
 
     return run
 
 
-def _later_copies(found: DataFrame) -> DataFrame:
-    """Rows of ``found`` whose hash occurred before, with the first row's document and word."""
-    first = found.groupBy("d", "e").agg(F.min(F.struct("doc_id", "part", "word")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("d", "e", "first")
-    again = found.join(first, ["d", "e"]).where(F.struct("doc_id", "part", "word") != F.col("first"))
-    return again.select("doc_id", "part", "word", "start", "bytes", "d", F.struct("first.doc_id", "first.part").alias("first_doc"), F.col("first.word").alias("first_word"))
+def _later_copies(found: DataFrame, *key: str) -> DataFrame:
+    """Rows of ``found`` whose key occurred before, with the first row's document and word."""
+    first = found.groupBy(*key).agg(F.min(F.struct("doc_id", "part", "word")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select(*key, "first")
+    again = found.join(first, list(key)).where(F.struct("doc_id", "part", "word") != F.col("first"))
+    return again.select(*found.columns, F.struct("first.doc_id", "first.part").alias("first_doc"), F.col("first.word").alias("first_word"))
 
 
 def _passages(docs: DataFrame, config: PassageConfig) -> DataFrame:
     """doc_id, part, start, bytes, words and first_doc_id of every passage, by documents of ``documents_by_row``."""
-    k, width = config.anchor, config.least_words
+    width = config.least_words
     rows = documents_by_row(docs)
-    found = cut(rows.mapInArrow(_passage_batches(config, False), _ROWS), "anchors")
-    again = _later_copies(found).distinct()
+    found = cut(rows.mapInArrow(_passage_batches(config, False), _ROWS), "chunks")
+    # dealt out by document once: for the removal of rows that repeat and for the windows over each document's chunks
+    again = _later_copies(found, "d").repartition("doc_id", "part").distinct()
     order = Window.partitionBy("doc_id", "part").orderBy("word", "start")
-    held = (F.lag("first_doc").over(order) == F.col("first_doc")) & (F.lag(F.col("word") - F.col("first_word")).over(order) == F.col("word") - F.col("first_word")) & (F.col("word") - F.lag("word").over(order) <= k)
+    held = (F.lag("first_doc").over(order) == F.col("first_doc")) & (F.lag(F.col("word") - F.col("first_word")).over(order) == F.col("word") - F.col("first_word")) & (F.col("word") <= F.lag(F.col("word") + F.col("words")).over(order))
     chains = again.withColumn("_fresh", (~F.coalesce(held, F.lit(False))).cast("int"))
     chains = chains.withColumn("run", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     one = Window.partitionBy("doc_id", "part", "run")
-    chains = cut(chains.withColumns({"low": F.min("word").over(one), "high": F.max("word").over(one)}), "chains")
+    chains = cut(chains.withColumns({"low": F.min("word").over(one), "high": F.max(F.col("word") + F.col("words")).over(one)}), "chains")
     proven = chains.groupBy("doc_id", "part", "run").agg(
-        F.min("start").alias("start"), F.max(F.col("start") + F.col("bytes")).alias("stop"), F.min("word").alias("word"), (F.max("word") + k).alias("last"), F.min_by("first_doc", "start").alias("first_doc")
+        F.min("start").alias("start"), F.max(F.col("start") + F.col("bytes")).alias("stop"), F.min("low").alias("word"), F.max("high").alias("last"), F.min_by("first_doc", "start").alias("first_doc")
     )
     proven = proven.where(F.col("last") - F.col("word") >= width).drop("run")
-    # windows that reach beyond a chain hold one of its outer anchors; other copies of these anchors give theirs as well
-    outer = chains.where((F.col("word") - F.col("low") < width - k) | (F.col("high") - F.col("word") < width - k)).select("d").distinct()
+    # windows that reach beyond a chain hold one of its outer chunks; other copies of these chunks give theirs as well
+    outer = chains.where((F.col("word") - F.col("low") < config.reach) | (F.col("high") - F.col("word") < width)).select("d").distinct()
     wanted = found.join(outer, "d", "left_semi").groupBy("doc_id", "part").agg(F.collect_set("d").alias("wanted"))
     about = rows.join(wanted, ["doc_id", "part"]).select("doc_id", "part", "text", "wanted")
-    stretches = _later_copies(cut(about.mapInArrow(_passage_batches(config, True), _ROWS), "windows"))
+    stretches = _later_copies(cut(about.mapInArrow(_passage_batches(config, True), _ROWS.replace("words int", "e long")), "windows"), "d", "e")
     stretches = stretches.select("doc_id", "part", "start", (F.col("start") + F.col("bytes")).alias("stop"), "word", (F.col("word") + width).alias("last"), "first_doc")
     order = Window.partitionBy("doc_id", "part").orderBy("start", "stop")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -301,7 +250,10 @@ def repeated_passages(docs: DataFrame, config: PassageConfig = PassageConfig())
     first_doc_id (where the first proven stretch of it is first seen).
 
     A passage joins all overlapping stretches of at least that many words that an earlier place (by document id, then
-    text and place) holds byte for byte, white space included. The defined cases are those of ``repeated_spans``.
+    text and place) holds byte for byte, white space included; places count UTF-8 bytes. Defined cases: null and empty texts
+    have none; rows that repeat an id and its text are one document, seen once; rows that share an id, or have none, are
+    kept apart by their texts; a null id sorts last and is shown as null; a text that repeats a passage of its own has it,
+    with itself as first document; an empty table gives no rows; other columns are not read.
     """
     shown = lambda c: F.nullif(c, F.lit(_LAST)).alias(c)
     return _passages(docs, config).select(shown("doc_id"), "start", "bytes", "words", shown("first_doc_id"))
