@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import uuid
 
 import numpy as np
@@ -34,6 +35,35 @@ def test_language_defined_cases(docs, empty):
     assert {r["lang_pred"] for r in langid.predict_languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_scores_match_a_plain_network(docs):
+    """Every window of every text through the layers one number at a time."""
+    config = langid.LanguageConfig(window=24, filters=3, embedding=2, epochs=1)
+    model = langid.fit_language_model(docs.select("doc_id", "text", "lang"), config)
+    w = {k: v.astype(float) for k, v in model.w.items()}
+    got = {r["doc_id"]: r for r in langid.with_language(docs.where("length(text) < 500 or text is null"), model).collect()}
+    letters = set(range(65, 91)) | set(range(97, 123)) | set(range(128, 256))
+    checked = 0
+    for ident, text in {r[0]: r[1] for r in ROWS}.items():
+        body = (text or "").encode()
+        if ident not in got or not any(c.isalpha() for c in text or ""):
+            continue
+        total = np.zeros(len(model.classes))
+        for at in range(0, len(body), 24):
+            window = [b + 32 if 65 <= b < 91 else b for b in body[at : at + 24].ljust(24, b"\0")]
+            hidden = []
+            for n, k in enumerate(config.widths):
+                for f in range(3):
+                    best = max(sum(w["embed"][window[p + q], e] * w[f"conv{k}"][q * 2 + e, f] for q in range(k) for e in range(2)) for p in range(24 - k + 1))
+                    hidden.append(max(best + w["bias"][n * 3 + f], 0))
+            z = np.array(hidden) @ w["out"] + w["out_bias"]
+            share = np.exp(z - z.max())
+            total += share / share.sum() * sum(b in letters for b in body[at : at + 24])
+        total /= total.sum()
+        assert abs(got[ident]["__vg_score"] - total.max()) < 1e-4 and model.classes[int(total.argmax())] == got[ident]["__vg_lang"]
+        checked += 1
+    assert checked > 5
+
+
 def test_windows_cover_texts():
     data = np.frombuffer(b"a" * 300 + b"b" * 10, np.uint8)
     windows, owner = langid.windows_of(data, np.array([0, 300, 300, 310]), 256)
@@ -166,6 +196,52 @@ def test_fingerprints_of_equal_short_and_empty_texts(docs):
     assert len(by_id[9]) == 512 and by_id[9] != by_id[13]
 
 
+def plain_fingerprint(text, config):
+    """One-permutation MinHash in plain Python; Spark's xxhash64 is XXH64 with seed 42, chained over its arguments."""
+    import xxhash
+
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    if not words:
+        return ""
+
+    def chained(values, h=42):
+        for v in values:
+            h = xxhash.xxh64_intdigest((v % (1 << 64)).to_bytes(8, "little"), h)
+        return h
+
+    k, mask = config.width, (1 << 63) - 1
+    if len(words) >= k:
+        hashes = [chained(words[i : i + k]) & mask for i in range(len(words) - k + 1)]
+    else:
+        hashes = [xxhash.xxh64_intdigest(b"whole", chained(words)) & mask]
+    least = [None] * config.bins
+    for h in hashes:
+        b = h >> config.shift
+        least[b] = h if least[b] is None else min(least[b], h)
+    rng, filled = np.random.default_rng(config.seed), list(least)
+    for _ in range(config.probes):
+        target = rng.integers(0, config.bins, config.bins).tolist()
+        filled = [least[target[b]] if x is None else x for b, x in enumerate(filled)]
+    full = [x for x in least if x is not None]
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    def first(i):
+        return min((signed(xxhash.xxh64_intdigest(i.to_bytes(4, "little"), chained([y >> config.shift]))), y) for y in full)[1]
+
+    low = [(first(i) if x is None else x) & 255 for i, x in enumerate(filled)]
+    return "".join(f"{low[i] + (low[i + 1] << 8) + (low[i + 2] << 16) + (low[i + 3] << 24):08x}" for i in range(0, config.bins, 4))
+
+
+def test_fingerprints_match_brute_force(docs, corpus):
+    config = fingerprints.FingerprintConfig()
+    got = [(r["doc_id"], r["fingerprint"]) for r in fingerprints.document_fingerprints(docs.select("doc_id", "text").union(corpus.select("doc_id", "text").limit(30))).collect()]
+    texts = [(r[0], r[1]) for r in ROWS] + [(r["doc_id"], r["text"]) for r in corpus.limit(30).collect()]
+    want = [(i, plain_fingerprint(t, config)) for i, t in texts]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def recount(rows, version):
     out = {}
     for ident, text, lang, source in rows:
