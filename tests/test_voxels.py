@@ -112,6 +112,48 @@ def test_erosion_of_random_cells(spark):
     assert (got >= n).mean() > 0.1
 
 
+def test_half_polyhedra(spark):
+    """Pyramids over the faces of a cell fill it, and hold nothing beyond their base."""
+    corners = [(x, y, z) for x, y, z in ((1, -1, -1), (1, 1, -1), (1, 1, 1), (1, -1, 1))]
+    verts = F.array(*[F.struct(*[F.lit(float(v)).alias(c) for c, v in zip("xyz", p)]) for p in corners])
+    points = [(0.9, 0.1, 0.2), (1.1, 0.1, 0.2), (0.5, 0.6, 0.0), (0.2, 0.0, 0.1), (-0.5, 0.1, 0.1), (1.0, 1.0, 1.0)]
+    frame = spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in points], "x double, y double, z double")
+    at, apex = [F.col(c) for c in "xyz"], [F.lit(0.0)] * 3
+    got = [tuple(r) for r in frame.select(erosion.in_cone(at, apex, verts), erosion.in_pyramid(at, apex, verts)).collect()]
+    assert got == [(True, True), (True, False), (False, False), (True, True), (False, False), (True, True)]
+
+
+def test_tags_are_those_of_the_pyramids(spark):
+    """Each eroded voxel's tag is the first boundary, by number, whose pyramid over a face of its cell holds it."""
+    shape, t, n = (12, 12, 12), 0.12, 6
+    seeds = sd.voronoi_seeds(spark, n, BOX, "random", 4)
+    voxels = raster.label_nearest_seed(grids.voxel_grid(spark, shape), seeds, shape)
+    faces = voronoi.tessellate(seeds).cache()
+    out, table = erosion.erode_boundaries(voxels, faces, seeds, shape, thickness=t)
+    between = {r["gb_tag"]: {r["crystal_a"], r["crystal_b"]} for r in table.collect()}
+    points = {r["seed_id"]: np.array([r["x"], r["y"], r["z"]]) for r in seeds.collect()}
+    cells = {}
+    for f in faces.collect():
+        cells.setdefault(f["seed_a"], []).append((f["seed_b"], np.array([[p["x"], p["y"], p["z"]] for p in f["verts"]])))
+    right = wrong = 0
+    for r in out.where(f"label >= {n}").collect():
+        at = (np.array([r["i"], r["j"], r["k"]]) + 0.5) / 12
+        seed = points[r["crystal"]]
+        at = seed + (at - seed) - np.rint(at - seed)  # the voxel's place in its cell's frame
+        holds = set()
+        for other, verts in cells[r["crystal"]]:
+            v, d = verts - seed, at - seed
+            side = [np.dot(d, np.cross(v[k], v[(k + 1) % len(v)])) for k in range(len(v))]
+            normal = np.cross(v[1] - v[0], v[2] - v[0])
+            if (min(side) >= -1e-9 or max(side) <= 1e-9) and (d @ normal) * (v[0] @ normal) > 0:
+                holds.add(other)
+        if holds and holds & between[r["label"]]:
+            right += 1
+        else:
+            wrong += 1
+    assert right > 300 and wrong == 0
+
+
 def test_foam_touches_cell_edges(spark):
     faces = voronoi.tessellate(sd.voronoi_seeds(spark, 8, BOX, "rubiks-cube"))
     stamped = voronoi.foam(spark, faces, (17, 17, 17), radius=0.07)

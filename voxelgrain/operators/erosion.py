@@ -58,7 +58,25 @@ def in_cone(point: list[Column], apex: list[Column], verts: Column) -> Column:
         return v[0] * (a[1] * b[2] - a[2] * b[1]) + v[1] * (a[2] * b[0] - a[0] * b[2]) + v[2] * (a[0] * b[1] - a[1] * b[0])
 
     sides = F.zip_with(verts, after, side)
-    return F.forall(sides, lambda s: s >= -1e-12) | F.forall(sides, lambda s: s <= 1e-12)
+    # the cone goes on behind its apex, where the signs turn as well: only the polygon's side counts
+    height = _height(verts)
+    ahead = (height(point) - height(apex)) * height(apex) <= 1e-12
+    return (F.forall(sides, lambda s: s >= -1e-12) | F.forall(sides, lambda s: s <= 1e-12)) & ahead
+
+
+def _height(verts: Column):
+    """A function of points: their distance from a polygon's plane, in units of its (unnormalised) normal."""
+    p = [F.get(verts, k) for k in range(3)]
+    u, v = ([p[k][c] - p[0][c] for c in "xyz"] for k in (1, 2))
+    normal = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    return lambda q: sum(((q[k] - p[0][c]) * normal[k] for k, c in ((1, "y"), (2, "z"))), (q[0] - p[0]["x"]) * normal[0])
+
+
+def in_pyramid(point: list[Column], apex: list[Column], verts: Column) -> Column:
+    """Whether a point lies in the half polyhedron between ``apex`` and a convex polygon: in the cone, and no further from the
+    apex than the polygon's plane."""
+    height = _height(verts)
+    return in_cone(point, apex, verts) & (height(point) * height(apex) >= -1e-12)
 
 
 def first_match(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -100,7 +118,7 @@ def erode_boundaries(voxels: DataFrame, faces: DataFrame, seeds: DataFrame, shap
     for c in "xyz":
         box = box & F.col(f"v{c}").between(F.col(f"lo{c}"), F.col(f"hi{c}"))
     near = here.join(side, (F.col("crystal") == F.col("_crystal")) & box)
-    inside = in_cone(v, [F.col(f"p{c}") for c in "xyz"], F.col("verts"))
+    inside = in_pyramid(v, [F.col(f"p{c}") for c in "xyz"], F.col("verts"))
     near = near.withColumns({"_kill": plane_band(v, [corner[c] for c in "xyz"], n, thickness) & in_polygon(v, F.col("verts"), n), "_in": inside})
     tagged = near.groupBy("i", "j", "k", "crystal").agg(F.max("_kill").alias("_killed"), F.min(F.when(F.col("_in"), F.col("gb"))).alias("gb"))
     tagged = cut(tagged.where("_killed").drop("_killed"), "tagged")
