@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import LAST_ID as _LAST
-from .shared import cut, documents_by_row, keyed_documents
+from .shared import cut, documents_by_row, drop_stage, keyed_documents
 from .textkernel import _SPACE, _power, chunks, mix, text_buffers
 
 _U = np.uint64
@@ -234,8 +234,9 @@ def _passages(docs: DataFrame, config: PassageConfig) -> DataFrame:
     outer = chains.where((F.col("word") - F.col("low") < config.reach) | (F.col("high") - F.col("word") < width)).select("d").distinct()
     wanted = found.join(outer, "d", "left_semi").groupBy("doc_id", "part").agg(F.collect_set("d").alias("wanted"))
     about = rows.join(wanted, ["doc_id", "part"]).select("doc_id", "part", "text", "wanted")
-    stretches = _later_copies(cut(about.mapInArrow(_passage_batches(config, True), _ROWS.replace("words int", "e long")), "windows"), "d", "e")
-    stretches = stretches.select("doc_id", "part", "start", (F.col("start") + F.col("bytes")).alias("stop"), "word", (F.col("word") + width).alias("last"), "first_doc")
+    windows = cut(about.mapInArrow(_passage_batches(config, True), _ROWS.replace("words int", "e long")), "windows")
+    drop_stage(found)
+    stretches = _later_copies(windows, "d", "e").select("doc_id", "part", "start", (F.col("start") + F.col("bytes")).alias("stop"), "word", (F.col("word") + width).alias("last"), "first_doc")
     order = Window.partitionBy("doc_id", "part").orderBy("start", "stop")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     joined = proven.select(stretches.columns).union(stretches).withColumn("_fresh", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
