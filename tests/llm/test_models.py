@@ -305,6 +305,15 @@ def test_rollup_orders_changes_without_a_sequence(spark):
     assert rollup.apply("d", spark.createDataFrame([revise, revise, insert], CHANGE)) and totals(rollup) == {("a", "en", "byte_bpe_50k"): (1, 1)}
 
 
+def test_rollup_takes_counts_that_are_brought(spark):
+    rollup = token_rollup.TokenRollup(spark, f"{shared_dir(spark)}/roll-{uuid.uuid4().hex}", ("byte_bpe_50k",))
+    rows = [("insert", 1, "a", "en", "one two", None, None), ("insert", 2, "a", "en", None, None, {"byte_bpe_50k": 40}), ("insert", 3, "b", None, "x", None, {"other": 9})]
+    assert rollup.apply("a", spark.createDataFrame(rows, CHANGE + ", counts map<string, long>"))
+    assert totals(rollup) == {("a", "en", "byte_bpe_50k"): (2, 42), ("b", None, "byte_bpe_50k"): (1, 0)}
+    assert rollup.apply("b", spark.createDataFrame([("revise", 2, "b", None, None, None, {"byte_bpe_50k": 5})], CHANGE + ", counts map<string, long>"))
+    assert totals(rollup) == {("a", "en", "byte_bpe_50k"): (1, 2), ("b", None, "byte_bpe_50k"): (2, 5)}
+
+
 def test_rollup_commits_one_of_two_writers(spark):
     path = f"{shared_dir(spark)}/roll-{uuid.uuid4().hex}"
     one, two = (token_rollup.TokenRollup(spark, path, ("byte_bpe_50k",)) for _ in range(2))
@@ -323,8 +332,7 @@ def test_rollup_commits_one_of_two_writers(spark):
 
 def test_rollup_query_equals_a_recount(spark, docs, empty):
     found = token_rollup.token_counts(docs, f"{shared_dir(spark)}/roll-{uuid.uuid4().hex}")
-    rows = list({(r if r[0] is not None else (r, k)): r for k, r in enumerate(ROWS)}.values())
-    want = recount(rows, "byte_bpe_50k") | recount(rows, "byte_bpe_multi_50k")
+    want = recount(ROWS, "byte_bpe_50k") | recount(ROWS, "byte_bpe_multi_50k")
     assert {(r["source"], r["lang"], r["version"]): (r["documents"], r["tokens"]) for r in found.collect()} == want
     assert token_rollup.token_counts(empty, f"{shared_dir(spark)}/roll-{uuid.uuid4().hex}").count() == 0
 

@@ -114,6 +114,12 @@ class TokenRollup:
         return self._summed(self._read(self._log(), "delta", _DELTA), "source", "lang", "version")
 
     def _counted(self, docs: DataFrame) -> DataFrame:
+        """Counts of all versions: those that a row brings with it, else those of its text."""
+        if "counts" in docs.columns:
+            brought = docs.where("counts is not null").drop("text")
+            version = F.explode(F.array(*[F.lit(v) for v in self.versions])).alias("version")
+            brought = brought.select("*", version).select(*brought.columns[:6], "version", F.lit(1).cast("long").alias("documents"), F.coalesce(F.try_element_at("counts", "version"), F.lit(0)).cast("long").alias("tokens"))
+            return brought.unionByName(self._counted(docs.where("counts is null").drop("counts")))
         versions = self.versions
         names = [x.split()[0] for x in _COUNTED.split(", ")]
 
@@ -127,8 +133,8 @@ class TokenRollup:
         return docs.mapInArrow(run, _COUNTED)
 
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
-        """Apply a batch once. ``changes``: op ('insert', 'delete' or 'revise'), doc_id, source, lang, text and, if they are to
-        be ordered, seq.
+        """Apply a batch once. ``changes``: op ('insert', 'delete' or 'revise'), doc_id, source, lang, text; if they are to be
+        ordered, seq; and, where tokens are known, counts (a map from version to tokens; 0 for a version that it lacks).
 
         Changes of one id take effect by seq (null first); at one seq inserts come first, then revisions, then deletes, and
         of several revisions one stands. An insert adds a document, also to an id that is there; a delete removes all
@@ -143,11 +149,12 @@ class TokenRollup:
             raise ValueError(f"unknown change: {sorted(map(str, unknown))}")
         seq = F.col("seq").cast("long") if "seq" in changes.columns else F.lit(None).cast("long")
         place = F.when(F.col("op") == "insert", 0).when(F.col("op") == "revise", 1).otherwise(2)
+        which = F.xxhash64("source", "lang", "text", *([F.to_json("counts")] if "counts" in changes.columns else []))
         ident, at = F.col("doc_id").cast("long").alias("doc_id"), F.struct("seq", "place", "which")
         source, lang = (F.col(c).cast("string").alias(c) for c in ("source", "lang"))
         folder = uuid.uuid4().hex
         staged = f"{self.path}/data/{folder}"
-        coming = changes.where("op <> 'delete'").select(ident, source, lang, seq.alias("seq"), place.alias("place"), F.xxhash64("source", "lang", "text").alias("which"), "text")
+        coming = changes.where("op <> 'delete'").select(ident, source, lang, seq.alias("seq"), place.alias("place"), which.alias("which"), "text", *(["counts"] if "counts" in changes.columns else []))
         self._counted(coming).write.parquet(f"{staged}/new")
         counted = self.spark.read.schema(_COUNTED).parquet(f"{staged}/new")
         resets = None
@@ -191,21 +198,24 @@ class TokenRollup:
 
 
 def token_counts(docs: DataFrame, path: str, versions: tuple[str, ...] = VERSIONS) -> DataFrame:
-    """Totals of ``docs`` in a fresh rollup in ``path`` that sees every kind of change for every document.
+    """Totals of ``docs`` in a fresh rollup in ``path``, whose every document sees every kind of change.
 
-    One batch inserts all rows, and its replay changes nothing; a second one deletes each id, inserts it without a text and
-    revises it to its whole text. An id that stands on several rows so counts once, with one of them; rows without an
-    id count each.
+    One batch inserts all rows, and its replay changes nothing. A second one, over all ids that stand on one row, deletes
+    each, inserts it without a text and revises it to the counts that the ledger had. So the totals are those of all rows;
+    rows without an id, and rows that share one, are inserted only.
     """
     spark = docs.sparkSession
     rollup = TokenRollup(spark, path, versions)
-    rows = docs.select("doc_id", "source", "lang", "text")
-    inserts = rows.withColumn("op", F.lit("insert"))
+    inserts = docs.select("doc_id", "source", "lang", "text").withColumn("op", F.lit("insert"))
     rollup.apply("load", inserts)
     rollup.apply("load", inserts)
-    named = rows.where("doc_id is not null")
-    steps = [("delete", 1, F.lit(None).cast("string")), ("insert", 2, F.lit(None).cast("string")), ("revise", 3, F.col("text"))]
-    parts = [named.withColumns({"op": F.lit(op), "seq": F.lit(k), "text": text}) for op, k, text in steps]
+    held = rollup.ledger().where("doc_id is not null").groupBy("doc_id").agg(
+        F.max("documents").alias("most"), F.count("*").alias("rows"), F.min(F.struct("source", "lang")).alias("group"), F.map_from_entries(F.collect_list(F.struct("version", "tokens"))).alias("counts")
+    )
+    alone = cut(held.where((F.col("most") == 1) & (F.col("rows") == len(versions))).select("doc_id", "group.*", "counts"), "alone")
+    none = F.lit(None)
+    steps = [("delete", none.cast("map<string, bigint>")), ("insert", none.cast("map<string, bigint>")), ("revise", F.col("counts"))]
+    parts = [alone.withColumns({"op": F.lit(op), "seq": F.lit(k), "text": none.cast("string"), "counts": counts}) for k, (op, counts) in enumerate(steps)]
     rollup.apply("second", parts[0].unionByName(parts[1]).unionByName(parts[2]))
     rollup.compact()
     return rollup.totals()
