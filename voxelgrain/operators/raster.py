@@ -190,5 +190,5 @@ def struts_of(vertices: DataFrame, edges: DataFrame, lengths: Sequence[float] =
     out = edges
     for end in "ab":
         named = vertices.select(F.col("v").alias(end), *[(F.col(c) * float(length)).alias(f"{end}{c}") for c, length in zip("xyz", lengths, strict=True)])
-        out = out.join(F.broadcast(named), end)
+        out = out.join(named, end)
     return out

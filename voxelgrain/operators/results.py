@@ -32,10 +32,10 @@ def tree(catalog: DataFrame) -> DataFrame:
 
 def hierarchy_summary(results: DataFrame) -> DataFrame:
     """microstructure, load_cases, time_steps, quantities (those of the first step, sorted)."""
-    counts = results.groupBy("microstructure").agg(F.countDistinct("load_case").alias("load_cases"), F.countDistinct("time_step").alias("time_steps"), F.min("time_step").alias("_first"))
-    first = results.join(F.broadcast(counts.select("microstructure", "_first")), "microstructure").where("time_step = _first")
-    quantities = first.groupBy("microstructure").agg(F.array_sort(F.collect_set("quantity")).alias("quantities"))
-    return counts.drop("_first").join(quantities, "microstructure")
+    cases = results.groupBy("microstructure").agg(F.countDistinct("load_case").alias("load_cases"))
+    steps = results.groupBy("microstructure", "time_step").agg(F.collect_set("quantity").alias("q"))
+    steps = steps.groupBy("microstructure").agg(F.count("*").alias("time_steps"), F.array_sort(F.min_by("q", "time_step")).alias("quantities"))
+    return cases.join(steps, "microstructure")
 
 
 def extract(results: DataFrame, quantities: Sequence[str] | None = None, microstructures: Sequence[str] | None = None, load_cases: Sequence[str] | None = None, time_steps: Sequence[int] | None = None) -> DataFrame:
@@ -55,6 +55,8 @@ def stacked(results: DataFrame, value: str = "value") -> DataFrame:
 
 
 def _as_array(c: Column, measure: str) -> Column:
+    if measure == "eigenvectors":
+        return F.flatten(c)  # by rows
     many = measure in ("deviatoric", "I_invariants", "J_invariants", "principal", "eigenvalues")
     return c if many else F.array(c)
 

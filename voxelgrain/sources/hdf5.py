@@ -109,10 +109,10 @@ def merge_files(spark: SparkSession, output: str, inputs: Sequence[str], overwri
     rows = catalog(spark, files)
     if bad := clashes(rows).limit(5).collect():
         raise ValueError(f"dataset and group of one name: {[r['path'] for r in bad]}")
-    chosen = merge(rows, overwrite).select("file", "path").orderBy("file", "path").collect()
+    chosen = merge(rows, overwrite).select("file", "path").orderBy("file", "path")
     copied = 0
     with h5py.File(output, "a") as out:
-        for row in chosen:
+        for row in chosen.toLocalIterator():
             if row["file"] == output:
                 continue
             with h5py.File(row["file"], "r") as held:

@@ -30,12 +30,12 @@ def xdmf_tree(catalog: DataFrame, data_file: str, lengths=(1.0, 1.0, 1.0), time_
     """The description: a grid for each size, or a temporal collection for each size with its steps in numeric order."""
     grids = described(catalog, time_series, keyword)
     keys = ["nx", "ny", "nz", "time"] if time_series else ["nx", "ny", "nz"]
-    rows = grids.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("path", "name", "kind", "centre", "shape"))).alias("sets")).orderBy(*keys).collect()
+    rows = grids.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("path", "name", "kind", "centre", "shape"))).alias("sets")).orderBy(*keys)
     root = ElementTree.Element("Xdmf", Version="2.0")
     domain = ElementTree.SubElement(root, "Domain")
     collections: dict[tuple, ElementTree.Element] = {}
     item = {"NumberType": "Float", "Precision": "4"}
-    for row in rows:
+    for row in rows.toLocalIterator():
         size = (row["nx"], row["ny"], row["nz"])
         name = "x".join(map(str, size))
         parent = domain
