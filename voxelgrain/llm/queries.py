@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, langid, line_dedup, mixing, near_dedup, packing, quality, substring_dedup, token_rollup
+from . import alignment, exact_dedup, fingerprints, langid, line_dedup, mixing, near_dedup, packing, quality, substring_dedup, token_rollup, vector_codes
 from .shared import prepare, shared_dir, table
 
 
@@ -38,6 +38,11 @@ def _count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollup.token_counts(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
 
 
+def _compress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return vector_codes.compressed_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -56,6 +61,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": _on_documents(exact_dedup.exact_duplicates),
         "op9_line_dedup": _on_documents(line_dedup.line_report),
         "op10_language_id": _on_documents(langid.predict_languages),
+        "op11_vector_codes": _compress,
+        "op13_tokenizer_alignment": _on_documents(alignment.align_tokenizers),
         "pipeline": pipeline,
     }
 
@@ -110,5 +117,27 @@ FROM t GROUP BY doc_id
 """
 
 
+def vector_code_sql(config: vector_codes.CodeConfig = vector_codes.CodeConfig()) -> str:
+    """All rounds, unrolled: ``a`` assigns parts to entries, ``c`` holds the codebooks."""
+    n = config.parts
+    steps = [
+        f"""k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor({config.scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""p AS MATERIALIZED (SELECT vec_id, label, part, list_slice(v, part * len(v) // {n} + 1, (part + 1) * len(v) // {n}) AS x FROM k, range({n}) AS r(part))""",
+        f"""c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x FROM p WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT {config.entries}))""",
+    ]
+    for r in range(config.rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, any_value(label) AS label, p.part, any_value(p.x) AS x,
+  min({{'d': list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i]))), 'e': e}}) AS m FROM p JOIN c{r} c ON p.part = c.part GROUP BY vec_id, p.part)""")
+        if r < config.rounds:
+            steps.append(f"""s{r} AS (SELECT part, m.e AS e, i, sum(x[i]) AS s, count(*) AS n FROM a{r}, range(1, (SELECT max(len(x)) FROM p) + 1) AS q(i) GROUP BY ALL),
+u{r} AS (SELECT part, e, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM s{r} GROUP BY part, e),
+c{r + 1} AS MATERIALIZED (SELECT part, e, coalesce(u.x, c.x) AS x FROM c{r} c LEFT JOIN u{r} u USING (part, e))""")
+    last = config.rounds
+    steps.append(f"""o AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{last} GROUP BY vec_id)""")
+    steps.append(f"""h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c{last})""")
+    return "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM o, h"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash_near_dedup": NEAR_SQL, "op8_exact_dedup": EXACT_SQL, "op9_line_dedup": LINE_SQL}
+    return {"op11_vector_codes": vector_code_sql(), "op6_minhash_near_dedup": NEAR_SQL, "op8_exact_dedup": EXACT_SQL, "op9_line_dedup": LINE_SQL}
