@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, exact_dedup, fingerprints, langid, line_dedup, mixing, near_dedup, packing, quality, substring_dedup, token_rollup, vector_codes
+from . import alignment, exact_dedup, fingerprints, langid, line_dedup, lm_scoring, mixing, near_dedup, packing, quality, substring_dedup, token_rollup, vector_codes
 from .shared import prepare, shared_dir, table
 
 
@@ -62,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": _on_documents(line_dedup.line_report),
         "op10_language_id": _on_documents(langid.predict_languages),
         "op11_vector_codes": _compress,
+        "op12_lm_scoring": _on_documents(lm_scoring.score_documents),
         "op13_tokenizer_alignment": _on_documents(alignment.align_tokenizers),
         "pipeline": pipeline,
     }
