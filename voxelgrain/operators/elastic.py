@@ -11,19 +11,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _matrices(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), float).reshape(-1, 6, 6)
+def _matrices(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The whole tensors of a column as matrices, and which rows hold one (36 finite entries, none of them null)."""
+    rows = column.to_pylist()
+    held = np.array([r is not None and len(r) == 36 and all(x is not None and math.isfinite(x) for x in r) for r in rows], bool)
+    return np.array([r for r, h in zip(rows, held, strict=True) if h], float).reshape(-1, 6, 6), held
+
+
+def _placed(values: list, held: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Values at the rows that hold a tensor, null elsewhere."""
+    rest = iter(values)
+    return pa.array([next(rest) if h else None for h in held], kind)
+
+
+def _inverses(c: np.ndarray) -> list:
+    """Inverses, None where a matrix has none to working precision."""
+    size = np.abs(c).max(axis=(1, 2), initial=0)
+    scaled = c / np.where(size > 0, size, 1)[:, None, None]
+    fine = (size > 0) & (np.linalg.svd(scaled, compute_uv=False)[:, -1] > 1e-14) if len(c) else np.zeros(0, bool)
+    out = np.linalg.inv(scaled[fine]) / size[fine][:, None, None]
+    rest = iter(out.reshape(-1, 36))
+    return [next(rest) if f else None for f in fine]
 
 
 def inverse(stiffness: DataFrame, column: str = "c", out: str = "s") -> DataFrame:
-    """``stiffness`` with the inverse of each 6 x 6 tensor."""
+    """``stiffness`` with the inverse of each 6 x 6 tensor; null where it is singular, null, or not 36 finite entries."""
     names = stiffness.columns
     at = names.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.linalg.inv(_matrices(batch.column(at))).reshape(-1, 36)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(values), pa.list_(pa.float64()))], [*names, out])
+            c, held = _matrices(batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, _placed(_inverses(c), held, pa.list_(pa.float64()))], [*names, out])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in stiffness.dtypes)
     return stiffness.mapInArrow(run, f"{fields}, {out} array<double>")
@@ -42,23 +61,34 @@ def voigt_bound(stiffness: DataFrame, fraction: str = "fraction", column: str =
 
 
 def reuss_bound(stiffness: DataFrame, fraction: str = "fraction", column: str = "c", keys: list[str] | None = None) -> DataFrame:
-    """Lower bound: the inverse of the mean of the compliances."""
-    mean = _weighted_mean(inverse(stiffness, column, "_s"), "_s", fraction, keys or [])
-    return inverse(mean, "c", "_c").drop("c").withColumnRenamed("_c", "c")
+    """Lower bound: the inverse of the mean of the compliances.
+
+    Null where a phase of a positive fraction has no inverse (what is infinitely soft in some way bounds nothing) or the mean has
+    none; phases of no fraction don't count.
+    """
+    keys = keys or []
+    stiffness = stiffness.where(F.col(fraction) != 0)
+    whole = inverse(stiffness, column, "_s").groupBy(*keys).agg(F.min(F.col("_s").isNotNull()).alias("_whole"))
+    mean = _weighted_mean(inverse(stiffness, column, "_s"), "_s", fraction, keys)
+    bound = inverse(mean, "c", "_c").drop("c")
+    marked = bound.join(whole, keys) if keys else bound.crossJoin(F.broadcast(whole))
+    return marked.withColumn("c", F.when(F.col("_whole"), F.col("_c"))).drop("_c", "_whole")
 
 
 def definiteness(stiffness: DataFrame, column: str = "c") -> DataFrame:
-    """``stiffness`` with ``spd`` (symmetric and all eigenvalues positive) and ``eigenvalues`` (ascending)."""
+    """``stiffness`` with ``spd`` (symmetric and all eigenvalues positive) and ``eigenvalues`` (ascending); both null where there
+    aren't 36 finite entries."""
     names = stiffness.columns
     at = names.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = _matrices(batch.column(at))
+            c, held = _matrices(batch.column(at))
             t = c.transpose(0, 2, 1)
             symmetric = (np.abs(c - t) <= 1e-8 + 1e-5 * np.abs(t)).all(axis=(1, 2))
             values = np.linalg.eigvalsh(c)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(symmetric & (values > 0).all(axis=1)), pa.array(list(values), pa.list_(pa.float64()))], [*names, "spd", "eigenvalues"])
+            spd = (symmetric & (values > 0).all(axis=1)).tolist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, _placed(spd, held, pa.bool_()), _placed(list(values), held, pa.list_(pa.float64()))], [*names, "spd", "eigenvalues"])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in stiffness.dtypes)
     return stiffness.mapInArrow(run, f"{fields}, spd boolean, eigenvalues array<double>")
@@ -74,7 +104,7 @@ def direction_grid(spark: SparkSession, thetas: int = 180, phis: int = 360) -> D
 def youngs_modulus(stiffness: DataFrame, directions: DataFrame, column: str = "c") -> DataFrame:
     """Rows of ``stiffness`` (without the tensor) for each direction with ``E`` and the surface point sx, sy, sz.
 
-    One inverse per tensor; the quadratic form of the direction is a column expression.
+    One inverse per tensor; the quadratic form of the direction is a column expression. E is null where a tensor has no inverse.
     """
     names = [n for n in stiffness.columns if n != column]
     s = inverse(stiffness, column, "_s").select(*names, "_s")
@@ -86,5 +116,5 @@ def youngs_modulus(stiffness: DataFrame, directions: DataFrame, column: str = "c
         for j in range(6):
             term = n[i] * F.get("_s", 6 * i + j) * n[j]
             form = term if form is None else form + term
-    pairs = s.crossJoin(directions).withColumn("E", 1.0 / form)
+    pairs = s.crossJoin(directions).withColumn("E", F.try_divide(F.lit(1.0), form))
     return pairs.select(*names, *[c for c in directions.columns if c not in names], "E", *[(F.col(c) * F.col("E")).alias(f"s{c}") for c in "xyz"])

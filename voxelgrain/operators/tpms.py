@@ -22,9 +22,15 @@ def raw_field(spark: SparkSession, surface: str | Angle3, shape: Shape, lengths:
 
 
 def normalised(field: DataFrame, column: str = "f", digits: int | None = 9) -> DataFrame:
-    """``column`` mapped to [0, 1] by its least and greatest value (one row, joined back)."""
-    ends = field.agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
-    value = (F.col(column) - F.col("_low")) / (F.col("_high") - F.col("_low"))
+    """``column`` mapped to [0, 1] by its least and greatest value (one row, joined back).
+
+    0 wherever the column is constant; the ends are those of the finite values, infinite ones map to 0 and 1; null and NaN stay.
+    """
+    finite = F.when(F.abs(column) < float("inf"), F.col(column))
+    ends = field.agg(F.min(finite).alias("_low"), F.max(finite).alias("_high"))
+    share = F.try_divide(F.col(column) / 2.0 - F.col("_low") / 2.0, F.col("_high") / 2.0 - F.col("_low") / 2.0)
+    kept = F.col(column).isNull() | F.isnan(F.col(column).cast("double"))
+    value = F.when(kept, F.col(column).cast("double")).when(F.col(column) == float("inf"), F.lit(1.0)).when(F.col(column) == float("-inf"), F.lit(0.0)).otherwise(F.coalesce(share, F.lit(0.0)))
     return field.crossJoin(F.broadcast(ends)).withColumn(column, F.round(value, digits) if digits is not None else value).drop("_low", "_high")
 
 
