@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from itertools import product
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as Ordered
 from pyspark.sql import functions as F
 
 from ..functions.periodic import canonical_sign
 from ..stages import cut
-from .grids import UNIT, Lengths, Shape, cell_centre
+from .blocks import Blocks, Window, over_blocks
+from .grids import UNIT, Lengths, Shape
 from .order import numbered
 from .voronoi import shifted
 
@@ -19,8 +26,8 @@ def canonical_faces(faces: DataFrame, digits: int = 6) -> DataFrame:
     crystal, larger crystal, normal). Distinct keys are numbered by ranges and joined back.
     """
     n = [F.col(c) for c in ("nx", "ny", "nz")]
-    sign = canonical_sign(n)
-    keyed = faces.withColumns({"_lo": F.least("seed_a", "seed_b"), "_hi": F.greatest("seed_a", "seed_b"), **{f"_{c}": F.round(F.col(c) * sign, digits) + 0.0 for c in ("nx", "ny", "nz")}})
+    signed = F.transform(F.array(canonical_sign(n)), lambda s: F.struct(*[(F.round(c * s, digits) + 0.0).alias(f"_{x}") for c, x in zip(n, ("nx", "ny", "nz"), strict=True)]))
+    keyed = faces.withColumns({"_lo": F.least("seed_a", "seed_b"), "_hi": F.greatest("seed_a", "seed_b"), "_signed": F.get(signed, 0)}).select("*", "_signed.*").drop("_signed")
     keys = ["_lo", "_hi", "_nx", "_ny", "_nz"]
     named = numbered(keyed.select(*keys).distinct(), keys, "gb").withColumn("gb", F.col("gb").cast("int"))
     return keyed.join(named, keys).drop(*keys)
@@ -81,7 +88,7 @@ def in_pyramid(point: list[Column], apex: list[Column], verts: Column) -> Column
 
 def first_match(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key by an order."""
-    return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_nth = 1").drop("_nth")
+    return df.withColumn("_nth", F.row_number().over(Ordered.partitionBy(*keys).orderBy(*order))).where("_nth = 1").drop("_nth")
 
 
 def renumbered(df: DataFrame, column: str, start: int, out: str) -> DataFrame:
@@ -90,44 +97,153 @@ def renumbered(df: DataFrame, column: str, start: int, out: str) -> DataFrame:
     return df.join(numbered(distinct, [column], out, start), column, "left")
 
 
+#: Boundaries up to this many are broadcast as a table of tags; more meet their voxels by a shuffle.
+BROADCAST_TAGS = 200_000
+
+
+def _sides(v: list[np.ndarray], p: np.ndarray, of_pair) -> np.ndarray:
+    """``of_pair`` of points and each edge of a loop of vertices (n, 3): (points, edges)."""
+    return np.stack([of_pair(v, p[k], p[(k + 1) % len(p)]) for k in range(len(p))], axis=1)
+
+
+def _one_sided(sides: np.ndarray, slack: float) -> np.ndarray:
+    return (sides >= -slack).all(axis=1) | (sides <= slack).all(axis=1)
+
+
+class Face:
+    """A face at one of its periodic places, with the half polyhedron between it and its seed: what ``plane_band``,
+    ``in_polygon`` and ``in_pyramid`` say, for arrays of points."""
+
+    def __init__(self, data: bytes) -> None:
+        values = np.frombuffer(data, ">f8")
+        self.gb, self.crystal = int(values[0]), int(values[1])
+        self.normal, self.apex, self.verts = values[2:5].tolist(), values[5:8].tolist(), values[8:].reshape(-1, 3)
+        p = self.verts.tolist()
+        u, v = ([p[k][c] - p[0][c] for c in range(3)] for k in (1, 2))
+        self.up = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+
+    def _height(self, q: list) -> np.ndarray:
+        o, n = self.verts[0], self.up
+        return (q[0] - o[0]) * n[0] + (q[1] - o[1]) * n[1] + (q[2] - o[2]) * n[2]
+
+    def covers(self, q: list[np.ndarray], thickness: float) -> np.ndarray:
+        """Within half the thickness of the face's plane, and over the face."""
+        o, n = self.verts[0], self.normal
+        near = np.abs((q[0] - o[0]) * n[0] + (q[1] - o[1]) * n[1] + (q[2] - o[2]) * n[2]) <= thickness / 2
+        at = np.flatnonzero(near)
+
+        def side(v: list[np.ndarray], p: np.ndarray, r: np.ndarray) -> np.ndarray:
+            ex, ey, ez = r - p
+            vx, vy, vz = v[0] - p[0], v[1] - p[1], v[2] - p[2]
+            return n[0] * (ey * vz - ez * vy) + n[1] * (ez * vx - ex * vz) + n[2] * (ex * vy - ey * vx)
+
+        if len(at):
+            near[at] = _one_sided(_sides([x[at] for x in q], self.verts, side), 0.0)
+        return near
+
+    def holds(self, q: list[np.ndarray]) -> np.ndarray:
+        """In the half polyhedron."""
+        v = [x - a for x, a in zip(q, self.apex, strict=True)]
+
+        def side(v: list[np.ndarray], p: np.ndarray, r: np.ndarray) -> np.ndarray:
+            a, b = p - self.apex, r - self.apex
+            return v[0] * (a[1] * b[2] - a[2] * b[1]) + v[1] * (a[2] * b[0] - a[0] * b[2]) + v[2] * (a[0] * b[1] - a[1] * b[0])
+
+        top, here = self._height(self.apex), self._height(q)
+        return _one_sided(_sides(v, self.verts, side), 1e-12) & ((here - top) * top <= 1e-12) & (here * top >= -1e-12)
+
+
+def faces_by_block(placed: DataFrame, blocks: Blocks, lengths: Lengths, thickness: float) -> DataFrame:
+    """(block, data): every face at every block of voxels that its half polyhedron's box, or the band about it, meets.
+
+    ``placed``: gb, crystal, normal, apex (px, py, pz) and verts of faces at their places. Blocks that lie wholly beyond one of the
+    box's sides are left out; a face's data are its numbers as bytes.
+    """
+    step = [length / n for length, n in zip(lengths, blocks.shape, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, data = [], []
+            columns = [c.to_pylist() for c in batch.columns]
+            for *head, verts in zip(*columns, strict=True):
+                points = [[p["x"], p["y"], p["z"]] for p in verts]
+                corners = np.array([*points, head[5:8]])
+                low, high = corners.min(axis=0) - thickness / 2, corners.max(axis=0) + thickness / 2
+                spans = []
+                for c in range(3):
+                    # centres of voxels lie half a step behind their first side; one more voxel on each side for rounding
+                    first, last = int(np.floor(low[c] / step[c] - 0.5)) - 1, int(np.ceil(high[c] / step[c] - 0.5)) + 1
+                    if last < 0 or first >= blocks.shape[c]:
+                        break
+                    spans.append(range(max(first, 0) // blocks.edge[c], min(last, blocks.shape[c] - 1) // blocks.edge[c] + 1))
+                if len(spans) < 3:
+                    continue
+                own = np.array([*head, *[x for p in points for x in p]], ">f8").tobytes()
+                for at in product(*spans):
+                    numbers.append(int(blocks.number(at)))
+                    data.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(data, pa.binary())], ["block", "data"])
+
+    rows = placed.select(*[F.col(c).cast("double") for c in ("gb", "crystal", "nx", "ny", "nz", "px", "py", "pz")], "verts")
+    return rows.mapInArrow(run, "block long, data binary")
+
+
+def eroded_blocks(voxels: DataFrame, placed: DataFrame, shape: Shape, lengths: Lengths, thickness: float) -> DataFrame:
+    """(i, j, k, crystal, killed, gb) of all voxels: faces meet the blocks of voxels that they can reach, and in a block the
+    voxels of their crystal. Half polyhedra are looked at for killed voxels alone; ``gb`` is the first that holds the voxel."""
+    blocks = Blocks(shape)
+
+    def kernel(w: Window) -> dict[str, np.ndarray]:
+        killed, tag = np.zeros(w.size, bool), np.full(w.size, -1, np.int64)
+        (labels, there), faces = w.at((0, 0, 0)), sorted((Face(x) for x in w.extra), key=lambda f: f.gb)
+        members = {}
+        for crystal in {f.crystal for f in faces}:
+            at = np.nonzero((labels == crystal) & there)
+            members[crystal] = at, [(x + f + 0.5) * length / n for x, f, length, n in zip(at, w.first, lengths, shape, strict=True)]
+        found = {c: np.zeros(len(at[0]), bool) for c, (at, _) in members.items()}
+        for face in faces:
+            points = members[face.crystal][1]
+            if len(points[0]):
+                found[face.crystal] |= face.covers(points, thickness)
+        for crystal, (at, points) in members.items():
+            dead = np.flatnonzero(found[crystal])
+            if not len(dead):
+                continue
+            own, tags = [x[dead] for x in points], np.full(len(dead), -1, np.int64)
+            for face in faces:
+                if face.crystal == crystal and (tags < 0).any():
+                    left = np.flatnonzero(tags < 0)
+                    tags[left[face.holds([x[left] for x in own])]] = face.gb
+            where = tuple(x[dead] for x in at)
+            killed[where], tag[where] = True, tags
+        return {"crystal": labels, "killed": killed, "gb": np.ma.array(tag, mask=tag < 0)}
+
+    return over_blocks(voxels, blocks, "label", "<i8", kernel, "crystal long, killed boolean, gb long", faces_by_block(placed, blocks, lengths, thickness))
+
+
 def erode_boundaries(voxels: DataFrame, faces: DataFrame, seeds: DataFrame, shape: Shape, lengths: Lengths = UNIT, thickness: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """Eroded image (i, j, k, label, crystal) and grain-boundary table (gb_tag, nx, ny, nz, crystal_a, crystal_b).
 
     A voxel leaves its crystal when it lies within half the thickness of one of the cell's faces and over the face;
     it takes the tag of the first face (by grain boundary) whose pyramid to the seed holds it, else -1. Tags follow the
-    crystals' labels without gaps. Faces are met by crystal and box: each is repeated at its 27 places, those off
-    the box are dropped, and the few that remain are broadcast when they are few (checked), else shuffled.
+    crystals' labels without gaps. Each face is repeated at its 27 places, those off the box are dropped, and those left meet
+    the blocks of voxels that they reach (``eroded_blocks``): neither a large crystal nor a large image is one task's work.
+    The image is read once.
     """
     crystals = seeds.count()
     faces = cut(canonical_faces(cut(faces, "faces")), "faces")
     own = faces.join(seeds.select(F.col("seed_id").cast("long").alias("seed_a"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz")), "seed_a")
     placed = shifted(own, ["px", "py", "pz"], lengths)
     moved = F.transform("verts", lambda p: F.struct(*[(p[c] + F.col(f"s{c}")).alias(c) for c in "xyz"]))
-    placed = placed.withColumn("verts", moved)
-    for c, length in zip("xyz", lengths, strict=True):
-        at = F.col(f"verts.{c}")
-        placed = placed.withColumns({f"lo{c}": F.least(F.array_min(at), f"p{c}") - thickness / 2, f"hi{c}": F.greatest(F.array_max(at), f"p{c}") + thickness / 2})
-        placed = placed.where((F.col(f"hi{c}") >= 0) & (F.col(f"lo{c}") <= length))
-    placed = cut(placed.drop("sx", "sy", "sz", "seed_b", "ox", "oy", "oz").withColumnRenamed("seed_a", "_crystal"), "placed")
-    side = F.broadcast(placed) if placed.count() <= 200_000 else placed
-    points = {c: cell_centre(F.col(i), n, length) for c, i, n, length in zip("xyz", "ijk", shape, lengths, strict=True)}
-    here = voxels.select("i", "j", "k", F.col("label").alias("crystal"), *[p.alias(f"v{c}") for c, p in points.items()])
-    v, n = [F.col(f"v{c}") for c in "xyz"], [F.col(f"n{c}") for c in "xyz"]
-    corner = F.get("verts", 0)
-    box = F.lit(True)
-    for c in "xyz":
-        box = box & F.col(f"v{c}").between(F.col(f"lo{c}"), F.col(f"hi{c}"))
-    near = here.join(side, (F.col("crystal") == F.col("_crystal")) & box)
-    inside = in_pyramid(v, [F.col(f"p{c}") for c in "xyz"], F.col("verts"))
-    near = near.withColumns({"_kill": plane_band(v, [corner[c] for c in "xyz"], n, thickness) & in_polygon(v, F.col("verts"), n), "_in": inside})
-    tagged = near.groupBy("i", "j", "k", "crystal").agg(F.max("_kill").alias("_killed"), F.min(F.when(F.col("_in"), F.col("gb"))).alias("gb"))
-    tagged = cut(tagged.where("_killed").drop("_killed"), "tagged")
-    tags = renumbered(tagged, "gb", crystals, "gb_tag")
-    image = voxels.select("i", "j", "k", F.col("label").alias("crystal")).join(tags.select("i", "j", "k", F.coalesce("gb_tag", F.lit(-1)).alias("_tag")), ["i", "j", "k"], "left")
-    image = image.select("i", "j", "k", F.coalesce("_tag", "crystal").cast("long").alias("label"), "crystal")
-    used = tags.where("gb_tag is not null").select("gb", "gb_tag").distinct()
+    placed = placed.withColumn("verts", moved).withColumnRenamed("seed_a", "crystal")
+    tagged = cut(eroded_blocks(voxels, placed, shape, lengths, thickness), "eroded")
+    tags = cut(renumbered(tagged.select("gb").where("gb is not null").distinct(), "gb", crystals, "gb_tag"), "tags", slim=True)
+    few = tags.count() <= BROADCAST_TAGS
+    image = tagged.join(F.broadcast(tags) if few else tags, "gb", "left")
+    label = F.when(~F.col("killed"), F.col("crystal")).otherwise(F.coalesce("gb_tag", F.lit(-1)))
+    image = image.select("i", "j", "k", label.cast("long").alias("label"), "crystal")
     lower = faces.where("seed_a <= seed_b").groupBy("gb").agg(F.min_by(F.struct("nx", "ny", "nz", F.col("seed_a").alias("crystal_a"), F.col("seed_b").alias("crystal_b")), F.struct("ox", "oy", "oz")).alias("m"))
-    table = used.join(lower, "gb").select("gb_tag", "m.nx", "m.ny", "m.nz", "m.crystal_a", "m.crystal_b")
+    table = tags.join(lower, "gb").select("gb_tag", "m.nx", "m.ny", "m.nz", "m.crystal_a", "m.crystal_b")
     return image, table
 
 

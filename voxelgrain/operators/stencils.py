@@ -1,29 +1,29 @@
 """Periodic neighbourhood operators: Laplacian, erosion, median, gradients of labels.
 
-Voxels meet their neighbours by an equi-join on shifted indices: each voxel is emitted once per offset of the
-stencil and aggregated at its target, so any stencil is one shuffle with map-side combination.
+Voxels meet their neighbours in dense blocks with halos (``blocks``): one shuffle, in which a voxel goes to its block and to
+those whose halo holds it, whatever the size of the stencil. Images are whole; of an image with holes the voxels that are
+there have results, and neighbours that are missing don't count.
 """
 
 from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import Blocks, Window, over_blocks
 from .grids import UNIT, Lengths, Shape
 
 Offset = tuple[int, int, int]
+#: The largest number of values that a median sorts at once.
+_SORTED = 1 << 22
 
 
-def spread(voxels: DataFrame, shape: Shape, offsets: list[Offset], weights: list[float] | None = None) -> DataFrame:
-    """Each voxel at every offset of the stencil, indices wrapped; ``_w`` is the offset's weight."""
-    weights = weights or [1.0] * len(offsets)
-    stencil = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"), F.lit(float(w)).alias("w")) for (a, b, c), w in zip(offsets, weights, strict=True)])
-    rest = [c for c in voxels.columns if c not in ("i", "j", "k")]
-    out = voxels.withColumn("_s", F.explode(stencil))
-    moved = [F.pmod(F.col(c) + F.col(f"_s.{o}"), F.lit(n)).alias(c) for c, o, n in zip("ijk", "abc", shape, strict=True)]
-    return out.select(*moved, *rest, F.col("_s.w").alias("_w"))
+def reach(offsets: list[Offset]) -> Offset:
+    """How far a stencil looks along each axis."""
+    return tuple(max(abs(o[a]) for o in offsets) for a in range(3))
 
 
 def laplacian_weights(shape: Shape, lengths: Lengths = UNIT) -> tuple[list[Offset], list[float]]:
@@ -42,10 +42,18 @@ def laplacian_weights(shape: Shape, lengths: Lengths = UNIT) -> tuple[list[Offse
 def laplacian(voxels: DataFrame, shape: Shape, value: str = "label", lengths: Lengths = UNIT, keep: bool = False) -> DataFrame:
     """(i, j, k, lap): magnitude of the periodic Laplacian; ``keep`` carries the voxel's own value along."""
     offsets, weights = laplacian_weights(shape, lengths)
-    rows = voxels.select("i", "j", "k", F.col(value).cast("double").alias("_v"), *([F.col(value)] if keep else []))
-    out = spread(rows, shape, offsets, weights)
-    own = [F.max(F.when(F.col("_w") > 0, F.col(value))).alias(value)] if keep else []
-    return out.groupBy("i", "j", "k").agg(F.abs(F.sum(F.col("_v") * F.col("_w"))).alias("lap"), *own)
+
+    def kernel(w: Window) -> dict[str, np.ndarray]:
+        total = np.zeros(w.size)
+        for offset, weight in zip(offsets, weights, strict=True):
+            values, there = w.at(offset)
+            total += np.where(there, values * weight, 0.0)
+        return {"lap": np.abs(total), "_own": w.at((0, 0, 0))[0]}
+
+    rows = voxels.select("i", "j", "k", F.col(value).cast("double").alias("_v"))
+    found = over_blocks(rows, Blocks(shape, (1, 1, 1)), "_v", "<f8", kernel, "lap double, _own double")
+    own = [F.col("_own").cast(voxels.schema[value].dataType).alias(value)] if keep else []
+    return found.select("i", "j", "k", "lap", *own)
 
 
 def box_offsets(size: int) -> list[Offset]:
@@ -60,24 +68,39 @@ def octahedron_offsets(radius: int) -> list[Offset]:
 
 def periodic_erosion(voxels: DataFrame, shape: Shape, size: int, mask: str = "mask") -> DataFrame:
     """(i, j, k, mask): true where the whole cube around a voxel is true."""
-    # the cube's mirror image carries a voxel to all that look at it
-    offsets = [tuple(-x for x in o) for o in box_offsets(size)]
-    return spread(voxels.select("i", "j", "k", F.col(mask).alias("_m")), shape, offsets).groupBy("i", "j", "k").agg(F.min("_m").alias("mask"))
+    low, high = -(size // 2), (size - 1) // 2
+
+    def kernel(w: Window) -> dict[str, np.ndarray]:
+        # a minimum over a cube is one over each axis after another
+        held = np.where(w.there, w.values, 1).astype(bool)
+        for axis in range(3):
+            parts = [np.take(held, range(w.pad[axis] + o, w.pad[axis] + o + w.size[axis]), axis=axis) for o in range(low, high + 1)]
+            held = np.logical_and.reduce(parts)
+        return {"mask": held}
+
+    rows = voxels.select("i", "j", "k", F.col(mask).cast("boolean").cast("int").alias("_m"))
+    return over_blocks(rows, Blocks(shape, (max(-low, high),) * 3), "_m", "|u1", kernel, "mask boolean")
 
 
 def median_filter(voxels: DataFrame, shape: Shape, offsets: list[Offset], value: str = "label") -> DataFrame:
-    """(i, j, k, value): the upper median of the neighbourhood, from counts by value (combined before the shuffle)."""
-    out = spread(voxels.select("i", "j", "k", F.col(value).alias("_v")), shape, [tuple(-x for x in o) for o in offsets])
-    counts = out.groupBy("i", "j", "k", "_v").agg(F.count("*").alias("_n"))
-    ordered = F.array_sort(F.collect_list(F.struct("_v", "_n")))
-    rank = len(offsets) // 2
-    pick = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast(voxels.schema[value].dataType).alias("value")),
-        lambda a, x: F.struct((a["seen"] + x["_n"]).alias("seen"), F.when(a["value"].isNull() & (a["seen"] + x["_n"] > rank), x["_v"]).otherwise(a["value"]).alias("value")),
-        lambda a: a["value"],
-    )
-    return counts.groupBy("i", "j", "k").agg(pick.alias(value))
+    """(i, j, k, value): the upper median of the neighbourhood; null where so many neighbours are missing that there is none."""
+    rank, field = len(offsets) // 2, voxels.schema[value]
+    exact = field.dataType.typeName() in ("double", "float")
+    kind, top = ("<f8", np.inf) if exact else ("<i8", np.iinfo(np.int64).max)
+
+    def kernel(w: Window) -> dict[str, np.ndarray]:
+        out, missing = np.empty(w.size, kind), np.zeros(w.size, bool)
+        planes = max(1, _SORTED // (len(offsets) * w.size[1] * w.size[2]))
+        for first in range(0, w.size[0], planes):
+            own = slice(first, min(first + planes, w.size[0]))
+            around = [w.at(o) for o in offsets]
+            values = np.stack([np.where(t[own], v[own], top) for v, t in around])
+            out[own] = np.partition(values, rank, axis=0)[rank]
+            missing[own] = np.sum([t[own] for _, t in around], axis=0) <= rank
+        return {"_median": np.ma.array(out, mask=missing)}
+
+    found = over_blocks(voxels, Blocks(shape, reach(offsets)), value, kind, kernel, f"_median {'double' if exact else 'long'}")
+    return found.select("i", "j", "k", F.col("_median").cast(field.dataType).alias(value))
 
 
 def smoothing_offsets(scale: tuple[float, float, float]) -> list[Offset] | None:
