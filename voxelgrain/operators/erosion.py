@@ -54,36 +54,50 @@ def in_polygon(point: list[Column], verts: Column, normal: list[Column]) -> Colu
     return F.forall(sides, lambda s: s >= 0) | F.forall(sides, lambda s: s <= 0)
 
 
+#: Slack of cones and planes, as the sine of an angle and as a share of the apex's height: it means the same for tiny faces.
+SLACK = 1e-9
+
+
 def in_cone(point: list[Column], apex: list[Column], verts: Column) -> Column:
     """Whether a point lies in the infinite cone from ``apex`` over a convex polygon (the pyramid's side planes)."""
     after = F.concat(F.slice(verts, 2, F.size(verts) - 1), F.slice(verts, 1, 1))
     v = [p - a for p, a in zip(point, apex, strict=True)]
+    far = F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
 
     def side(p: Column, q: Column) -> Column:
         a = [p[c] - o for c, o in zip("xyz", apex, strict=True)]
         b = [q[c] - o for c, o in zip("xyz", apex, strict=True)]
-        return v[0] * (a[1] * b[2] - a[2] * b[1]) + v[1] * (a[2] * b[0] - a[0] * b[2]) + v[2] * (a[0] * b[1] - a[1] * b[0])
+        n = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+        size = F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2])
+        return F.struct((v[0] * n[0] + v[1] * n[1] + v[2] * n[2]).alias("s"), (size * far * SLACK).alias("slack"))
 
     sides = F.zip_with(verts, after, side)
     # the cone goes on behind its apex, where the signs turn as well: only the polygon's side counts
     height = _height(verts)
-    ahead = (height(point) - height(apex)) * height(apex) <= 1e-12
-    return (F.forall(sides, lambda s: s >= -1e-12) | F.forall(sides, lambda s: s <= 1e-12)) & ahead
+    ahead = height(point) * F.signum(height(apex)) <= F.abs(height(apex)) * (1 + SLACK)
+    return (F.forall(sides, lambda s: s["s"] >= -s["slack"]) | F.forall(sides, lambda s: s["s"] <= s["slack"])) & ahead
 
 
 def _height(verts: Column):
-    """A function of points: their distance from a polygon's plane, in units of its (unnormalised) normal."""
-    p = [F.get(verts, k) for k in range(3)]
-    u, v = ([p[k][c] - p[0][c] for c in "xyz"] for k in (1, 2))
-    normal = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
-    return lambda q: sum(((q[k] - p[0][c]) * normal[k] for k, c in ((1, "y"), (2, "z"))), (q[0] - p[0]["x"]) * normal[0])
+    """A function of points: their distance from a polygon's plane, in units of its area vector (of all its vertices, so that
+    short edges don't matter)."""
+    o = F.get(verts, 0)
+    after = F.concat(F.slice(verts, 2, F.size(verts) - 1), F.slice(verts, 1, 1))
+
+    def cross(p: Column, q: Column) -> Column:
+        a, b = ([r[c] - o[c] for c in "xyz"] for r in (p, q))
+        return F.struct((a[1] * b[2] - a[2] * b[1]).alias("x"), (a[2] * b[0] - a[0] * b[2]).alias("y"), (a[0] * b[1] - a[1] * b[0]).alias("z"))
+
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in "xyz"])
+    normal = F.aggregate(F.zip_with(verts, after, cross), zero, lambda t, x: F.struct(*[(t[c] + x[c]).alias(c) for c in "xyz"]))
+    return lambda q: sum(((q[k] - o[c]) * normal[c] for k, c in ((1, "y"), (2, "z"))), (q[0] - o["x"]) * normal["x"])
 
 
 def in_pyramid(point: list[Column], apex: list[Column], verts: Column) -> Column:
     """Whether a point lies in the half polyhedron between ``apex`` and a convex polygon: in the cone, and no further from the
     apex than the polygon's plane."""
     height = _height(verts)
-    return in_cone(point, apex, verts) & (height(point) * height(apex) >= -1e-12)
+    return in_cone(point, apex, verts) & (height(point) * F.signum(height(apex)) >= -F.abs(height(apex)) * SLACK)
 
 
 def first_match(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -101,12 +115,7 @@ def renumbered(df: DataFrame, column: str, start: int, out: str) -> DataFrame:
 BROADCAST_TAGS = 200_000
 
 
-def _sides(v: list[np.ndarray], p: np.ndarray, of_pair) -> np.ndarray:
-    """``of_pair`` of points and each edge of a loop of vertices (n, 3): (points, edges)."""
-    return np.stack([of_pair(v, p[k], p[(k + 1) % len(p)]) for k in range(len(p))], axis=1)
-
-
-def _one_sided(sides: np.ndarray, slack: float) -> np.ndarray:
+def _one_sided(sides: np.ndarray, slack: np.ndarray | float) -> np.ndarray:
     return (sides >= -slack).all(axis=1) | (sides <= slack).all(axis=1)
 
 
@@ -118,9 +127,8 @@ class Face:
         values = np.frombuffer(data, ">f8")
         self.gb, self.crystal = int(values[0]), int(values[1])
         self.normal, self.apex, self.verts = values[2:5].tolist(), values[5:8].tolist(), values[8:].reshape(-1, 3)
-        p = self.verts.tolist()
-        u, v = ([p[k][c] - p[0][c] for c in range(3)] for k in (1, 2))
-        self.up = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+        self.after = np.roll(self.verts, -1, axis=0)
+        self.up = np.cross(self.verts - self.verts[0], self.after - self.verts[0]).sum(axis=0)
 
     def _height(self, q: list) -> np.ndarray:
         o, n = self.verts[0], self.up
@@ -138,19 +146,18 @@ class Face:
             return n[0] * (ey * vz - ez * vy) + n[1] * (ez * vx - ex * vz) + n[2] * (ex * vy - ey * vx)
 
         if len(at):
-            near[at] = _one_sided(_sides([x[at] for x in q], self.verts, side), 0.0)
+            own = [x[at] for x in q]
+            near[at] = _one_sided(np.stack([side(own, p, r) for p, r in zip(self.verts, self.after, strict=True)], axis=1), 0.0)
         return near
 
     def holds(self, q: list[np.ndarray]) -> np.ndarray:
         """In the half polyhedron."""
-        v = [x - a for x, a in zip(q, self.apex, strict=True)]
-
-        def side(v: list[np.ndarray], p: np.ndarray, r: np.ndarray) -> np.ndarray:
-            a, b = p - self.apex, r - self.apex
-            return v[0] * (a[1] * b[2] - a[2] * b[1]) + v[1] * (a[2] * b[0] - a[0] * b[2]) + v[2] * (a[0] * b[1] - a[1] * b[0])
-
-        top, here = self._height(self.apex), self._height(q)
-        return _one_sided(_sides(v, self.verts, side), 1e-12) & ((here - top) * top <= 1e-12) & (here * top >= -1e-12)
+        v = np.stack([x - a for x, a in zip(q, self.apex, strict=True)], axis=1)
+        planes = np.cross(self.verts - self.apex, self.after - self.apex)
+        slack = np.sqrt((planes**2).sum(axis=1))[None] * np.sqrt((v**2).sum(axis=1))[:, None] * SLACK
+        top = self._height(self.apex)
+        share = self._height(q) * np.sign(top)
+        return _one_sided(v @ planes.T, slack) & (share <= abs(top) * (1 + SLACK)) & (share >= -abs(top) * SLACK)
 
 
 def faces_by_block(placed: DataFrame, blocks: Blocks, lengths: Lengths, thickness: float) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import field_plans, geometry_plans, result_plans, tensor_plans, voxel_plans  # noqa: F401  they register their queries
+from . import boundary_plans, field_plans, geometry_plans, result_plans, tensor_plans, voxel_plans  # noqa: F401  they register their queries
 from .fixtures import REGISTRY, Query
 
 
