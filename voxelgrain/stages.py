@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
-    The session's ``spark.checkpoint.dir``; where that is unset, a local master gets a temporary folder of its own
-    (the only machine is this one) and a cluster the SQL warehouse, which is shared too.
+    The session's ``spark.checkpoint.dir``; where that is unset, a local master gets a temporary folder of its own (the only
+    machine is this one) and a cluster a folder in the SQL warehouse, if that is on a file system that its machines share: a
+    ``file:`` path, Spark's default, is a folder of one machine, and RuntimeError says so.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -26,7 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
             os.makedirs(path)
             atexit.register(shutil.rmtree, path, ignore_errors=True)
         return f"file://{path}"
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_voxelgrain_stages/{spark.sparkContext.applicationId}"
+    return f"{_shared_warehouse(spark.conf.get('spark.sql.warehouse.dir'))}/_voxelgrain_stages/{spark.sparkContext.applicationId}"
+
+
+def _shared_warehouse(path: str) -> str:
+    if path.startswith(("file:", "/")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share: the warehouse is a folder of one machine")
+    return path.rstrip("/")
 
 
 def cut(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
