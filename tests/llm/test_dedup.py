@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from voxelgrain.llm import exact_dedup, line_dedup, near_dedup, substring_dedup
 from voxelgrain.llm.textkernel import shingle_sets
@@ -444,3 +445,56 @@ def test_passages_without_spaces_are_found(spark):
     frame = spark.createDataFrame([(1, some(80) + passage + some(80)), (2, some(55) + passage + some(40)), (3, some(200))], "doc_id long, text string")
     (found,) = substring_dedup.repeated_passages(frame).collect()
     assert found["doc_id"] == 2 and found["first_doc_id"] == 1 and found["bytes"] >= 350
+
+
+@pytest.mark.parametrize(("n", "size"), [(150_000, 12), (150_000, 40), (60_000, 400)])
+def test_tries_count_their_memory(n, size):
+    """What a trie says it holds is what Python allocates for it, for short texts too."""
+    import tracemalloc
+
+    rng = random.Random(size)
+    keys = [bytes(rng.choices(b"abcdefgh", k=rng.randrange(1, 2 * size))) for _ in range(n)]
+    tracemalloc.start()
+    trie = exact_dedup.PatriciaTrie()
+    for k, key in enumerate(keys):
+        trie.insert(key, 10**12 + k, 1)
+    used = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert 0.7 * used < trie.memory < 1.8 * used
+    held = trie.memory
+    out = list(trie.spill_subtrees(held // 2, memory=True))
+    assert trie.memory <= held // 2 or not out
+    rest = list(trie.spill())
+    assert trie.memory == 0 and {k for k, _, _ in out} | {k for k, _, _ in rest} == set(keys) and sum(c for _, _, c in out + rest) == n
+
+
+def test_short_texts_stay_within_the_bound(monkeypatch):
+    """A million short texts through both sides: no trie grows past the bound by more than a text, nothing is lost."""
+    monkeypatch.setattr(exact_dedup, "SPILL_BYTES", 2 << 20)
+    most = []
+    insert = exact_dedup.PatriciaTrie.insert
+
+    def watched(self, key, ident, count):
+        insert(self, key, ident, count)
+        most.append(self.memory)
+
+    monkeypatch.setattr(exact_dedup.PatriciaTrie, "insert", watched)
+    rng = random.Random(8)
+    bodies = [b"%d" % rng.randrange(150_000) for _ in range(200_000)]
+    batches = lambda: iter([pa.RecordBatch.from_arrays([pa.array(bodies[i : i + 5000], pa.binary()), pa.array(range(i, i + 5000), pa.int64())], ["body", "ident"]) for i in range(0, len(bodies), 5000)])
+    partial = [r for b in exact_dedup._collapse(batches()) for r in b.to_pylist()]
+    partial.sort(key=lambda r: r["body"])
+    rows = pa.RecordBatch.from_pylist(partial, pa.schema([("body", pa.binary()), ("ident", pa.int64()), ("copies", pa.int64())]))
+    owned = [r for b in exact_dedup._own(iter([rows])) for r in b.to_pylist()]
+    want = defaultdict(list)
+    for k, body in enumerate(bodies):
+        want[body].append(k)
+    assert {r["body"]: (r["ident"], r["copies"]) for r in owned} == {b: (min(k), len(k)) for b, k in want.items()} and len(owned) == len(want)
+    assert max(most) < (2 << 20) + 2000
+
+
+def test_one_of_many_rows_without_an_id_stays(spark):
+    rows = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same").alias("text")).repartition(7)
+    out = exact_dedup.exact_duplicates(rows)
+    assert [tuple(r) for r in out.groupBy("kept", "keep_id", "group_size").count().orderBy("kept").collect()] == [(False, None, 5000, 4999), (True, None, 5000, 1)]
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()

@@ -6,6 +6,7 @@ import re
 import uuid
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from voxelgrain.llm import fingerprints, langid, quality, token_rollup
@@ -35,6 +36,39 @@ def test_language_defined_cases(docs, empty):
     assert {r["lang_pred"] for r in langid.predict_languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_junk_and_unlearnt_texts_go_and_mixed_ones_stay(spark):
+    """The bound of production: what the network can't tell goes, texts of the corpus stay whole or mixed."""
+    corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    rows = corpus.where("lang is not null and length(text) between 300 and 3000").limit(60).collect()
+    mixed = [(10_000 + k, a["text"] + "\n" + b["text"][: len(a["text"]) // 3], None, "m", 1) for k, (a, b) in enumerate(zip(rows[::2], rows[1::2], strict=True))]
+    junk = [(20_000, "12345 67890 " * 30, None, "j", 1), (20_001, None, None, "j", 1), (20_002, "", None, "j", 1), (20_003, "?!.,;:" * 50, None, "j", 1), (20_004, " \n\t", None, "j", 1)]
+    more = spark.createDataFrame(mixed + junk, corpus.schema)
+    kept = {r["doc_id"] for r in langid.keep_identified(corpus.unionByName(more)).select("doc_id").collect()}
+    assert not kept & {r[0] for r in junk} and sum(r[0] in kept for r in mixed) >= 0.9 * len(mixed)
+    plain = {r["doc_id"] for r in corpus.where("lang is not null and text rlike '[a-z]{3}'").select("doc_id").collect()}
+    assert len(plain & kept) > 0.98 * len(plain)
+
+
+def test_own_column_names_are_refused(spark, docs):
+    from voxelgrain.llm import exact_dedup, mixing
+    from voxelgrain.llm.shared import keyed_documents
+
+    for name in ("__vg_lang", "__VG_doc", "__vg_sha"):
+        odd = docs.withColumn(name, F.lit(1))
+        for operator in (langid.keep_identified, exact_dedup.keep_first_copies, mixing.take_mixture, keyed_documents):
+            with pytest.raises(ValueError, match="kept for this library"):
+                operator(odd)
+
+
+def test_stages_need_a_folder_that_machines_share():
+    from voxelgrain.stages import _shared_warehouse
+
+    for path in ("file:/home/me/spark-warehouse", "/home/me/spark-warehouse"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            _shared_warehouse(path)
+    assert _shared_warehouse("hdfs://store/warehouse/") == "hdfs://store/warehouse"
+
+
 def test_language_scores_match_a_plain_network(docs):
     """Every window of every text through the layers one number at a time."""
     config = langid.LanguageConfig(window=24, filters=3, embedding=2, epochs=1)
@@ -330,6 +364,46 @@ def test_rollup_commits_one_of_two_writers(spark):
     assert totals(two) == {}
 
 
+def test_compacted_rollups_remember_batches_and_can_be_cleaned(spark):
+    path = f"{shared_dir(spark)}/roll-{uuid.uuid4().hex}"
+    rollup = token_rollup.TokenRollup(spark, path, ("byte_bpe_50k",))
+    row = lambda ident, text: spark.createDataFrame([("insert", ident, "a", "en", text, None)], CHANGE)
+    assert rollup.apply("a", row(1, "one")) and rollup.apply("b", row(2, "one two")) and rollup.compact()
+    assert rollup.clean() == 2 and rollup.clean() == 0 and totals(rollup) == {("a", "en", "byte_bpe_50k"): (2, 3)}
+    assert not rollup.apply("a", row(1, "one")) and rollup.apply("c", row(3, "x")) and rollup.compact() and rollup.clean() == 2
+    assert [rollup.applied(b) for b in "abcd"] == [True, True, True, False] and len(rollup._log()) == 1
+    assert not rollup.apply("b", row(2, "one two")) and rollup.apply("d", row(4, "one")) and totals(rollup) == {("a", "en", "byte_bpe_50k"): (4, 5)}
+    folders = {f.getPath().getName() for f in rollup._fs.listStatus(rollup._hadoop.Path(f"{path}/data"))}
+    assert folders == {r["folder"] for r in rollup._log()}
+
+
+def test_revisions_count_their_own_texts(spark):
+    """After a revision whose text differs, totals are those of a recount, not of what was known before."""
+    rollup = token_rollup.TokenRollup(spark, f"{shared_dir(spark)}/roll-{uuid.uuid4().hex}")
+    rng = random.Random(3)
+    words = ["alpha", "beta gamma", "delta-epsilon", "zeta  eta", "<|endoftext|>", "日本", "x\ny"]
+    text = lambda: " ".join(rng.choices(words, k=rng.randrange(0, 9)))
+    rows = {k: (text(), rng.choice("ab"), rng.choice(["en", None])) for k in range(60)}
+    frame = lambda op: spark.createDataFrame([(op, k, s, lang, t, None) for k, (t, s, lang) in rows.items()], CHANGE)
+    assert rollup.apply("load", frame("insert"))
+    for k in range(0, 60, 2):
+        rows[k] = (text() + " changed", rng.choice("ab"), "de")
+    assert rollup.apply("revise", frame("revise"))
+    held = [(k, t, lang, s) for k, (t, s, lang) in rows.items()]
+    assert totals(rollup) == recount(held, "byte_bpe_50k") | recount(held, "byte_bpe_multi_50k")
+
+
+def test_revising_query_counts_texts_twice(spark, docs, monkeypatch):
+    """The registered query's revisions come with texts, not with counts taken from its own ledger."""
+    seen = []
+    apply = token_rollup.TokenRollup.apply
+    monkeypatch.setattr(token_rollup.TokenRollup, "apply", lambda self, batch, changes: (seen.append((batch, changes)), apply(self, batch, changes))[1])
+    token_rollup.token_counts(docs, f"{shared_dir(spark)}/roll-{uuid.uuid4().hex}").count()
+    batch, changes = seen[-1]
+    assert batch == "second" and "counts" not in changes.columns
+    assert changes.where("op = 'revise' and text is not null").count() == sum(1 for r in ROWS if r[1] is not None and r[0] not in (6, None))
+
+
 def test_rollup_query_equals_a_recount(spark, docs, empty):
     found = token_rollup.token_counts(docs, f"{shared_dir(spark)}/roll-{uuid.uuid4().hex}")
     want = recount(ROWS, "byte_bpe_50k") | recount(ROWS, "byte_bpe_multi_50k")

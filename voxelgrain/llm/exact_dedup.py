@@ -5,8 +5,9 @@ empty text. Rows go to partitions by length and content hash; there, whole byte
 trie, in which texts share their prefixes; terminal nodes hold the smallest id and the number of rows. A trie runs twice:
 in each input partition (so that copies meet before the shuffle and a hot text arrives once per task), then over the
 partial owners, in order of their bytes. A full trie spills by subtree: at the map side those below its first branching, as
-partial owners; after the shuffle all that lie before the text just inserted, which are final. So a task holds at most
-``SPILL_BYTES`` of labels plus one text.
+partial owners; after the shuffle all that lie before the text just inserted, which are final. What a trie holds is counted in bytes of
+memory, nodes and terminals included, so short texts fill it as well as long ones: a task holds about ``SPILL_BYTES`` plus
+one text and what an Arrow batch takes.
 """
 
 from __future__ import annotations
@@ -14,24 +15,33 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE_CLASS
+from ..stages import cut
+from .shared import SPACE_CLASS, refuse_own_names
 
-#: Bytes of edge labels that a map-side trie holds before subtrees leave it.
-SPILL_BYTES = 24 << 20
+#: Bytes of memory that a trie holds before subtrees leave it.
+SPILL_BYTES = 64 << 20
+#: Bytes that CPython takes for a node (its list, its label without the bytes, its entry in the parent's dictionary), for a
+#: dictionary of children, and for a terminal with its two numbers.
+NODE, CHILDREN, TERMINAL = 80 + 33 + 104, 184, 72 + 2 * 32
 
 
 class PatriciaTrie:
     """Compressed radix trie over byte strings; a terminal holds [smallest id or None, count].
 
-    A node is [label, children by first byte or None, terminal or None]; ``size`` counts label bytes.
+    A node is [label, children by first byte or None, terminal or None]; ``size`` counts label bytes, ``memory`` these and
+    what nodes but the root, their dictionaries and terminals take.
     """
 
     def __init__(self) -> None:
         self.root = [b"", {}, None]
-        self.size = 0
+        self.size = self._parts = 0
+
+    @property
+    def memory(self) -> int:
+        return self.size + self._parts
 
     def insert(self, key: bytes, ident: int | None, count: int) -> None:
         node, at = self.root, 0
@@ -41,8 +51,10 @@ class PatriciaTrie:
             if child is None:
                 if kids is None:
                     node[1] = kids = {}
+                    self._parts += CHILDREN
                 kids[key[at]] = [key[at:], None, [ident, count]]
                 self.size += len(key) - at
+                self._parts += NODE + TERMINAL
                 return
             label = child[0]
             if key.startswith(label, at):
@@ -52,10 +64,12 @@ class PatriciaTrie:
             upper = [label[:same], {label[same]: child}, None]
             child[0] = label[same:]
             kids[key[at]] = upper
+            self._parts += NODE + CHILDREN
             node, at = upper, at + same
         held = node[2]
         if held is None:
             node[2] = [ident, count]
+            self._parts += TERMINAL
         else:
             held[1] += count
             if ident is not None and (held[0] is None or ident < held[0]):
@@ -65,16 +79,17 @@ class PatriciaTrie:
         """Yield all terminals and leave the trie empty."""
         root, self.root = self.root, [b"", {}, None]
         yield from self._drain(b"", root)
+        self.size = self._parts = 0
 
-    def spill_subtrees(self, most: int) -> Iterator[tuple[bytes, int | None, int]]:
-        """Remove subtrees below the first branching, one after another, until at most ``most`` label bytes are left, and
+    def spill_subtrees(self, most: int, memory: bool = False) -> Iterator[tuple[bytes, int | None, int]]:
+        """Remove subtrees below the first branching, one after another, until at most ``most`` label bytes (or bytes of memory) are left, and
         yield their terminals."""
         prefix, node = b"", self.root
         while node[2] is None and node[1] and len(node[1]) == 1:
             node = next(iter(node[1].values()))
             prefix += node[0]
         for byte in sorted(node[1] or ()):
-            if self.size <= most:
+            if (self.memory if memory else self.size) <= most:
                 return
             yield from self._drain(prefix, node[1].pop(byte))
 
@@ -85,6 +100,7 @@ class PatriciaTrie:
             if node[2] is not None:
                 yield key[:at], *node[2]
                 node[2] = None
+                self._parts -= TERMINAL
             for byte in sorted(b for b in node[1] if b < key[at]):
                 yield from self._drain(key[:at], node[1].pop(byte))
             node = node[1][key[at]]
@@ -96,6 +112,7 @@ class PatriciaTrie:
             before, (label, kids, held) = waiting.pop()
             key = before + label
             self.size -= len(label)
+            self._parts -= NODE + CHILDREN * (kids is not None) + TERMINAL * (held is not None)
             if held is not None:
                 yield key, held[0], held[1]
             waiting += [(key, child) for child in (kids or {}).values()]
@@ -143,8 +160,8 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for body, ident in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 trie.insert(body.as_py(), ident, 1)
-                if trie.size > SPILL_BYTES:
-                    yield from trie.spill_subtrees(SPILL_BYTES // 2)
+                if trie.memory > SPILL_BYTES:
+                    yield from trie.spill_subtrees(SPILL_BYTES // 2, memory=True)
         yield from trie.spill()
 
     yield from _batches(owners())
@@ -159,7 +176,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for body, ident, count in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 body = body.as_py()
                 trie.insert(body, ident, count)
-                if trie.size > SPILL_BYTES:
+                if trie.memory > SPILL_BYTES:
                     yield from trie.spill_before(body)
         yield from trie.spill()
 
@@ -186,14 +203,22 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     rows with the owner's id exactly one is kept; an empty table gives no rows; other columns are not read.
     """
     rows = _prepared(docs).select(F.col("ident").alias("doc_id"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
-    again = Window.partitionBy("doc_id", "text_sha256").orderBy("doc_id")
-    rows = rows.withColumn("_nth", F.row_number().over(again))
-    joined = rows.join(text_owners(docs), "text_sha256")
-    return joined.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_nth") == 1)).alias("kept"), "text_sha256")
+    # a row's own number is good once it is written; of rows with one id and text the least number stays
+    rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()), "digests")
+    least = rows.groupBy(F.col("text_sha256").alias("_sha"), F.col("doc_id").alias("_id")).agg(F.min("_row").alias("_least"))
+    owners = text_owners(docs)
+    owners = owners.join(least, (F.col("text_sha256") == F.col("_sha")) & F.col("keep_id").eqNullSafe(F.col("_id"))).select("text_sha256", "keep_id", "group_size", "_least")
+    joined = rows.join(owners, "text_sha256")
+    return joined.select("doc_id", "keep_id", "group_size", (F.col("_row") == F.col("_least")).alias("kept"), "text_sha256")
 
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
-    """The documents without later copies, all columns as they were; of equal rows with one id, one stays."""
+    """The documents without later copies, all columns as they were; of equal rows with one id, one stays.
+
+    A null text equals the empty one; of rows without an id that share a text, and no id is there for it, one stays; an empty
+    table gives no rows; columns named ``__vg_...`` raise ValueError.
+    """
+    refuse_own_names(docs)
     names = docs.columns
     text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), f"{SPACE_CLASS}+", " ")
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))

@@ -15,7 +15,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out
+from .shared import held_out, refuse_own_names
 from .textkernel import sliced, text_buffers
 
 UNDETERMINED = "und"
@@ -203,9 +203,10 @@ def score_batch(model: ByteCNN, column: pa.Array) -> tuple[list[str], np.ndarray
 
 
 def with_language(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
-    """``docs`` with ``__vg_lang`` and ``__vg_score`` appended."""
+    """``docs`` with ``__vg_lang`` and ``__vg_score`` appended; columns named so raise ValueError."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+    refuse_own_names(docs)
     names = docs.columns
     place = names.index("text")
     if model is None:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD_CLASS, cut
+from .shared import WORD_CLASS, cut, refuse_own_names
 
 LEAF = 2048
 FAN = 512
@@ -154,8 +154,9 @@ def take_mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int
     """The documents of the mix, each as often as it was drawn, all columns.
 
     A row is known by id, source and text. Rows alike in these share out what they drew together, the first ones one more
-    where it doesn't divide. Wordless rows are drawn at their source's rate. An empty table gives no rows.
+    where it doesn't divide. Wordless rows are drawn at their source's rate. An empty table gives no rows; columns named ``__vg_...`` raise ValueError.
     """
+    refuse_own_names(docs)
     sizes = cut(document_sizes(docs), "sizes")
     drawn = rounded_copies(sizes, weights, limit, seed).groupBy("doc_id", "source", "th").agg(F.sum("copies").alias("__vg_copies"), F.count("*").alias("__vg_rows")).where("__vg_copies > 0")
     drawn = cut(drawn.select(F.col("doc_id").alias("__vg_id"), F.col("source").alias("__vg_source"), F.col("th").alias("__vg_th"), "__vg_copies", "__vg_rows"), "drawn")

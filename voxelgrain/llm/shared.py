@@ -37,12 +37,19 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def refuse_own_names(df: DataFrame) -> None:
+    """Columns whose names begin like those that operators add to whole rows would be overwritten: ValueError."""
+    if found := [c for c in df.columns if c.lower().startswith("__vg_")]:
+        raise ValueError(f"columns {found} have names that are kept for this library; rename them")
+
+
 def keyed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with ``__vg_doc`` and ``__vg_part``, which name a document.
 
     Rows with one id and one text are one document; where an id stands on several texts, or is null (then it sorts last),
     the part is a hash of the text that keeps them apart; elsewhere it is 0.
     """
+    refuse_own_names(docs)
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = docs.withColumn("__vg_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)))
     several = rows.groupBy("__vg_doc").agg(F.min(text_hash).alias("low"), F.max(text_hash).alias("high")).where("low <> high").select(F.col("__vg_doc").alias("__vg_several"))

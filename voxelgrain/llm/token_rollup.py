@@ -5,7 +5,8 @@ goes as the negative of all that the ledger holds of it. Sums by source, languag
 delta, and totals are the sum of all deltas. Ledger rows and delta of a batch are written aside and become part of the
 rollup by one entry of a log. Entries are numbered, and an entry is made by a rename that fails where the number is taken:
 of two writers one commits and the other begins anew from what is there then. A batch that the log names is not applied
-again, so a replay changes nothing. ``compact`` folds the entries so far into one.
+again, so a replay changes nothing. ``compact`` folds the entries so far into one, which also names their batches, and
+``clean`` deletes what was folded.
 """
 
 from __future__ import annotations
@@ -71,14 +72,23 @@ class TokenRollup:
         self._context = self._hadoop.FileContext.getFileContext(where.toUri(), spark._jsc.hadoopConfiguration())
 
     def _log(self) -> list:
-        """All entries by number; the driver holds one small row for each batch."""
+        """Entries by number, from the last base on if older ones were cleaned away; the driver holds one small row for each."""
         top = f"{self.path}/log"
         if not self._fs.exists(self._hadoop.Path(top)):
             return []
         return sorted(self.spark.read.schema(_ENTRY).json(top).collect(), key=lambda r: r["number"])
 
-    def applied(self, batch_id: str) -> bool:
-        return any(r["batch"] == batch_id for r in self._log())
+    def applied(self, batch_id: str, log: list | None = None) -> bool:
+        """Whether an entry, or a base that entries were folded into, names the batch."""
+        log = self._log() if log is None else log
+        if any(r["batch"] == batch_id for r in log):
+            return True
+        return any(r["base"] for r in log) and self._folded(log).where(F.col("batch") == batch_id).limit(1).count() > 0
+
+    def _folded(self, log: list) -> DataFrame:
+        """Batches that the last base stands for."""
+        base = next(r for r in reversed(log) if r["base"])
+        return self.spark.read.schema("batch string").parquet(f"{self.path}/data/{base['folder']}/batches")
 
     def _commit(self, number: int, batch: str | None, folder: str) -> bool:
         """Make the entry, unless its number is taken."""
@@ -170,7 +180,7 @@ class TokenRollup:
         counted = counted.select([x.split()[0] for x in _LEDGER.split(", ")])
         while True:
             log = self._log()
-            if any(r["batch"] == batch_id for r in log):
+            if self.applied(batch_id, log):
                 self._fs.delete(self._hadoop.Path(staged), True)
                 return False
             rows = counted
@@ -179,8 +189,8 @@ class TokenRollup:
                 rows = rows.unionByName(gone.select("doc_id", "source", "lang", "version", (-F.col("documents")).alias("documents"), (-F.col("tokens")).alias("tokens")))
             rows.write.mode("overwrite").parquet(f"{staged}/ledger")
             written = self.spark.read.schema(_LEDGER).parquet(f"{staged}/ledger")
-            self._summed(written, "source", "lang", "version").coalesce(1).write.mode("overwrite").parquet(f"{staged}/delta")
-            if self._commit(len(log) + 1, batch_id, folder):
+            self._summed(written, "source", "lang", "version").write.mode("overwrite").parquet(f"{staged}/delta")
+            if self._commit(_next(log), batch_id, folder):
                 self._fs.delete(self._hadoop.Path(f"{staged}/new"), True)
                 return True
 
@@ -190,32 +200,49 @@ class TokenRollup:
         log = self._log()
         folder = uuid.uuid4().hex
         self.ledger(log).write.parquet(f"{self.path}/data/{folder}/ledger")
-        self._summed(self._read(log, "delta", _DELTA), "source", "lang", "version").coalesce(1).write.parquet(f"{self.path}/data/{folder}/delta")
-        if not self._commit(len(log) + 1, None, folder):
+        self._summed(self._read(log, "delta", _DELTA), "source", "lang", "version").write.parquet(f"{self.path}/data/{folder}/delta")
+        names = self.spark.createDataFrame([(r["batch"],) for r in log if not r["base"]], "batch string")
+        if any(r["base"] for r in log):
+            names = names.unionByName(self._folded(log)).distinct()
+        names.write.parquet(f"{self.path}/data/{folder}/batches")
+        if not self._commit(_next(log), None, folder):
             self._fs.delete(self._hadoop.Path(f"{self.path}/data/{folder}"), True)
             return False
         return True
 
+    def clean(self) -> int:
+        """Delete the entries before the last base and their files; how many. Readers that began before the base was made must have
+        ended: they read what goes."""
+        log = self._log()
+        last = max((k for k, r in enumerate(log) if r["base"]), default=0)
+        for r in log[:last]:
+            self._fs.delete(self._hadoop.Path(f"{self.path}/log/{r['number']:012d}.json"), False)
+            self._fs.delete(self._hadoop.Path(f"{self.path}/data/{r['folder']}"), True)
+        return last
+
+
+def _next(log: list) -> int:
+    return log[-1]["number"] + 1 if log else 1
+
 
 def token_counts(docs: DataFrame, path: str, versions: tuple[str, ...] = VERSIONS) -> DataFrame:
     """Totals of ``docs`` in a fresh rollup in ``path``, whose every document sees every kind of change.
 
     One batch inserts all rows, and its replay changes nothing. A second one, over all ids that stand on one row, deletes
-    each, inserts it without a text and revises it to the counts that the ledger had. So the totals are those of all rows;
+    each, inserts it without a text and revises it to its text, which is counted again. So the totals are those of all rows;
     rows without an id, and rows that share one, are inserted only.
     """
-    spark = docs.sparkSession
-    rollup = TokenRollup(spark, path, versions)
-    inserts = docs.select("doc_id", "source", "lang", "text").withColumn("op", F.lit("insert"))
+    rollup = TokenRollup(docs.sparkSession, path, versions)
+    rows = docs.select("doc_id", "source", "lang", "text")
+    inserts = rows.withColumn("op", F.lit("insert"))
     rollup.apply("load", inserts)
     rollup.apply("load", inserts)
-    held = rollup.ledger().where("doc_id is not null").groupBy("doc_id").agg(
-        F.max("documents").alias("most"), F.count("*").alias("rows"), F.min(F.struct("source", "lang")).alias("group"), F.map_from_entries(F.collect_list(F.struct("version", "tokens"))).alias("counts")
-    )
-    alone = cut(held.where((F.col("most") == 1) & (F.col("rows") == len(versions))).select("doc_id", "group.*", "counts"), "alone")
-    none = F.lit(None)
-    steps = [("delete", none.cast("map<string, bigint>")), ("insert", none.cast("map<string, bigint>")), ("revise", F.col("counts"))]
-    parts = [alone.withColumns({"op": F.lit(op), "seq": F.lit(k), "text": none.cast("string"), "counts": counts}) for k, (op, counts) in enumerate(steps)]
+    ids = rollup.ledger().where("doc_id is not null").groupBy("doc_id")
+    several = cut(ids.agg(F.max("documents").alias("most"), F.count("*").alias("n")).where((F.col("most") > 1) | (F.col("n") > len(versions))).select("doc_id"), "several", slim=True)
+    alone = rows.where("doc_id is not null").join(several, "doc_id", "left_anti")
+    steps = [("delete", F.lit(None).cast("string")), ("insert", F.lit(None).cast("string")), ("revise", F.col("text"))]
+    parts = [alone.withColumns({"op": F.lit(op), "seq": F.lit(k), "text": text}) for k, (op, text) in enumerate(steps)]
     rollup.apply("second", parts[0].unionByName(parts[1]).unionByName(parts[2]))
     rollup.compact()
+    rollup.clean()
     return rollup.totals()
