@@ -28,15 +28,18 @@ _NAMES = ["block", "turn", "places", "values"]
 class Blocks:
     """Blocks of ``edge`` voxels a side over an image, the last ones of an axis smaller; windows reach ``pad`` further, wrapped.
 
-    Halos of a tenth of the edge and more get larger blocks, so that what is sent twice stays bounded.
+    Wide halos get larger blocks, so that what is sent twice stays bounded. ``sides`` sets the edges instead.
     """
 
     shape: Shape
     pad: Pad = (0, 0, 0)
     least: int = 16
+    sides: tuple[int, int, int] | None = None
 
     @property
     def edge(self) -> tuple[int, int, int]:
+        if self.sides is not None:
+            return tuple(min(b, n) for b, n in zip(self.sides, self.shape, strict=True))
         side = max(self.least, 8 * max(self.pad))
         return tuple(min(side, n) for n in self.shape)
 
@@ -131,33 +134,27 @@ class Window:
         return self.values[cuts], self.there[cuts]
 
 
-def over_blocks(voxels: DataFrame, blocks: Blocks, value: str, kind: str, kernel: Callable[[Window], dict[str, np.ndarray]], schema: str, extra: DataFrame | None = None) -> DataFrame:
-    """(i, j, k, *schema) of every voxel that is there: what ``kernel`` makes of each block (arrays of the block's size; masked
-    arrays have nulls). ``extra`` rows (block, data) reach the kernel as a list, in the order of their bytes."""
+def each_block(voxels: DataFrame, blocks: Blocks, value: str, kind: str, make: Callable[[Window], pa.RecordBatch | None], schema: str, extra: DataFrame | None = None) -> DataFrame:
+    """What ``make`` returns for every block that holds a voxel. ``extra`` rows (block, data) reach it as a list, in the order of
+    their bytes."""
     rows = dealt(voxels, blocks, value, kind)
     if extra is not None:
         rows = rows.unionByName(extra.select("block", (F.col("block") * 2).alias("turn"), F.lit(None).cast("binary").alias("places"), F.col("data").alias("values")))
     sizes = [b + 2 * p for b, p in zip(blocks.edge, blocks.pad, strict=True)]
-    names = [x.strip().split()[0] for x in schema.split(",")]
 
-    def done(block: int, dense: np.ndarray, there: np.ndarray, more: list[bytes]) -> pa.RecordBatch | None:
-        first, size = blocks.window(block)
-        window = Window(dense, there, first, size, blocks.pad, sorted(more))
-        own = window.inner(there)
-        if not own.any():
-            return None
-        found = kernel(window)
-        index = [pa.array((x + f).astype(np.int32)) for x, f in zip(np.nonzero(own), first, strict=True)]
-        columns = [pa.array(np.ma.getdata(found[n])[own], mask=np.ma.getmaskarray(found[n])[own]) for n in names]
-        return pa.RecordBatch.from_arrays([*index, *columns], ["i", "j", "k", *names])
+    def done(block: int | None, dense: np.ndarray, there: np.ndarray, more: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if block is None:
+            return
+        window = Window(dense, there, *blocks.window(block), blocks.pad, sorted(more))
+        if window.inner(there).any() and (out := make(window)) is not None:
+            yield out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, dense, there, more = None, None, None, []
         for batch in batches:
             for block, places, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if block != now:
-                    if now is not None and (out := done(now, dense, there, more)) is not None:
-                        yield out
+                    yield from done(now, dense, there, more)
                     now, dense, there, more = block, np.zeros(sizes, kind), np.zeros(sizes, bool), []
                 if places is None:
                     more.append(values)
@@ -165,7 +162,20 @@ def over_blocks(voxels: DataFrame, blocks: Blocks, value: str, kind: str, kernel
                 at = np.frombuffer(places, "<i4")
                 dense.ravel()[at] = np.frombuffer(values, kind)
                 there.ravel()[at] = True
-        if now is not None and (out := done(now, dense, there, more)) is not None:
-            yield out
+        yield from done(now, dense, there, more)
+
+    return rows.repartition("block").sortWithinPartitions("turn").select("block", "places", "values").mapInArrow(run, schema)
+
+
+def over_blocks(voxels: DataFrame, blocks: Blocks, value: str, kind: str, kernel: Callable[[Window], dict[str, np.ndarray]], schema: str, extra: DataFrame | None = None) -> DataFrame:
+    """(i, j, k, *schema) of every voxel that is there: what ``kernel`` makes of each block (arrays of the block's size; masked
+    arrays have nulls)."""
+    names = [x.strip().split()[0] for x in schema.split(",")]
+
+    def make(window: Window) -> pa.RecordBatch:
+        own, found = window.inner(window.there), kernel(window)
+        index = [pa.array((x + f).astype(np.int32)) for x, f in zip(np.nonzero(own), window.first, strict=True)]
+        columns = [pa.array(np.ma.getdata(found[n])[own], mask=np.ma.getmaskarray(found[n])[own]) for n in names]
+        return pa.RecordBatch.from_arrays([*index, *columns], ["i", "j", "k", *names])
 
-    return rows.repartition("block").sortWithinPartitions("turn").select("block", "places", "values").mapInArrow(run, f"i int, j int, k int, {schema}")
+    return each_block(voxels, blocks, value, kind, make, f"i int, j int, k int, {schema}", extra)

@@ -1,7 +1,7 @@
 """Distributed FFTs, autocorrelation, correlation lengths and spinodal structures.
 
 A 3-D transform is two steps: 2-D transforms of whole planes i, then 1-D transforms along i of whole pencils j. Each is
-one shuffle, and a task holds one plane. What needs only the axes of an autocorrelation is computed without any FFT.
+one shuffle, and a task holds one plane. The axes of an autocorrelation need 1-D transforms of their lines alone.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..stages import cut
+from .blocks import Blocks, Window, each_block
 from .fractions import quantile, standardised
 from .grids import UNIT, Lengths, Shape, voxel_grid
 
@@ -65,23 +66,36 @@ def autocorrelation3(voxels: DataFrame, shape: Shape, value: str = "label") -> D
     return back.select("i", "j", "k", F.when(spread > 0, (F.col("re") / n - F.col("c1") * F.col("c1")) / spread).alias("r"))
 
 
+#: Lines along each of the other axes that are transformed together.
+PENCIL = 16
+
+
 def axis_autocorrelation(voxels: DataFrame, shape: Shape, value: str = "label") -> DataFrame:
-    """(axis, lag, r) for lags 0 to N/2 - 1 along x, y and z: averages of products on the same line, one join per axis.
+    """(axis, lag, r) for lags 0 to N/2 - 1 along x, y and z: averages of products on the same line.
 
-    Lines are short arrays (one axis long), so all lags of a line are products within a row.
+    Lines are dealt out in pencils, blocks as long as the axis; a pencil's products at all lags are the back transform of its
+    lines' summed power spectra, N log N a line. Sums of whole-numbered images are rounded to the whole numbers that they are.
+    Null for a constant image; missing voxels are 0.
     """
     v = F.col(value).cast("double")
     moments = F.broadcast(voxels.agg(F.avg(v).alias("c1"), F.avg(v * v).alias("c2")))
+    rows = voxels.select("i", "j", "k", v.alias("_v"))
+    spread = F.col("c2") - F.col("c1") * F.col("c1")
     out = None
-    for axis, index, n in zip("xyz", "ijk", shape, strict=True):
-        others = [c for c in "ijk" if c != index]
-        lines = voxels.groupBy(*others).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(index).alias("at"), v.alias("v")))), lambda s: s["v"]).alias("line"))
-        lagged = lines.select("line", F.explode(F.sequence(F.lit(0), F.lit(max(n // 2 - 1, 0)))).alias("lag"))
-        turned = F.concat(F.slice("line", F.col("lag") + 1, F.lit(n)), F.slice("line", F.lit(1), F.col("lag")))
-        product = F.aggregate(F.zip_with("line", turned, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) / n
-        means = lagged.select("lag", product.alias("p")).groupBy("lag").agg(F.avg("p").alias("p"))
-        spread = F.col("c2") - F.col("c1") * F.col("c1")
-        own = means.crossJoin(moments).select(F.lit(axis).alias("axis"), "lag", F.when(spread > 0, (F.col("p") - F.col("c1") * F.col("c1")) / spread).alias("r"))
+    for a, (axis, n) in enumerate(zip("xyz", shape, strict=True)):
+        lags = max(n // 2, 1)
+
+        def pencil(w: Window, a: int = a, n: int = n, lags: int = lags) -> pa.RecordBatch:
+            lines = np.moveaxis(w.at((0, 0, 0))[0], a, 0).reshape(n, -1)
+            power = (np.abs(np.fft.rfft(lines, axis=0)) ** 2).sum(axis=1)
+            sums = np.fft.irfft(power, n)[:lags]
+            if (lines == np.rint(lines)).all():
+                sums = np.rint(sums)
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(lags), pa.int32()), pa.array(sums)], ["lag", "s"])
+
+        sides = tuple(n if axis == b else PENCIL for b in "xyz")
+        sums = each_block(rows, Blocks(shape, sides=sides), "_v", "<f8", pencil, "lag int, s double").groupBy("lag").agg((F.sum("s") / math.prod(shape)).alias("p"))
+        own = sums.crossJoin(moments).select(F.lit(axis).alias("axis"), "lag", F.when(spread > 0, (F.col("p") - F.col("c1") * F.col("c1")) / spread).alias("r"))
         out = own if out is None else out.unionByName(own)
     return out
 
