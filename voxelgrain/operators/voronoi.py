@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..stages import cut
 from .grids import UNIT, Lengths
+from .merging import merged
 from .order import numbered, running_total
 
 _EPS, _AREA = 1e-10, 1e-12
@@ -328,16 +329,25 @@ def shifted(df: DataFrame, columns: Sequence[str], lengths: Lengths = UNIT) -> D
     return df
 
 
-def distinct_edges(struts: DataFrame, lengths: Lengths = UNIT) -> DataFrame:
-    """Edges once: same middle and direction up to the signs of its components, to six digits; of several the least stays."""
+def distinct_edges(struts: DataFrame, lengths: Lengths = UNIT, tolerance: float = 1e-6) -> DataFrame:
+    """Edges once: same middle and direction up to the signs of its components, within ``tolerance``; of several the least stays.
+
+    Most copies are equal to six digits and go first; what rounding parts is merged by bins and components (``merging``).
+    """
     d = {c: F.col(f"b{c}") - F.col(f"a{c}") for c in "xyz"}
     length = F.sqrt(d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"]) + 1e-15
-    keys = {}
+    middle, turn, rounded = {}, {}, {}
     for c, box in zip("xyz", lengths, strict=True):
-        unit = F.round(d[c] / length, 6)
-        keys[f"_m{c}"] = F.round((F.col(f"a{c}") + F.col(f"b{c}")) * 0.5 / max(box, 1.0), 6) + 0.0
-        keys[f"_d{c}"] = -F.abs(unit) + 0.0
-    return struts.withColumns(keys).groupBy(*keys).agg(F.min(F.struct(*struts.columns)).alias("_one")).select("_one.*")
+        middle[f"_m{c}"] = (F.col(f"a{c}") + F.col(f"b{c}")) * 0.5 / max(box, 1.0)
+        turn[f"_d{c}"] = -F.abs(d[c] / length)
+    keys = {**middle, **turn}
+    rounded = {f"_r{n}": F.round(k, 6) + 0.0 for n, k in keys.items()}
+    whole = struts.withColumns(keys).withColumns(rounded)
+    once = whole.groupBy(*rounded).agg(F.min(F.struct(*struts.columns, *keys)).alias("_one")).select("_one.*")
+    once = cut(once, "edges")
+    names = list(keys)
+    placed = once.join(merged(once, names, tolerance).drop("_id"), names)
+    return placed.groupBy("_root").agg(F.min(F.struct(*struts.columns)).alias("_one")).select("_one.*")
 
 
 def foam(spark, faces: DataFrame, shape, lengths: Lengths = UNIT, radius: float = 0.05, exact: bool = False) -> DataFrame:
@@ -354,10 +364,20 @@ def foam(spark, faces: DataFrame, shape, lengths: Lengths = UNIT, radius: float
     return binary_image(spark, shape, stamp_struts(near, shape, lengths, radius))
 
 
-def vertex_table(faces: DataFrame) -> DataFrame:
-    """Distinct vertices (to nine digits) with contiguous ids: vertex, x, y, z."""
-    points = faces.select(F.explode("verts").alias("p")).select(*[F.round(F.col(f"p.{c}"), 9).alias(c) for c in "xyz"]).distinct()
-    return numbered(points, ["x", "y", "z"], "vertex").withColumn("vertex", F.col("vertex").cast("int"))
+def vertex_places(faces: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """x, y, z of every distinct corner of the faces with ``vertex``, the number (from 0) of the vertex that it is: corners
+    within ``tolerance`` of each other, or joined by a chain of such, are one. Written."""
+    points = faces.select(F.explode("verts").alias("p")).select(*[F.col(f"p.{c}").alias(c) for c in "xyz"])
+    found = cut(merged(points, ["x", "y", "z"], tolerance), "corners")
+    # numbers follow the least corner of each vertex, to nine digits
+    heads = found.where("_id = _root").select(*[(F.round(c, 9) + 0.0).alias(f"_{c}") for c in "xyz"], "_root")
+    heads = numbered(heads, ["_x", "_y", "_z", "_root"], "vertex").select("_root", F.col("vertex").cast("int").alias("vertex"))
+    return cut(found.join(heads, "_root").select("x", "y", "z", "vertex", (F.col("_id") == F.col("_root")).alias("least")), "vertices")
+
+
+def vertex_table(faces: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """Distinct vertices, within a tolerance, with contiguous ids: vertex, x, y, z (of the least of its corners, to nine digits)."""
+    return vertex_places(faces, tolerance).where("least").select("vertex", *[F.round(F.col(c), 9).alias(c) for c in "xyz"])
 
 
 def running_offsets(df: DataFrame, order: Sequence[str], size: str, out: str = "offset", group: Sequence[str] = ()) -> DataFrame:

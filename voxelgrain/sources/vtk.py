@@ -204,15 +204,16 @@ def write_tessellation(faces: DataFrame, path: str) -> None:
 
     Vertices are numbered and cells described in Spark; the sorted texts stream to the file.
     """
-    from ..operators.voronoi import cell_polygons, vertex_table
+    from ..operators.voronoi import cell_polygons, vertex_places
 
     plane = faces.where(F.size("verts") > 2).limit(1).count() == 0
     if plane:
         faces = cell_polygons(faces).select(F.col("seed_id").alias("seed_a"), F.col("seed_id").alias("seed_b"), *[F.lit(0).alias(f"o{c}") for c in "xyz"], "verts")
     faces = cut(faces, "faces")
-    vertices = vertex_table(faces)
-    at = [F.round(F.col(f"p.{c}"), 9).alias(c) for c in "xyz"]
-    placed = faces.select("seed_a", "seed_b", "ox", "oy", "oz", F.posexplode("verts").alias("n", "p")).select("seed_a", "seed_b", "ox", "oy", "oz", "n", *at).join(vertices, ["x", "y", "z"])
+    corners = vertex_places(faces)
+    vertices = corners.where("least")
+    at = [F.col(f"p.{c}").alias(c) for c in "xyz"]
+    placed = faces.select("seed_a", "seed_b", "ox", "oy", "oz", F.posexplode("verts").alias("n", "p")).select("seed_a", "seed_b", "ox", "oy", "oz", "n", *at).join(corners, ["x", "y", "z"])
     loops = placed.groupBy("seed_a", "seed_b", "ox", "oy", "oz").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "vertex"))), lambda v: v["vertex"]).alias("loop"))
     cells = loops.groupBy("seed_a").agg(F.array_sort(F.collect_list("loop")).alias("loops")).select("seed_a", "loops", (F.get("loops", 0) if plane else F.array_sort(F.array_distinct(F.flatten("loops")))).alias("own"))
     held = cut(cells, "cells").orderBy("seed_a")
@@ -228,7 +229,7 @@ def write_tessellation(faces: DataFrame, path: str) -> None:
     with open(path, "w", encoding="ascii") as out:
         out.write('<VTKFile type="UnstructuredGrid" version="0.1" byte_order="LittleEndian">\n<UnstructuredGrid>\n')
         out.write(f'<Piece NumberOfPoints="{n_points}" NumberOfCells="{n_cells}">\n<Points>\n')
-        out.writelines(_data_array("Float32", None, (f"{r['x']} {r['y']} {r['z']}" for r in vertices.orderBy("vertex").toLocalIterator()), 3))
+        out.writelines(_data_array("Float32", None, (f"{round(r['x'], 9)} {round(r['y'], 9)} {round(r['z'], 9)}" for r in vertices.orderBy("vertex").toLocalIterator()), 3))
         out.write("</Points>\n<Cells>\n")
         out.writelines(_data_array("Int32", "connectivity", (" ".join(map(str, r["own"])) for r in rows())))
         out.writelines(_data_array("Int32", "offsets", running(lambda r: len(r["own"]))))
