@@ -193,3 +193,25 @@ def test_path_json(spark, tmp_path):
 def test_histogram_counts_everything(spark):
     df = spark.createDataFrame([(float(v),) for v in range(11)], "x double")
     assert {r["bin"]: r["n"] for r in histogram(df, "x", 5).collect()} == {0: 2, 1: 2, 2: 2, 3: 2, 4: 3}
+
+
+def test_numpy_surfaces_agree_with_their_columns(spark):
+    """A NumPy callable and its twin of columns give one field; only the former leaves the JVM."""
+    import numpy as np
+
+    shape, lengths, frequency = (7, 6, 5), (1.0, 2.0, 0.5), (1, 2, 3)
+    own = lambda x, y, z: np.sin(x) * np.cos(y) + np.sin(y) * np.cos(z) + np.sin(z) * np.cos(x)
+    twin = lambda x, y, z: F.sin(x) * F.cos(y) + F.sin(y) * F.cos(z) + F.sin(z) * F.cos(x)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    fields = [tpms.raw_field(spark, s, shape, lengths, frequency) for s in (own, twin, "gyroid")]
+    assert ["ArrowEvalPython" in plan(f) for f in fields] == [True, False, False]
+    rows = [{tuple(r)[:3]: r["f"] for r in f.collect()} for f in fields]
+    assert all(len(r) == 210 for r in rows) and all(abs(rows[0][k] - rows[1][k]) < 1e-12 for k in rows[1])
+    assert {round(abs(rows[0][k]), 9) for k in rows[0]} == {round(abs(v), 9) for v in rows[2].values()}
+    # helpers that only NumPy has, constants, and results of a wrong shape
+    assert tpms.raw_field(spark, lambda x, y, z: np.where(x > 1, np.hypot(y, z), 2.0), (4, 4, 4)).where("f is null").count() == 0
+    assert [r[0] for r in tpms.raw_field(spark, lambda x, y, z: 3.0, (2, 2, 2)).select("f").distinct().collect()] == [3.0]
+    with pytest.raises(Exception, match="one value for each point"):
+        tpms.raw_field(spark, lambda x, y, z: np.stack([x, y]), (3, 3, 3)).collect()
+    image = tpms.tpms_field(spark, own, (8, 8, 8)).agg(F.min("f"), F.max("f")).first()
+    assert tuple(image) == (0.0, 1.0)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +16,34 @@ from .grids import UNIT, Lengths, Shape, periodic_node, voxel_grid
 from .order import order_statistics
 
 
-def raw_field(spark: SparkSession, surface: str | Angle3, shape: Shape, lengths: Lengths = UNIT, frequency: int | tuple[int, int, int] = 1) -> DataFrame:
-    """(i, j, k, f): the level-set function at periodic nodes, angles 2 pi x frequency / L; ``surface`` may be a callable."""
-    make = SURFACES[surface] if isinstance(surface, str) else surface
+def as_columns(surface: Callable) -> Angle3:
+    """A function of three columns, out of one of columns or of NumPy arrays.
+
+    A callable that makes a column of columns is taken as it is and stays in the JVM. One that can't (NumPy refuses columns)
+    becomes an Arrow function: it gets the angles of a batch as arrays and returns an array of their length, or one number.
+    """
+
+    def evaluate(x: pa.Array, y: pa.Array, z: pa.Array) -> pa.Array:
+        angles = [np.asarray(v, float) for v in (x, y, z)]
+        found = np.asarray(surface(*angles), float)
+        if found.shape not in ((), angles[0].shape):
+            raise ValueError(f"a surface must return one value for each point, not an array of shape {found.shape}")
+        return pa.array(np.broadcast_to(found, angles[0].shape).copy())
+
+    def make(x: Column, y: Column, z: Column) -> Column:
+        try:
+            found = surface(x, y, z)
+        except (TypeError, AttributeError):
+            found = None
+        return found if isinstance(found, Column) else F.arrow_udf(evaluate, "double")(x, y, z)
+
+    return make
+
+
+def raw_field(spark: SparkSession, surface: str | Callable, shape: Shape, lengths: Lengths = UNIT, frequency: int | tuple[int, int, int] = 1) -> DataFrame:
+    """(i, j, k, f): the level-set function at periodic nodes, angles 2 pi x frequency / L; ``surface`` is a name, or a callable
+    of three columns or of three NumPy arrays (``as_columns``)."""
+    make = SURFACES[surface] if isinstance(surface, str) else as_columns(surface)
     each = (frequency,) * 3 if isinstance(frequency, int) else frequency
     angles = [periodic_node(F.col(c), n, length) * (2.0 * math.pi * q) / length for c, n, length, q in zip("ijk", shape, lengths, each, strict=True)]
     return voxel_grid(spark, shape).withColumn("f", make(*angles))
@@ -34,7 +62,7 @@ def normalised(field: DataFrame, column: str = "f", digits: int | None = 9) -> D
     return field.crossJoin(F.broadcast(ends)).withColumn(column, F.round(value, digits) if digits is not None else value).drop("_low", "_high")
 
 
-def tpms_field(spark: SparkSession, surface: str | Angle3, shape: Shape, lengths: Lengths = UNIT, frequency: int | tuple[int, int, int] = 1) -> DataFrame:
+def tpms_field(spark: SparkSession, surface: str | Callable, shape: Shape, lengths: Lengths = UNIT, frequency: int | tuple[int, int, int] = 1) -> DataFrame:
     """The field in [0, 1], rounded to nine digits so that later comparisons don't hang on the last bit."""
     return normalised(raw_field(spark, surface, shape, lengths, frequency))
 
@@ -56,7 +84,7 @@ def kth_value(df: DataFrame, column: str, k: int) -> DataFrame:
 
 
 def threshold_for_fraction(field: DataFrame, n: int, target: float) -> DataFrame:
-    """One row ``threshold``: the k-th smallest field value with k = round((1 - target) n), kept within range."""
+    """One row ``threshold`` (``field`` is read once): the k-th smallest field value with k = round((1 - target) n), kept within range."""
     k = min(max(math.floor((1 - target) * n + 0.5), 0), n - 1)
     return kth_value(field, "f", k).withColumnRenamed("value", "threshold")
 
