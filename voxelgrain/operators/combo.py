@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..stages import cut
 from .grids import UNIT, Lengths, Shape, check_divisible
 from .stencils import laplacian
 
@@ -50,10 +51,12 @@ def coarse_grained(voxels: DataFrame, shape: Shape, blocks: Shape, min_fraction:
     """The whole composite image: bi, bj, bk, elem, coarse, phases, normal and fine.
 
     ``normal`` is that of ``interface_normals`` in blocks of two materials, ``fine`` the voxels of blocks with several; both
-    are null elsewhere.
+    are null elsewhere. The image and the composite blocks are written once, whatever they come from.
     """
-    whole = composite_voxels(voxels, shape, blocks, min_fraction, fine=True)
-    return whole.join(interface_normals(voxels, shape, blocks, lengths, pad, min_fraction), list(_KEYS), "left").select(*_KEYS, "elem", "coarse", "phases", "normal", "fine")
+    image = cut(voxels.select("i", "j", "k", "label"), "image")
+    whole = cut(composite_voxels(image, shape, blocks, min_fraction, fine=True), "composite")
+    moments = _moments(_interfaces(image, shape, blocks, lengths, pad, whole))
+    return whole.join(_normals(moments), list(_KEYS), "left").select(*_KEYS, "elem", "coarse", "phases", "normal", "fine")
 
 
 def composite_fractions(combo: DataFrame, pure_only: bool = False) -> DataFrame:
@@ -86,13 +89,13 @@ def _windows(voxels: DataFrame, shape: Shape, blocks: Shape, pad: Pad) -> DataFr
     return out
 
 
-def _interfaces(voxels: DataFrame, shape: Shape, blocks: Shape, lengths: Lengths, pad: Pad, min_fraction: float) -> DataFrame:
+def _interfaces(voxels: DataFrame, shape: Shape, blocks: Shape, lengths: Lengths, pad: Pad, composite: DataFrame) -> DataFrame:
     """Sums over the window of every block of two materials: weight, coordinates, products, and the second phase's centre.
 
     The label's Laplacian is that of the whole image; a block counts its padded window if that holds the same labels as the
     block itself, else the block alone. One pass over the voxels gives both.
     """
-    two = composite_voxels(voxels, shape, blocks, min_fraction).where("size(phases) = 2").select(*_KEYS, F.get("phases", 0)["material"].alias("_low"))
+    two = composite.where("size(phases) = 2").select(*_KEYS, F.get("phases", 0)["material"].alias("_low"))
     seen = _windows(laplacian(voxels, shape, "label", lengths, keep=True), shape, blocks, pad).join(two, list(_KEYS))
     step = {c: length / n for c, length, n in zip("xyz", lengths, shape, strict=True)}
     size = [n // m for n, m in zip(shape, blocks, strict=True)]
@@ -126,7 +129,8 @@ def block_moments(voxels: DataFrame, shape: Shape, blocks: Shape, lengths: Lengt
     Weights are the magnitudes of the whole image's periodic label Laplacian, where above 1e-5; coordinates count from the
     first voxel of the window. Columns bi, bj, bk, w, cx, cy, cz, mxx .. mzz.
     """
-    found = _moments(_interfaces(voxels, shape, blocks, lengths, pad, min_fraction))
+    image = cut(voxels.select("i", "j", "k", "label"), "image")
+    found = _moments(_interfaces(image, shape, blocks, lengths, pad, composite_voxels(image, shape, blocks, min_fraction)))
     return found.drop("px", "py", "pz")
 
 
@@ -136,7 +140,11 @@ def interface_normals(voxels: DataFrame, shape: Shape, blocks: Shape, lengths: L
     Components follow the image's axes; ``reverse`` lists the last axis first, the order of files that call it x. Moments are
     aggregates; only the 3 x 3 eigenproblem of each block runs in an Arrow batch.
     """
-    moments = _moments(_interfaces(voxels, shape, blocks, lengths, pad, min_fraction))
+    image = cut(voxels.select("i", "j", "k", "label"), "image")
+    return _normals(_moments(_interfaces(image, shape, blocks, lengths, pad, composite_voxels(image, shape, blocks, min_fraction))), reverse)
+
+
+def _normals(moments: DataFrame, reverse: bool = False) -> DataFrame:
     names = ["mxx", "mxy", "mxz", "myy", "myz", "mzz", "px", "py", "pz"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
