@@ -15,31 +15,52 @@ from voxelgrain.llm.shared import prepare, shared_dir, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts whose language the classifier recognises stay; texts without a letter and doubtful ones go."""
+    """Texts whose language the classifier recognises stay; texts without a letter and doubtful ones go.
+
+    Null and empty texts go; null ids, languages and sources are no reason to go; repeated rows are judged alike; an empty table
+    stays empty, and where no row has a language all go. Columns named ``__vg_...`` raise ValueError, others stay as they are.
+    """
     prepare(spark)
     return langid.keep_identified(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest id stays."""
+    """Of equal texts the row with the smallest id stays.
+
+    White space counts as one space, null as the empty text; a row without an id stays only if no copy has one; of repeated rows
+    one stays; an empty table stays empty. Columns named ``__vg_...`` raise ValueError, others stay as they are.
+    """
     prepare(spark)
     return exact_dedup.keep_first_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates (five-word shingles, similarity 0.8 or more) the row with the smallest id stays."""
+    """Of near duplicates (five-word shingles, similarity 0.8 or more) the row with the smallest id stays.
+
+    Rows are known by id and text, so unlike texts of one id, or without an id, are documents of their own; wordless texts are
+    like nothing and stay; an empty table stays empty. Columns named ``__vg_...`` raise ValueError, others stay as they are.
+    """
     prepare(spark)
     return near_dedup.keep_representatives(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of their sources draw them."""
+    """Documents as often as the target weights of their sources draw them.
+
+    A null source is one of its own, the last; rows alike in id, source and text share out what they drew together; wordless
+    documents are drawn at their source's rate; an empty table stays empty. Columns named ``__vg_...`` raise ValueError, others
+    stay as they are.
+    """
     prepare(spark)
     return mixing.take_mixture(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces placed in sequences of 1024."""
+    """Token pieces placed in sequences of 1024.
+
+    Null and empty texts are one piece with the end id; null ids and repeated rows are packed like others; ties go by where rows
+    are read; an empty table gives no rows; other columns are not read.
+    """
     prepare(spark)
     return packing.pack_documents(docs)
 

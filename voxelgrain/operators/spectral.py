@@ -75,11 +75,11 @@ def axis_autocorrelation(voxels: DataFrame, shape: Shape, value: str = "label")
 
     Lines are dealt out in pencils, blocks as long as the axis; a pencil's products at all lags are the back transform of its
     lines' summed power spectra, N log N a line. Sums of whole-numbered images are rounded to the whole numbers that they are.
-    Null for a constant image; missing voxels are 0.
+    Null for a constant image; missing voxels are 0. The image is written once.
     """
     v = F.col(value).cast("double")
-    moments = F.broadcast(voxels.agg(F.avg(v).alias("c1"), F.avg(v * v).alias("c2")))
-    rows = voxels.select("i", "j", "k", v.alias("_v"))
+    rows = cut(voxels.select("i", "j", "k", v.alias("_v")), "image")
+    moments = F.broadcast(rows.agg(F.avg("_v").alias("c1"), F.avg(F.col("_v") * F.col("_v")).alias("c2")))
     spread = F.col("c2") - F.col("c1") * F.col("c1")
     out = None
     for a, (axis, n) in enumerate(zip("xyz", shape, strict=True)):
