@@ -42,6 +42,31 @@ def test_stages_take_awkward_rows(spark, docs):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 0
 
 
+def test_each_stage_has_the_results_that_it_states(spark, docs):
+    """Nulls, repeated rows, ties and clashing names, stage by stage."""
+    run = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted((r["doc_id"] for r in df.select("doc_id").collect()), key=str)
+    known = run["language_id"](spark, docs, "")
+    assert known.columns == docs.columns and not set(ids(known)) & {3, 4, 5, 12}
+    assert run["language_id"](spark, docs.withColumn("lang", F.lit(None).cast("string")), "").count() == 0
+    exact = run["exact_dedup"](spark, docs, "").cache()
+    assert exact.columns == docs.columns and ids(exact) == sorted([1, 3, 5, 6, 7, None, 9, 10, 11, 12, 13], key=str)
+    near = run["minhash_near_dedup"](spark, docs, "").cache()
+    # copies, also of other white space, are near copies, and 11 shares most of its shingles with 10; wordless and unlike rows stay
+    assert near.columns == docs.columns and set(ids(near)) == {1, 3, 4, 5, 6, 7, None, 9, 10, 12, 13} and ids(near).count(6) == 1
+    mixed = run["mix_sources"](spark, docs, "").cache()
+    assert mixed.columns == docs.columns and set(ids(mixed)) <= set(ids(docs))
+    assert mixed.join(docs.select("doc_id", "source"), ["doc_id"], "left_semi").count() == mixed.where("doc_id is not null").count()
+    packed = run["best_fit_packing"](spark, docs, "").cache()
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    assert packed.where("doc_id in (3, 4)").agg(F.min("length"), F.max("length")).first()[:] == (1, 1)
+    pieces = Counter((r["doc_id"], r["piece"]) for r in packed.collect())
+    assert pieces[6, 0] == 2 and pieces[None, 0] == 1
+    for name in ("language_id", "exact_dedup", "minhash_near_dedup", "mix_sources"):
+        with pytest.raises(ValueError, match="kept for this library"):
+            run[name](spark, docs.withColumn("__vg_id", F.lit(1)), "")
+
+
 def test_run_packs_what_is_left(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").cache()
     assert out.agg(F.max("length")).first()[0] <= 1024 and out.count() > 0
