@@ -45,7 +45,7 @@ def test_nearest_seed_by_both_ways(spark, n, lengths):
     grid = grids.voxel_grid(spark, shape)
     want = brute_labels(shape, points, lengths)
     assert (dense(raster.label_nearest_seed(grid, seeds, shape, lengths), shape, kind=int) == want).all()
-    assert (dense(raster.nearest_by_cells(grid, seeds, shape, lengths), shape, kind=int) == want).all()
+    assert (dense(raster.nearest_by_blocks(grid, seeds, shape, lengths), shape, kind=int) == want).all()
 
 
 @pytest.mark.parametrize(("method", "n"), [("random", 1), ("diamond", 2), ("random", 40), ("rubiks-cube", 27), ("honeycomb", 12)])

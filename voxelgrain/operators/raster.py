@@ -10,12 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.periodic import inside_cell, nearest_node, wrapped_distance2
+from ..functions.periodic import inside_cell, nearest_node
 from ..stages import cut
-from .grids import UNIT, Lengths, Shape, cell_centre, voxel_grid
+from .grids import UNIT, Lengths, Shape, voxel_grid
+from .kd import KdTree, kd_tree
 
-#: Seeds that are sent to every executor (24 bytes each); more are joined by cells.
+#: Seeds that are sent to every executor (24 bytes each); more are met by blocks.
 BROADCAST_SEEDS = 200_000
+#: Seeds of a block, about, and voxels of a block that one task answers, about.
+BLOCK_SEEDS, BLOCK_VOXELS = 512, 32_768
+_ASKED = ["_leaf", "_salt", "_px", "_py", "_pz"]
 
 
 def nearest_seed_kernel(points: np.ndarray, seeds: np.ndarray, ids: np.ndarray, lengths: np.ndarray, digits: int = 9) -> np.ndarray:
@@ -68,10 +72,10 @@ def label_nearest_seed(voxels: DataFrame, seeds: DataFrame, shape: Shape, length
     """``voxels`` with ``label``, the nearest seed of each cell centre.
 
     Up to ``BROADCAST_SEEDS`` seeds (checked) go to the executors and voxels are labelled in Arrow batches without a
-    shuffle; more seeds are met cell by cell (``nearest_by_cells``).
+    shuffle; more seeds are met block by block (``nearest_by_blocks``).
     """
     if seeds.limit(BROADCAST_SEEDS + 1).count() > BROADCAST_SEEDS:
-        return nearest_by_cells(voxels, seeds, shape, lengths)
+        return nearest_by_blocks(voxels, seeds, shape, lengths)
     held = seeds.select("seed_id", "x", "y", "z").toPandas()
     points, ids, box = held[["x", "y", "z"]].to_numpy(float), held["seed_id"].to_numpy(np.int64), np.array(lengths, float)
     names = voxels.columns
@@ -87,38 +91,52 @@ def label_nearest_seed(voxels: DataFrame, seeds: DataFrame, shape: Shape, length
     return voxels.mapInArrow(run, f"{fields}, label int")
 
 
-def nearest_by_cells(voxels: DataFrame, seeds: DataFrame, shape: Shape, lengths: Lengths = UNIT) -> DataFrame:
-    """The same labels by equi-joins on cells of about eight seeds, in rounds of growing reach.
+def nearest_by_blocks(voxels: DataFrame, seeds: DataFrame, shape: Shape, lengths: Lengths = UNIT, block: int = BLOCK_SEEDS) -> DataFrame:
+    """The same labels without a machine that holds all seeds, whether seeds lie evenly or in clusters.
 
-    A round settles the voxels whose best seed is no further than the cells looked at; the rest go to the next round, until
-    none is left. Rounds are written, so no round repeats the work of those before.
+    Seeds are dealt to k-d blocks of about ``block`` seeds each. A sampled seed of its own block bounds a voxel's distance; the
+    voxel is sent to the blocks within that bound (two or three, on average) and its answers' least is kept. Blocks of sparse
+    seeds hold more voxels: they are dealt to several tasks by their volume.
     """
-    n = max(1, seeds.count())
-    cells = max(1, int((n / 8) ** (1 / 3)))
-    size = min(lengths) / cells
-    cell = lambda v, length: F.pmod(F.floor(v / length * cells), F.lit(cells))
-    binned = seeds.select(F.struct("seed_id", *[F.col(c).alias(f"s{c}") for c in "xyz"]).alias("s"), *[cell(F.col(c), length).alias(f"c{c}") for c, length in zip("xyz", lengths, strict=True)])
-    at = {c: cell_centre(F.col(i), m, length) for c, i, m, length in zip("xyz", "ijk", shape, lengths, strict=True)}
-    left, found, reach = voxels, None, 1
-    while True:
-        whole = 2 * reach + 1 >= cells
-        # offsets that wrap to one cell count once
-        offsets = range(cells) if whole else range(-reach, reach + 1)
-        steps = F.array(*[F.lit(o) for o in offsets])
-        spread = left
-        for c, length in zip("xyz", lengths, strict=True):
-            spread = spread.withColumn("_o", F.explode(steps)).withColumn(f"c{c}", F.pmod(cell(at[c], length) + F.col("_o"), F.lit(cells))).drop("_o")
-        d2 = F.round(wrapped_distance2([at[c] for c in "xyz"], [F.col(f"s.s{c}") for c in "xyz"], lengths), 9)
-        best = spread.join(binned, ["cx", "cy", "cz"]).groupBy(*voxels.columns).agg(F.min(F.struct(d2.alias("d2"), F.col("s.seed_id").alias("id"))).alias("_best"))
-        sure = best if whole else best.where(F.col("_best.d2") <= (reach * size) ** 2)
-        sure = cut(sure.select(*voxels.columns, F.col("_best.id").cast("int").alias("label")), "nearest")
-        found = sure if found is None else found.unionByName(sure)
-        if whole:
-            return found
-        left = cut(left.join(sure.select("i", "j", "k"), ["i", "j", "k"], "left_anti"), "left")
-        if not left.limit(1).count():
-            return found
-        reach *= 2
+    box = np.array(lengths, float)
+    wrapped = cut(seeds.select(F.col("seed_id").cast("long").alias("seed_id"), *[F.pmod(F.col(c), F.lit(float(length))).alias(c) for c, length in zip("xyz", lengths, strict=True)]), "seeds")
+    tree = kd_tree(wrapped, lengths, block)
+    leaves = 1 << tree.depth
+    volume = np.prod(np.maximum(tree.high[leaves:] - tree.low[leaves:], 0.0), axis=1) / box.prod()
+    salts = np.maximum(1, np.ceil(volume * math.prod(shape) / BLOCK_VOXELS)).astype(np.int64)
+    names = voxels.columns
+    place = [names.index(c) for c in "ijk"]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            index = np.stack([batch.column(p).to_numpy() for p in place], axis=1)
+            at = (index + 0.5) * box / np.array(shape)
+            row, leaf, shift = tree.reached(at, tree.bound(at) + 2e-9)
+            salt = (index @ np.array([shape[1] * shape[2], shape[2], 1]))[row] % salts[leaf]
+            moved = at[row] - shift * box
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row)).columns, *map(pa.array, (leaf, salt, *moved.T))], [*names, *_ASKED])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf = tree.leaf(np.stack([batch.column(c).to_numpy() for c in (1, 2, 3)], axis=1))
+            row = np.repeat(np.arange(len(leaf)), salts[leaf])
+            salt = np.arange(len(row)) - np.repeat(np.cumsum(salts[leaf]) - salts[leaf], salts[leaf])
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row)).columns, pa.array(leaf[row]), pa.array(salt)], ["seed_id", "x", "y", "z", *_ASKED[:2]])
+
+    def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
+        if not asked.num_rows or not own.num_rows:
+            return asked.select(names).slice(0, 0).append_column("_d2", pa.array([], pa.float64())).append_column("_id", pa.array([], pa.int64()))
+        points = np.stack([own[c].to_numpy() for c in "xyz"], axis=1)
+        inner = KdTree(points, own["seed_id"].to_numpy(), box, max(0, math.ceil(math.log2(len(points) / 8))))
+        d2, ids = inner.nearest(np.stack([asked[c].to_numpy() for c in _ASKED[2:]], axis=1), 9)
+        return asked.select(names).append_column("_d2", pa.array(d2)).append_column("_id", pa.array(ids))
+
+    fields = ", ".join(f"`{n}` {t}" for n, t in voxels.dtypes)
+    asked = voxels.mapInArrow(ask, f"{fields}, _leaf long, _salt long, _px double, _py double, _pz double")
+    dealt = wrapped.mapInArrow(deal, "seed_id long, x double, y double, z double, _leaf long, _salt long")
+    answers = asked.groupBy("_leaf", "_salt").cogroup(dealt.groupBy("_leaf", "_salt")).applyInArrow(answer, f"{fields}, _d2 double, _id long")
+    best = answers.groupBy(*names).agg(F.min(F.struct("_d2", "_id")).alias("_best"))
+    return best.select(*names, F.col("_best._id").cast("int").alias("label"))
 
 
 def strut_samples(struts: DataFrame, shape: Shape, lengths: Lengths = UNIT) -> DataFrame:

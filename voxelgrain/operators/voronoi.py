@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..stages import cut
 from .grids import UNIT, Lengths
+from .kd import KdTree, kd_tree
 from .merging import merged
 from .order import numbered, running_total
 
@@ -37,6 +38,14 @@ def clipped_cell(at: np.ndarray, ghosts: np.ndarray, half: float) -> list[tuple[
         for owner, loop in loops:
             height = loop @ normal - level
             height[np.abs(height) < _EPS] = 0
+            if height.max() <= 0:
+                # the whole face stays
+                cap += list(loop[height == 0])
+                if height.min() < 0:
+                    kept.append((owner, loop))
+                continue
+            if height.min() > 0:
+                continue
             points = []
             for i in range(len(loop)):
                 j = (i + 1) % len(loop)
@@ -108,7 +117,7 @@ _NAMES = ["seed_a", "seed_b", "ox", "oy", "oz", "nx", "ny", "nz", "distance", "a
 _TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.float64()] * 5, pa.list_(pa.struct([(c, pa.float64()) for c in "xyz"])))
 #: Seeds that are sent to every executor (32 bytes each); more are met by blocks.
 BROADCAST_SEEDS = 200_000
-#: Seeds of a block, about; a block also holds the seeds of the blocks around it.
+#: Seeds of a block, about.
 BLOCK_SEEDS = 2048
 
 
@@ -196,57 +205,147 @@ def tessellate(seeds: DataFrame, lengths: Sequence[float] = UNIT) -> DataFrame:
     return dealt.mapInArrow(run, _FACES)
 
 
-def _block_kernel(lengths: Sequence[float], reach: float, last: bool):
-    axes = "xyz"[: len(lengths)]
+#: A cell on its way: its seed, the block to visit next (null: none), and ghosts that hold all of its faces so far.
+_GHOST = "id long, ox int, oy int, oz int, x double, y double, z double"
+_OPEN = f"seed_id long, x double, y double, z double, leaf long, sx int, sy int, sz int, ghosts array<struct<{_GHOST}>>"
+_GHOST_TYPE = pa.list_(pa.struct([("id", pa.int64()), *[(f"o{c}", pa.int32()) for c in "xyz"], *[(c, pa.float64()) for c in "xyz"]]))
+_OPEN_TYPES = (pa.int64(), *[pa.float64()] * 3, pa.int64(), *[pa.int32()] * 3, _GHOST_TYPE)
+_OPEN_NAMES = ["seed_id", "x", "y", "z", "leaf", "sx", "sy", "sz", "ghosts"]
+#: Sampled seeds about a block that its cells are clipped by at first, of each thinning; and ghosts that are clipped at a time.
+NEAR_GUARDS, _STEP = 512, 24
+
+
+def _open_table(rows: list[tuple]) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [()] * len(_OPEN_TYPES)
+    return pa.table([pa.array(c, t) for c, t in zip(columns, _OPEN_TYPES, strict=True)], names=_OPEN_NAMES)
+
+
+def _held(at: np.ndarray, points: np.ndarray, ids: np.ndarray, offsets: np.ndarray, half: float, first: int = 0) -> tuple[list[tuple], np.ndarray]:
+    """Those of the ghosts (absolute places) that bound the cell of ``at``, and the cell's vertices about ``at``.
+
+    The cell is clipped by the ``first`` ghosts or the nearest ones; of the rest only those are looked at again that cut what is
+    left, which is those nearer to one of its vertices than ``at`` is.
+    """
+    relative = points - at
+    d2 = (relative**2).sum(axis=1)
+    order = np.argsort(d2, kind="stable")
+    order = order[d2[order] > _EPS**2]
+    chosen, rest = (order[order < first], order[order >= first]) if first else (order[:_STEP], order[_STEP:])
+    while True:
+        found = clipped_polygon(relative[chosen], half) if len(at) == 2 else clipped_cell(at, relative[chosen], half)
+        vertices = np.concatenate([loop for _, loop in found])
+        bounding = chosen[sorted({n for n, _ in found if n >= 0})]
+        level = d2[rest] + 2 * _EPS * np.sqrt(d2[rest])
+        rest = rest[(2 * relative[rest] @ vertices.T > level[:, None]).any(axis=1)]
+        if not len(rest):
+            break
+        chosen, rest = np.concatenate([bounding, rest[:_STEP]]), rest[_STEP:]
+        chosen = chosen[np.argsort(d2[chosen], kind="stable")]
+    ghosts = [(int(ids[g]), *[*offsets[g].tolist(), 0][:3], *[*points[g].tolist(), 0.0][:3]) for g in bounding]
+    return ghosts, vertices
+
+
+def _as_dicts(ghosts: list[tuple]) -> list[dict]:
+    return [dict(zip(("id", "ox", "oy", "oz", "x", "y", "z"), g, strict=True)) for g in ghosts]
+
+
+def _ghost_arrays(ghosts: list[dict], dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    points = np.array([[g[c] for c in "xyz"[:dim]] for g in ghosts], float).reshape(-1, dim)
+    offsets = np.array([[g[f"o{c}"] for c in "xyz"[:dim]] for g in ghosts], np.int32).reshape(-1, dim)
+    return points, np.array([g["id"] for g in ghosts], np.int64), offsets
+
+
+def _own_kernel(tree: KdTree, half: float):
+    """Cells clipped by the seeds of their block and by sampled seeds about it: a row for each block that may hold more of a
+    cell's neighbours, or one row without a block if none may."""
+    dim = len(tree.box)
 
     def run(rows: pa.Table) -> pa.Table:
-        """Faces of the block's own cells; a row without a face for each cell that reaches further than the block's width."""
-        points = np.stack([rows[c].to_numpy() for c in axes], axis=1)
-        ids, mine = rows["seed_id"].to_numpy(), rows["_mine"].to_numpy()
-        offsets, out, further = np.stack([rows[f"o{c}"].to_numpy() for c in axes], axis=1), [], []
-        for k in np.flatnonzero(mine):
-            own, needed = _cell_rows(int(ids[k]), points[k], points - points[k], ids, offsets, float(max(lengths)), rows["z"][int(k)].as_py())
-            if last or needed <= reach:
-                out += own
-            else:
-                further.append((int(ids[k]), *[None] * 10))
-        out += further
-        columns = zip(*out, strict=True) if out else [()] * 11
-        return pa.table([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
+        xyz = np.stack([rows[c].to_numpy() for c in "xyz"], axis=1)
+        own, leaf = xyz[:, :dim], rows["leaf"][0].as_py()
+        near, number, shifts = tree.guards_about(leaf, NEAR_GUARDS)
+        points, ids = np.concatenate([own, near]), np.concatenate([rows["seed_id"].to_numpy(), tree.ids[number]])
+        offsets = np.concatenate([np.zeros(own.shape, np.int32), shifts.astype(np.int32)])
+        cells, out = [_held(own[k], points, ids, offsets, half) for k in range(len(own))], []
+        # a seed cuts a cell only if it is nearer to a vertex than the cell's own seed is
+        vertices = [np.unique(np.round(v, 12), axis=0) for _, v in cells]
+        of = np.repeat(np.arange(len(own)), list(map(len, vertices)))
+        vertices = np.concatenate(vertices)
+        n, leaves, moved = tree.reached(own[of] + vertices, (vertices**2).sum(axis=1) * (1 + 1e-9) + _EPS)
+        visits: dict[int, set] = {k: set() for k in range(len(own))}
+        for k, b, *s in np.unique(np.column_stack([of[n], leaves, moved]), axis=0).tolist():
+            if b != leaf or any(s):
+                visits[k].add((b, *[*s, 0][:3]))
+        for k, (ghosts, _) in enumerate(cells):
+            head, packed = (int(ids[k]), *xyz[k].tolist()), _as_dicts(ghosts)
+            out += [(*head, *v, packed) for v in sorted(visits[k])] or [(*head, *[None] * 4, packed)]
+        return _open_table(out)
+
+    return run
+
+
+def _visit_kernel(box: np.ndarray, half: float):
+    dim = len(box)
+
+    def run(cells: pa.Table, seeds: pa.Table) -> pa.Table:
+        """Visiting cells, clipped by a block's seeds as well."""
+        own = np.stack([seeds[c].to_numpy() for c in "xyz"[:dim]], axis=1) if seeds.num_rows else np.empty((0, dim))
+        ids, out = seeds["seed_id"].to_numpy(), []
+        for r in cells.to_pylist():
+            at = np.array([r[c] for c in "xyz"[:dim]])
+            shift = np.array([r[f"s{c}"] for c in "xyz"[:dim]], np.int32)
+            points, names, offsets = _ghost_arrays(r["ghosts"], dim)
+            first = len(points)
+            points, names, offsets = np.concatenate([points, own + shift * box]), np.concatenate([names, ids]), np.concatenate([offsets, np.tile(shift, (len(own), 1))])
+            ghosts, _ = _held(at, points, names, offsets, half, first)
+            out.append((r["seed_id"], r["x"], r["y"], r["z"], *[None] * 4, _as_dicts(ghosts)))
+        return _open_table(out)
 
     return run
 
 
+def _dealt(seeds: DataFrame, tree: KdTree) -> DataFrame:
+    """seed_id, x, y, z and ``leaf``, the block of each seed."""
+
+    def run(batches):
+        for batch in batches:
+            leaf = tree.leaf(np.stack([batch.column(1 + a).to_numpy() for a in range(len(tree.box))], axis=1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], ["seed_id", "x", "y", "z", "leaf"])
+
+    return seeds.mapInArrow(run, "seed_id long, x double, y double, z double, leaf long")
+
+
 def tessellate_blocks(seeds: DataFrame, lengths: Sequence[float] = UNIT, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
-    """The same faces without a machine that holds all seeds.
+    """The same faces without a machine that holds all seeds, whether seeds lie evenly or in clusters.
 
-    The box is divided into blocks of about ``block_seeds`` seeds; a task clips the cells of one block against the seeds of it
-    and of the blocks around it. A cell that reaches further goes to the next round, with blocks of twice the width. The
-    rounds are written, so the result is finished work.
+    Seeds are dealt to k-d blocks of about ``block_seeds``. A cell is clipped by the seeds of its block and by sampled seeds of
+    blocks around it, which are dense where seeds are. What a further seed could still cut is known then: the cell visits
+    the blocks that come nearer to one of its vertices than its own seed, each clips it apart, and the ghosts that bound it
+    anywhere bound the whole cell. Cells inside a block visit none. Cells and visits are written, each is worked on once.
     """
-    dim, axes = len(lengths), "xyz"[: len(lengths)]
-    per_axis = max(1, int((max(1, seeds.count()) / block_seeds) ** (1 / dim)))
-    todo, found = seeds.select("seed_id"), None
-    every = cut(seeds.select(F.col("seed_id").cast("long").alias("seed_id"), "x", "y", "z"), "seeds")
-    while True:
-        size = [length / per_axis for length in lengths]
-
-        near = every.join(todo.withColumn("_todo", F.lit(True)), "seed_id", "left")
-        steps = F.array(*[F.lit(o) for o in (-1, 0, 1)])
-        near = near.withColumn("_mine", F.lit(True))
-        for c, length, width in zip(axes, lengths, size, strict=True):
-            own = F.least(F.floor(F.col(c) / width), F.lit(per_axis - 1))
-            near = near.withColumn("_s", F.explode(steps)).withColumn("_b", own + F.col("_s"))
-            near = near.withColumns({f"b{c}": F.pmod("_b", F.lit(per_axis)), f"o{c}": -F.floor(F.col("_b") / per_axis).cast("int"), "_mine": F.col("_mine") & (F.col("_s") == 0)})
-            near = near.withColumn(c, F.col(c) + F.col(f"o{c}") * float(length)).drop("_s", "_b")
-        near = near.withColumn("_mine", F.col("_mine") & F.coalesce("_todo", F.lit(False))).drop("_todo")
-        done = cut(near.groupBy(*[f"b{c}" for c in axes]).applyInArrow(_block_kernel(lengths, min(size), per_axis == 1), _FACES), "cells")
-        faces = done.where("seed_b is not null")
-        found = faces if found is None else found.unionByName(faces)
-        todo = done.where("seed_b is null").select(F.col("seed_a").alias("seed_id"))
-        if per_axis == 1 or not todo.limit(1).count():
-            return found
-        per_axis //= 2
+    dim, box = len(lengths), np.array(lengths, float)
+    half = float(box.max())
+    every = cut(seeds.select(F.col("seed_id").cast("long").alias("seed_id"), *[F.col(c).cast("double").alias(c) for c in "xyz"]), "seeds")
+    if not every.limit(1).count():
+        return every.sparkSession.createDataFrame([], _FACES)
+    tree = kd_tree(every, lengths, block_seeds)
+    placed = _dealt(every, tree)
+    started = cut(placed.groupBy("leaf").applyInArrow(_own_kernel(tree, half), _OPEN), "cells")
+    visited = started.where("leaf is not null").groupBy("leaf").cogroup(placed.groupBy("leaf")).applyInArrow(_visit_kernel(box, half), _OPEN)
+    whole = visited.groupBy("seed_id", "x", "y", "z").agg(F.array_distinct(F.flatten(F.collect_list("ghosts"))).alias("ghosts"))
+
+    def faces(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                at = np.array([r[c] for c in "xyz"[:dim]])
+                points, names, offsets = _ghost_arrays(r["ghosts"], dim)
+                rows += _cell_rows(r["seed_id"], at, points - at, names, offsets, half, r["z"])[0]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
+
+    columns = ["seed_id", "x", "y", "z", "ghosts"]
+    return cut(started.where("leaf is null").select(*columns).unionByName(whole.select(*columns)).mapInArrow(faces, _FACES), "faces")
 
 
 def cell_volumes(faces: DataFrame, dimensions: int = 3) -> DataFrame:

@@ -23,7 +23,7 @@ def _labels(spark, sf_dir):
 @query("nearest_seed_cells", f"WITH {fx.labels_sql()} SELECT i, j, k, label FROM lab")
 def _cells(spark, sf_dir):
     """The same labels by joins on cells, the way beyond what is broadcast."""
-    return raster.nearest_by_cells(grids.voxel_grid(spark, _SHAPE), fx.seeds(spark, sf_dir), _SHAPE)
+    return raster.nearest_by_blocks(grids.voxel_grid(spark, _SHAPE), fx.seeds(spark, sf_dir), _SHAPE)
 
 
 _D = [fx.wrap_sql(f"(a.{c} - b.{c})") for c in "xyz"]
