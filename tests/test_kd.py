@@ -85,13 +85,13 @@ def test_faces_on_clusters(spark, n, block, lengths):
 
 def test_tasks_are_even_and_cells_whole_on_clusters(spark):
     """Cells fill the box; no block is visited by several times as many cells as the median one."""
-    points, box = clustered(2000, (1.0, 1.0, 1.0)), (1.0, 1.0, 1.0)
+    points, box = clustered(800, (1.0, 1.0, 1.0)), (1.0, 1.0, 1.0)
     seeds = frame(spark, points)
-    tree = kd.kd_tree(seeds, box, 128)
+    tree = kd.kd_tree(seeds, box, 100)
     started = voronoi._dealt(seeds.withColumn("seed_id", F.col("seed_id").cast("long")), tree).groupBy("leaf").applyInArrow(voronoi._own_kernel(tree, 1.0), voronoi._OPEN)
     visits = [r["count"] for r in started.where("leaf is not null").groupBy("leaf").count().collect()]
     assert max(visits) < 3 * np.median(visits) and sum(visits) < 6 * len(points)
-    volumes = voronoi.cell_volumes(voronoi.tessellate_blocks(seeds, box, 128)).agg(F.sum("volume"), F.count("*")).first()
+    volumes = voronoi.cell_volumes(voronoi.tessellate_blocks(seeds, box, 100)).agg(F.sum("volume"), F.count("*")).first()
     assert volumes[1] == len(points) and abs(volumes[0] - 1) < 1e-6
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import io
 import logging
 import os
 import struct
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import BinaryIO
 from xml.etree import ElementTree
 from xml.sax.saxutils import quoteattr
 
@@ -25,31 +27,45 @@ SCHEMA = "file string, cell_id long, cx double, cy double, cz double, field stri
 ARROW = pa.schema([("file", pa.string()), ("cell_id", pa.int64()), *[(c, pa.float64()) for c in ("cx", "cy", "cz")], ("field", pa.string()), ("value", pa.list_(pa.float64()))])
 
 
+_APPENDED = b"<AppendedData"
+
+
 class _Arrays:
-    """Decodes the DataArrays of one file: ASCII, inline base64, or appended (raw or base64), zlib-compressed or not."""
+    """Decodes the DataArrays of one file: ASCII, inline base64, or appended (raw or base64), zlib-compressed or not.
+
+    The header is read first; of appended arrays only those asked for are read, at their offsets.
+    """
 
-    def __init__(self, raw: bytes) -> None:
-        start = raw.find(b"<AppendedData")
-        self.tail, self.encoding = b"", "base64"
+    def __init__(self, file: BinaryIO) -> None:
+        self.file = file
+        head, start = bytearray(), -1
+        while start < 0 and (more := file.read(1 << 16)):
+            head += more
+            start = head.find(_APPENDED, max(0, len(head) - len(more) - len(_APPENDED)))
+        self.begin, self.encoding = 0, "base64"
         if start >= 0:
-            mark = raw.index(b"_", start) + 1
-            self.encoding = "raw" if b'encoding="raw"' in raw[start:mark] else "base64"
-            self.tail = raw[mark : raw.rindex(b"</AppendedData>")]
-            raw = raw[:start] + b"</VTKFile>"
-        self.root = ElementTree.fromstring(raw)
+            while (mark := head.find(b"_", start)) < 0 and (more := file.read(1 << 10)):
+                head += more
+            self.begin = mark + 1
+            self.encoding = "raw" if b'encoding="raw"' in head[start : mark + 1] else "base64"
+            head = head[:start] + b"</VTKFile>"
+        self.root = ElementTree.fromstring(bytes(head))
         self.order = "<" if self.root.get("byte_order", "LittleEndian") == "LittleEndian" else ">"
         self.head = self.order + _TYPES[self.root.get("header_type", "UInt32")]
         self.zipped = bool(self.root.get("compressor"))
 
-    def _blocks(self, data: bytes, plain: bool) -> bytes:
+    def _appended(self, at: int, n: int) -> bytes:
+        self.file.seek(self.begin + at)
+        return self.file.read(n)
+
+    def _blocks(self, data: Callable[[int, int], bytes], plain: bool) -> bytes:
         """Payload behind its header; ``plain`` bytes, or base64 in which header and payload are encoded apart."""
         unit = np.dtype(self.head).itemsize
-        take = (lambda at, n: data[at : at + n]) if plain else (lambda at, n: base64.b64decode(data[at : at + 4 * -(-n // 3)]))
         size = (lambda n: n) if plain else (lambda n: 4 * -(-n // 3))
-        if not self.zipped:
-            n = int(np.frombuffer(take(0, unit), self.head, 1)[0])
-            return take(0, unit + n)[unit:]
+        take = data if plain else (lambda at, n: base64.b64decode(data(at, size(n))))
         count = int(np.frombuffer(take(0, unit), self.head, 1)[0])
+        if not self.zipped:
+            return take(0, unit + count)[unit : unit + count]
         header = np.frombuffer(take(0, unit * (3 + count)), self.head, 3 + count)
         at, lengths = size(unit * (3 + count)), header[3:].tolist()
         body = take(at, sum(lengths))
@@ -62,18 +78,24 @@ class _Arrays:
         if form == "ascii":
             return np.array((node.text or "").split(), kind)
         if form == "binary":
-            return np.frombuffer(self._blocks((node.text or "").strip().encode(), False), kind)
-        at = int(node.get("offset", "0"))
-        tail = self.tail[at:] if self.encoding == "raw" else self.tail[at:].strip()
-        return np.frombuffer(self._blocks(tail, self.encoding == "raw"), kind)
+            text = (node.text or "").strip().encode()
+            return np.frombuffer(self._blocks(lambda at, n: text[at : at + n], False), kind)
+        begin = int(node.get("offset", "0"))
+        return np.frombuffer(self._blocks(lambda at, n: self._appended(begin + at, n), self.encoding == "raw"), kind)
+
 
+def parse_cells(file: BinaryIO | bytes, wanted: Callable[[str], bool] = lambda name: True) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Cell centres (n, 3) and the wanted cell data (n, components) of an image or an unstructured grid.
 
-def parse_cells(raw: bytes) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Cell centres (n, 3) and cell data (n, components) of an image or an unstructured grid."""
-    arrays = _Arrays(raw)
+    Where no field is wanted, no array is decoded, and there are no centres either.
+    """
+    arrays = _Arrays(io.BytesIO(file) if isinstance(file, bytes) else file)
     piece = arrays.root.find(".//Piece")
     if piece is None or (arrays.root.find("ImageData") is None and piece.find("Points/DataArray") is None):
         raise ValueError("no piece with points or an extent")
+    nodes = [node for node in piece.findall("CellData/DataArray") if wanted(node.get("Name"))]
+    if not nodes:
+        return np.empty((0, 3)), {}
     image = arrays.root.find("ImageData")
     if image is not None:
         extent = list(map(int, piece.get("Extent", image.get("WholeExtent")).split()))
@@ -90,7 +112,7 @@ def parse_cells(raw: bytes) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         own = points[named["connectivity"].astype(int)]
         centres = (np.minimum.reduceat(own, starts) + np.maximum.reduceat(own, starts)) / 2
     fields = {}
-    for node in piece.findall("CellData/DataArray"):
+    for node in nodes:
         n = int(node.get("NumberOfComponents", "1"))
         fields[node.get("Name")] = arrays.values(node).astype(float).reshape(-1, n)
     return centres, fields
@@ -118,14 +140,13 @@ class VtkReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         """Rows of one file, a batch a field. Files that can't be opened or parsed, or have no cell data or none of the
-        fields, are logged and skipped, or raise with mode FAILFAST."""
+        fields, are logged and skipped, or raise with mode FAILFAST. Appended arrays of other fields aren't read."""
         try:
             with open(partition.value, "rb") as file:
-                centres, fields = parse_cells(file.read())
-            wanted = {k: v for k, v in fields.items() if not self.fields or k in self.fields}
+                centres, wanted = parse_cells(file, lambda name: not self.fields or name in self.fields)
             if not wanted:
                 raise ValueError(f"{partition.value} has none of the fields")
-        except (OSError, ValueError, KeyError, struct.error, zlib.error, ElementTree.ParseError) as error:
+        except (OSError, OverflowError, ValueError, KeyError, struct.error, zlib.error, ElementTree.ParseError) as error:
             if self.mode == "FAILFAST":
                 raise
             log.warning("skipped %s: %s", partition.value, error)
@@ -151,7 +172,11 @@ class VtkDataSource(DataSource):
 
 
 def read_vtk(spark: SparkSession, paths: Sequence[str], fields: Sequence[str] = (), mode: str = "PERMISSIVE") -> DataFrame:
-    """Cell data of files on a path that all executors see."""
+    """Cell data of files on a path that all executors see; of appended arrays only those of ``fields`` are read.
+
+    Fields are an option and not pushed filters: Spark 4.1 keeps what was pushed with the frame, so that a later query of
+    the same frame without such a filter lost rows.
+    """
     spark.dataSource.register(VtkDataSource)
     return spark.read.format("vtk").option("path", ",".join(paths)).option("fields", ",".join(fields)).option("mode", mode).load()
 
