@@ -88,7 +88,7 @@ def test_tasks_are_even_and_cells_whole_on_clusters(spark):
     points, box = clustered(800, (1.0, 1.0, 1.0)), (1.0, 1.0, 1.0)
     seeds = frame(spark, points)
     tree = kd.kd_tree(seeds, box, 100)
-    started = voronoi._dealt(seeds.withColumn("seed_id", F.col("seed_id").cast("long")), tree).groupBy("leaf").applyInArrow(voronoi._own_kernel(tree, 1.0), voronoi._OPEN)
+    started = voronoi._dealt(seeds.withColumn("seed_id", F.col("seed_id").cast("long")), tree).repartition(8, "leaf").groupBy("leaf").applyInArrow(voronoi._own_kernel(tree, 1.0), voronoi._OPEN)
     visits = [r["count"] for r in started.where("leaf is not null").groupBy("leaf").count().collect()]
     assert max(visits) < 3 * np.median(visits) and sum(visits) < 6 * len(points)
     volumes = voronoi.cell_volumes(voronoi.tessellate_blocks(seeds, box, 100)).agg(F.sum("volume"), F.count("*")).first()

@@ -329,10 +329,12 @@ def tessellate_blocks(seeds: DataFrame, lengths: Sequence[float] = UNIT, block_s
     if not every.limit(1).count():
         return every.sparkSession.createDataFrame([], _FACES)
     tree = kd_tree(every, lengths, block_seeds)
-    placed = _dealt(every, tree)
+    # little data is much work: as many tasks as blocks, which adaptive execution doesn't merge
+    tasks = 1 << tree.depth
+    placed = _dealt(every, tree).repartition(tasks, "leaf")
     started = cut(placed.groupBy("leaf").applyInArrow(_own_kernel(tree, half), _OPEN), "cells")
-    visited = started.where("leaf is not null").groupBy("leaf").cogroup(placed.groupBy("leaf")).applyInArrow(_visit_kernel(box, half), _OPEN)
-    whole = visited.groupBy("seed_id", "x", "y", "z").agg(F.array_distinct(F.flatten(F.collect_list("ghosts"))).alias("ghosts"))
+    visited = started.where("leaf is not null").repartition(tasks, "leaf").groupBy("leaf").cogroup(placed.groupBy("leaf")).applyInArrow(_visit_kernel(box, half), _OPEN)
+    whole = visited.repartition(tasks, "seed_id").groupBy("seed_id", "x", "y", "z").agg(F.array_distinct(F.flatten(F.collect_list("ghosts"))).alias("ghosts"))
 
     def faces(batches):
         for batch in batches:
