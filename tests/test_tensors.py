@@ -137,3 +137,16 @@ def test_isotropic_modulus_is_constant(spark):
     out = elastic.youngs_modulus(c, elastic.direction_grid(spark, 9, 17).select("t", "p", "x", "y", "z"))
     low, high, n = out.agg(F.min("E"), F.max("E"), F.count("*")).first()
     assert n == 153 and abs(low - e) < 1e-9 and abs(high - e) < 1e-9
+
+
+def test_rounding_next_to_halves_is_that_of_the_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from voxelgrain.plans import fixtures as fx
+
+    # halves of the sixth digit, as differences of nine-digit numbers make them: just above, below or on them
+    values = spark.range(40_000).select(((F.col("id") - 20_000) * 2 + 1).cast("double").alias("n")).select((F.col("n") / 2e6).alias("x"), (F.col("n") / 2e6 + F.col("n") / 1e9 - F.col("n") / 1e9).alias("y"))
+    held = values.toPandas()  # noqa: F841
+    own = values.select("x", "y", *[fx.sql_round(c, 6).alias(f"r{c}") for c in "xy"])
+    want = duckdb.sql("SELECT x, y, round(x, 6) AS rx, round(y, 6) AS ry FROM held").fetchall()
+    assert sorted(map(tuple, own.collect())) == sorted(want)
+    assert sum(a != b for a, b in zip(*[[r[0] for r in values.orderBy("x").select(c).collect()] for c in (F.round("y", 6), fx.sql_round("y", 6))], strict=True)) > 0

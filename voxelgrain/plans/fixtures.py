@@ -39,21 +39,28 @@ def component(c: int) -> Column:
     return F.get(F.col("embedding"), c).cast("double")
 
 
+def sql_round(c: Column | str, digits: int) -> Column:
+    """``round`` of SQL's doubles: the nearest whole number of the scaled value, halves away from zero. Spark's own rounds the
+    decimal digits that a double is printed with, which parts the two where the scaled value lies next to a half."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c * F.lit(10.0**digits), 0) / F.lit(10.0**digits)
+
+
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings as seeds in the unit box: fractional parts of four times the first three components."""
-    fraction = lambda c: F.round(4 * component(c) - F.floor(4 * component(c)), 9)
+    fraction = lambda c: sql_round(4 * component(c) - F.floor(4 * component(c)), 9)
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("seed_id"), *[fraction(c).alias(n) for c, n in enumerate("xyz")])
 
 
 def tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, microstructure, t: the first six components as a rank-2 tensor."""
-    t = F.array(*[F.round(component(c), 9) for c in range(6)])
+    t = F.array(*[sql_round(component(c), 9) for c in range(6)])
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("microstructure"), t.alias("t"))
 
 
 def stiffness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, c: A A^T + I of the first 36 components as a 6 x 6 matrix A."""
-    a = [F.round(component(c), 6) for c in range(36)]
+    a = [sql_round(component(c), 6) for c in range(36)]
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.array(*a).alias("a"))
     at = lambda r, c: F.get("a", 6 * r + c)
     entries = []
@@ -62,7 +69,7 @@ def stiffness(spark: SparkSession, sf_dir: str) -> DataFrame:
             total = at(r, 0) * at(s, 0)
             for c in range(1, 6):
                 total = total + at(r, c) * at(s, c)
-            entries.append(F.round(total + (1.0 if r == s else 0.0), 6))
+            entries.append(sql_round(total + (1.0 if r == s else 0.0), 6))
     return rows.select("id", F.array(*entries).alias("c"))
 
 
@@ -87,9 +94,9 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     for name, kind in df.dtypes:
         c = F.col(name)
         if kind == "double":
-            c = F.round(c, digits) + F.lit(0.0)
+            c = sql_round(c, digits) + F.lit(0.0)
         elif kind == "array<double>":
-            c = F.transform(c, lambda x: F.round(x, digits) + F.lit(0.0))
+            c = F.transform(c, lambda x: sql_round(x, digits) + F.lit(0.0))
         columns.append(c.alias(name))
     return df.select(*columns)
 

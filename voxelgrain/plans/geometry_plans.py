@@ -48,7 +48,7 @@ def _difference(spark, sf_dir):
 @query("canonical_normals", "WITH n AS (SELECT vec_id, " + ", ".join(f"round(embedding[{c + 1}]::DOUBLE, 6) AS n{c}" for c in range(3)) + " FROM embeddings), s AS (SELECT *, CASE WHEN abs(n0) > 1e-8 THEN sign(n0) WHEN abs(n1) > 1e-8 THEN sign(n1) WHEN abs(n2) > 1e-8 THEN sign(n2) ELSE 1 END AS s FROM n) "
        "SELECT vec_id, " + ", ".join(f"n{c} * s + 0.0::DOUBLE AS n{c}" for c in range(3)) + " FROM s")
 def _canonical(spark, sf_dir):
-    n = [F.round(fx.component(c), 6) for c in range(3)]
+    n = [fx.sql_round(fx.component(c), 6) for c in range(3)]
     sign = canonical_sign(n)
     return fx.rounded(fx.table(spark, sf_dir, "embeddings").select("vec_id", *[(x * sign).alias(f"n{c}") for c, x in enumerate(n)]))
 

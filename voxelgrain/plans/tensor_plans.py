@@ -242,7 +242,7 @@ def _spd(spark, sf_dir):
     out = elastic.definiteness(fx.stiffness(spark, sf_dir).select("id", lowered.alias("c")))
     fold = lambda start, f: F.aggregate("eigenvalues", F.lit(start), f)
     total, product = fold(0.0, lambda a, x: a + x), fold(1.0, lambda a, x: a * x)
-    return out.select("id", "spd", (F.round(total, 6) + 0.0).alias("eigenvalue_sum"), (F.round(product, 4) + 0.0).alias("eigenvalue_product"))
+    return out.select("id", "spd", (fx.sql_round(total, 6) + 0.0).alias("eigenvalue_sum"), (fx.sql_round(product, 4) + 0.0).alias("eigenvalue_product"))
 
 
 def _young_sql() -> str:

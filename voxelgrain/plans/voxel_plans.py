@@ -223,7 +223,7 @@ def _lengths(spark, sf_dir):
 def _triangles(spark, sf_dir):
     """Triangles of three component triples of each embedding, with their normals."""
     e = fx.table(spark, sf_dir, "embeddings")
-    p = [[F.round(fx.component(3 * v + c), 6) for c in range(3)] for v in range(3)]
+    p = [[fx.sql_round(fx.component(3 * v + c), 6) for c in range(3)] for v in range(3)]
     u = [p[1][c] - p[0][c] for c in range(3)]
     w = [p[2][c] - p[0][c] for c in range(3)]
     n = [u[1] * w[2] - u[2] * w[1], u[2] * w[0] - u[0] * w[2], u[0] * w[1] - u[1] * w[0]]
@@ -437,7 +437,7 @@ def _offsets(spark, sf_dir):
 @query("label_lookup", f"WITH {fx.labels_sql()} SELECT i, j, k, CASE WHEN label >= 100 THEN round(s.x, 6) ELSE 0.0::DOUBLE END AS nx, label FROM lab LEFT JOIN seeds s ON s.seed_id = label")
 def _lookup(spark, sf_dir):
     """A table of attributes joined to the labels it covers, zero elsewhere."""
-    s = fx.seeds(spark, sf_dir).where("seed_id >= 100").select(F.col("seed_id").cast("long").alias("gb_tag"), F.round("x", 6).alias("nx"), F.lit(0.0).alias("ny"), F.lit(0.0).alias("nz"))
+    s = fx.seeds(spark, sf_dir).where("seed_id >= 100").select(F.col("seed_id").cast("long").alias("gb_tag"), fx.sql_round("x", 6).alias("nx"), F.lit(0.0).alias("ny"), F.lit(0.0).alias("nz"))
     return erosion.boundary_normals(fx.labels(spark, sf_dir), s).select("i", "j", "k", "nx", "label")
 
 
