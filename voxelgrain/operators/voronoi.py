@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,66 +20,115 @@ _EPS, _AREA = 1e-10, 1e-12
 _FACES = "seed_a long, seed_b long, ox int, oy int, oz int, nx double, ny double, nz double, distance double, area double, verts array<struct<x: double, y: double, z: double>>"
 
 
-def clipped_cell(at: np.ndarray, ghosts: np.ndarray, half: float) -> list[tuple[int, np.ndarray]]:
-    """Faces of one cell about the origin: (ghost number, vertex loop). ``ghosts`` are relative, nearest first.
+#: Ghosts that cells are clipped by between two looks at their radii, and ghosts of cells that are clipped side by side.
+_LOOK, _TOGETHER = 8, 400_000
+#: Corners of a cell within this are one corner of its faces.
+_SAME = 1e-9
 
-    A box is cut by one bisecting plane after another until no ghost is near enough to reach a vertex.
+
+def clipped_cells(cell: np.ndarray, ghosts: np.ndarray, n: int, half: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Corners of ``n`` cells about the origin: each one's cell, place and three ghosts (numbers of rows, negative: a side of the
+    box). ``ghosts`` are relative to the seed of their ``cell``; those at its own place don't count.
+
+    Boxes are cut by one bisecting plane after another, the nearest first, all cells side by side, until no ghost is near
+    enough to reach a corner. A corner holds its planes in a turn, so that two corners on an edge name its planes in opposite
+    order: of those cut off, edges without their opposite are cut themselves, and each gets a corner on the new plane.
     """
-    corners = np.array([[x, y, z] for x in (-half, half) for y in (-half, half) for z in (-half, half)])
-    loops = [(-1, corners[list(q)]) for q in ((0, 1, 3, 2), (4, 5, 7, 6), (0, 1, 5, 4), (2, 3, 7, 6), (0, 2, 6, 4), (1, 3, 7, 5))]
-    radius = np.sqrt((corners**2).sum(axis=1)).max()
-    for number, ghost in enumerate(ghosts):
-        d = np.sqrt(ghost @ ghost)
-        if d > 2 * radius + _EPS:
-            break
-        normal, level = ghost / d, d / 2
-        if max((loop @ normal).max() for _, loop in loops) <= level + _EPS:
+    d2 = (ghosts**2).sum(axis=1)
+    order = np.lexsort((d2, cell))
+    order = order[d2[order] > _EPS**2]
+    first = np.searchsorted(cell[order], np.arange(n + 1))
+    sizes = np.diff(first)
+    most = int(sizes.max(initial=0))
+    d = np.sqrt(d2[order])
+    sides = np.repeat(np.eye(3), 2, axis=0) * np.tile([-1.0, 1.0], 3)[:, None]
+    # the planes of a cell: six sides of the box, then its ghosts
+    normals = np.concatenate([np.tile(sides, (n, 1)), ghosts[order] / d[:, None]])
+    signs = np.array([[x, y, z] for x in (0, 1) for y in (0, 1) for z in (0, 1)])
+    turned = np.where((signs.sum(axis=1) % 2 == 1)[:, None], [0, 1, 2], [0, 2, 1])
+    box = np.take_along_axis(signs + np.array([0, 2, 4]), turned, axis=1)
+    own = np.repeat(np.arange(n), 8)
+    at = np.tile((signs * 2.0 - 1.0) * half, (n, 1))
+    planes = np.tile(box, (n, 1)) + 6 * own[:, None]
+    total, done, stop = len(normals), [], sizes.copy()
+    for step in range(most + 1):
+        if step % _LOOK == 0 or step == most:
+            r2 = np.zeros(n)
+            np.maximum.at(r2, own, (at**2).sum(axis=1))
+            rank = np.minimum(first[:-1] + step, max(len(order) - 1, 0))
+            over = step >= stop
+            if len(order):
+                over |= d[rank] > 2 * np.sqrt(r2) + _EPS
+            ended = over[own]
+            done.append((own[ended], at[ended], planes[ended]))
+            own, at, planes = own[~ended], at[~ended], planes[~ended]
+            if not len(own):
+                break
+        live = step < stop[own]
+        rank = np.where(live, first[own] + step, 0)
+        normal = normals[6 * n + rank]
+        height = np.where(live, at[:, 0] * normal[:, 0] + at[:, 1] * normal[:, 1] + at[:, 2] * normal[:, 2] - d[rank] / 2, -1.0)
+        out = height > _EPS
+        gone = np.flatnonzero(out)
+        if not len(gone):
             continue
-        kept, cap = [], []
-        for owner, loop in loops:
-            height = loop @ normal - level
-            height[np.abs(height) < _EPS] = 0
-            if height.max() <= 0:
-                # the whole face stays
-                cap += list(loop[height == 0])
-                if height.min() < 0:
-                    kept.append((owner, loop))
-                continue
-            if height.min() > 0:
-                continue
-            points = []
-            for i in range(len(loop)):
-                j = (i + 1) % len(loop)
-                if height[i] <= 0:
-                    points.append(loop[i])
-                    if height[i] == 0:
-                        cap.append(loop[i])
-                if height[i] * height[j] < 0:
-                    cross = loop[i] + (loop[j] - loop[i]) * (height[i] / (height[i] - height[j]))
-                    points.append(cross)
-                    cap.append(cross)
-            if len(points) >= 3 and (height <= 0).any() and (height < 0).any():
-                kept.append((owner, np.array(points)))
-        if len(cap) >= 3:
-            cap = np.array(cap)
-            _, first = np.unique(np.round(cap, 9), axis=0, return_index=True)
-            cap = cap[np.sort(first)]
-            if len(cap) >= 3:
-                middle = cap.mean(axis=0)
-                u = np.cross(normal, [1.0, 0, 0] if abs(normal[0]) < 0.9 else [0, 1.0, 0])
-                u /= np.sqrt(u @ u)
-                v = np.cross(normal, u)
-                kept.append((number, cap[np.argsort(np.arctan2((cap - middle) @ v, (cap - middle) @ u))]))
-        loops = kept
-        radius = max(np.sqrt((loop**2).sum(axis=1)).max() for _, loop in loops)
-    return loops
-
-
-def polygon_area(loop: np.ndarray) -> float:
-    a = loop[1:-1] - loop[0]
-    b = loop[2:] - loop[0]
-    total = np.cross(a, b).sum(axis=0)
-    return 0.5 * float(np.sqrt(total @ total))
+        one, two = planes[gone].ravel(), planes[gone][:, [1, 2, 0]].ravel()
+        source = np.repeat(gone, 3)
+        # planes are numbered over all cells: pairs of them name edges of one cell
+        edge = np.flatnonzero(~np.isin(one * total + two, two * total + one))
+        one, two, source = one[edge], two[edge], source[edge]
+        along = np.cross(normals[one], normals[two])
+        moved = at[source] - along * (height[source] / (along * normal[source]).sum(axis=1))[:, None]
+        fresh = np.stack([one, two, 6 * n + rank[source]], axis=1)
+        own, at, planes = (np.concatenate([x[~out], y]) for x, y in ((own, own[source]), (at, moved), (planes, fresh)))
+    own, at, planes = (np.concatenate(c) for c in zip(*done, strict=True))
+    row = np.where(planes < 6 * n, -1, order[np.maximum(planes - 6 * n, 0)] if len(order) else -1)
+    return own, at, row
+
+
+def loops_of(own: np.ndarray, at: np.ndarray, row: np.ndarray, ghosts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Faces of clipped cells: each one's cell, ghost and area, how many corners it has, and all corners in turn."""
+    cell, face, p = np.repeat(own, 3), row.ravel(), np.repeat(at, 3, axis=0)
+    real = face >= 0
+    cell, face, p = cell[real], face[real], p[real]
+
+    def groups(f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        first = np.flatnonzero(np.diff(f, prepend=-1))
+        sizes = np.diff(np.append(first, len(f)))
+        return first, sizes, np.repeat(np.arange(len(first)), sizes)
+
+    # a row is a ghost of one cell
+    order = np.argsort(face, kind="stable")
+    cell, face, p = cell[order], face[order], p[order]
+    first, sizes, of = groups(face)
+    if not len(first):
+        return cell, face, np.zeros(0), sizes, p
+    normal = ghosts[face[first]]
+    normal = normal / np.sqrt((normal**2).sum(axis=1))[:, None]
+    middle = np.add.reduceat(p, first, axis=0) / sizes[:, None]
+    u = np.cross(normal, np.where((np.abs(normal[:, 0]) < 0.9)[:, None], [1.0, 0, 0], [0, 1.0, 0]))
+    u /= np.sqrt((u**2).sum(axis=1))[:, None]
+    v = np.cross(normal, u)
+    away = p - middle[of]
+    order = np.lexsort((np.arctan2((away * v[of]).sum(axis=1), (away * u[of]).sum(axis=1)), of))
+    cell, face, p = cell[order], face[order], p[order]
+
+    def before(first: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
+        back = np.arange(n) - 1
+        back[first] = first + sizes - 1
+        return back
+
+    far = (np.abs(p - p[before(first, sizes, len(p))]) > _SAME).any(axis=1)
+    cell, face, p = cell[far], face[far], p[far]
+    first, sizes, of = groups(face)
+    if not len(first):
+        return cell, face, np.zeros(0), sizes, p
+    o = p[first][of]
+    cross = np.cross(p[before(first, sizes, len(p))] - o, p - o)
+    area = 0.5 * np.sqrt((np.add.reduceat(cross, first, axis=0) ** 2).sum(axis=1))
+    area[sizes < 3] = 0
+    keep = area >= _AREA
+    return cell[first][keep], face[first][keep], area[keep], sizes[keep], p[keep[of]]
 
 
 def clipped_polygon(ghosts: np.ndarray, half: float) -> list[tuple[int, np.ndarray]]:
@@ -121,27 +171,45 @@ BROADCAST_SEEDS = 200_000
 BLOCK_SEEDS = 2048
 
 
-def _cell_rows(seed: int, at: np.ndarray, ghosts: np.ndarray, ids: np.ndarray, offsets: np.ndarray, half: float, height: float) -> tuple[list[tuple], float]:
-    """Rows of one cell's faces, and twice its radius: further ghosts don't matter. ``ghosts`` are relative to ``at``."""
-    flat = ghosts.shape[1] == 2
+def _edge_rows(seed: int, at: np.ndarray, ghosts: np.ndarray, ids: np.ndarray, offsets: np.ndarray, half: float, height: float) -> tuple[list[tuple], float]:
+    """Rows of one plane cell's edges, and twice its radius: further ghosts don't matter. ``ghosts`` are relative to ``at``."""
     d2 = (ghosts**2).sum(axis=1)
     order = np.argsort(d2, kind="stable")
     order = order[d2[order] > _EPS**2]
-    found = clipped_polygon(ghosts[order], half) if flat else clipped_cell(at, ghosts[order], half)
+    found = clipped_polygon(ghosts[order], half)
     rows = []
     for number, loop in found:
-        area = float(np.sqrt(((loop[1] - loop[0]) ** 2).sum())) if flat else polygon_area(loop)
+        area = float(np.sqrt(((loop[1] - loop[0]) ** 2).sum()))
         if number < 0 or area < _AREA:
             continue
         ghost = order[number]
         d = np.sqrt(d2[ghost])
-        normal, where, corners = ghosts[ghost] / d, offsets[ghost].tolist(), (loop + at).tolist()
-        if flat:
-            normal, where, corners = [*normal, 0.0], [*where, 0], [[*p, height] for p in corners]
+        normal, where, corners = [*(ghosts[ghost] / d), 0.0], [*offsets[ghost].tolist(), 0], [[*p, height] for p in (loop + at).tolist()]
         rows.append((seed, int(ids[ghost]), *where, *map(float, normal), float(d), area, [dict(zip("xyz", p, strict=True)) for p in corners]))
     return rows, 2 * max(np.sqrt((loop**2).sum(axis=1)).max() for _, loop in found)
 
 
+def _face_rows(seeds: np.ndarray, at: np.ndarray, cell: np.ndarray, ghosts: np.ndarray, ids: np.ndarray, offsets: np.ndarray, half: float) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Rows of the cells' faces, and twice the radius of each: further ghosts don't matter. ``ghosts`` are relative to the
+    places ``at`` of the seeds that ``cell`` numbers."""
+    own, corners, row = clipped_cells(cell, ghosts, len(seeds), half)
+    r2 = np.zeros(len(seeds))
+    np.maximum.at(r2, own, (corners**2).sum(axis=1))
+    of, ghost, area, sizes, verts = loops_of(own, corners, row, ghosts)
+    d = np.sqrt((ghosts[ghost] ** 2).sum(axis=1))
+    verts = verts + np.repeat(at[of], sizes, axis=0)
+    listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.StructArray.from_arrays([pa.array(verts[:, k].copy()) for k in range(3)], list("xyz")))
+    columns = [pa.array(seeds[of], pa.int64()), pa.array(ids[ghost], pa.int64()), *[pa.array(offsets[ghost, k], pa.int32()) for k in range(3)], *[pa.array(ghosts[ghost, k] / d) for k in range(3)], pa.array(d), pa.array(area), listed]
+    return pa.RecordBatch.from_arrays(columns, _NAMES), 2 * np.sqrt(r2)
+
+
+def _parts(sizes: np.ndarray, most: int = _TOGETHER) -> list[tuple[int, int]]:
+    """Consecutive ranges whose sizes add up to about ``most``, of one at least."""
+    turn = (np.cumsum(sizes) - sizes) // most
+    edges = np.append(np.flatnonzero(np.diff(turn, prepend=-1)), len(sizes)).tolist()
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
 class _Binned:
     """Seeds in cells of about one; ghosts of a place come from the cells around it, over the box's faces."""
 
@@ -168,6 +236,35 @@ class _Binned:
         whole = all(len(a) == 3 * n for a, n in zip(axes, self.per_axis, strict=True))
         return self.points[pick] + offsets * self.box - at, self.ids[pick], offsets, whole
 
+    def about(self, at: np.ndarray, reach: int):
+        """Of many places, some at a time: (first, last, cell, ghosts relative to the cell's place, ids, box offsets). Ghosts come
+        from bins within ``reach``, and are those within that many bins' sides unless these are all."""
+        own = np.minimum((at % self.box / self.size).astype(int), self.per_axis - 1)
+        whole = self.whole(reach)
+        step = np.stack(np.meshgrid(*[np.arange(-min(reach, 2 * n), min(reach, 2 * n) + 1) for n in self.per_axis], indexing="ij"), axis=-1).reshape(-1, len(self.box))
+        for i, j in _parts(np.full(len(at), len(step)), 4 * _TOGETHER):
+            bins = own[i:j, None] + step
+            inside = ((bins >= -self.per_axis) & (bins < 2 * self.per_axis)).all(axis=2).ravel()
+            cell, bins = np.repeat(np.arange(i, j), len(step))[inside], bins.reshape(-1, len(self.box))[inside]
+            flat, shift = np.ravel_multi_index(tuple((bins % self.per_axis).T), self.per_axis), bins // self.per_axis
+            counts = self.bounds[flat + 1] - self.bounds[flat]
+            each = np.bincount(cell - i, weights=counts, minlength=j - i).astype(np.int64)
+            bounds = np.searchsorted(cell, np.arange(i, j + 1))
+            for k, m in _parts(each):
+                part = slice(bounds[k], bounds[m])
+                c = counts[part]
+                pick = np.repeat(self.bounds[flat[part]] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+                of, offsets = np.repeat(cell[part], c), np.repeat(shift[part], c, axis=0)
+                ghosts = self.points[pick] + offsets * self.box - at[of]
+                if not whole:
+                    near = (ghosts**2).sum(axis=1) <= (reach * self.size.min()) ** 2
+                    of, offsets, ghosts, pick = of[near], offsets[near], ghosts[near], pick[near]
+                yield i + k, i + m, of - (i + k), ghosts, self.ids[pick], offsets
+
+    def whole(self, reach: int) -> bool:
+        """Whether bins within ``reach`` of any are all of the 27 places."""
+        return bool((reach >= 2 * self.per_axis - 1).all())
+
 
 def tessellate(seeds: DataFrame, lengths: Sequence[float] = UNIT) -> DataFrame:
     """Faces of every cell, each from both its sides: seed_a, seed_b, box offset of b, outward normal, distance of the two
@@ -183,15 +280,33 @@ def tessellate(seeds: DataFrame, lengths: Sequence[float] = UNIT) -> DataFrame:
     dim, box = len(lengths), np.array(lengths, float)
     ids, points = held["seed_id"].to_numpy(np.int64), held[["x", "y", "z"]].to_numpy(float)[:, :dim]
 
+    def clipped(binned: _Binned, batch: pa.RecordBatch):
+        """Faces of the cells whose bins hold all that can reach them; the others look further."""
+        names, at, reach = batch.column(0).to_numpy(), np.stack([batch.column(k).to_numpy() for k in (1, 2, 3)], axis=1), 3
+        # cells that lie together are clipped together
+        order = np.lexsort((at // (8 * binned.size)).T)
+        names, at = names[order], at[order]
+        while len(names):
+            far = []
+            for i, j, cell, ghosts, others, offsets in binned.about(at, reach):
+                faces, needed = _face_rows(names[i:j], at[i:j], cell, ghosts, others, offsets, float(box.max()))
+                open_ = np.zeros(j - i, bool) if binned.whole(reach) else needed > reach * binned.size.min()
+                far += (i + np.flatnonzero(open_)).tolist()
+                yield faces.filter(pa.array(~np.isin(faces.column(0).to_numpy(), names[i:j][open_]))) if open_.any() else faces
+            names, at, reach = names[far], at[far], reach + 2
+
     def run(batches):
         binned = _Binned(points, ids, box)
         for batch in batches:
+            if dim == 3:
+                yield from clipped(binned, batch)
+                continue
             rows = []
             for seed, *xyz in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 at, reach = np.array(xyz[:dim]), 3
                 while True:
                     ghosts, names, offsets, whole = binned.around(at, reach)
-                    own, needed = _cell_rows(seed, at, ghosts, names, offsets, float(box.max()), xyz[2])
+                    own, needed = _edge_rows(seed, at, ghosts, names, offsets, float(box.max()), xyz[2])
                     if whole or needed <= reach * binned.size.min():
                         break
                     reach += 2
@@ -213,6 +328,8 @@ _OPEN_TYPES = (pa.int64(), *[pa.float64()] * 3, pa.int64(), *[pa.int32()] * 3, _
 _OPEN_NAMES = ["seed_id", "x", "y", "z", "leaf", "sx", "sy", "sz", "ghosts"]
 #: Sampled seeds about a block that its cells are clipped by at first, of each thinning; and ghosts that are clipped at a time.
 NEAR_GUARDS, _STEP = 512, 24
+#: Cells of a block that are clipped side by side.
+_SIDE_BY_SIDE = 256
 
 
 def _open_table(rows: list[tuple]) -> pa.Table:
@@ -221,28 +338,76 @@ def _open_table(rows: list[tuple]) -> pa.Table:
 
 
 def _held(at: np.ndarray, points: np.ndarray, ids: np.ndarray, offsets: np.ndarray, half: float, first: int = 0) -> tuple[list[tuple], np.ndarray]:
-    """Those of the ghosts (absolute places) that bound the cell of ``at``, and the cell's vertices about ``at``.
-
-    The cell is clipped by the ``first`` ghosts or the nearest ones; of the rest only those are looked at again that cut what is
-    left, which is those nearer to one of its vertices than ``at`` is.
-    """
+    """``_held_cells`` of one plane cell."""
     relative = points - at
     d2 = (relative**2).sum(axis=1)
     order = np.argsort(d2, kind="stable")
     order = order[d2[order] > _EPS**2]
     chosen, rest = (order[order < first], order[order >= first]) if first else (order[:_STEP], order[_STEP:])
     while True:
-        found = clipped_polygon(relative[chosen], half) if len(at) == 2 else clipped_cell(at, relative[chosen], half)
+        found = clipped_polygon(relative[chosen], half)
         vertices = np.concatenate([loop for _, loop in found])
         bounding = chosen[sorted({n for n, _ in found if n >= 0})]
-        level = d2[rest] + 2 * _EPS * np.sqrt(d2[rest])
-        rest = rest[(2 * relative[rest] @ vertices.T > level[:, None]).any(axis=1)]
+        rest = rest[_cutting(relative[rest], d2[rest], vertices)]
         if not len(rest):
             break
         chosen, rest = np.concatenate([bounding, rest[:_STEP]]), rest[_STEP:]
         chosen = chosen[np.argsort(d2[chosen], kind="stable")]
-    ghosts = [(int(ids[g]), *[*offsets[g].tolist(), 0][:3], *[*points[g].tolist(), 0.0][:3]) for g in bounding]
-    return ghosts, vertices
+    return _ghosts(bounding, points, ids, offsets), vertices
+
+
+def _cutting(relative: np.ndarray, d2: np.ndarray, vertices: np.ndarray) -> np.ndarray:
+    """Which ghosts cut a cell: those nearer to one of its vertices than its seed is."""
+    near = np.flatnonzero(d2 <= 4 * (vertices**2).sum(axis=1).max() * (1 + 1e-9))
+    level = d2[near] + 2 * _EPS * np.sqrt(d2[near])
+    return near[(2 * relative[near] @ vertices.T > level[:, None]).any(axis=1)]
+
+
+def _ghosts(bounding: np.ndarray, points: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> list[tuple]:
+    return [(i, *[*o, 0][:3], *[*p, 0.0][:3]) for i, o, p in zip(ids[bounding].tolist(), offsets[bounding].tolist(), points[bounding].tolist(), strict=True)]
+
+
+def _held_cells(cells: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]], half: float) -> Iterator[tuple[list[tuple], np.ndarray]]:
+    """Of each cell (at, points, ids, offsets, first): those of the ghosts (absolute places) that bound it, and its vertices
+    about ``at``.
+
+    A cell is clipped by the ``first`` ghosts or the nearest ones; of the rest only those are looked at again that cut what is
+    left, which is those nearer to one of its vertices than ``at`` is. Cells are clipped some at a time.
+    """
+    for group in iter(lambda turn=iter(cells): list(islice(turn, _SIDE_BY_SIDE)), []):
+        if len(group[0][0]) == 2:
+            yield from (_held(at, points, ids, offsets, half, first) for at, points, ids, offsets, first in group)
+            continue
+        state, done = {}, {}
+        for k, (at, points, _, _, first) in enumerate(group):
+            relative = points - at
+            d2 = (relative**2).sum(axis=1)
+            seen = np.flatnonzero(d2 > _EPS**2)
+            if first:
+                chosen, rest = seen[seen < first], seen[seen >= first]
+            else:
+                nearest = np.argpartition(d2[seen], _STEP)[:_STEP] if len(seen) > _STEP else np.arange(len(seen))
+                chosen, rest = seen[nearest], np.delete(seen, nearest)
+            state[k] = relative, d2, chosen, rest
+        while state:
+            of = list(state)
+            sizes = [len(state[k][2]) for k in of]
+            own, at, row = clipped_cells(np.repeat(np.arange(len(of)), sizes), np.concatenate([state[k][0][state[k][2]] for k in of]), len(of), half)
+            order = np.argsort(own, kind="stable")
+            at, row, edges, starts = at[order], row[order], np.searchsorted(own[order], np.arange(len(of) + 1)), np.cumsum(sizes) - sizes
+            for n, k in enumerate(of):
+                relative, d2, chosen, rest = state[k]
+                vertices, used = at[edges[n] : edges[n + 1]], np.unique(row[edges[n] : edges[n + 1]])
+                bounding = chosen[used[used >= 0] - starts[n]]
+                rest = rest[_cutting(relative[rest], d2[rest], vertices)]
+                if len(rest):
+                    rest = rest[np.argsort(d2[rest], kind="stable")]
+                    state[k] = relative, d2, np.concatenate([bounding, rest[:_STEP]]), rest[_STEP:]
+                else:
+                    _, points, ids, offsets, _ = group[k]
+                    done[k] = _ghosts(bounding[np.argsort(d2[bounding], kind="stable")], points, ids, offsets), vertices
+                    del state[k]
+        yield from (done[k] for k in range(len(group)))
 
 
 def _as_dicts(ghosts: list[tuple]) -> list[dict]:
@@ -266,7 +431,7 @@ def _own_kernel(tree: KdTree, half: float):
         near, number, shifts = tree.guards_about(leaf, NEAR_GUARDS)
         points, ids = np.concatenate([own, near]), np.concatenate([rows["seed_id"].to_numpy(), tree.ids[number]])
         offsets = np.concatenate([np.zeros(own.shape, np.int32), shifts.astype(np.int32)])
-        cells, out = [_held(own[k], points, ids, offsets, half) for k in range(len(own))], []
+        cells, out = list(_held_cells(((own[k], points, ids, offsets, 0) for k in range(len(own))), half)), []
         # a seed cuts a cell only if it is nearer to a vertex than the cell's own seed is
         vertices = [np.unique(np.round(v, 12), axis=0) for _, v in cells]
         of = np.repeat(np.arange(len(own)), list(map(len, vertices)))
@@ -290,16 +455,16 @@ def _visit_kernel(box: np.ndarray, half: float):
     def run(cells: pa.Table, seeds: pa.Table) -> pa.Table:
         """Visiting cells, clipped by a block's seeds as well."""
         own = np.stack([seeds[c].to_numpy() for c in "xyz"[:dim]], axis=1) if seeds.num_rows else np.empty((0, dim))
-        ids, out = seeds["seed_id"].to_numpy(), []
-        for r in cells.to_pylist():
-            at = np.array([r[c] for c in "xyz"[:dim]])
-            shift = np.array([r[f"s{c}"] for c in "xyz"[:dim]], np.int32)
-            points, names, offsets = _ghost_arrays(r["ghosts"], dim)
-            first = len(points)
-            points, names, offsets = np.concatenate([points, own + shift * box]), np.concatenate([names, ids]), np.concatenate([offsets, np.tile(shift, (len(own), 1))])
-            ghosts, _ = _held(at, points, names, offsets, half, first)
-            out.append((r["seed_id"], r["x"], r["y"], r["z"], *[None] * 4, _as_dicts(ghosts)))
-        return _open_table(out)
+        ids, rows = seeds["seed_id"].to_numpy(), cells.to_pylist()
+
+        def visits():
+            for r in rows:
+                at = np.array([r[c] for c in "xyz"[:dim]])
+                shift = np.array([r[f"s{c}"] for c in "xyz"[:dim]], np.int32)
+                points, names, offsets = _ghost_arrays(r["ghosts"], dim)
+                yield at, np.concatenate([points, own + shift * box]), np.concatenate([names, ids]), np.concatenate([offsets, np.tile(shift, (len(own), 1))]), len(points)
+
+        return _open_table([(r["seed_id"], r["x"], r["y"], r["z"], *[None] * 4, _as_dicts(ghosts)) for r, (ghosts, _) in zip(rows, _held_cells(visits(), half), strict=True)])
 
     return run
 
@@ -338,11 +503,20 @@ def tessellate_blocks(seeds: DataFrame, lengths: Sequence[float] = UNIT, block_s
 
     def faces(batches):
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
+            cells, rows = batch.to_pylist(), []
+            if dim == 3:
+                for i, j in _parts(np.array([len(r["ghosts"]) for r in cells])):
+                    own = cells[i:j]
+                    at = np.array([[r[c] for c in "xyz"] for r in own])
+                    sizes = [len(r["ghosts"]) for r in own]
+                    points, names, offsets = _ghost_arrays([g for r in own for g in r["ghosts"]], dim)
+                    cell = np.repeat(np.arange(len(own)), sizes)
+                    yield _face_rows(np.array([r["seed_id"] for r in own]), at, cell, points - at[cell], names, offsets, half)[0]
+                continue
+            for r in cells:
                 at = np.array([r[c] for c in "xyz"[:dim]])
                 points, names, offsets = _ghost_arrays(r["ghosts"], dim)
-                rows += _cell_rows(r["seed_id"], at, points - at, names, offsets, half, r["z"])[0]
+                rows += _edge_rows(r["seed_id"], at, points - at, names, offsets, half, r["z"])[0]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
 
