@@ -103,3 +103,15 @@ def test_array_faces_are_the_column_expressions(spark, seed):
         band = erosion.plane_band(at, lit(verts[0]), normal, 0.3) & erosion.in_polygon(at, loop, normal)
         got = frame.select("n", band.alias("band"), erosion.in_pyramid(at, lit([r["x"], r["y"], r["z"]]), loop).alias("held")).orderBy("n").collect()
         assert [g["band"] for g in got] == face.covers(list(q.T), 0.3).tolist() and [g["held"] for g in got] == face.holds(list(q.T)).tolist()
+
+
+def test_blocks_get_only_faces_of_crystals_that_they_hold(spark):
+    """Many more seeds than voxels: a block's faces are bounded by its voxels, not by the seeds."""
+    shape, lengths = (4, 4, 4), (1.0, 1.0, 1.0)
+    seeds = sd.voronoi_seeds(spark, 400, lengths, "random", 4)
+    own = blocks.Blocks(shape)
+    held = erosion.crystals_by_block(raster.label_nearest_seed(grids.voxel_grid(spark, shape), seeds, shape), own)
+    faces = erosion.canonical_faces(voronoi.tessellate(seeds)).withColumnRenamed("seed_a", "seed_id").join(seeds, "seed_id")
+    placed = faces.select("gb", F.col("seed_id").alias("crystal"), "nx", "ny", "nz", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), "verts")
+    near = {erosion.Face(r["data"]).crystal for r in erosion.faces_by_block(placed, own, lengths, 0.02, held).collect()}
+    assert near and near <= {r["crystal"] for r in held.collect()} and len(near) <= 64

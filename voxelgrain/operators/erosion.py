@@ -160,8 +160,24 @@ class Face:
         return _one_sided(v @ planes.T, slack) & (share <= abs(top) * (1 + SLACK)) & (share >= -abs(top) * SLACK)
 
 
-def faces_by_block(placed: DataFrame, blocks: Blocks, lengths: Lengths, thickness: float) -> DataFrame:
-    """(block, data): every face at every block of voxels that its half polyhedron's box, or the band about it, meets.
+def crystals_by_block(voxels: DataFrame, blocks: Blocks) -> DataFrame:
+    """(block, crystal): the labels that each block of voxels holds. Written."""
+    at = [F.floor(F.col(c) / b).cast("long") for c, b in zip("ijk", blocks.edge, strict=True)]
+    return cut(voxels.where("label is not null").select(blocks.number(at).alias("block"), F.col("label").cast("long").alias("crystal")).distinct(), "crystals", slim=True)
+
+
+def on_box(placed: DataFrame, shape: Shape, lengths: Lengths, thickness: float) -> DataFrame:
+    """Faces whose half polyhedron's box, or the band about it, comes within two voxels of the box's own voxels."""
+    for c, length, n in zip("xyz", lengths, shape, strict=True):
+        ends = F.col(f"verts.{c}")
+        beyond = thickness / 2 + 2 * length / n
+        placed = placed.where((F.least(F.array_min(ends), F.col(f"p{c}")) < length + beyond) & (F.greatest(F.array_max(ends), F.col(f"p{c}")) > -beyond))
+    return placed
+
+
+def faces_by_block(placed: DataFrame, blocks: Blocks, lengths: Lengths, thickness: float, crystals: DataFrame | None = None) -> DataFrame:
+    """(block, data): every face at every block of voxels that its half polyhedron's box, or the band about it, meets and that
+    holds voxels of its crystal (``crystals``, if given): a block gets no more faces than those of as many crystals as it has voxels.
 
     ``placed``: gb, crystal, normal, apex (px, py, pz) and verts of faces at their places. Blocks that lie wholly beyond one of the
     box's sides are left out; a face's data are its numbers as bytes.
@@ -170,7 +186,7 @@ def faces_by_block(placed: DataFrame, blocks: Blocks, lengths: Lengths, thicknes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers, data = [], []
+            numbers, data, labels = [], [], []
             columns = [c.to_pylist() for c in batch.columns]
             for *head, verts in zip(*columns, strict=True):
                 points = [[p["x"], p["y"], p["z"]] for p in verts]
@@ -189,13 +205,17 @@ def faces_by_block(placed: DataFrame, blocks: Blocks, lengths: Lengths, thicknes
                 for at in product(*spans):
                     numbers.append(int(blocks.number(at)))
                     data.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(data, pa.binary())], ["block", "data"])
+                    labels.append(int(head[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(labels, pa.int64()), pa.array(data, pa.binary())], ["block", "crystal", "data"])
 
     rows = placed.select(*[F.col(c).cast("double") for c in ("gb", "crystal", "nx", "ny", "nz", "px", "py", "pz")], "verts")
-    return rows.mapInArrow(run, "block long, data binary")
+    near = rows.mapInArrow(run, "block long, crystal long, data binary")
+    if crystals is not None:
+        near = near.join(crystals, ["block", "crystal"], "left_semi")
+    return near.select("block", "data")
 
 
-def eroded_blocks(voxels: DataFrame, placed: DataFrame, shape: Shape, lengths: Lengths, thickness: float) -> DataFrame:
+def eroded_blocks(voxels: DataFrame, placed: DataFrame, shape: Shape, lengths: Lengths, thickness: float, crystals: DataFrame) -> DataFrame:
     """(i, j, k, crystal, killed, gb) of all voxels: faces meet the blocks of voxels that they can reach, and in a block the
     voxels of their crystal. Half polyhedra are looked at for killed voxels alone; ``gb`` is the first that holds the voxel."""
     blocks = Blocks(shape)
@@ -203,8 +223,11 @@ def eroded_blocks(voxels: DataFrame, placed: DataFrame, shape: Shape, lengths: L
     def kernel(w: Window) -> dict[str, np.ndarray]:
         killed, tag = np.zeros(w.size, bool), np.full(w.size, -1, np.int64)
         (labels, there), faces = w.at((0, 0, 0)), sorted((Face(x) for x in w.extra), key=lambda f: f.gb)
+        of: dict[int, list[Face]] = {}
+        for face in faces:
+            of.setdefault(face.crystal, []).append(face)
         members = {}
-        for crystal in {f.crystal for f in faces}:
+        for crystal in of:
             at = np.nonzero((labels == crystal) & there)
             members[crystal] = at, [(x + f + 0.5) * length / n for x, f, length, n in zip(at, w.first, lengths, shape, strict=True)]
         found = {c: np.zeros(len(at[0]), bool) for c, (at, _) in members.items()}
@@ -217,15 +240,16 @@ def eroded_blocks(voxels: DataFrame, placed: DataFrame, shape: Shape, lengths: L
             if not len(dead):
                 continue
             own, tags = [x[dead] for x in points], np.full(len(dead), -1, np.int64)
-            for face in faces:
-                if face.crystal == crystal and (tags < 0).any():
-                    left = np.flatnonzero(tags < 0)
-                    tags[left[face.holds([x[left] for x in own])]] = face.gb
+            for face in of[crystal]:
+                left = np.flatnonzero(tags < 0)
+                if not len(left):
+                    break
+                tags[left[face.holds([x[left] for x in own])]] = face.gb
             where = tuple(x[dead] for x in at)
             killed[where], tag[where] = True, tags
         return {"crystal": labels, "killed": killed, "gb": np.ma.array(tag, mask=tag < 0)}
 
-    return over_blocks(voxels, blocks, "label", "<i8", kernel, "crystal long, killed boolean, gb long", faces_by_block(placed, blocks, lengths, thickness))
+    return over_blocks(voxels, blocks, "label", "<i8", kernel, "crystal long, killed boolean, gb long", faces_by_block(placed, blocks, lengths, thickness, crystals))
 
 
 def erode_boundaries(voxels: DataFrame, faces: DataFrame, seeds: DataFrame, shape: Shape, lengths: Lengths = UNIT, thickness: float = 0.05) -> tuple[DataFrame, DataFrame]:
@@ -233,17 +257,24 @@ def erode_boundaries(voxels: DataFrame, faces: DataFrame, seeds: DataFrame, shap
 
     A voxel leaves its crystal when it lies within half the thickness of one of the cell's faces and over the face;
     it takes the tag of the first face (by grain boundary) whose pyramid to the seed holds it, else -1. Tags follow the
-    crystals' labels without gaps. Each face is repeated at its 27 places, those off the box are dropped, and those left meet
-    the blocks of voxels that they reach (``eroded_blocks``): neither a large crystal nor a large image is one task's work.
-    The image is read once.
+    crystals' labels without gaps. Of cells without a voxel only faces that a cell with voxels shares are looked at. Each face
+    is repeated at its 27 places, those off the box are dropped, and those left meet the blocks of voxels that they reach and
+    that hold their crystal (``eroded_blocks``): neither a large crystal nor a large image is one task's work, nor are many
+    crystals on a small image. The image is written and read twice.
     """
     crystals = seeds.count()
-    faces = cut(canonical_faces(cut(faces, "faces")), "faces")
-    own = faces.join(seeds.select(F.col("seed_id").cast("long").alias("seed_a"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz")), "seed_a")
+    voxels = cut(voxels, "image")
+    held = crystals_by_block(voxels, Blocks(shape))
+    labels = held.select("crystal").distinct()
+    for side in ("a", "b"):
+        faces = faces.join(labels.select(F.col("crystal").alias(f"seed_{side}"), F.lit(True).alias(f"_{side}")), f"seed_{side}", "left")
+    faces = cut(canonical_faces(cut(faces.where("_a or _b").drop("_b"), "faces")), "faces")
+    own = faces.where("_a").join(seeds.select(F.col("seed_id").cast("long").alias("seed_a"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz")), "seed_a")
     placed = shifted(own, ["px", "py", "pz"], lengths)
     moved = F.transform("verts", lambda p: F.struct(*[(p[c] + F.col(f"s{c}")).alias(c) for c in "xyz"]))
     placed = placed.withColumn("verts", moved).withColumnRenamed("seed_a", "crystal")
-    tagged = cut(eroded_blocks(voxels, placed, shape, lengths, thickness), "eroded")
+    placed = on_box(placed, shape, lengths, thickness)
+    tagged = cut(eroded_blocks(voxels, placed, shape, lengths, thickness, held), "eroded")
     tags = cut(renumbered(tagged.select("gb").where("gb is not null").distinct(), "gb", crystals, "gb_tag"), "tags", slim=True)
     few = tags.count() <= BROADCAST_TAGS
     image = tagged.join(F.broadcast(tags) if few else tags, "gb", "left")
