@@ -291,3 +291,16 @@ def test_fitting_lowers_the_loss_and_reruns_agree(spark):
     corpus = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     once, again = (sorted((r["doc_id"], r["score"]) for r in lm_scoring.score_documents(corpus).collect()) for _ in range(2))
     assert once == again
+
+
+def test_every_window_of_a_text_is_fitted_in_one_of_the_rounds():
+    import pyarrow as pa
+
+    config = lm_scoring.LMConfig(part=5)
+    lexicon = lm_scoring.Lexicon(np.arange(lm_scoring.IDS), config)
+    texts = [np.arange(n) % 500 for n in (1, 24, 25, 700, 4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([t.astype("<u2").tobytes() for t in texts])], ["at", "ids"])
+    scored = [sum(int(c.sum()) for _, c in lm_scoring._training_windows(iter([batch]), lexicon, config, turn, 3)) for turn in range(3)]
+    assert sum(scored) == sum(map(len, texts)) and min(scored) > 0
+    sizes = [len(w) for w, _ in lm_scoring._training_windows(iter([batch]), lexicon, config, 0, 1)]
+    assert max(sizes) <= config.part and sum(sizes) == sum(-(-len(t) // config.stride) for t in texts)
