@@ -304,3 +304,27 @@ def test_every_window_of_a_text_is_fitted_in_one_of_the_rounds():
     assert sum(scored) == sum(map(len, texts)) and min(scored) > 0
     sizes = [len(w) for w, _ in lm_scoring._training_windows(iter([batch]), lexicon, config, 0, 1)]
     assert max(sizes) <= config.part and sum(sizes) == sum(-(-len(t) // config.stride) for t in texts)
+
+
+def test_words_are_shuffled_once_for_their_counts(corpus, monkeypatch):
+    plans = []
+
+    def kept(df, name, cut=lm_scoring.cut):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, name)
+
+    monkeypatch.setattr(lm_scoring, "cut", kept)
+    lm_scoring.score_documents(corpus.limit(20))
+    assert sum(plan.count("Exchange hashpartitioning(name") for plan in plans) == 1 and not any("Join" in plan for plan in plans)
+
+
+def test_words_are_numbered_as_they_come_and_encoded_alone():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    known, (encode, _) = lm_scoring.WordIds(path), lm_scoring.ranked(path)
+    for words in (["the", "\xa0a", "\x1cb", "don't", "日本", "the", "c　", "᠎x"], ["d\x1f", "new", "the"], []):
+        places = np.array([known.index[w.encode()] for w in words], np.int64)
+        known.learn()
+        assert [known.names[k].decode() for k in places] == words
+        assert [x.tolist() for x in known.of_texts(places, np.ones(len(words), np.int64))] == [[*encode(" " + w), lm_scoring.END] for w in words]
