@@ -215,3 +215,29 @@ def test_numpy_surfaces_agree_with_their_columns(spark):
         tpms.raw_field(spark, lambda x, y, z: np.stack([x, y]), (3, 3, 3)).collect()
     image = tpms.tpms_field(spark, own, (8, 8, 8)).agg(F.min("f"), F.max("f")).first()
     assert tuple(image) == (0.0, 1.0)
+
+
+def test_distances_of_all_pairs_are_dealt_to_even_tasks(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    duckdb = pytest.importorskip("duckdb")
+    monkeypatch.setattr(sd, "PAIR_ROWS", 100)
+    folder = "/root/testdata/sf0.01"
+    df = entry.queries()["periodic_distance"](spark, folder).cache()
+    tasks = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) == 25 and max(tasks) <= 120 * 120
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
+        want = db.execute(entry.oracle_sql()["periodic_distance"]).fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+    df.unpersist()
+
+
+def test_positive_numbers_round_as_the_other_way_does(spark):
+    from voxelgrain.plans import fixtures as fx
+
+    rows = [(x,) for x in (0.0, 0.5e-6, 1.5e-6, 2.5e-6, 0.4999999999999999e-6, 0.123456499999, 0.1234565, 1e15, 1e300, float("inf"), float("nan"), None)]
+    rows += [(k / 7_000_000,) for k in range(3000)]
+    df = spark.createDataFrame(rows, "x double")
+    both = df.select(fx.sql_round_positive("x", 6).alias("a"), fx.sql_round("x", 6).alias("b")).where(~F.col("a").eqNullSafe(F.col("b")))
+    assert both.collect() == []
