@@ -328,3 +328,44 @@ def test_words_are_numbered_as_they_come_and_encoded_alone():
         known.learn()
         assert [known.names[k].decode() for k in places] == words
         assert [x.tolist() for x in known.of_texts(places, np.ones(len(words), np.int64))] == [[*encode(" " + w), lm_scoring.END] for w in words]
+
+
+def test_words_of_a_block_travel_in_few_rows(corpus, monkeypatch):
+    rows = {}
+
+    def kept(df, name, cut=lm_scoring.cut):
+        out = cut(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(lm_scoring, "cut", kept)
+    docs, groups = corpus.limit(20).coalesce(1), int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lm_scoring.score_documents(docs)
+    assert rows["word-counts"] <= 2 * groups and rows["encoded"] <= 21 + groups
+
+
+def test_words_of_several_blocks_are_remembered():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    known, (encode, _) = lm_scoring.WordIds(path), lm_scoring.ranked(path)
+    words = [b"one", b"unheardof", b"three", b"of"]
+    for w in words:
+        known.index[w]
+    known.learn()
+    known.seen[:] = [2, 1, 3, 2]
+    known.forget(3)
+    assert known.names == [b"one", b"three", b"of"] and dict(known.index) == {b"one": 0, b"three": 1, b"of": 2}
+    places = np.array([known.index[w] for w in words], np.int64)
+    known.learn()
+    assert [x.tolist() for x in known.of_texts(places, np.ones(4, np.int64))] == [[*encode(" " + w.decode()), lm_scoring.END] for w in words]
+    known.seen[:] = 2
+    known.forget(3)
+    assert known.names == [] and len(known.ids) == len(known.index) == 0
+
+
+def test_attention_costs_few_products_a_window():
+    config = lm_scoring.LMConfig()
+    graph = lm_scoring._forward(config, np.dtype(np.float32))
+    # keys and values have no products of their own over all positions of a window
+    assert sum(b"MatMul" in node or b"Gemm" in node for node in graph.nodes) == 7
