@@ -241,3 +241,17 @@ def test_positive_numbers_round_as_the_other_way_does(spark):
     df = spark.createDataFrame(rows, "x double")
     both = df.select(fx.sql_round_positive("x", 6).alias("a"), fx.sql_round("x", 6).alias("b")).where(~F.col("a").eqNullSafe(F.col("b")))
     assert both.collect() == []
+
+
+def test_flipped_vectors_have_the_minus_zeros_of_sql(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(0, [-1e-7, -4e-7, 1e-7]), (1, [-0.0, 0.0, -6e-7]), (2, [0.5, -0.1234565, None]), (3, None), (4, [float("nan"), float("-inf"), float("inf")])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = entry.queries()["vector_flip"](spark, str(tmp_path)).collect()
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = db.execute(entry.oracle_sql()["vector_flip"]).fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert "-0.0" in repr(want)

@@ -46,6 +46,12 @@ def sql_round(c: Column | str, digits: int) -> Column:
     return F.round(c * F.lit(10.0**digits), 0) / F.lit(10.0**digits)
 
 
+def sql_round_signed(c: Column | str, digits: int) -> Column:
+    """``sql_round`` with SQL's minus zero, which negative numbers round to. Only for results to which no zero is added."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.signum(c) * sql_round(F.abs(c), digits)
+
+
 def sql_round_positive(c: Column | str, digits: int) -> Column:
     """``sql_round`` of numbers that are not negative, by remainders: for many rows, as Spark's own goes through decimals."""
     x = (F.col(c) if isinstance(c, str) else c) * F.lit(10.0**digits)

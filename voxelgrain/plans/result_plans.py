@@ -117,7 +117,7 @@ def _components(spark, sf_dir):
 @query("vector_flip", "SELECT vec_id, [round(embedding[3]::DOUBLE, 6), round(embedding[2]::DOUBLE, 6), round(embedding[1]::DOUBLE, 6)] AS v FROM embeddings")
 def _flip(spark, sf_dir):
     e = fx.table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", flip_vectors(F.array(*[fx.sql_round(fx.component(c), 6) for c in range(3)])).alias("v"))
+    return e.select("vec_id", flip_vectors(F.array(*[fx.sql_round_signed(fx.component(c), 6) for c in range(3)])).alias("v"))
 
 
 @query("fill_grid", f"WITH {fx.grid_sql(20)}, s AS (SELECT CAST(s_suppkey // 400 AS INTEGER) AS i, CAST((s_suppkey // 20) % 20 AS INTEGER) AS j, CAST(s_suppkey % 20 AS INTEGER) AS k, s_nationkey AS v FROM supplier) SELECT g.i, g.j, g.k, coalesce(v, -1) AS v FROM g LEFT JOIN s ON g.i = s.i AND g.j = s.j AND g.k = s.k")
