@@ -8,7 +8,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from voxelgrain.llm import alignment, lm_scoring, vector_codes
 from voxelgrain.llm.queries import oracle_sql
@@ -369,3 +371,38 @@ def test_attention_costs_few_products_a_window():
     graph = lm_scoring._forward(config, np.dtype(np.float32))
     # keys and values have no products of their own over all positions of a window
     assert sum(b"MatMul" in node or b"Gemm" in node for node in graph.nodes) == 7
+
+
+def test_tables_and_groups_of_words_do_not_grow_with_few_partitions_or_many_tasks(spark, monkeypatch):
+    words = [f"word{k}" for k in range(3000)]
+    rows = [(k, " ".join(words[k % 50 :: 50] + words[:500])) for k in range(200)]
+    corpus = spark.createDataFrame(rows, "doc_id long, text string").repartition(200)
+    kept, tables, cut, summed = {}, [], lm_scoring.cut, lm_scoring._summed
+    monkeypatch.setattr(lm_scoring, "cut", lambda df, name: kept.setdefault(name, cut(df, name)) if name == "encoded" else cut(df, name))
+    monkeypatch.setattr(lm_scoring, "_summed", lambda df, kind: tables.append(df.rdd.getNumPartitions()) or summed(df, kind))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        got, _ = scored(corpus, lm_scoring.LMConfig(rounds=1))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == plain_base(rows)
+    # a block's words are dealt to many groups, so that no task holds a large share of all words
+    share = kept["encoded"].where("name_group is not null").agg(F.max(F.octet_length("places")) / 4).first()[0]
+    assert share <= 20  # of about 560 words
+    assert tables[1] <= max(32, 4 * spark.sparkContext.defaultParallelism) < 200
+
+
+def test_batches_end_at_so_many_bytes(spark):
+    from voxelgrain.llm.shared import bounded_batches
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    rows = spark.range(0, 64, 1, 1).select(F.repeat(F.lit("x"), 100_000).cast("binary").alias("data"))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    with bounded_batches(spark, 1 << 20):
+        assert max(r["n"] for r in rows.mapInArrow(sizes, "n long").collect()) <= 12
+    assert spark.conf.get(key, None) == before
